@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import mixing
+from loomgraph.llm import html, media, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_main_text": html.op1_html_main_text,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op8_media_columns": media.op8_media_columns,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": quality.OP4_SQL,
+}
