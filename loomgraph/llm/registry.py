@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import html, media, mixing, packing, quality, simhash
+from loomgraph.llm import html, media, mixing, packing, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_main_text": html.op1_html_main_text,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_simhash_groups": simhash.op5_simhash_groups,
     "op7_pack_documents": packing.op7_pack_documents,
