@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import html, media, mixing, packing, quality, simhash, toxicity
+from loomgraph.llm import html, media, mixing, packing, quality, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_main_text": html.op1_html_main_text,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_simhash_groups": simhash.op5_simhash_groups,
+    "op6_suffix_dedup": substrings.op6_suffix_dedup,
     "op7_pack_documents": packing.op7_pack_documents,
     "op8_media_columns": media.op8_media_columns,
 }
