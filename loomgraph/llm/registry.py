@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import html, media, mixing, packing, quality, simhash, substrings, toxicity
+from loomgraph.llm import html, media, mixing, packing, passages, quality, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_main_text": html.op1_html_main_text,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_dedup": substrings.op6_suffix_dedup,
     "op7_pack_documents": packing.op7_pack_documents,
     "op8_media_columns": media.op8_media_columns,
+    "op9_passage_dedup": passages.op9_passage_dedup,
 }
 
 ORACLES: dict[str, str] = {

@@ -25,6 +25,7 @@ nothing; rows with equal ids are not smaller than each other; an empty table giv
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import chunks, table, text_buffer
+from loomgraph.llm.common import chunks, table, text_buffer, texts_of
 from loomgraph.session import durable
 
 WINDOW = 50
@@ -224,7 +225,7 @@ def shared_anchors(batches: Iterator[pa.RecordBatch], min_hot: int) -> Iterator[
     yield _batch(names, pa.nulls(n, pa.int64()), pa.array([s.tolist() for s in summary], pa.list_(pa.int64())), pa.array([total, *hot_counts.tolist()], pa.int64()))
 
 
-CONTEXTS = "key long, doc_id long, start long, left int, context binary"
+CONTEXTS = "key long, doc_id long, tag long, start long, left int, context binary"
 
 
 def send_contexts(batches: Iterator[pa.RecordBatch], hot_keys) -> Iterator[pa.RecordBatch]:
@@ -238,6 +239,7 @@ def send_contexts(batches: Iterator[pa.RecordBatch], hot_keys) -> Iterator[pa.Re
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             data, offsets = text_buffer(part.column("text"))
             lists = pc.list_flatten(pc.list_flatten(part.column("keys"))).to_numpy(zero_copy_only=False).astype(np.uint64)
+            tags = [zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
             nested = [sum(map(len, x)) for x in part.column("keys").to_pylist()]
             wanted = np.sort(np.repeat(np.arange(len(ids), dtype=np.uint64), nested) << np.uint64(48) | lists)
             at, keys, least = find_anchors(data)
@@ -276,14 +278,14 @@ def send_contexts(batches: Iterator[pa.RecordBatch], hot_keys) -> Iterator[pa.Re
                 owner = min(int(ids[d]) for d, _ in found)
                 for d, begin in found:
                     if ids[d] == owner:
-                        rows.append((k, owner, begin, left, text))
+                        rows.append((k, owner, tags[d], begin, left, text))
                     else:
-                        decided.append((int(ids[d]), begin, begin + len(text)))
-            for d, a, b in decided:  # any key will do; the end stands in for the anchor's place
-                rows.append((d, d, a, b, None))
+                        decided.append((int(ids[d]), tags[d], begin, begin + len(text)))
+            for d, tag, a, b in decided:  # any key will do; the end stands in for the anchor's place
+                rows.append((d, d, tag, a, b, None))
             if rows:
                 cols = list(zip(*rows))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield _batch(names, *(pa.array(c, t) for c, t in zip(cols, types)))
 
 
@@ -332,14 +334,14 @@ def owned_elsewhere(keys: np.ndarray, docs: np.ndarray, left: np.ndarray, contex
 
 
 def refine_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans (doc_id, start, end) of windows owned by smaller documents."""
-    names = ["doc_id", "start", "end"]
+    """Spans (doc_id, tag, start, end) of windows owned by smaller documents."""
+    names = ["doc_id", "tag", "start", "end"]
     held: list[pa.RecordBatch] = []
     for batch in batches:
         decided = pc.is_null(batch.column("context"))
         done = batch.filter(decided)
         if done.num_rows:
-            yield _batch(names, done.column("doc_id"), done.column("start"), done.column("left").cast(pa.int64()))
+            yield _batch(names, done.column("doc_id"), done.column("tag"), done.column("start"), done.column("left").cast(pa.int64()))
         held.append(batch.filter(pc.invert(decided)))
     rows = pa.Table.from_batches(held) if held else None
     if rows is None or not rows.num_rows:
@@ -369,7 +371,7 @@ def refine_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if len(row):
             a = start[row] + left[row] - (high - 1)
             b = start[row] + left[row] - low + WINDOW
-            yield _batch(names, pa.array(docs[row]), pa.array(a), pa.array(b))
+            yield _batch(names, pa.array(docs[row]), part.column("tag").take(pa.array(row)).combine_chunks(), pa.array(a), pa.array(b))
 
 
 def merged_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -383,6 +385,14 @@ def merged_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def own_spans(text: bytes, spans: list[dict] | None) -> list[tuple[int, int]]:
+    """The merged spans of this text; rows that share an id are told apart by the checksum of their text."""
+    if not spans:
+        return []
+    tag = zlib.crc32(text)
+    return merged_spans([s for s in spans if s["tag"] == tag])
+
+
 def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     if not spans:
         return text
@@ -391,7 +401,7 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id and ``spans`` (array of start, end in bytes) of what smaller documents hold; docs has doc_id and text."""
+    """doc_id and ``spans`` (array of tag, start, end in bytes) of what smaller documents hold; see ``_given`` for docs."""
     spark = docs.sparkSession
     n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(6, min(30, n_buckets.bit_length()))
@@ -407,8 +417,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     lists = shared.filter("doc_id is not null").groupBy(F.col("doc_id").alias("row_key")).agg(F.collect_list("keys").alias("keys"))
     joined = docs.join(lists, "row_key").drop("row_key")
     contexts = joined.mapInArrow(partial(send_contexts, hot_keys=hot_keys), CONTEXTS)
-    spans = contexts.repartition("key").mapInArrow(refine_buckets, "doc_id long, start long, end long")
-    return spans.groupBy(F.col("doc_id").alias("row_key")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = contexts.repartition("key").mapInArrow(refine_buckets, "doc_id long, tag long, start long, end long")
+    return spans.groupBy(F.col("doc_id").alias("row_key")).agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
 
 
 def _given(docs: DataFrame) -> DataFrame:
@@ -428,7 +438,8 @@ def substring_digests(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
-                raw, runs = text.encode(), merged_spans(spans if doc_id is not None else None)
+                raw = text.encode()
+                runs = own_spans(raw, spans if doc_id is not None else None)
                 rows.append((doc_id, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_bytes(raw, runs)).hexdigest()))
             cols = list(zip(*rows)) or [()] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
@@ -444,7 +455,9 @@ def cut_repeated_substrings(docs: DataFrame) -> DataFrame:
 
     @F.arrow_udf("string")
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
-        out = [kept_bytes(t.encode(), merged_spans(s)).decode("utf-8", "ignore") if s else t for t, s in zip(text.to_pylist(), spans.to_pylist())]
+        out = []
+        for t, s in zip(texts_of(text), spans.to_pylist()):
+            out.append(kept_bytes(t, own_spans(t, s)).decode("utf-8", "ignore"))
         return pa.array(out, pa.string())
 
     spans = repeated_spans(_given(docs)).withColumnsRenamed({"row_key": "__id", "spans": "__spans"})
