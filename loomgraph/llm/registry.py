@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import html, media, mixing, packing, passages, quality, simhash, substrings, toxicity
+from loomgraph.llm import html, lm_scoring, media, mixing, packing, passages, quality, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_main_text": html.op1_html_main_text,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pack_documents": packing.op7_pack_documents,
     "op8_media_columns": media.op8_media_columns,
     "op9_passage_dedup": passages.op9_passage_dedup,
+    "op10_cross_entropy_difference": lm_scoring.op10_cross_entropy_difference,
 }
 
 ORACLES: dict[str, str] = {
