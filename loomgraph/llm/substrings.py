@@ -44,13 +44,13 @@ GRAM = 16
 #: Places of a gram within a window.
 PLACES = WINDOW - GRAM + 1
 #: Text bytes whose anchors are sent together, and rows of a block at most (their number fits 16 bits).
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 BLOCK_ROWS = 1 << 16
 #: An anchor in more documents than this may be hot; at most HOT_KEYS anchors are.
 MIN_HOT = 50_000
 HOT_KEYS = 1 << 20
 #: Rows refined together.
-REFINE_ROWS = 1 << 16
+REFINE_ROWS = 1 << 15
 #: Stands for a null id in joins; rows without an id ignore what it brings.
 NO_ID = -(1 << 63)
 KEY_MASK = np.uint64((1 << 48) - 1)
@@ -65,8 +65,17 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     two = data[:-1].astype(np.uint16) | data[1:].astype(np.uint16) << np.uint16(8)
     four = two[:-2].astype(np.uint32) | two[2:].astype(np.uint32) << np.uint32(16)
     eight = four[:-4].astype(np.uint64) | four[4:].astype(np.uint64) << np.uint64(32)
-    mixed = eight[:-8] * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= (eight[8:] + (mixed >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return _mix_grams(eight[:-8], eight[8:])
+
+
+def sixteen_bytes(pairs: np.ndarray) -> np.ndarray:
+    """The same hash from rows of two 8-byte numbers."""
+    return _mix_grams(pairs[:, 0], pairs[:, 1])
+
+
+def _mix_grams(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    mixed = low * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= (high + (mixed >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
@@ -163,7 +172,7 @@ def send_anchors(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterato
             else:
                 extra = (ids[doc[where]] - base).astype(np.uint32)
             # decided pairs need no bucket in common
-            buckets = values >> shift if kind < 2 else ids[doc[where]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> shift
+            buckets = values >> shift if kind < 2 else mixed_ids(ids[doc[where]]) >> shift
             if kind == 2:
                 order = np.argsort(buckets, kind="stable")
                 buckets, values, extra = buckets[order], values[order], extra[order]
@@ -175,9 +184,16 @@ def send_anchors(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterato
             yield _batch([c.split()[0] for c in PACKED.split(", ")], *(pa.array(c, t) for c, t in zip(cols, types)))
 
 
-def shared_anchors(batches: Iterator[pa.RecordBatch], min_hot: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, keys) of anchors found in two or more documents; rows without doc_id hold the anchors of
-    over ``min_hot`` documents with their counts, and the number of all anchors seen."""
+FOUND = "bucket long, docs binary, keys binary, count long"
+
+
+def mixed_ids(ids: np.ndarray) -> np.ndarray:
+    return ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def shared_anchors(batches: Iterator[pa.RecordBatch], min_hot: int, bucket_bits: int) -> Iterator[pa.RecordBatch]:
+    """Packed (document, key) pairs of anchors found in two or more documents, dealt by document; rows with a
+    count hold the anchors of over ``min_hot`` documents, and the number of all anchors seen."""
     keys, docs, counts, out_ids, out_keys = [], [], [], [], []
     for batch in batches:
         for bucket, kind, base, blob, extra in zip(*(c.to_pylist() for c in batch.columns)):
@@ -210,26 +226,65 @@ def shared_anchors(batches: Iterator[pa.RecordBatch], min_hot: int) -> Iterator[
         several = np.repeat(summed > 1, np.diff(np.append(first, len(key)))) & (count == 1) & (doc != -1)
         out_ids.append(doc[several])
         out_keys.append(key[several])
-    names = ["doc_id", "keys", "count"]
+    names = [c.split()[0] for c in FOUND.split(", ")]
     if out_ids:
         ids, found = np.concatenate(out_ids), np.concatenate(out_keys)
-        order = np.argsort(ids, kind="stable")
-        ids, found = ids[order], found[order].astype(np.int64)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]]) if len(ids) else np.zeros(1, np.int64)
-        for a in range(0, len(cuts) - 1, 20_000):
-            ends = cuts[a : a + 20_001]
-            lists = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(found[ends[0] : ends[-1]]))
-            yield _batch(names, pa.array(ids[ends[:-1]]), lists, pa.nulls(len(ends) - 1, pa.int64()))
-    summary = [np.zeros(0, np.int64), *(np.array([k]) for k in hot_keys)]
-    n = len(summary)
-    yield _batch(names, pa.nulls(n, pa.int64()), pa.array([s.tolist() for s in summary], pa.list_(pa.int64())), pa.array([total, *hot_counts.tolist()], pa.int64()))
+        dealt = mixed_ids(ids) >> np.uint64(64 - bucket_bits)
+        order = np.argsort(dealt, kind="stable")
+        dealt, ids, found = dealt[order], ids[order], found[order]
+        rows = [(x, ids[a:b].tobytes(), _pack_keys(found[a:b]), None) for x, a, b in _slices(dealt)]
+        if rows:
+            yield _batch(names, *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.int64()))))
+    rows = [(-1, b"", _pack_keys(np.array([k], np.uint64)), int(c)) for k, c in zip(hot_keys, hot_counts)]
+    rows.append((-1, b"", b"", total))
+    yield _batch(names, *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.int64()))))
+
+
+def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, keys): one row per document with its shared anchors; the summary passes through."""
+    names = ["doc_id", "keys", "count"]
+    ids, keys = [], []
+    for batch in batches:
+        for _, docs, blob, count in zip(*(c.to_pylist() for c in batch.columns)):
+            if count is None:
+                ids.append(np.frombuffer(docs, np.int64))
+                keys.append(_unpack_keys(blob))
+            else:
+                value = _unpack_keys(blob).astype(np.int64).tolist()
+                yield _batch(names, pa.nulls(1, pa.int64()), pa.array([value], pa.list_(pa.int64())), pa.array([count], pa.int64()))
+    if ids:
+        doc, key = np.concatenate(ids), np.concatenate(keys).astype(np.int64)
+        order = np.lexsort((key, doc))
+        doc, key = doc[order], key[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]])
+        for a in range(0, len(cuts) - 1, 5_000):
+            ends = cuts[a : a + 5_001]
+            lists = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(key[ends[0] : ends[-1]]))
+            yield _batch(names, pa.array(doc[ends[:-1]]), lists, pa.nulls(len(ends) - 1, pa.int64()))
+
 
+CONTEXTS = "bucket long, rows long, packed binary"
+#: Bytes of a packed context besides its text: document, tag, start, place of the anchor, length.
+CONTEXT_FIELDS = ((np.int64, "doc"), (np.uint16, "tag"), (np.int64, "start"), (np.uint8, "left"), (np.uint8, "size"))
 
-CONTEXTS = "key long, doc_id long, tag long, start long, left int, context binary"
 
+def _pack_contexts(rows: list[tuple]) -> bytes:
+    cols = list(zip(*rows))
+    fields = [np.array(c, t).tobytes() for c, (t, _) in zip(cols, CONTEXT_FIELDS)]
+    return zlib.compress(b"".join([*fields, *cols[5]]), 1)
 
-def send_contexts(batches: Iterator[pa.RecordBatch], hot_keys) -> Iterator[pa.RecordBatch]:
-    """The windows of each shared anchor as one run of bytes; rows without context are spans already decided."""
+
+def _unpack_contexts(n: int, packed: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    raw, at, fields = zlib.decompress(packed), 0, []
+    for kind, _ in CONTEXT_FIELDS:
+        fields.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return fields, np.frombuffer(raw, np.uint8, offset=at)
+
+
+def send_contexts(batches: Iterator[pa.RecordBatch], hot_keys, bucket_bits: int) -> Iterator[pa.RecordBatch]:
+    """The windows of each shared anchor as one run of bytes, packed by bucket of the anchor (of the window, if
+    the anchor is hot); rows with a negative count are spans already decided."""
     hot = set(hot_keys.value)
     names = [c.split()[0] for c in CONTEXTS.split(", ")]
     for batch in chunks(batches, "text"):
@@ -238,10 +293,10 @@ def send_contexts(batches: Iterator[pa.RecordBatch], hot_keys) -> Iterator[pa.Re
             part = batch.slice(first, BLOCK_ROWS)
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             data, offsets = text_buffer(part.column("text"))
-            lists = pc.list_flatten(pc.list_flatten(part.column("keys"))).to_numpy(zero_copy_only=False).astype(np.uint64)
-            tags = [zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-            nested = [sum(map(len, x)) for x in part.column("keys").to_pylist()]
-            wanted = np.sort(np.repeat(np.arange(len(ids), dtype=np.uint64), nested) << np.uint64(48) | lists)
+            tags = [text_tag(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+            wanted_keys = pc.list_flatten(part.column("keys")).to_numpy(zero_copy_only=False).astype(np.uint64)
+            held = pc.list_value_length(part.column("keys")).to_numpy(zero_copy_only=False)
+            wanted = np.sort(np.repeat(np.arange(len(ids), dtype=np.uint64), held) << np.uint64(48) | wanted_keys)
             at, keys, least = find_anchors(data)
             doc = np.searchsorted(offsets, at, side="right") - 1
             inside = at + GRAM <= offsets[doc + 1]
@@ -259,34 +314,36 @@ def send_contexts(batches: Iterator[pa.RecordBatch], hot_keys) -> Iterator[pa.Re
                 valid[valid] = least[start[valid]] == order[valid]
                 low[valid] = start[valid]
                 high[valid & (high < 0)] = start[valid & (high < 0)]
+            buckets = (keys >> np.uint64(64 - bucket_bits)).tolist()
             groups: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
             raw = data.tobytes()
-            keys = keys.view(np.int64).tolist()
-            for k, a, lo, hi, d in zip(keys, at.tolist(), low.tolist(), high.tolist(), doc.tolist()):
+            low_keys = (keys & KEY_MASK).tolist()
+            for bucket, k, a, lo, hi, d in zip(buckets, low_keys, at.tolist(), low.tolist(), high.tolist(), doc.tolist()):
                 if lo < 0:
                     continue
                 begin = lo - int(offsets[d])
-                if k & int(KEY_MASK) in hot:
+                if k in hot:
                     for w in range(lo, hi + 1):
                         text = raw[w : w + WINDOW]
-                        name = xxhash.xxh64_intdigest(text, 6) - (1 << 63)
-                        groups.setdefault((name, a - w, text), []).append((d, begin + w - lo))
+                        dealt = xxhash.xxh64_intdigest(text, a - w) >> (64 - bucket_bits)
+                        groups.setdefault((dealt, a - w, text), []).append((d, begin + w - lo))
                 else:
-                    groups.setdefault((k, a - lo, raw[lo : hi + WINDOW]), []).append((d, begin))
-            rows, decided = [], []
-            for (k, left, text), found in groups.items():
+                    groups.setdefault((bucket, a - lo, raw[lo : hi + WINDOW]), []).append((d, begin))
+            dealt_rows: dict[int, list[tuple]] = {}
+            decided: dict[int, list[tuple[int, int]]] = {}
+            for (bucket, left, text), found in groups.items():
                 owner = min(int(ids[d]) for d, _ in found)
                 for d, begin in found:
                     if ids[d] == owner:
-                        rows.append((k, owner, tags[d], begin, left, text))
+                        dealt_rows.setdefault(bucket, []).append((owner, tags[d], begin, left, len(text), text))
                     else:
-                        decided.append((int(ids[d]), tags[d], begin, begin + len(text)))
-            for d, tag, a, b in decided:  # any key will do; the end stands in for the anchor's place
-                rows.append((d, d, tag, a, b, None))
+                        decided.setdefault(d, []).append((begin, begin + len(text)))
+            rows = [(bucket, len(x), _pack_contexts(x)) for bucket, x in dealt_rows.items()]
+            spans = [(int(ids[d]), tags[d], a, b) for d, x in decided.items() for a, b in merged(x)]
+            if spans:
+                rows.append((int(spans[0][0]), -len(spans), zlib.compress(np.array(spans, np.int64).tobytes(), 1)))
             if rows:
-                cols = list(zip(*rows))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield _batch(names, *(pa.array(c, t) for c, t in zip(cols, types)))
+                yield _batch(names, *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))))
 
 
 def refine(bucket: np.ndarray, letters: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -336,48 +393,62 @@ def owned_elsewhere(keys: np.ndarray, docs: np.ndarray, left: np.ndarray, contex
 def refine_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans (doc_id, tag, start, end) of windows owned by smaller documents."""
     names = ["doc_id", "tag", "start", "end"]
-    held: list[pa.RecordBatch] = []
+    fields, texts = [], []
     for batch in batches:
-        decided = pc.is_null(batch.column("context"))
-        done = batch.filter(decided)
-        if done.num_rows:
-            yield _batch(names, done.column("doc_id"), done.column("tag"), done.column("start"), done.column("left").cast(pa.int64()))
-        held.append(batch.filter(pc.invert(decided)))
-    rows = pa.Table.from_batches(held) if held else None
-    if rows is None or not rows.num_rows:
+        for _, n, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            if n < 0:
+                spans = np.frombuffer(zlib.decompress(packed), np.int64).reshape(-n, 4)
+                yield _batch(names, *(pa.array(np.ascontiguousarray(spans[:, k])) for k in range(4)))
+            else:
+                some, text = _unpack_contexts(n, packed)
+                fields.append(some)
+                texts.append(text)
+    if not fields:
         return
-    keys = rows.column("key").to_numpy()
+    docs, tags, start, left, size = (np.concatenate(x).astype(np.int64) for x in zip(*fields))
+    context = np.concatenate(texts)
+    del fields, texts
+    begin = np.cumsum(size) - size
+    keys = np.concatenate([gram_hashes_at(context, begin[a : a + REFINE_ROWS] + left[a : a + REFINE_ROWS]) for a in range(0, len(begin), REFINE_ROWS)])
     order = np.argsort(keys, kind="stable")
-    sorted_keys = keys[order]
-    n = len(keys)
-    first = 0
+    keys, n, first = keys[order], len(keys), 0
     while first < n:
         last = min(n, first + REFINE_ROWS)
-        if last < n:  # keys stay together
-            last = int(np.searchsorted(sorted_keys, sorted_keys[last - 1], side="right"))
-        part = rows.take(pa.array(order[first:last])).combine_chunks()
+        if last < n:  # equal keys stay together
+            last = int(np.searchsorted(keys, keys[last - 1], side="right"))
+        some = order[first:last]
+        marks = owned_elsewhere(keys[first:last], docs[some], left[some], context, begin[some], begin[some] + size[some])
         first = last
-        docs, start = part.column("doc_id").to_numpy(), part.column("start").to_numpy()
-        left = part.column("left").to_numpy().astype(np.int64)
-        buffer = part.column("context").combine_chunks().cast(pa.large_binary())
-        offsets = np.frombuffer(buffer.buffers()[1], np.int64)[buffer.offset : buffer.offset + len(buffer) + 1]
-        context = np.frombuffer(buffer.buffers()[2], np.uint8)
-        marks = owned_elsewhere(part.column("key").to_numpy(), docs, left, context, offsets[:-1], offsets[1:])
         # the window in which the anchor has offset o starts left - o after the context
-        by_offset = np.pad(marks, ((0, 0), (1, 1))).astype(np.int8)
-        step = np.diff(by_offset, axis=1)
+        step = np.diff(np.pad(marks, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, low = np.nonzero(step == 1)
         _, high = np.nonzero(step == -1)  # runs of offsets low .. high - 1
         if len(row):
-            a = start[row] + left[row] - (high - 1)
-            b = start[row] + left[row] - low + WINDOW
-            yield _batch(names, pa.array(docs[row]), part.column("tag").take(pa.array(row)).combine_chunks(), pa.array(a), pa.array(b))
+            row = some[row]
+            spans = joined_spans(docs[row], tags[row], start[row] + left[row] - (high - 1), start[row] + left[row] - low + WINDOW)
+            yield _batch(names, *map(pa.array, spans))
 
 
-def merged_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
+def gram_hashes_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``gram_hashes`` at some places."""
+    grams = data[at[:, None] + np.arange(GRAM)]
+    return np.ascontiguousarray(sixteen_bytes(np.ascontiguousarray(grams).view("<u8")))
+
+
+def joined_spans(docs: np.ndarray, tags: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Spans of a document that touch or overlap, joined."""
+    order = np.lexsort((a, tags, docs))
+    docs, tags, a, b = docs[order], tags[order], a[order], b[order]
+    same = (docs[1:] == docs[:-1]) & (tags[1:] == tags[:-1])
+    new = np.concatenate([[True], ~same | (a[1:] > b[:-1])])
+    first = np.flatnonzero(new)
+    return [docs[first], tags[first], a[first], np.maximum.reduceat(b, first)]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of a list of spans."""
     out: list[list[int]] = []
-    for a, b in sorted((s["start"], s["end"]) for s in spans or ()):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -385,11 +456,19 @@ def merged_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def merged_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
+    return merged([(s["start"], s["end"]) for s in spans or ()])
+
+
+def text_tag(text) -> int:
+    return zlib.crc32(text) & 0xFFFF
+
+
 def own_spans(text: bytes, spans: list[dict] | None) -> list[tuple[int, int]]:
     """The merged spans of this text; rows that share an id are told apart by the checksum of their text."""
     if not spans:
         return []
-    tag = zlib.crc32(text)
+    tag = text_tag(text)
     return merged_spans([s for s in spans if s["tag"] == tag])
 
 
@@ -406,18 +485,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(6, min(30, n_buckets.bit_length()))
     packed = docs.select("doc_id", "text").mapInArrow(partial(send_anchors, bucket_bits=bits), PACKED)
-    shared = durable(
-        packed.repartition("bucket").mapInArrow(partial(shared_anchors, min_hot=MIN_HOT), "doc_id long, keys array<long>, count long"), "anchors"
-    )
+    found = packed.repartition("bucket").mapInArrow(partial(shared_anchors, min_hot=MIN_HOT, bucket_bits=bits), FOUND)
+    shared = durable(found.repartition("bucket").mapInArrow(by_document, "doc_id long, keys array<long>, count long"), "anchors")
     summary = shared.filter("doc_id is null")
     total = summary.filter(F.size("keys") == 0).agg(F.sum("count")).first()[0] or 0
     # at most total / threshold anchors can be hot, so at most HOT_KEYS
     hot = summary.filter((F.size("keys") > 0) & (F.col("count") > max(MIN_HOT, total // HOT_KEYS))).select(F.col("keys")[0].alias("key"))
     hot_keys = spark.sparkContext.broadcast([r.key for r in hot.collect()])
-    lists = shared.filter("doc_id is not null").groupBy(F.col("doc_id").alias("row_key")).agg(F.collect_list("keys").alias("keys"))
+    lists = shared.filter("doc_id is not null").select(F.col("doc_id").alias("row_key"), "keys")
     joined = docs.join(lists, "row_key").drop("row_key")
-    contexts = joined.mapInArrow(partial(send_contexts, hot_keys=hot_keys), CONTEXTS)
-    spans = contexts.repartition("key").mapInArrow(refine_buckets, "doc_id long, tag long, start long, end long")
+    contexts = joined.mapInArrow(partial(send_contexts, hot_keys=hot_keys, bucket_bits=bits), CONTEXTS)
+    spans = contexts.repartition("bucket").mapInArrow(refine_buckets, "doc_id long, tag long, start long, end long")
     return spans.groupBy(F.col("doc_id").alias("row_key")).agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
 
 
