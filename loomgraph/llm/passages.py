@@ -5,7 +5,7 @@ window the one(s) of least hash are its fingerprints, so equal windows share the
 batches. Each batch writes one immutable run, bucketed and sorted by fingerprint; the run is merge-joined
 with every historical run (equal buckets, no shuffle of the index) to find what has been seen before,
 and runs are compacted into one when there are more than MAX_RUNS. Rows that hold a repeated fingerprint
-are then verified: their windows are compared by two independent 64-bit digests of the words themselves.
+are then verified: their windows are compared by two independent digests (64 and 32 bits) of the words themselves.
 
 A block of documents sends a fingerprint or a window once however often it repeats there, so a passage in
 a third of all rows costs a row per block. Windows are dealt by their own digest, so windows around one
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import partial
 from itertools import compress
@@ -211,7 +212,7 @@ class FingerprintIndex:
         self.runs = []
 
 
-WINDOWS = "bucket long, kind int, a binary, b binary, c binary, d binary"
+WINDOWS = "bucket long, kind int, digests binary, places binary"
 REPEATED_HERE = np.uint32(1 << 31)
 
 
@@ -241,7 +242,7 @@ def send_windows(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterato
         if not len(w):
             continue
         first = run_hashes(words, w, WINDOW, STEP[0])
-        second = run_hashes(word_hashes(data, starts, ends, SEEDS[1]), w, WINDOW, STEP[1])
+        second = (run_hashes(word_hashes(data, starts, ends, SEEDS[1]), w, WINDOW, STEP[1]) >> np.uint64(32)).astype(np.uint32)
         first_word = np.searchsorted(starts, offsets[:-1])
         sort = np.lexsort((second, first))
         w, first, second = w[sort], first[sort], second[sort]
@@ -255,37 +256,71 @@ def send_windows(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterato
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(buckets)) + 1, [len(buckets)]])
         for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             some = begin[x:y]
-            rows.append((int(buckets[x]), 0, first[some].tobytes(), second[some].tobytes(), key[some].tobytes(), (where[some] | flags[x:y]).tobytes()))
+            by_row = np.lexsort((where[some], key[some]))  # rows and places compress well in this order
+            flag, some = flags[x:y][by_row], some[by_row]
+            digests = first[some].tobytes() + second[some].tobytes()
+            rows.append((int(buckets[x]), 0, digests, _pack_places(key[some], where[some] | flag)))
         decided = np.repeat(count > 1, count)
         if decided.any():
-            rows.append((int(first[0] >> shift), 1, key[decided].tobytes(), where[decided].tobytes(), b"", b""))
+            rows.append((int(first[0] >> shift), 1, b"", _pack_places(key[decided], where[decided])))
         cols = list(zip(*rows))
-        types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in WINDOWS.split(", ")])
 
 
-def _window_spans(key: np.ndarray, where: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(row_key, start, end) in words, runs of windows that overlap or touch joined."""
+def _pack_places(key: np.ndarray, where: np.ndarray) -> bytes:
+    return zlib.compress(key.astype(np.int64).tobytes() + where.astype(np.uint32).tobytes(), 1)
+
+
+def _unpack_places(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(blob)
+    n = len(raw) // 12
+    return np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint32, n, 8 * n)
+
+
+PLACED = "bucket long, places binary"
+
+
+def _deal_places(key: np.ndarray, where: np.ndarray, bucket_bits: int) -> Iterator[pa.RecordBatch]:
+    """Marked windows, packed and dealt by their row."""
+    if not len(key):
+        return
+    buckets = mix(key.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bucket_bits)
+    order = np.lexsort((where, key, buckets))
+    buckets, key, where = buckets[order], key[order], where[order]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(buckets)) + 1, [len(buckets)]])
+    rows = [(int(buckets[a]), _pack_places(key[a:b], where[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    cols = list(zip(*rows))
+    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], names=["bucket", "places"])
+
+
+def spans_by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row_key, spans in words): one row per row with marked windows, runs that overlap or touch joined."""
+    parts = [_unpack_places(x) for batch in batches for x in batch.column("places").to_pylist()]
+    if not parts:
+        return
+    key, where = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((where, key))
     key, where = key[order], where[order].astype(np.int64)
-    if len(key):
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (where[1:] > where[:-1] + WINDOW)])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(key)) - 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key[first]), pa.array(where[first]), pa.array(where[last] + WINDOW)], names=["row_key", "start", "end"]
-        )
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (where[1:] > where[:-1] + WINDOW)]))
+    start, end = where[first], where[np.append(first[1:], len(key)) - 1] + WINDOW
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], key[first][1:] != key[first][:-1]])), len(first))
+    spans = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], names=["start", "end"])
+    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), spans)
+    yield pa.RecordBatch.from_arrays([pa.array(key[first][cuts[:-1]]), lists], names=["row_key", "spans"])
 
 
-def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of the windows that are met twice or more over all blocks."""
+def repeated_windows(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterator[pa.RecordBatch]:
+    """The windows that are met twice or more over all blocks, dealt by row."""
     parts = []
     for batch in batches:
-        for _, kind, a, b, c, d in zip(*(x.to_pylist() for x in batch.columns)):
+        for _, kind, digests, places in zip(*(x.to_pylist() for x in batch.columns)):
+            key, where = _unpack_places(places)
             if kind:
-                yield from _window_spans(np.frombuffer(a, np.int64), np.frombuffer(b, np.uint32))
+                yield from _deal_places(key, where, bucket_bits)
             else:
-                parts.append([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), np.frombuffer(c, np.int64), np.frombuffer(d, np.uint32)])
+                n = len(key)
+                parts.append((np.frombuffer(digests, np.uint64, n), np.frombuffer(digests, np.uint32, n, 8 * n), key, where))
     if not parts:
         return
     first, second, key, where = map(np.concatenate, zip(*parts))
@@ -295,7 +330,7 @@ def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     held = where < REPEATED_HERE  # those with the bit set are decided already
     count = np.add.reduceat(np.where(held, 1, 2), begin)
     mark = np.repeat(count > 1, np.diff(np.append(begin, len(first)))) & held
-    yield from _window_spans(key[mark], where[mark])
+    yield from _deal_places(key[mark], where[mark], bucket_bits)
 
 
 def _given(docs: DataFrame) -> DataFrame:
@@ -313,9 +348,10 @@ def repeated_passages(given: DataFrame, n_batches: int = BATCHES) -> DataFrame:
     candidates = durable(index.candidates(), "passage-candidates")
     index.drop()
     bits = max(6, min(30, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
-    windows = given.join(candidates, "row_key").select("row_key", "text", "keys").mapInArrow(partial(send_windows, bucket_bits=bits), WINDOWS)
-    spans = windows.repartition("bucket").mapInArrow(repeated_windows, "row_key long, start long, end long")
-    return spans.groupBy("row_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # all columns of ``given`` stay, so that this join and the caller's use one shuffle of the texts
+    windows = given.join(candidates, "row_key").mapInArrow(partial(send_windows, bucket_bits=bits), WINDOWS)
+    marked = windows.repartition("bucket").mapInArrow(partial(repeated_windows, bucket_bits=bits), PLACED)
+    return marked.repartition("bucket").mapInArrow(spans_by_row, "row_key long, spans array<struct<start:long,end:long>>")
 
 
 def kept_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, list[bytes]]:
