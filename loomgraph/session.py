@@ -6,12 +6,16 @@ shares (``spark.checkpoint.dir``), so a lost executor never takes an intermediat
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder (local runs and tests).
 LOCAL_SHARED_DIR = "/tmp/checkpoints"
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -45,6 +49,23 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so that its functions unpickle there."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="loomgraph-"), "loomgraph.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("loomgraph", os.path.relpath(path, root)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def release(spark: SparkSession) -> None:
     """Delete everything this application has written with ``durable``."""
     root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR
