@@ -15,6 +15,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 4 << 20
 
 
+#: Rows of a batch that goes to a Python worker: documents may be long, and a batch is held whole.
+ARROW_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Session settings of jobs over whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

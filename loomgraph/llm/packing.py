@@ -38,7 +38,7 @@ END_ID = 1
 BUFFER_TOKENS = 192 * MAX_TOKENS
 LOW_TOKENS = 16 * MAX_TOKENS
 #: Encoded words that a Python worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 SPECIAL = "<|endoftext|>"
 
 PIECE_SCHEMA = (

@@ -6,9 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import html, lm_scoring, media, mixing, packing, passages, quality, simhash, substrings, toxicity
+from loomgraph.llm import common, html, lm_scoring, media, mixing, packing, passages, quality, simhash, substrings, toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+
+
+def prepared(plan: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        common.prepare(spark)
+        return plan(spark, sf_dir)
+
+    return run
+
+
+_PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_main_text": html.op1_html_main_text,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_toxicity": toxicity.op3_toxicity,
@@ -21,6 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_cross_entropy_difference": lm_scoring.op10_cross_entropy_difference,
 }
 
+QUERIES = {name: prepared(plan) for name, plan in _PLANS.items()}
+
 ORACLES: dict[str, str] = {
     "op4_quality_rules": quality.OP4_SQL,
 }

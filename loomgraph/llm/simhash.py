@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table, texts_of
+from loomgraph.llm.common import chunks, table, texts_of
 from loomgraph.operators.components import connected_components
 from loomgraph.session import durable
 
@@ -66,7 +66,8 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
 def simhash_column():
     @F.arrow_udf("long")
     def fingerprint(text: pa.Array) -> pa.Array:
-        return pa.array([simhash(t) for t in texts_of(text)], pa.int64())
+        rows = pa.RecordBatch.from_arrays([text.cast(pa.string())], names=["text"])
+        return pa.array([simhash(t) for part in chunks([rows], "text") for t in texts_of(part.column("text"))], pa.int64())
 
     return fingerprint
 
