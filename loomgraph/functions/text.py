@@ -364,3 +364,110 @@ def _(g: Graph) -> DataFrame:
 @query("s12_first_words", "SELECT doc_id, array_to_string(list_slice(regexp_split_to_array(trim(text), '[ \\t\\n\\x0B\\f\\r]+'), 1, 20), ' ') AS opening FROM documents WHERE text IS NOT NULL AND lang = 'en'")
 def _(g: Graph) -> DataFrame:
     return g.table("documents").filter("text IS NOT NULL AND lang = 'en'").select("doc_id", first_words(F.col("text"), 20).alias("opening"))
+
+
+def path_label(path: Column, labels: list[str], default: str = "other") -> Column:
+    """The first of the labels that is a folder of the path."""
+    folders = F.split(path, "/")
+    return F.coalesce(*(F.when(F.array_contains(folders, x), F.lit(x)) for x in labels), F.lit(default))
+
+
+def domain_scores(docs: DataFrame, key: str, text: str, vocabulary: DataFrame, max_terms: int = 10_000) -> DataFrame:
+    """Per document its best domain: 2 for each phrase and 1 for each word found (ties by the domain's order).
+
+    ``vocabulary`` has domain, position, term; it is bounded and checked. Words meet by equi-join, phrases by search.
+    """
+    if vocabulary.limit(max_terms + 1).count() > max_terms:
+        raise ValueError(f"at most {max_terms} terms")
+    words = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0))).alias("term"))
+    single = words.join(F.broadcast(vocabulary.filter(~F.col("term").contains(" "))), "term").withColumn("points", F.lit(1))
+    phrases = F.broadcast(vocabulary.filter(F.col("term").contains(" ")))
+    found = docs.select(key, F.lower(text).alias("__t")).join(phrases, F.col("__t").contains(F.col("term"))).withColumn("points", F.lit(2))
+    columns = [key, "domain", "position", "points"]
+    scored = single.select(*columns).union(found.select(*columns)).groupBy(key, "domain", "position").agg(F.sum("points").alias("score"))
+    r = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "position"))
+    return scored.withColumn("r", r).filter("r = 1").drop("r", "position")
+
+
+def sentences(text: Column) -> Column:
+    """(start, end) of sentences: runs that end at . ! ? before white space, or at the end of the text."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?s).+?(?:[.!?](?=\s)|$)"), 0)
+    lengths = F.transform(parts, lambda p: F.length(p))
+    return F.transform(lengths, lambda n, i: F.struct(F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x).alias("start"), n.alias("length")))
+
+
+def confident_similarity(similarity: Column, distance: Column, same_name: Column) -> Column:
+    """A rescored neighbour; distance zero counts only for equal names."""
+    return F.when((distance == 0) & ~same_name, 0.0).otherwise(similarity)
+
+
+@query("f05_predicate_normalise", "SELECT DISTINCT lower(trim(predicate)) AS predicate FROM claims")
+def _(g: Graph) -> DataFrame:
+    return g.claims.select(F.lower(F.trim("predicate")).alias("predicate")).distinct()
+
+
+@query("f10_iso_datetimes", "SELECT event_id, date_trunc('second', ts) AS at FROM events")
+def _(g: Graph) -> DataFrame:
+    shown = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    parsed = F.try_to_timestamp(shown, F.lit("yyyy-MM-dd'T'HH:mm:ssX")).cast("timestamp_ntz")
+    return g.table("events").select("event_id", parsed.alias("at"))
+
+
+@query("f09_free_form_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")
+def _(g: Graph) -> DataFrame:
+    k = F.col("o_orderkey") % 3
+    shown = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "dd.MM.yyyy")).otherwise(F.date_format("o_orderdate", "MMMM d, yyyy"))
+    tried = [F.try_to_timestamp(shown, F.lit(f)) for f in ("yyyy-MM-dd", "dd.MM.yyyy", "MMMM d, yyyy")]
+    return g.table("orders").select("o_orderkey", F.coalesce(*tried).cast("date").alias("day"))
+
+
+@query("f15_sigma_strength", "SELECT metric, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce((max(value) - (avg(value) + 3 * stddev_pop(value))) / nullif(avg(value) + 3 * stddev_pop(value), 0), 0))), 5) AS strength FROM samples GROUP BY 1")
+def _(g: Graph) -> DataFrame:
+    return g.samples.groupBy("metric").agg(F.round(sigma_strength(F.max("value"), F.avg("value"), F.stddev_pop("value")), 5).alias("strength"))
+
+
+@query("f22_chunk_tags", "SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') THEN '|pii|' ELSE '' END AS tags FROM documents WHERE text IS NOT NULL")
+def _(g: Graph) -> DataFrame:
+    tags = F.when(F.col("text").rlike(PII_PATTERNS[0]), "|pii|").otherwise("")
+    return g.table("documents").filter("text IS NOT NULL").select("doc_id", tags.alias("tags"))
+
+
+@query(
+    "f30_domain_scores",
+    """WITH v(domain, position, term) AS (VALUES ('d1', 1, 'the'), ('d1', 1, 'of the'), ('d2', 2, 'and'), ('d2', 2, 'tion')), w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents WHERE lang = 'en' AND text IS NOT NULL),
+    s AS (SELECT doc_id, domain, position, 1 AS p FROM w JOIN v USING (term) UNION ALL SELECT doc_id, domain, position, 2 FROM documents, v WHERE lang = 'en' AND text IS NOT NULL AND contains(term, ' ') AND contains(lower(text), term)),
+    t AS (SELECT doc_id, domain, sum(p)::BIGINT AS score, row_number() OVER (PARTITION BY doc_id ORDER BY sum(p) DESC, min(position)) AS r FROM s GROUP BY 1, 2) SELECT doc_id, domain, score FROM t WHERE r = 1""",
+)
+def _(g: Graph) -> DataFrame:
+    vocabulary = g.spark.createDataFrame([("d1", 1, "the"), ("d1", 1, "of the"), ("d2", 2, "and"), ("d2", 2, "tion")], "domain string, position int, term string")
+    return domain_scores(g.table("documents").filter("lang = 'en' AND text IS NOT NULL"), "doc_id", "text", vocabulary)
+
+
+@query("f31_path_label", "SELECT page_id, CASE WHEN contains(url, '/en/') THEN 'en' WHEN contains(url, '/fr/') THEN 'fr' ELSE 'other' END AS label FROM pages")
+def _(g: Graph) -> DataFrame:
+    return g.table("pages").select("page_id", path_label(F.col("url"), ["en", "fr"]).alias("label"))
+
+
+@query("f34_style_bands", "SELECT message_id, regexp_matches(lower(body), '^(hi|hello|dear|the)\\b') AS greets, CASE WHEN length(body) < 100 THEN 'short' WHEN length(body) < 400 THEN 'medium' ELSE 'long' END AS size_band, CASE WHEN turn < 2 THEN 'shallow' ELSE 'deep' END AS depth_band FROM messages")
+def _(g: Graph) -> DataFrame:
+    size_band = F.when(F.length("body") < 100, "short").when(F.length("body") < 400, "medium").otherwise("long")
+    greets = F.lower("body").rlike(r"^(hi|hello|dear|the)\b")
+    return g.messages.select("message_id", greets.alias("greets"), size_band.alias("size_band"), F.when(F.col("turn") < 2, "shallow").otherwise("deep").alias("depth_band"))
+
+
+@query("f37_canonical_json_hash", """SELECT n_nationkey, sha256('{"k":' || n_nationkey || ',"n":"' || n_name || '"}') AS h FROM nation""")
+def _(g: Graph) -> DataFrame:
+    canonical = F.to_json(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n")))  # keys in sorted order
+    return g.table("nation").select("n_nationkey", F.sha2(canonical, 256).alias("h"))
+
+
+@query("f42_round_trigger", "SELECT message_id, ((len(string_split(body, ' ')) >= 10)::INT + contains(lower(body), 'the')::INT + (length(body) % 7 = 0)::INT) >= 2 AS again FROM messages")
+def _(g: Graph) -> DataFrame:
+    signs = (F.size(F.split("body", " ")) >= 10).cast("int") + F.lower("body").contains("the").cast("int") + (F.length("body") % 7 == 0).cast("int")
+    return g.messages.select("message_id", (signs >= 2).alias("again"))
+
+
+@query("c02_sentence_offsets", "SELECT message_id, sum(length(body))::BIGINT AS chars FROM messages WHERE body <> '' AND NOT contains(body, chr(10)) GROUP BY 1")
+def _(g: Graph) -> DataFrame:
+    spans = g.messages.filter("body <> '' AND NOT contains(body, '\\n')").select("message_id", F.explode(sentences(F.col("body"))).alias("s"))
+    return spans.groupBy("message_id").agg(F.sum("s.length").alias("chars"))

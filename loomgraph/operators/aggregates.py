@@ -378,3 +378,80 @@ def _(g: Graph) -> DataFrame:
         F.round((F.count("*") - distinct) / F.count("*"), 6).alias("duplicate_rate"),
         F.round(F.avg("confidence"), 6).alias("mean_confidence"),
     )
+
+
+@query(
+    "a29_permission_report",
+    "SELECT tag, count(*) AS n_rules, count(DISTINCT cluster) AS n_clusters, count(*) FILTER (denied) AS n_denied FROM (SELECT unnest(CASE WHEN n_nationkey % 4 = 0 THEN ['pii', 'legal'] WHEN n_nationkey % 4 = 1 THEN ['pii'] ELSE [] END) AS tag, n_regionkey AS cluster, n_nationkey % 3 = 0 AS denied FROM nation) GROUP BY 1",
+)
+def _(g: Graph) -> DataFrame:
+    tags = F.when(F.col("n_nationkey") % 4 == 0, F.array(F.lit("pii"), F.lit("legal"))).when(F.col("n_nationkey") % 4 == 1, F.array(F.lit("pii")))
+    rules = g.table("nation").select(F.explode(tags).alias("tag"), F.col("n_regionkey").alias("cluster"), (F.col("n_nationkey") % 3 == 0).alias("denied"))
+    return rules.groupBy("tag").agg(F.count("*").alias("n_rules"), F.countDistinct("cluster").alias("n_clusters"), F.count_if("denied").alias("n_denied"))
+
+
+@query("a38_agreement_tier", "SELECT subject, CASE count(DISTINCT predicate) WHEN 3 THEN 'full' WHEN 2 THEN 'majority' ELSE 'single' END AS tier FROM claims GROUP BY 1")
+def _(g: Graph) -> DataFrame:
+    n = F.size(F.collect_set("predicate"))
+    return g.claims.groupBy("subject").agg(F.when(n == 3, "full").when(n == 2, "majority").otherwise("single").alias("tier"))
+
+
+@query("a40_coverage_matrix", "SELECT v.entity_id, CASE WHEN count(c.claim_id) = 0 THEN 'uncovered' WHEN bool_and(c.status = 'accepted') THEN 'covered' ELSE 'partial' END AS coverage FROM vertices v LEFT JOIN claims c ON c.subject = v.entity_id WHERE v.entity_type = 'part' GROUP BY 1")
+def _(g: Graph) -> DataFrame:
+    parts = g.vertices.filter("entity_type = 'part'").select("entity_id")
+    joined = parts.join(g.claims.select(F.col("subject").alias("entity_id"), "claim_id", "status"), "entity_id", "left")
+    coverage = F.when(F.count("claim_id") == 0, "uncovered").when(F.bool_and(F.col("status") == "accepted"), "covered").otherwise("partial")
+    return joined.groupBy("entity_id").agg(coverage.alias("coverage"))
+
+
+@query("a42_relationship_merge", "SELECT document, rel_type, count(*) AS n, count(DISTINCT source) AS sources, max(confidence) AS confidence FROM edges GROUP BY 1, 2")
+def _(g: Graph) -> DataFrame:
+    return g.edges.groupBy("document", "rel_type").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.max("confidence").alias("confidence"))
+
+
+@query("a43_retention", "SELECT document_id, round(avg(CASE WHEN verdict = 'SUPPORTED' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS retention FROM claims GROUP BY 1")
+def _(g: Graph) -> DataFrame:
+    return g.claims.groupBy("document_id").agg(F.round(F.avg((F.col("verdict") == "SUPPORTED").cast("double")), 6).alias("retention"))
+
+
+@query("a45_strategy_contributions", "SELECT strategy, count(*) AS n FROM (SELECT unnest(CASE WHEN confidence > 0.5 AND amount > 25 THEN ['graph', 'vector'] WHEN confidence > 0.5 THEN ['graph'] ELSE ['lexical'] END) AS strategy FROM claims) GROUP BY 1")
+def _(g: Graph) -> DataFrame:
+    graph = F.col("confidence") > 0.5
+    used = F.when(graph & (F.col("amount") > 25), F.array(F.lit("graph"), F.lit("vector"))).when(graph, F.array(F.lit("graph"))).otherwise(F.array(F.lit("lexical")))
+    return g.claims.select(F.explode(used).alias("strategy")).groupBy("strategy").agg(F.count("*").alias("n"))
+
+
+@query("a47_multi_hop_proxy", "SELECT module, round(avg(CASE WHEN ordinal >= 2 THEN 1.0::DOUBLE ELSE 0 END + 0.5 * CASE WHEN amount >= 2 THEN 1.0::DOUBLE ELSE 0 END), 6) AS score FROM claims GROUP BY 1")
+def _(g: Graph) -> DataFrame:
+    score = (F.col("ordinal") >= 2).cast("double") + 0.5 * (F.col("amount") >= 2).cast("double")
+    return g.claims.groupBy("module").agg(F.round(F.avg(score), 6).alias("score"))
+
+
+@query("a51_signal_combinations", "SELECT array_to_string(list_sort(list(DISTINCT predicate)), '+') AS combination, count(*) AS n_rows FROM claims GROUP BY document_id".replace("SELECT array", "SELECT combination, count(*) AS n FROM (SELECT array").replace("GROUP BY document_id", "GROUP BY document_id) GROUP BY 1"))
+def _(g: Graph) -> DataFrame:
+    per = g.claims.groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_set("predicate")), "+").alias("combination"))
+    return per.groupBy("combination").agg(F.count("*").alias("n"))
+
+
+@query("a53_queue_depth", "SELECT CASE WHEN confidence >= 0.8 THEN 1 WHEN confidence >= 0.5 THEN 2 ELSE 3 END AS tier, count(*) AS depth FROM claims WHERE status = 'quarantined' GROUP BY 1")
+def _(g: Graph) -> DataFrame:
+    tier = F.when(F.col("confidence") >= 0.8, 1).when(F.col("confidence") >= 0.5, 2).otherwise(3)
+    return g.claims.filter("status = 'quarantined'").groupBy(tier.alias("tier")).agg(F.count("*").alias("depth"))
+
+
+@query("a54_distribution_check", "SELECT lang, round(count(*) / sum(count(*)) OVER (), 6) AS share, abs(count(*) / sum(count(*)) OVER () - 0.25) <= 0.05 AS balanced FROM documents GROUP BY 1")
+def _(g: Graph) -> DataFrame:
+    counted = g.table("documents").groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return counted.withColumn("s", share).select("lang", F.round("s", 6).alias("share"), (F.abs(F.col("s") - 0.25) <= 0.05).alias("balanced"))
+
+
+@query("a61_coverage_rate", "SELECT module, round(avg(CASE WHEN predicate IN ('made_by') OR subject_type IN ('supplier') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS coverage FROM claims GROUP BY 1")
+def _(g: Graph) -> DataFrame:
+    covered = F.arrays_overlap(F.array("subject_type"), F.array(F.lit("supplier"))) | F.arrays_overlap(F.array("predicate"), F.array(F.lit("made_by")))
+    return g.claims.groupBy("module").agg(F.round(F.avg(covered.cast("double")), 6).alias("coverage"))
+
+
+@query("a63_cluster_summary", "SELECT label, count(*) AS size, min(vec_id) AS first_id, max(vec_id) AS last_id FROM embeddings GROUP BY 1")
+def _(g: Graph) -> DataFrame:
+    return g.table("embeddings").groupBy("label").agg(F.count("*").alias("size"), F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"))

@@ -158,3 +158,29 @@ def _(g: Graph) -> DataFrame:
 @query("o11_type_mapping", f"WITH {_S} SELECT DISTINCT type, CASE type WHEN 'integer' THEN 'int' ELSE 'string' END AS spark_type FROM s")
 def _(g: Graph) -> DataFrame:
     return _schema(g).select("type", compile_type(F.col("type")).alias("spark_type")).distinct()
+
+
+def map_source_schema(source: DataFrame, mapping: DataFrame, prefix: str) -> DataFrame:
+    """Source properties (class, property, type) as a child schema: mapped names, string where no type is known."""
+    m = mapping.select(F.col("from").alias("property"), F.col("to").alias("__to"))
+    joined = source.join(m, "property", "left")
+    return joined.select(F.concat(F.lit(prefix + "_"), "class").alias("class"), F.coalesce("__to", "property").alias("property"), F.coalesce("type", F.lit("string")).alias("type"))
+
+
+@query("o06_impact_preview", "SELECT subject, bool_or(predicate <> 'made_by') AS still_covered FROM claims GROUP BY 1")
+def _(g: Graph) -> DataFrame:
+    left = g.claims.filter("predicate <> 'made_by'").select("subject", F.lit(True).alias("kept")).distinct()
+    return g.claims.select("subject").distinct().join(left, "subject", "left").select("subject", F.coalesce("kept", F.lit(False)).alias("still_covered"))
+
+
+@query("o10_incremental_ddl", "SELECT 'ALTER TABLE vertices ADD COLUMN ' || lower(replace(p, ' ', '_')) || ' string' AS ddl FROM (SELECT DISTINCT p_type AS p FROM part WHERE p_size >= 10 EXCEPT SELECT p_type FROM part WHERE p_size < 10)")
+def _(g: Graph) -> DataFrame:
+    of = lambda cond: g.table("part").filter(cond).select("p_type").distinct().withColumn("v", F.lit(1))
+    added = diff(of("p_size < 10"), of("p_size >= 10"), ["p_type"], ["v"]).filter("change = 'added'")
+    return added.select(F.concat(F.lit("ALTER TABLE vertices ADD COLUMN "), F.lower(F.regexp_replace("p_type", " ", "_")), F.lit(" string")).alias("ddl"))
+
+
+@query("o12_source_mapping", f"WITH {_S} SELECT 'src_' || class AS class, CASE WHEN property = 'SMALL PLATED COPPER' THEN 'material' ELSE property END AS property, type FROM s")
+def _(g: Graph) -> DataFrame:
+    mapping = g.spark.createDataFrame([("SMALL PLATED COPPER", "material")], "from string, to string")
+    return map_source_schema(_schema(g), mapping, "src")

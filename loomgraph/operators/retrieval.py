@@ -243,3 +243,16 @@ def _(g: Graph) -> DataFrame:
 def _(g: Graph) -> DataFrame:
     rows = F.sort_array(F.collect_list(F.struct("turn", F.concat_ws(": ", "sender", "subject").alias("line"))))
     return g.messages.groupBy("thread").agg(F.substring(F.array_join(F.transform(rows, lambda r: r["line"]), "\n"), 1, 200).alias("prompt"))
+
+
+@query("r08_second_round", f"WITH l AS ({_LISTS}), f AS (SELECT item, sum(1.0::DOUBLE / (60 + rank)) AS score FROM l WHERE rank <= 50 GROUP BY 1), t AS (SELECT item FROM f ORDER BY round(score, 12) DESC, item LIMIT 10) SELECT DISTINCT c.claim_id AS item FROM claims c JOIN claims s ON c.subject = s.subject JOIN t ON s.claim_id = t.item")
+def _(g: Graph) -> DataFrame:
+    top = reciprocal_rank_fusion(_lists(g)).filter("position <= 10").select(F.col("item").alias("claim_id"))
+    subjects = g.claims.join(top, "claim_id", "left_semi").select("subject").distinct()
+    return g.claims.join(subjects, "subject", "left_semi").select(F.col("claim_id").alias("item")).distinct()
+
+
+@query("r15_permission_post_filter", f"SELECT DISTINCT x.item FROM ({_LISTS}) x JOIN claims c ON c.claim_id = x.item WHERE rank <= 50 AND c.module IN ('m1', 'm2')")
+def _(g: Graph) -> DataFrame:
+    allowed = g.claims.filter(F.col("module").isin("m1", "m2")).select(F.col("claim_id").alias("item"))
+    return _lists(g).select("item").distinct().join(allowed, "item", "left_semi")

@@ -166,3 +166,39 @@ def _(g: Graph) -> DataFrame:
 @query("n22_progress_indicator", "SELECT round(count(*) FILTER (status = 'accepted') / count(*), 6) AS progress FROM claims")
 def _(g: Graph) -> DataFrame:
     return g.claims.agg(F.round(F.count_if(F.col("status") == "accepted") / F.count("*"), 6).alias("progress"))
+
+
+@query("n06_domain_range_violations", "SELECT module, count(*) FILTER (predicate = 'made_by' AND amount > 40) AS violations, round(count(*) FILTER (predicate = 'made_by' AND amount > 40) / count(*), 6) AS rate FROM claims GROUP BY 1")
+def _(g: Graph) -> DataFrame:
+    wrong = F.count_if((F.col("predicate") == "made_by") & (F.col("amount") > 40))
+    return g.claims.groupBy("module").agg(wrong.alias("violations"), F.round(wrong / F.count("*"), 6).alias("rate"))
+
+
+@query("n07_failure_rate_trend")
+def _(g: Graph) -> DataFrame:
+    daily = g.samples.groupBy("metric", "day").agg((F.count_if(F.col("value") > 50) / F.count("*")).alias("rate"))
+    return mann_kendall(daily, ["metric"], "day", "rate").select("metric", "n", "trend")
+
+
+@query("n12_autonomy_tick", "SELECT claim_id FROM claims WHERE status = 'quarantined' AND confidence >= 0.9 AND created_on < DATE '1995-06-01' - 30 AND verdict <> 'REFUTED'")
+def _(g: Graph) -> DataFrame:
+    cooled = F.col("created_on") < F.date_sub(F.lit("1995-06-01").cast("date"), 30)
+    return g.claims.filter((F.col("status") == "quarantined") & (F.col("confidence") >= 0.9) & cooled & (F.col("verdict") != "REFUTED")).select("claim_id")
+
+
+@query(
+    "n15_divergence_map",
+    "SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'only_b' WHEN b.k IS NULL THEN 'only_a' WHEN a.n <> b.n THEN 'contradictory' ELSE 'consensus' END AS bucket FROM (SELECT subject AS k, count(*) AS n FROM claims WHERE status = 'accepted' GROUP BY 1) a FULL JOIN (SELECT subject AS k, count(*) AS n FROM claims WHERE status = 'quarantined' GROUP BY 1) b ON a.k = b.k",
+)
+def _(g: Graph) -> DataFrame:
+    from loomgraph.operators.ontology import diff
+
+    side = lambda s: g.claims.filter(F.col("status") == s).groupBy(F.col("subject").alias("k")).agg(F.count("*").alias("n"))
+    bucket = F.element_at(F.create_map(*map(F.lit, ("added", "only_b", "removed", "only_a", "modified", "contradictory", "unchanged", "consensus"))), F.col("change"))
+    return diff(side("accepted"), side("quarantined"), ["k"], ["n"]).select("k", bucket.alias("bucket"))
+
+
+@query("n18_covering_directives", "SELECT d.document, e.rel_type FROM (SELECT document, list(DISTINCT rel_type) AS rels FROM edges GROUP BY 1) d JOIN (SELECT DISTINCT rel_type FROM edges) e ON list_contains(d.rels, e.rel_type)")
+def _(g: Graph) -> DataFrame:
+    covered = g.edges.groupBy("document").agg(F.collect_set("rel_type").alias("rels"))
+    return covered.select("document", F.explode("rels").alias("rel_type"))

@@ -125,3 +125,21 @@ def _(g: Graph) -> DataFrame:
 )
 def _(g: Graph) -> DataFrame:
     return sessions(_events(g.table("events")), "ts", "6 hours", "user_id").groupBy("user_id").agg(F.count("*").alias("sessions"))
+
+
+@query("st05_semantic_triage")
+def _(g: Graph) -> DataFrame:
+    from loomgraph.operators.resolution import nearest_centroid
+
+    e = g.table("embeddings")
+    ontology = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("term"), F.col("embedding").alias("vector"))
+    scored = nearest_centroid(e, "vec_id", "embedding", ontology, "term")
+    return scored.select("vec_id", F.when(F.col("similarity") < 0.3, "filtered_semantic").otherwise("passed").alias("outcome"))
+
+
+@query("st06_cost_budget", "SELECT message_id FROM (SELECT message_id, sum(length(body)) OVER (PARTITION BY thread ORDER BY turn, message_id ROWS UNBOUNDED PRECEDING) AS spent FROM messages) WHERE spent <= 1000")
+def _(g: Graph) -> DataFrame:
+    from pyspark.sql import Window
+
+    spent = F.sum(F.length("body")).over(Window.partitionBy("thread").orderBy("turn", "message_id").rowsBetween(Window.unboundedPreceding, 0))
+    return g.messages.withColumn("spent", spent).filter("spent <= 1000").select("message_id")
