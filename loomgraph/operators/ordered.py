@@ -9,6 +9,7 @@ from loomgraph.operators.graph_reads import live
 from loomgraph.operators.joins import latest_per
 from loomgraph.plans.model import Graph
 from loomgraph.plans.registry import query
+from loomgraph.session import durable
 
 
 def keep_newest(df: DataFrame, keys: list[str], n: int, *order) -> DataFrame:
@@ -76,9 +77,22 @@ def page_after(df: DataFrame, key: str, after, size: int) -> DataFrame:
     return (df.filter(F.col(key) > F.lit(after)) if after is not None else df).orderBy(key).limit(size)
 
 
+def global_row_number(df: DataFrame, *order) -> DataFrame:
+    """``row_number`` over all rows without one task seeing them all: ranges are numbered and shifted by the
+    sizes of the ranges before them (one small row per range)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = durable(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__size"))
+    before = F.sum("__size").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = F.broadcast(sizes.select("__range", F.coalesce(before, F.lit(0)).alias("__shift")))  # a row per shuffle partition
+    local = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranged.withColumn("__local", local).join(shifts, "__range").withColumn("row_number", F.col("__local") + F.col("__shift")).drop("__range", "__local", "__shift")
+
+
 def balanced_groups(df: DataFrame, size: str, key: str, n_groups: int) -> DataFrame:
     """Round-robin over the rows from largest to smallest."""
-    return df.withColumn("group", (F.row_number().over(Window.orderBy(F.desc(size), key)) - 1) % n_groups)
+    numbered = global_row_number(df, F.desc(size), F.col(key))
+    return numbered.withColumn("group", ((F.col("row_number") - 1) % n_groups).cast("int")).drop("row_number")
 
 
 @query("w01_keep_newest", "SELECT subject, claim_id FROM (SELECT subject, claim_id, row_number() OVER (PARTITION BY subject ORDER BY created_on DESC, claim_id) AS r FROM claims) WHERE r <= 3")
