@@ -32,6 +32,8 @@ TOTAL_SHARE = 1.5
 MAX_EPOCHS = 2.0
 #: Rows of a source for each bucket of its keys, on average.
 BUCKET_ROWS = 20_000
+#: Sources up to this number are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_SOURCES = 10_000
 SEED = 20
 
 
@@ -124,7 +126,9 @@ def source_thresholds(keyed: DataFrame) -> DataFrame:
 
 
 def _with_taken(keyed: DataFrame, thresholds: DataFrame) -> DataFrame:
-    per_source = thresholds.withColumnRenamed("source", "__source")
+    per_source = durable(thresholds.withColumnRenamed("source", "__source"), "mix-thresholds")
+    if per_source.count() <= BROADCAST_SOURCES:
+        per_source = F.broadcast(per_source)
     joined = keyed.join(per_source, keyed["source"].eqNullSafe(per_source["__source"]), "left").drop("__source")
     partial = (
         F.when(F.col("__key") < F.col("cut_key"), F.col("__size"))
