@@ -37,6 +37,8 @@ DISTANCE = 2
 #: Numbers of parts that are tried, and the size from which a bucket takes the linear way.
 PART_COUNTS = (2, 3, 4)
 HEAVY_BUCKET = 64
+#: Stands for a null id in joins.
+NO_ID = -(1 << 63)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose bits are counted at once.
 HASHES_AT_ONCE = 1 << 15
@@ -216,11 +218,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     first = groups.groupBy("root").agg(F.min(order).alias("first")).select(
         F.col("first.doc_id").alias("__keep_id"), F.col("first.fp").alias("__keep_fp")
     )
-    printed = with_fingerprints(docs, "__fp")
-    kept = printed.join(
-        first, F.col("doc_id").eqNullSafe(F.col("__keep_id")) & (F.col("__fp") == F.col("__keep_fp")), "left_semi"
-    )
-    return kept.dropDuplicates(["doc_id", "__fp"]).select(*columns)
+    # a key without nulls, so that the join and the removal of repeated rows use one shuffle of the texts
+    no_id = F.lit(NO_ID)
+    printed = with_fingerprints(docs, "__fp").withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), no_id))
+    wanted = first.select(F.coalesce(F.col("__keep_id").cast("long"), no_id).alias("__id"), F.col("__keep_fp").alias("__fp"))
+    return printed.join(wanted, ["__id", "__fp"], "left_semi").dropDuplicates(["__id", "__fp"]).select(*columns)
 
 
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
