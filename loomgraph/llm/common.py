@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bucket_bits(spark: SparkSession) -> int:
+    """Bits of the buckets that packed rows are dealt into: some for each shuffle partition, few enough that a
+    block's row still holds several entries."""
+    return max(6, min(16, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds at most ``limit`` bytes in each (one row at least)."""
     for batch in batches:

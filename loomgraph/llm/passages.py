@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import chunks, table, text_buffer
+from loomgraph.llm.common import bucket_bits, chunks, table, text_buffer
 from loomgraph.llm.substrings import BLOCK_BYTES, merged_spans, sliding
 from loomgraph.session import durable, shared_path
 
@@ -347,7 +347,7 @@ def repeated_passages(given: DataFrame, n_batches: int = BATCHES) -> DataFrame:
         index.add(rows.filter(F.pmod(F.col("row_key"), F.lit(n_batches)) == batch))
     candidates = durable(index.candidates(), "passage-candidates")
     index.drop()
-    bits = max(6, min(30, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    bits = bucket_bits(spark)
     # all columns of ``given`` stay, so that this join and the caller's use one shuffle of the texts
     windows = given.join(candidates, "row_key").mapInArrow(partial(send_windows, bucket_bits=bits), WINDOWS)
     marked = windows.repartition("bucket").mapInArrow(partial(repeated_windows, bucket_bits=bits), PLACED)

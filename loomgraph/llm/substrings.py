@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import chunks, table, text_buffer, texts_of
+from loomgraph.llm.common import bucket_bits, chunks, table, text_buffer, texts_of
 from loomgraph.session import durable
 
 WINDOW = 50
@@ -482,8 +482,7 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id and ``spans`` (array of tag, start, end in bytes) of what smaller documents hold; see ``_given`` for docs."""
     spark = docs.sparkSession
-    n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(6, min(30, n_buckets.bit_length()))
+    bits = bucket_bits(spark)
     packed = docs.select("doc_id", "text").mapInArrow(partial(send_anchors, bucket_bits=bits), PACKED)
     found = packed.repartition("bucket").mapInArrow(partial(shared_anchors, min_hot=MIN_HOT, bucket_bits=bits), FOUND)
     shared = durable(found.repartition("bucket").mapInArrow(by_document, "doc_id long, keys array<long>, count long"), "anchors")
