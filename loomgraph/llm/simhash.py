@@ -200,8 +200,10 @@ def fingerprint_links(prints: DataFrame, parts: list[tuple[list[int], int]]) ->
 
 
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, ``fp`` and ``component_id``; and ``root``, the component's least fingerprint."""
-    printed = durable(with_fingerprints(docs.select("doc_id", "text"), "fp").drop("text"), "simhash")
+    """Per row of ``docs``: doc_id, ``text_hash``, ``fp`` and ``component_id``; and ``root``, the component's least
+    fingerprint."""
+    given = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    printed = durable(with_fingerprints(given, "fp").drop("text"), "simhash")
     prints = durable(printed.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
     links = fingerprint_links(prints, choose_parts(prints))
     roots = connected_components(links).withColumnsRenamed({"node": "fp", "component": "root"})
@@ -211,18 +213,19 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each group: that with the least doc_id (and fingerprint, if ids repeat)."""
+    """One row of each group: that with the least doc_id (and hash of the text, if ids repeat)."""
     columns = docs.columns
     groups = near_duplicate_groups(docs)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     first = groups.groupBy("root").agg(F.min(order).alias("first")).select(
-        F.col("first.doc_id").alias("__keep_id"), F.col("first.fp").alias("__keep_fp")
+        F.col("first.doc_id").alias("__keep_id"), F.col("first.text_hash").alias("__hash")
     )
-    # a key without nulls, so that the join and the removal of repeated rows use one shuffle of the texts
+    # a key without nulls, so that the join and the removal of repeated rows use one shuffle of the texts;
+    # the hash of the text tells rows with one id apart without a second round of fingerprints
     no_id = F.lit(NO_ID)
-    printed = with_fingerprints(docs, "__fp").withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), no_id))
-    wanted = first.select(F.coalesce(F.col("__keep_id").cast("long"), no_id).alias("__id"), F.col("__keep_fp").alias("__fp"))
-    return printed.join(wanted, ["__id", "__fp"], "left_semi").dropDuplicates(["__id", "__fp"]).select(*columns)
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), no_id), "__hash": F.xxhash64("text")})
+    wanted = first.select(F.coalesce(F.col("__keep_id").cast("long"), no_id).alias("__id"), "__hash")
+    return keyed.join(wanted, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*columns)
 
 
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
