@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from loomgraph.operators import retrieval
 from loomgraph.plans import registry
 
 
@@ -18,3 +21,14 @@ def test_template_overlap_takes_every_template(spark, tmp_path):
         want |= {(f"{k}-0", i, -o) for o, i in sorted(hits)[:5]}
     rows = registry.QUERIES["e20_template_overlap"](spark, str(tmp_path)).collect()
     assert len(rows) == len(want) and {(r.message_id, r.item_id, r.overlap) for r in rows} == want
+
+
+def test_semantic_top_k_takes_more_queries_than_a_block(spark):
+    x = np.random.default_rng(5).standard_normal((130, 4))
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = vectors.selectExpr("vec_id AS query_id", "embedding AS vector")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 6)
+    want = {(q, int(v)) for q in range(130) for v in np.lexsort((np.arange(130), -sims[q]))[:3] if sims[q, v] > 0}
+    rows = retrieval.semantic_top_k(queries, vectors, "vec_id", 3, max_queries=40).collect()
+    assert len(rows) == len(want) and {(r.query_id, r.vec_id) for r in rows} == want
