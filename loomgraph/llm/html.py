@@ -5,11 +5,15 @@ its ancestors, names of classes and ids, links, length, punctuation) into the co
 content or boilerplate; these are the capacities to the two terminals of a flow network. Blocks
 that follow each other, and blocks near each other in the tree, are tied by smoothness edges whose
 capacity falls with their distance in the tree. The minimum cut, found by maximum flow, is the
-cheapest labelling of the whole page.
+cheapest labelling of the whole page: blocks whose own signs say little go with what lies around them.
+
+A part of the page that a tag or a name marks as boilerplate (comments, adverts, notices, forms ...) stays so
+inside an article; only an article inside a part named for the layout (a sidebar wrapper) is content again.
 
 Defined results: null or empty html and pages without content blocks give empty text; malformed
 pages are repaired as browsers do (unclosed paragraphs and list items end where the next begins, a
-cut-off tag is dropped); rows are independent, so repeated rows repeat.
+cut-off tag is dropped, unknown declarations are comments); markup that the parser gives up on is left out and
+the rest of the page read; rows are independent, so repeated rows repeat.
 """
 
 from __future__ import annotations
@@ -35,14 +39,25 @@ BLOCK = frozenset(
 )
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu fieldset search dialog".split())
 CONTENT_TAGS = frozenset("article main".split())
+CONTENT_ROLES = frozenset("main article".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-BOILERPLATE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb "
-    "breadcrumbs sidebar side aside footer foot header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter "
-    "subscribe subscription signup login comment comments disqus reply replies respond discussion related recommended recommendations share sharing "
-    "social widget toolbar pagination pager tags copyright legal disclaimer skip search form".split()
+#: Parts that hold no article, whatever they hold.
+CLUTTER_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion breadcrumb breadcrumbs cookie cookies consent gdpr "
+    "notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus reply replies respond "
+    "recommended recommendations sharing toolbar pagination pager skip search form".split()
 )
+#: Names that a wrapper of the whole layout may bear too.
+LAYOUT_NAMES = frozenset("banner nav navbar navigation menu sidebar side aside footer foot header masthead topbar".split())
+#: Names that say little.
+WEAK_NAMES = frozenset("discussion related share social widget tags copyright legal disclaimer".split())
 CONTENT_NAMES = frozenset("article content post entry story main body text articlebody maincontent".split())
+#: Words that may follow the telling word of a name, and words that make it say how a page is laid out.
+GENERIC_NAMES = frozenset(
+    "list box area section wrapper wrap container item items body text thread block panel bar inner main content row col column unit slot "
+    "top bottom left right link links label title heading count meta info card group holder zone module author".split()
+)
+STATE_NAMES = frozenset("no has with without is".split())
 CLOSED_BY = {
     "li": frozenset({"li"}),
     "dt": frozenset({"dt", "dd"}),
@@ -53,44 +68,99 @@ CLOSED_BY = {
 }
 SPACE = re.compile(r"\s+")
 NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+DECLARATION = re.compile(r"<[!?][^>]*>?")
 SENTENCE = re.compile(r"[.!?…](?:\s|$)")
 
 #: Weights of the classifier's signs, in log odds of being content.
 WEIGHTS = {
     "bias": -0.4,
-    "boilerplate_ancestor": -9.0,
-    "boilerplate_name": -7.0,
+    "boilerplate_tag": -9.0,
+    "clutter_name": -8.0,
+    "layout_name": -6.0,
+    "weak_name": -2.0,
     "content_ancestor": 4.0,
-    "content_name": 1.5,
-    "paragraph": 1.2,
-    "heading": 0.4,
+    "content_name": 1.2,
+    "paragraph": 1.0,
+    "heading": 0.3,
     "list_item": -0.3,
     "link_share": -3.0,
     "log_words": 0.55,
     "sentences": 0.8,
 }
 #: Smoothness of neighbours: capacity at tree distance d is SMOOTH / d, between blocks of one region.
-SMOOTH = 0.6
+SMOOTH = 2.5
 #: Blocks this far apart on the page may still be tied if they share a parent.
 PROXIMITY = 3
+#: Steps up the tree that a distance counts; farther blocks are this far.
+MAX_DISTANCE = 64
+
+
+def name_kind(name: str) -> str | None:
+    """What a class or an id says of its part of the page: the last word that is not a generic one tells."""
+    words = [w.lower() for w in NAME_PARTS.findall(name)]
+    if not words or words[0] in STATE_NAMES:
+        return None
+    for word in reversed(words):
+        for kind, known in (("clutter", CLUTTER_NAMES), ("layout", LAYOUT_NAMES), ("weak", WEAK_NAMES)):
+            if word in known:
+                return kind
+        if word not in GENERIC_NAMES:
+            break
+    return "content" if CONTENT_NAMES.intersection(words) else None
+
+
+class Node:
+    """An open element, with what it and those above it say of the blocks inside."""
+
+    __slots__ = ("parent", "depth", "tag", "block", "marked", "clutter", "layout", "weak", "named", "content")
+
+    def __init__(self, parent: Node | None, tag: str, names: list[str], roles: list[str]):
+        self.parent, self.tag = parent, tag
+        self.depth = parent.depth + 1 if parent else 1
+        self.marked = self.clutter = self.layout = self.weak = self.named = self.content = False
+        if parent:
+            for sign in ("marked", "clutter", "layout", "weak", "named", "content"):
+                setattr(self, sign, getattr(parent, sign))
+        #: the nearest element at or above this that makes blocks
+        self.block: Node | None = self if tag in BLOCK else parent.block if parent else None
+        kinds = {name_kind(n) for n in names} if tag not in ("html", "body") else set()
+        # a header inside an article holds its title; elsewhere it is the site's
+        titles = self.content and not self.marked
+        if tag in BOILERPLATE_TAGS or (tag == "header" and not titles) or BOILERPLATE_ROLES.intersection(roles):
+            self.marked, self.content = True, False
+        elif "clutter" in kinds:
+            self.clutter, self.content = True, False
+        elif "layout" in kinds and not (titles and all("header" in n.lower() for n in names if name_kind(n) == "layout")):
+            self.layout, self.content = True, False
+        elif (tag in CONTENT_TAGS or CONTENT_ROLES.intersection(roles)) and not self.marked and not self.clutter:
+            self.content, self.layout = True, False
+        elif "content" in kinds:
+            self.named = True
+        elif "weak" in kinds:
+            self.weak = True
 
 
 class Block:
-    __slots__ = ("path", "tags", "parts", "linked", "length", "text")
+    __slots__ = ("node", "parts", "linked", "length", "text")
 
-    def __init__(self, path: tuple[int, ...], tags: tuple):
-        self.path, self.tags, self.parts, self.linked, self.length, self.text = path, tags, [], 0, 0, ""
+    def __init__(self, node: Node | None):
+        self.node, self.parts, self.linked, self.length, self.text = node, [], 0, 0, ""
 
 
 class PageBlocks(HTMLParser):
-    """Collects the text blocks of a page with the path of elements above each."""
+    """Collects the text blocks of a page with the element each lies in."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, tuple[str, ...]]] = []
+        self.stack: list[Node] = []
         self.blocks: list[Block] = []
         self.current: Block | None = None
-        self.count = self.skipping = self.links = 0
+        self.skipping = self.links = 0
+
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata.startswith("<![", i):  # a comment to browsers; the base class fails on unknown keywords
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
@@ -100,14 +170,9 @@ class PageBlocks(HTMLParser):
             if tag == "br" and self.current is not None:
                 self.current.parts.append(" ")
             return
-        names: list[str] = []
-        for key, value in attrs:
-            if key in ("class", "id") and value:
-                names += (x.lower() for x in NAME_PARTS.findall(value))
-            elif key == "role" and value:
-                names += ("role:" + x for x in value.lower().split())
-        self.count += 1
-        self.stack.append((tag, self.count, tuple(names)))
+        names = [x for key, value in attrs if key in ("class", "id") and value for x in value.split()]
+        roles = [x for key, value in attrs if key == "role" and value for x in value.lower().split()]
+        self.stack.append(Node(self.stack[-1] if self.stack else None, tag, names, roles))
         self.skipping += tag in SKIPPED
         self.links += tag == "a"
 
@@ -118,7 +183,7 @@ class PageBlocks(HTMLParser):
         if tag in BLOCK:
             self.current = None
         for depth in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[depth][0]
+            name = self.stack[depth].tag
             if name == tag:
                 self._pop_to(depth)
                 return
@@ -131,9 +196,7 @@ class PageBlocks(HTMLParser):
         if self.current is None:
             if not data or data.isspace():
                 return
-            depth = max((k for k, x in enumerate(self.stack) if x[0] in BLOCK), default=-1) + 1
-            above = self.stack[:depth]
-            self.current = Block(tuple(x[1] for x in above), tuple((x[0], x[2]) for x in above))
+            self.current = Block(self.stack[-1].block if self.stack else None)
             self.blocks.append(self.current)
         self.current.parts.append(data)
         self.current.length += len(data)
@@ -142,7 +205,7 @@ class PageBlocks(HTMLParser):
 
     def _close_implied(self, tag: str) -> None:
         for depth in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[depth][0]
+            name = self.stack[depth].tag
             if name == "p" or name in CLOSED_BY.get(tag, ()):
                 self._pop_to(depth)
                 return
@@ -150,19 +213,24 @@ class PageBlocks(HTMLParser):
                 return
 
     def _pop_to(self, depth: int) -> None:
-        for name, _, _ in self.stack[depth:]:
-            self.skipping -= name in SKIPPED
-            self.links -= name == "a"
+        for node in self.stack[depth:]:
+            self.skipping -= node.tag in SKIPPED
+            self.links -= node.tag == "a"
         del self.stack[depth:]
 
 
 def page_blocks(html: str) -> list[Block]:
-    parser = PageBlocks()
     cut = html.rfind("<")
     if cut > html.rfind(">") and html[cut + 1 : cut + 2] in set("/!?abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"):
         html = html[:cut]  # the page ends inside a tag
-    parser.feed(html)
-    parser.close()
+    for attempt in (html, DECLARATION.sub("", html)):
+        parser = PageBlocks()
+        try:
+            parser.feed(attempt)
+            parser.close()
+            break
+        except (AssertionError, ValueError, IndexError):  # what the parser raises on markup it cannot read
+            continue
     for block in parser.blocks:
         block.text = SPACE.sub(" ", "".join(block.parts)).strip()
     return [b for b in parser.blocks if b.text]
@@ -170,21 +238,11 @@ def page_blocks(html: str) -> list[Block]:
 
 def content_log_odds(block: Block) -> float:
     """The classifier: signs of a block, weighed."""
-    w = WEIGHTS
-    inside_content = False
-    score = w["bias"]
-    marked = named = bad = 0
-    for tag, names in block.tags:
-        inside_content = inside_content or tag in CONTENT_TAGS
-        # a header inside an article holds its title; elsewhere it is the site's
-        marked += tag in BOILERPLATE_TAGS or (tag == "header" and not inside_content)
-        marked += any(x[5:] in BOILERPLATE_ROLES for x in names if x.startswith("role:"))
-        if tag not in ("html", "body", "article", "main"):
-            bad += any(x in BOILERPLATE_NAMES for x in names) and not (inside_content and "header" in names)
-        named += any(x in CONTENT_NAMES for x in names)
-    score += w["boilerplate_ancestor"] * min(marked, 2) + w["boilerplate_name"] * min(bad, 2)
-    score += w["content_ancestor"] * inside_content + w["content_name"] * min(named, 1)
-    tag = block.tags[-1][0] if block.tags else ""
+    w, node, score = WEIGHTS, block.node, WEIGHTS["bias"]
+    tag = node.tag if node else ""
+    if node:
+        score += w["boilerplate_tag"] * node.marked + w["clutter_name"] * node.clutter + w["layout_name"] * node.layout
+        score += w["weak_name"] * (node.weak and not node.named) + w["content_name"] * node.named + w["content_ancestor"] * node.content
     score += w["paragraph"] * (tag in ("p", "blockquote", "pre", "td", "figcaption")) + w["heading"] * (tag[:1] == "h" and tag[1:].isdigit())
     score += w["list_item"] * (tag in ("li", "dd", "dt")) + w["link_share"] * block.linked / max(block.length, 1)
     score += w["log_words"] * math.log(block.text.count(" ") + 1) + w["sentences"] * bool(SENTENCE.search(block.text))
@@ -192,12 +250,14 @@ def content_log_odds(block: Block) -> float:
 
 
 def tree_distance(a: Block, b: Block) -> int:
-    shared = 0
-    for x, y in zip(a.path, b.path):
-        if x != y:
-            break
-        shared += 1
-    return len(a.path) + len(b.path) - 2 * shared
+    x, y, steps = a.node, b.node, 0
+    while x is not y and steps < MAX_DISTANCE:
+        if x is not None and (y is None or x.depth >= y.depth):
+            x = x.parent
+        else:
+            y = y.parent
+        steps += 1
+    return steps
 
 
 def smoothness_edges(blocks: list[Block]) -> list[tuple[int, int, float]]:
@@ -207,7 +267,7 @@ def smoothness_edges(blocks: list[Block]) -> list[tuple[int, int, float]]:
             if k + step >= len(blocks):
                 break
             other = blocks[k + step]
-            if step == 1 or block.path[:-1] == other.path[:-1]:
+            if step == 1 or (block.node and other.node and block.node.parent is other.node.parent):
                 edges.append((k, k + step, SMOOTH / (max(tree_distance(block, other), 1) * step)))
     return edges
 
