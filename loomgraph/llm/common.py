@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a longest run of bytes or characters outside these (space, tab to carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,7 +32,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bucket_bits(spark: SparkSession) -> int:
     """Bits of the buckets that packed rows are dealt into: some for each shuffle partition, few enough that a
     block's row still holds several entries."""
-    return max(6, min(16, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    return max(6, min(18, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+
+
+def boxed(docs: DataFrame, **added: Column) -> DataFrame:
+    """``docs`` with each row as one struct column ``row``, so that its columns meet no other names."""
+    return docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row")).withColumns(added)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unboxed(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The columns of ``docs`` back from ``row``; where column ``text`` is not null it is the new text, and n_chars, if
+    there is one, follows."""
+    changed = F.col(text).isNotNull()
+
+    def column(name: str) -> Column:
+        old = F.col("row").getField(name)
+        if name == "text":
+            return F.coalesce(F.col(text), old.cast("string"))
+        if name == "n_chars":
+            return F.when(changed, F.length(text).cast(docs.schema[name].dataType)).otherwise(old)
+        return old
+
+    return rows.select(*(column(c).alias(c) for c in docs.columns))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

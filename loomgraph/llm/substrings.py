@@ -4,22 +4,27 @@ A byte goes if a 50-byte string covering it also starts in a document with a sma
 every suffix of the corpus is not needed for that, only those that can share 50 bytes:
 
 1. Anchors. Of the 16-byte grams in each 50-byte window the one(s) of least hash are anchors, so equal
-   windows have equal anchors at equal offsets. Tasks send hashes of anchors, packed, to find those in
-   two or more documents; a gram that repeats within a block of documents is sent once.
-2. Buckets. Rows with a shared anchor bring the bytes around it (at most 84). These q-gram buckets are
-   refined as in bucket-pointer refinement: the bucket of a row at depth d + 1 is found by sorting on its
-   bucket at depth d together with the byte at the next offset, to the left and to the right of the anchor,
-   and each depth reuses the buckets of the one before. A window is then named by a left and a right
-   bucket, and the least document of each name is its owner; nothing is compared by hash alone.
+   windows have equal anchors at equal offsets. Tasks send hashes of anchors, packed by block of rows, to
+   find those in two or more rows; a gram that repeats within a block is sent once.
+2. Buckets. Rows with a shared anchor bring the bytes around it (at most 84), dealt by anchor. Their suffixes
+   start in q-gram buckets (8 bytes) and are refined as in bucket-pointer refinement: those of one bucket
+   are sorted by the bucket identifier of the suffix q bytes on, which gives buckets of 2q bytes, and these
+   identifiers are used again for the next round (8, 16, 32, then 50 bytes by two overlapping ones). A suffix
+   alone in its bucket takes no further part. The least document of a 50-byte bucket owns it; nothing is
+   compared by hash alone.
 3. Cutting. Windows owned by smaller documents come back as byte spans and are cut from the text.
 
 A passage shared by a third of all rows is handled by blocks: equal contexts within a block are decided
-there and sent once. An anchor in more than MIN_HOT documents, whose contexts may all differ, is sent
+there and sent once. An anchor in more than MIN_HOT rows, whose contexts may all differ, is sent
 window by window under the window's own hash, so its bucket splits. The list of such anchors is bounded
-by HOT_KEYS: the threshold rises with the number of all anchors.
+by HOT_KEYS: the threshold rises with the number of all anchors; the results are the same either way.
+
+A task sorts what it gets by bucket (or block) and holds one of them at a time; buckets grow in number
+with the shuffle partitions, so a task's memory does not follow the size of its partition.
 
 Defined results: null or empty text has no bytes and is kept; rows without an id own nothing and lose
-nothing; rows with equal ids are not smaller than each other; an empty table gives no rows.
+nothing; rows with equal ids are not smaller than each other and each loses only what it holds itself; repeated
+rows lose the same; other columns pass through whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,26 +42,28 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bucket_bits, chunks, table, text_buffer, texts_of
+from loomgraph.llm.common import boxed, bucket_bits, chunks, table, text_buffer, texts_of, unboxed
 from loomgraph.session import durable
 
 WINDOW = 50
 GRAM = 16
 #: Places of a gram within a window.
 PLACES = WINDOW - GRAM + 1
+#: First length of refined buckets, and the later offset whose bucket refines each round.
+Q_GRAM = 8
+STEPS = (8, 16, WINDOW - 32)
 #: Text bytes whose anchors are sent together, and rows of a block at most (their number fits 16 bits).
 BLOCK_BYTES = 8 << 20
 BLOCK_ROWS = 1 << 16
-#: An anchor in more documents than this may be hot; at most HOT_KEYS anchors are.
+CONTEXT_BLOCK_BYTES = 4 << 20
+#: An anchor in more rows than this may be hot; at most HOT_KEYS anchors are.
 MIN_HOT = 50_000
-HOT_KEYS = 1 << 20
-#: Rows refined together.
-REFINE_ROWS = 1 << 15
-#: Stands for a null id in joins; rows without an id ignore what it brings.
-NO_ID = -(1 << 63)
+HOT_KEYS = 1 << 17
+#: Context bytes refined together (more only where one part of a bucket holds more).
+REFINE_BYTES = 4 << 20
 KEY_MASK = np.uint64((1 << 48) - 1)
 
-PACKED = "bucket long, kind int, base long, keys binary, docs binary"
+PACKED = "bucket long, block long, counts binary, keys binary, places binary, rows binary"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -68,11 +76,6 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return _mix_grams(eight[:-8], eight[8:])
 
 
-def sixteen_bytes(pairs: np.ndarray) -> np.ndarray:
-    """The same hash from rows of two 8-byte numbers."""
-    return _mix_grams(pairs[:, 0], pairs[:, 1])
-
-
 def _mix_grams(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     mixed = low * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= (high + (mixed >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -118,8 +121,11 @@ def find_anchors(data: np.ndarray, part: int = 1 << 16) -> tuple[np.ndarray, np.
     return np.concatenate(places), np.concatenate(hashes), np.concatenate(least)
 
 
-def _batch(names: list[str], *columns: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(columns), names=names)
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "binary": pa.binary(), "list": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t.replace("array<long>", "list")]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -139,144 +145,128 @@ def _slices(buckets: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(buckets[a]), a, b
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[tuple]]]:
+    """The rows of a sorted input, grouped by their first column; one group is held at a time."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 64):
+                yield from zip(*(c.to_pylist() for c in batch.slice(first, 64).columns))
+
+    for key, group in groupby(rows(), key=lambda row: row[0]):
+        yield key, list(group)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches, "text", limit):
+        for first in range(0, batch.num_rows, BLOCK_ROWS):
+            yield batch.slice(first, BLOCK_ROWS)
+
+
 def send_anchors(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterator[pa.RecordBatch]:
-    """Packed rows: kind 0 holds anchors of one document each, kind 1 anchors of several documents of
-    the block with their number, kind 2 (document, anchor) pairs that the block has decided."""
-    for batch in chunks(batches, "text", BLOCK_BYTES):
-        ids = batch.column("doc_id")
-        known = pc.is_valid(ids).to_numpy(zero_copy_only=False)
-        ids = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+    """Packed rows by bucket of the anchors. With ``places``: anchors of one row of the block each; with ``counts``: anchors of
+    several rows of the block. One more row per block has its row keys and the (row, anchor) pairs decided in it."""
+    shift = np.uint64(64 - bucket_bits)
+    for batch in _blocks(batches, BLOCK_BYTES):
+        known = pc.is_valid(batch.column("doc_id")).to_numpy(zero_copy_only=False)
+        row_keys = batch.column("row_key").to_numpy()
         data, offsets = text_buffer(batch.column("text"))
         at, keys, _ = find_anchors(data)
         doc = np.searchsorted(offsets, at, side="right") - 1
         inside = (at + GRAM <= offsets[doc + 1]) & known[doc] & (offsets[doc + 1] - offsets[doc] >= WINDOW)
         doc, keys = doc[inside], keys[inside]
-        order = np.argsort(keys, kind="stable")  # documents stay in order within a key
-        doc, keys = doc[order], keys[order]
+        order = np.argsort(keys, kind="stable")  # rows stay in order within a key
+        doc, keys = doc[order].astype(np.uint16), keys[order]
         fresh = np.ones(len(keys), bool)
         fresh[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
         doc, keys = doc[fresh], keys[fresh]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        if not len(keys):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         count = np.diff(np.append(first, len(keys)))
+        # the same rows in the same order make the same block, also in a task that is run again
+        block = xxhash.xxh64_intdigest(row_keys.tobytes()) - (1 << 63)
         rows: list[tuple] = []
-        base = int(ids.min()) if len(ids) else 0
-        single = first[count == 1]
-        wide = int(ids.max()) - base >= 1 << 32 if len(ids) else False
-        shift = np.uint64(64 - bucket_bits)
-        for kind, where in ((0, single), (1, first[count > 1]), (2, np.flatnonzero(np.repeat(count > 1, count)))):
-            values = keys[where]
-            if kind == 1:
-                extra = count[count > 1].astype(np.uint32)
-            elif wide:
-                extra = ids[doc[where]].astype(np.int64)
-            else:
-                extra = (ids[doc[where]] - base).astype(np.uint32)
-            # decided pairs need no bucket in common
-            buckets = values >> shift if kind < 2 else mixed_ids(ids[doc[where]]) >> shift
-            if kind == 2:
-                order = np.argsort(buckets, kind="stable")
-                buckets, values, extra = buckets[order], values[order], extra[order]
-            for bucket, a, b in _slices(buckets):
-                rows.append((bucket, kind, base, _pack_keys(values[a:b] & KEY_MASK), extra[a:b].tobytes()))
+        once, more = first[count == 1], first[count > 1]
+        for bucket, a, b in _slices(keys[once] >> shift):
+            rows.append((bucket, block, None, _pack_keys(keys[once[a:b]] & KEY_MASK), doc[once[a:b]].tobytes(), None))
+        counts = count[count > 1].astype(np.uint32)
+        for bucket, a, b in _slices(keys[more] >> shift):
+            rows.append((bucket, block, counts[a:b].tobytes(), _pack_keys(keys[more[a:b]] & KEY_MASK), None, None))
+        decided = np.repeat(count > 1, count)
+        rows.append((int(keys[0] >> shift), block, None, _pack_keys(keys[decided] & KEY_MASK), doc[decided].tobytes(), row_keys.tobytes()))
+        yield _batch(PACKED, rows)
+
+
+FOUND = "block long, places binary, keys binary, rows binary, total long"
+
+
+def shared_anchors(batches: Iterator[pa.RecordBatch], min_hot: int) -> Iterator[pa.RecordBatch]:
+    """By block, the (row, anchor) pairs whose anchor is found in two or more rows; the row without a block has the
+    anchors of over ``min_hot`` rows, their numbers of rows, and the number of all anchors seen."""
+    hot_keys, hot_counts, total = [], [], 0
+    for _, rows in _runs(batches):
+        out = [(block, places, keys, table, None) for _, block, _, keys, places, table in rows if table is not None]
+        rows = [r for r in rows if r[5] is None]
         if rows:
-            cols = list(zip(*rows))
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield _batch([c.split()[0] for c in PACKED.split(", ")], *(pa.array(c, t) for c, t in zip(cols, types)))
-
-
-FOUND = "bucket long, docs binary, keys binary, count long"
-
-
-def mixed_ids(ids: np.ndarray) -> np.ndarray:
-    return ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-
-def shared_anchors(batches: Iterator[pa.RecordBatch], min_hot: int, bucket_bits: int) -> Iterator[pa.RecordBatch]:
-    """Packed (document, key) pairs of anchors found in two or more documents, dealt by document; rows with a
-    count hold the anchors of over ``min_hot`` documents, and the number of all anchors seen."""
-    keys, docs, counts, out_ids, out_keys = [], [], [], [], []
-    for batch in batches:
-        for bucket, kind, base, blob, extra in zip(*(c.to_pylist() for c in batch.columns)):
-            k = _unpack_keys(blob)
-            if kind == 1:
-                keys.append(k)
-                docs.append(np.full(len(k), -1))
-                counts.append(np.frombuffer(extra, np.uint32).astype(np.int64))
-                ids = None
-            else:
-                ids = np.frombuffer(extra, np.int64) if len(extra) == 8 * len(k) else np.frombuffer(extra, np.uint32).astype(np.int64) + base
-            if kind == 0:
-                keys.append(k)
-                docs.append(ids)
-                counts.append(np.ones(len(k), np.int64))
-            elif kind == 2:
-                out_ids.append(ids)
-                out_keys.append(k)
-    hot_keys = hot_counts = np.zeros(0, np.int64)
-    total = 0
-    if keys:
-        key, doc, count = np.concatenate(keys), np.concatenate(docs), np.concatenate(counts)
-        order = np.argsort(key)
-        key, doc, count = key[order], doc[order], count[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        summed = np.add.reduceat(count, first)
-        total = int(summed.sum())
-        hot = summed > min_hot
-        hot_keys, hot_counts = key[first][hot].astype(np.int64), summed[hot]
-        several = np.repeat(summed > 1, np.diff(np.append(first, len(key)))) & (count == 1) & (doc != -1)
-        out_ids.append(doc[several])
-        out_keys.append(key[several])
-    names = [c.split()[0] for c in FOUND.split(", ")]
-    if out_ids:
-        ids, found = np.concatenate(out_ids), np.concatenate(out_keys)
-        dealt = mixed_ids(ids) >> np.uint64(64 - bucket_bits)
-        order = np.argsort(dealt, kind="stable")
-        dealt, ids, found = dealt[order], ids[order], found[order]
-        rows = [(x, ids[a:b].tobytes(), _pack_keys(found[a:b]), None) for x, a, b in _slices(dealt)]
-        if rows:
-            yield _batch(names, *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.int64()))))
-    rows = [(-1, b"", _pack_keys(np.array([k], np.uint64)), int(c)) for k, c in zip(hot_keys, hot_counts)]
-    rows.append((-1, b"", b"", total))
-    yield _batch(names, *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.int64()))))
-
-
-def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, keys): one row per document with its shared anchors; the summary passes through."""
-    names = ["doc_id", "keys", "count"]
-    ids, keys = [], []
-    for batch in batches:
-        for _, docs, blob, count in zip(*(c.to_pylist() for c in batch.columns)):
-            if count is None:
-                ids.append(np.frombuffer(docs, np.int64))
-                keys.append(_unpack_keys(blob))
-            else:
-                value = _unpack_keys(blob).astype(np.int64).tolist()
-                yield _batch(names, pa.nulls(1, pa.int64()), pa.array([value], pa.list_(pa.int64())), pa.array([count], pa.int64()))
-    if ids:
-        doc, key = np.concatenate(ids), np.concatenate(keys).astype(np.int64)
-        order = np.lexsort((key, doc))
-        doc, key = doc[order], key[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]])
-        for a in range(0, len(cuts) - 1, 5_000):
-            ends = cuts[a : a + 5_001]
-            lists = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(key[ends[0] : ends[-1]]))
-            yield _batch(names, pa.array(doc[ends[:-1]]), lists, pa.nulls(len(ends) - 1, pa.int64()))
+            lengths = [len(r[3]) // 6 for r in rows]
+            key = np.concatenate([_unpack_keys(r[3]) for r in rows])
+            source = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
+            place = np.concatenate([np.frombuffer(r[4], np.uint16) if r[2] is None else np.zeros(n, np.uint16) for r, n in zip(rows, lengths)])
+            count = np.concatenate([np.ones(n, np.int64) if r[2] is None else np.frombuffer(r[2], np.uint32).astype(np.int64) for r, n in zip(rows, lengths)])
+            order = np.argsort(key, kind="stable")
+            key, source, place, count = key[order], source[order], place[order], count[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            summed = np.add.reduceat(count, first)
+            total += int(summed.sum())
+            hot = summed > min_hot
+            hot_keys.append(key[first][hot])
+            hot_counts.append(summed[hot])
+            several = np.repeat(summed > 1, np.diff(np.append(first, len(key)))) & (count == 1)
+            key, source, place = key[several], source[several], place[several]
+            order = np.argsort(source, kind="stable")
+            key, source, place = key[order], source[order], place[order]
+            out += [(rows[k][1], place[a:b].tobytes(), _pack_keys(key[a:b]), None, None) for k, a, b in _slices(source)]
+        if out:
+            yield _batch(FOUND, out)
+    hot = np.concatenate([np.zeros(0, np.uint64), *hot_keys])
+    yield _batch(FOUND, [(None, b"", _pack_keys(hot), np.concatenate([np.zeros(0, np.int64), *hot_counts]).tobytes(), total)])
+
+
+LISTS = "row_key long, keys array<long>, hot array<long>, total long"
+
+
+def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row_key, keys): the shared anchors of the rows of each block; the summary passes through."""
+    for block, rows in _runs(batches):
+        if block is None:
+            yield _batch(LISTS, [(None, _unpack_keys(k).astype(np.int64).tolist(), np.frombuffer(c, np.int64).tolist(), n) for _, _, k, c, n in rows])
+            continue
+        row_keys = np.frombuffer(next(r[3] for r in rows if r[3] is not None), np.int64)
+        pairs = np.unique(np.concatenate([np.frombuffer(p, np.uint16).astype(np.uint64) << np.uint64(48) | _unpack_keys(k) for _, p, k, _, _ in rows]))
+        place, key = (pairs >> np.uint64(48)).astype(np.int64), (pairs & KEY_MASK).astype(np.int64)
+        cuts = np.concatenate([np.flatnonzero(np.diff(place, prepend=-1)), [len(place)]]) if len(place) else np.zeros(1, np.int64)
+        n = len(cuts) - 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(row_keys[place[cuts[:-1]]]), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(key)), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.int64())],
+            names=["row_key", "keys", "hot", "total"],
+        )
 
 
-CONTEXTS = "bucket long, rows long, packed binary"
-#: Bytes of a packed context besides its text: document, tag, start, place of the anchor, length.
-CONTEXT_FIELDS = ((np.int64, "doc"), (np.uint16, "tag"), (np.int64, "start"), (np.uint8, "left"), (np.uint8, "size"))
+CONTEXTS = "bucket long, n long, packed binary"
+#: Numbers of a packed context besides its text: document, row, start in the text, length, part of the bucket.
+CONTEXT_FIELDS = (np.int64, np.int64, np.uint32, np.uint8, np.uint8)
+SPANS = "row_key long, doc_id long, start long, end long"
 
 
 def _pack_contexts(rows: list[tuple]) -> bytes:
-    cols = list(zip(*rows))
-    fields = [np.array(c, t).tobytes() for c, (t, _) in zip(cols, CONTEXT_FIELDS)]
-    return zlib.compress(b"".join([*fields, *cols[5]]), 1)
+    columns = list(zip(*rows))
+    return zlib.compress(b"".join([*(np.array(c, t).tobytes() for c, t in zip(columns, CONTEXT_FIELDS)), *columns[-1]]), 1)
 
 
 def _unpack_contexts(n: int, packed: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     raw, at, fields = zlib.decompress(packed), 0, []
-    for kind, _ in CONTEXT_FIELDS:
+    for kind in CONTEXT_FIELDS:
         fields.append(np.frombuffer(raw, kind, n, at))
         at += n * np.dtype(kind).itemsize
     return fields, np.frombuffer(raw, np.uint8, offset=at)
@@ -284,165 +274,149 @@ def _unpack_contexts(n: int, packed: bytes) -> tuple[list[np.ndarray], np.ndarra
 
 def send_contexts(batches: Iterator[pa.RecordBatch], hot_keys, bucket_bits: int) -> Iterator[pa.RecordBatch]:
     """The windows of each shared anchor as one run of bytes, packed by bucket of the anchor (of the window, if
-    the anchor is hot); rows with a negative count are spans already decided."""
-    hot = set(hot_keys.value)
-    names = [c.split()[0] for c in CONTEXTS.split(", ")]
-    for batch in chunks(batches, "text"):
-        batch = batch.filter(pc.is_valid(batch.column("doc_id")))
-        for first in range(0, batch.num_rows, BLOCK_ROWS):
-            part = batch.slice(first, BLOCK_ROWS)
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            data, offsets = text_buffer(part.column("text"))
-            tags = [text_tag(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-            wanted_keys = pc.list_flatten(part.column("keys")).to_numpy(zero_copy_only=False).astype(np.uint64)
-            held = pc.list_value_length(part.column("keys")).to_numpy(zero_copy_only=False)
-            wanted = np.sort(np.repeat(np.arange(len(ids), dtype=np.uint64), held) << np.uint64(48) | wanted_keys)
-            at, keys, least = find_anchors(data)
-            doc = np.searchsorted(offsets, at, side="right") - 1
-            inside = at + GRAM <= offsets[doc + 1]
-            at, keys, doc = at[inside], keys[inside], doc[inside]
-            own = doc.astype(np.uint64) << np.uint64(48) | (keys & KEY_MASK)
-            place = np.searchsorted(wanted, own)
-            ok = (place < len(wanted)) & (wanted[np.minimum(place, len(wanted) - 1)] == own) if len(wanted) else np.zeros(len(own), bool)
-            at, keys, doc = at[ok], keys[ok], doc[ok]
-            order = (keys >> np.uint64(32)).astype(np.uint32)
-            low = np.full(len(at), -1)
-            high = np.full(len(at), -2)
-            for back in range(PLACES):
-                start = at - back
-                valid = (start >= offsets[doc]) & (start + WINDOW <= offsets[doc + 1])
-                valid[valid] = least[start[valid]] == order[valid]
-                low[valid] = start[valid]
-                high[valid & (high < 0)] = start[valid & (high < 0)]
-            buckets = (keys >> np.uint64(64 - bucket_bits)).tolist()
-            groups: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
-            raw = data.tobytes()
-            low_keys = (keys & KEY_MASK).tolist()
-            for bucket, k, a, lo, hi, d in zip(buckets, low_keys, at.tolist(), low.tolist(), high.tolist(), doc.tolist()):
-                if lo < 0:
-                    continue
-                begin = lo - int(offsets[d])
-                if k in hot:
-                    for w in range(lo, hi + 1):
-                        text = raw[w : w + WINDOW]
-                        dealt = xxhash.xxh64_intdigest(text, a - w) >> (64 - bucket_bits)
-                        groups.setdefault((dealt, a - w, text), []).append((d, begin + w - lo))
+    the anchor is hot); rows with a negative number are spans already decided."""
+    hot = hot_keys.value
+    for part in _blocks(batches, CONTEXT_BLOCK_BYTES):
+        ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        row_keys = part.column("row_key").to_numpy()
+        data, offsets = text_buffer(part.column("text"))
+        wanted_keys = pc.list_flatten(part.column("keys")).to_numpy(zero_copy_only=False).astype(np.uint64)
+        held = pc.list_value_length(part.column("keys")).to_numpy(zero_copy_only=False)
+        wanted = np.sort(np.repeat(np.arange(len(ids), dtype=np.uint64), held) << np.uint64(48) | wanted_keys)
+        at, keys, least = find_anchors(data)
+        doc = np.searchsorted(offsets, at, side="right") - 1
+        inside = at + GRAM <= offsets[doc + 1]
+        at, keys, doc = at[inside], keys[inside], doc[inside]
+        own = doc.astype(np.uint64) << np.uint64(48) | (keys & KEY_MASK)
+        place = np.searchsorted(wanted, own)
+        ok = (place < len(wanted)) & (wanted[np.minimum(place, len(wanted) - 1)] == own) if len(wanted) else np.zeros(len(own), bool)
+        at, keys, doc = at[ok], keys[ok], doc[ok]
+        order = (keys >> np.uint64(32)).astype(np.uint32)
+        low = np.full(len(at), -1)
+        high = np.full(len(at), -2)
+        for back in range(PLACES):
+            start = at - back
+            valid = (start >= offsets[doc]) & (start + WINDOW <= offsets[doc + 1])
+            valid[valid] = least[start[valid]] == order[valid]
+            low[valid] = start[valid]
+            high[valid & (high < 0)] = start[valid & (high < 0)]
+        buckets = (keys >> np.uint64(64 - bucket_bits)).tolist()
+        parts = (keys >> np.uint64(56 - bucket_bits) & np.uint64(0xFF)).tolist()
+        is_hot = np.isin(keys & KEY_MASK, hot).tolist() if len(hot) else [False] * len(keys)
+        groups: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
+        raw = data.tobytes()
+        for bucket, sub, hot_here, lo, hi, d in zip(buckets, parts, is_hot, low.tolist(), high.tolist(), doc.tolist()):
+            if lo < 0:
+                continue
+            begin = lo - int(offsets[d])
+            if hot_here:
+                for w in range(lo, hi + 1):
+                    text = raw[w : w + WINDOW]
+                    dealt = xxhash.xxh64_intdigest(text)
+                    groups.setdefault((dealt >> (64 - bucket_bits), dealt & 0xFF, text), []).append((d, begin + w - lo))
+            else:
+                groups.setdefault((bucket, sub, raw[lo : hi + WINDOW]), []).append((d, begin))
+        dealt_rows: dict[int, list[tuple]] = {}
+        decided: dict[int, list[tuple[int, int]]] = {}
+        id_list, key_list = ids.tolist(), row_keys.tolist()
+        for (bucket, sub, text), found in groups.items():
+            owner = min(id_list[d] for d, _ in found)
+            rest = []
+            for d, begin in found:
+                if id_list[d] == owner:
+                    rest.append((owner, key_list[d], begin, len(text), sub, text))
                 else:
-                    groups.setdefault((bucket, a - lo, raw[lo : hi + WINDOW]), []).append((d, begin))
-            dealt_rows: dict[int, list[tuple]] = {}
-            decided: dict[int, list[tuple[int, int]]] = {}
-            for (bucket, left, text), found in groups.items():
-                owner = min(int(ids[d]) for d, _ in found)
-                for d, begin in found:
-                    if ids[d] == owner:
-                        dealt_rows.setdefault(bucket, []).append((owner, tags[d], begin, left, len(text), text))
-                    else:
-                        decided.setdefault(d, []).append((begin, begin + len(text)))
-            rows = [(bucket, len(x), _pack_contexts(x)) for bucket, x in dealt_rows.items()]
-            spans = [(int(ids[d]), tags[d], a, b) for d, x in decided.items() for a, b in merged(x)]
-            if spans:
-                rows.append((int(spans[0][0]), -len(spans), zlib.compress(np.array(spans, np.int64).tobytes(), 1)))
-            if rows:
-                yield _batch(names, *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))))
-
-
-def refine(bucket: np.ndarray, letters: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One step of refinement: new buckets by (bucket, next letter); rows alone in theirs drop out."""
-    names = np.full(len(bucket), -1, np.int64)
-    rows = np.flatnonzero(active)
-    _, inverse, counts = np.unique(bucket[rows] << 8 | letters[rows], return_inverse=True, return_counts=True)
-    keep = counts[inverse] > 1
-    names[rows[keep]] = inverse[keep]
-    return names, names >= 0
-
-
-def owned_elsewhere(keys: np.ndarray, docs: np.ndarray, left: np.ndarray, context: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """For every row and window (by the anchor's offset in it): does it also start in a smaller document?"""
-    n = len(keys)
-    _, root, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    marks = np.zeros((n, PLACES), bool)
-    names = []
-    right = end - begin - left - GRAM
-    for side, room in ((-1, left), (1, right)):
-        bucket, alive, by_depth = root.astype(np.int64), counts[root] > 1, []
-        by_depth.append(np.where(alive, bucket, -1))
-        for depth in range(1, PLACES):
-            alive = alive & (room >= depth)
-            if not alive.any():
-                break
-            where = begin + left - depth if side < 0 else begin + left + GRAM + depth - 1
-            letters = np.zeros(n, np.int64)
-            letters[alive] = context[where[alive]]
-            bucket, alive = refine(bucket, letters, alive)
-            by_depth.append(bucket)
-        names.append(by_depth)
-    for offset in range(PLACES):
-        if offset >= len(names[0]) or PLACES - 1 - offset >= len(names[1]):
-            continue
-        a, b = names[0][offset], names[1][PLACES - 1 - offset]
-        rows = np.flatnonzero((a >= 0) & (b >= 0))
-        if len(rows) < 2:
-            continue
-        _, name = np.unique(a[rows] << 32 | b[rows], return_inverse=True)
-        owner = np.full(name.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(owner, name, docs[rows])
-        marks[rows, offset] = docs[rows] > owner[name]
+                    decided.setdefault(d, []).append((begin, begin + len(text)))
+            # equal rows send their contexts once
+            dealt_rows.setdefault(bucket, []).extend(rest if len(rest) == 1 else dict.fromkeys(rest))
+        rows = [(bucket, len(x), _pack_contexts(x)) for bucket, x in dealt_rows.items()]
+        spans = {(key_list[d], id_list[d], a, b) for d, x in decided.items() for a, b in merged(x)}
+        if spans:
+            rows.append((next(iter(dealt_rows)), -len(spans), zlib.compress(np.array(sorted(spans), np.int64).tobytes(), 1)))
+        if rows:
+            yield _batch(CONTEXTS, rows)
+
+
+def identifiers(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket identifiers 0, 1, ... of equal names, and how many suffixes each bucket has."""
+    _, inverse, counts = np.unique(names, return_inverse=True, return_counts=True)
+    return inverse.astype(np.uint64), counts
+
+
+def window_buckets(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the suffixes at ``starts`` those that share their first WINDOW bytes with another, and their buckets.
+
+    Round k sorts the suffixes of a bucket by the identifiers, found in round k - 1, of those STEPS[k] bytes on.
+    """
+    padded = np.concatenate([data, np.zeros(WINDOW + Q_GRAM, np.uint8)])
+    two = padded[:-1].astype(np.uint16) | padded[1:].astype(np.uint16) << np.uint16(8)
+    four = two[:-2].astype(np.uint32) | two[2:].astype(np.uint32) << np.uint32(16)
+    eight = four[:-4].astype(np.uint64) | four[4:].astype(np.uint64) << np.uint64(32)
+    bucket, counts = identifiers(eight[: len(data) + WINDOW - Q_GRAM])
+    for step in STEPS[:-1]:
+        starts = starts[counts[bucket[starts]] > 1]
+        # the last round still asks for the buckets of up to WINDOW - step bytes on
+        here = np.arange(len(bucket) - step)
+        bucket, counts = identifiers(bucket[here] << np.uint64(32) | bucket[here + step])
+    starts = starts[counts[bucket[starts]] > 1]
+    last, counts = identifiers(bucket[starts] << np.uint64(32) | bucket[starts + STEPS[-1]])
+    several = counts[last] > 1
+    return starts[several], last[several]
+
+
+def owned_elsewhere(docs: np.ndarray, begin: np.ndarray, size: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Marks the places in ``data`` whose window also starts in a context of a smaller document."""
+    marks = np.zeros(len(data) + 1, bool)
+    lasts = size - WINDOW + 1
+    context = np.repeat(np.arange(len(begin)), lasts)
+    starts = np.arange(len(context)) - np.repeat(np.cumsum(lasts) - lasts, lasts) + begin[context]
+    starts, bucket = window_buckets(data, starts)
+    if not len(starts):
+        return marks
+    holder = docs[np.searchsorted(begin, starts, side="right") - 1]
+    owner = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(owner, bucket.astype(np.int64), holder)
+    marks[starts[holder > owner[bucket.astype(np.int64)]]] = True
     return marks
 
 
 def refine_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans (doc_id, tag, start, end) of windows owned by smaller documents."""
-    names = ["doc_id", "tag", "start", "end"]
-    fields, texts = [], []
-    for batch in batches:
-        for _, n, packed in zip(*(c.to_pylist() for c in batch.columns)):
+    """Spans (row_key, doc_id, start, end) of windows owned by smaller documents, bucket by bucket."""
+    names = [f.split()[0] for f in SPANS.split(", ")]
+    for _, rows in _runs(batches):
+        fields, texts = [], []
+        for _, n, packed in rows:
             if n < 0:
                 spans = np.frombuffer(zlib.decompress(packed), np.int64).reshape(-n, 4)
-                yield _batch(names, *(pa.array(np.ascontiguousarray(spans[:, k])) for k in range(4)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(spans[:, k])) for k in range(4)], names=names)
             else:
                 some, text = _unpack_contexts(n, packed)
                 fields.append(some)
                 texts.append(text)
-    if not fields:
-        return
-    docs, tags, start, left, size = (np.concatenate(x).astype(np.int64) for x in zip(*fields))
-    context = np.concatenate(texts)
-    del fields, texts
-    begin = np.cumsum(size) - size
-    keys = np.concatenate([gram_hashes_at(context, begin[a : a + REFINE_ROWS] + left[a : a + REFINE_ROWS]) for a in range(0, len(begin), REFINE_ROWS)])
-    order = np.argsort(keys, kind="stable")
-    keys, n, first = keys[order], len(keys), 0
-    while first < n:
-        last = min(n, first + REFINE_ROWS)
-        if last < n:  # equal keys stay together
-            last = int(np.searchsorted(keys, keys[last - 1], side="right"))
-        some = order[first:last]
-        marks = owned_elsewhere(keys[first:last], docs[some], left[some], context, begin[some], begin[some] + size[some])
-        first = last
-        # the window in which the anchor has offset o starts left - o after the context
-        step = np.diff(np.pad(marks, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        row, low = np.nonzero(step == 1)
-        _, high = np.nonzero(step == -1)  # runs of offsets low .. high - 1
-        if len(row):
-            row = some[row]
-            spans = joined_spans(docs[row], tags[row], start[row] + left[row] - (high - 1), start[row] + left[row] - low + WINDOW)
-            yield _batch(names, *map(pa.array, spans))
-
-
-def gram_hashes_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """``gram_hashes`` at some places."""
-    grams = data[at[:, None] + np.arange(GRAM)]
-    return np.ascontiguousarray(sixteen_bytes(np.ascontiguousarray(grams).view("<u8")))
-
-
-def joined_spans(docs: np.ndarray, tags: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
-    """Spans of a document that touch or overlap, joined."""
-    order = np.lexsort((a, tags, docs))
-    docs, tags, a, b = docs[order], tags[order], a[order], b[order]
-    same = (docs[1:] == docs[:-1]) & (tags[1:] == tags[:-1])
-    new = np.concatenate([[True], ~same | (a[1:] > b[:-1])])
-    first = np.flatnonzero(new)
-    return [docs[first], tags[first], a[first], np.maximum.reduceat(b, first)]
+        if not fields:
+            continue
+        doc, row, start, size, part = (np.concatenate(x) for x in zip(*fields))
+        data, size = np.concatenate(texts), size.astype(np.int64)
+        place = np.cumsum(size) - size
+        order = np.argsort(part, kind="stable")  # equal windows have equal parts
+        ends = np.append(np.flatnonzero(np.diff(part[order])) + 1, len(order))
+        first = 0
+        while first < len(order):
+            held = np.cumsum(size[order[first:]])
+            fit = ends[(ends > first) & (held[np.minimum(ends, len(order)) - first - 1] <= REFINE_BYTES)]
+            last = int(fit[-1]) if len(fit) else int(ends[ends > first][0])
+            some = order[first:last]
+            first = last
+            begin = np.cumsum(size[some]) - size[some]
+            take = np.arange(int(size[some].sum())) + np.repeat(place[some] - begin, size[some])
+            marks = owned_elsewhere(doc[some], begin, size[some], data[take])
+            edges = np.flatnonzero(np.diff(marks.astype(np.int8), prepend=0))
+            low, high = edges[::2], edges[1::2]  # windows of a run start at low .. high - 1
+            if len(low):
+                of = np.searchsorted(begin, low, side="right") - 1
+                origin = start[some[of]].astype(np.int64) - begin[of]
+                columns = (row[some[of]], doc[some[of]], origin + low, origin + high - 1 + WINDOW)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=names)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -460,16 +434,9 @@ def merged_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
     return merged([(s["start"], s["end"]) for s in spans or ()])
 
 
-def text_tag(text) -> int:
-    return zlib.crc32(text) & 0xFFFF
-
-
-def own_spans(text: bytes, spans: list[dict] | None) -> list[tuple[int, int]]:
-    """The merged spans of this text; rows that share an id are told apart by the checksum of their text."""
-    if not spans:
-        return []
-    tag = text_tag(text)
-    return merged_spans([s for s in spans if s["tag"] == tag])
+def own_spans(doc_id: int | None, spans: list[dict] | None) -> list[tuple[int, int]]:
+    """The merged spans of a row; those of another id whose row key is equal by chance are left out."""
+    return merged([(s["start"], s["end"]) for s in spans or () if s["doc_id"] == doc_id])
 
 
 def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -480,47 +447,51 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id and ``spans`` (array of tag, start, end in bytes) of what smaller documents hold; see ``_given`` for docs."""
+    """row_key and ``spans`` (array of doc_id, start, end in bytes) of what smaller documents hold; ``docs`` has row_key,
+    doc_id, text."""
     spark = docs.sparkSession
     bits = bucket_bits(spark)
-    packed = docs.select("doc_id", "text").mapInArrow(partial(send_anchors, bucket_bits=bits), PACKED)
-    found = packed.repartition("bucket").mapInArrow(partial(shared_anchors, min_hot=MIN_HOT, bucket_bits=bits), FOUND)
-    shared = durable(found.repartition("bucket").mapInArrow(by_document, "doc_id long, keys array<long>, count long"), "anchors")
-    summary = shared.filter("doc_id is null")
-    total = summary.filter(F.size("keys") == 0).agg(F.sum("count")).first()[0] or 0
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = docs.select("row_key", "doc_id", "text").mapInArrow(partial(send_anchors, bucket_bits=bits), PACKED)
+    sorted_packed = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    found = sorted_packed.mapInArrow(partial(shared_anchors, min_hot=MIN_HOT), FOUND)
+    shared = durable(found.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(by_row, LISTS), "anchors")
+    summary = shared.filter("row_key is null")
+    total = summary.agg(F.sum("total")).first()[0] or 0
     # at most total / threshold anchors can be hot, so at most HOT_KEYS
-    hot = summary.filter((F.size("keys") > 0) & (F.col("count") > max(MIN_HOT, total // HOT_KEYS))).select(F.col("keys")[0].alias("key"))
-    hot_keys = spark.sparkContext.broadcast([r.key for r in hot.collect()])
-    lists = shared.filter("doc_id is not null").select(F.col("doc_id").alias("row_key"), "keys")
-    joined = docs.join(lists, "row_key").drop("row_key")
-    contexts = joined.mapInArrow(partial(send_contexts, hot_keys=hot_keys, bucket_bits=bits), CONTEXTS)
-    spans = contexts.repartition("bucket").mapInArrow(refine_buckets, "doc_id long, tag long, start long, end long")
-    return spans.groupBy(F.col("doc_id").alias("row_key")).agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
+    counted = summary.select(F.explode(F.arrays_zip("keys", "hot")).alias("k")).select("k.keys", "k.hot")
+    hot = [r[0] for r in counted.filter(F.col("hot") > max(MIN_HOT, total // HOT_KEYS)).select("keys").collect()]
+    hot_keys = spark.sparkContext.broadcast(np.sort(np.array(hot, np.uint64)))
+    # blocks that hold the same row have found the same anchors of it
+    lists = shared.filter("row_key is not null").groupBy("row_key").agg(F.first("keys").alias("keys"))
+    contexts = docs.join(lists, "row_key").mapInArrow(partial(send_contexts, hot_keys=hot_keys, bucket_bits=bits), CONTEXTS)
+    spans = contexts.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(refine_buckets, SPANS)
+    return spans.groupBy("row_key").agg(F.collect_set(F.struct("doc_id", "start", "end")).alias("spans"))
+
+
+def row_key(doc_id, text):
+    """Tells rows with different ids or texts apart; spans carry the id too, so that only equal ids could mix them up."""
+    return F.xxhash64(doc_id, text)
 
 
 def _given(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``row_key``: the id, never null, so that both joins can use one shuffle of the texts."""
-    doc_id = F.col("doc_id").cast("long")
-    return docs.select(
-        doc_id.alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        F.coalesce(doc_id, F.lit(NO_ID)).alias("row_key"),
-    )
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), row_key(doc_id, text).alias("row_key"))
 
 
 def substring_digests(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: n_bytes, n_removed, n_spans and the digest of what is kept."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, "text"):
             rows = []
             for doc_id, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
                 raw = text.encode()
-                runs = own_spans(raw, spans if doc_id is not None else None)
+                runs = own_spans(doc_id, spans)
                 rows.append((doc_id, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_bytes(raw, runs)).hexdigest()))
             cols = list(zip(*rows)) or [()] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield _batch(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], *(pa.array(c, t) for c, t in zip(cols, types)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     given = _given(docs)
     joined = given.join(repeated_spans(given), "row_key", "left").select("doc_id", "text", "spans")
@@ -531,18 +502,18 @@ def cut_repeated_substrings(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated bytes; a character cut apart is dropped, n_chars follows the text."""
 
     @F.arrow_udf("string")
-    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+    def cut(doc_id: pa.Array, text: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
-        for t, s in zip(texts_of(text), spans.to_pylist()):
-            out.append(kept_bytes(t, own_spans(t, s)).decode("utf-8", "ignore"))
+        for d, t, s in zip(doc_id.to_pylist(), texts_of(text), spans.to_pylist()):
+            out.append(kept_bytes(t, own_spans(d, s)).decode("utf-8", "ignore"))
         return pa.array(out, pa.string())
 
-    spans = repeated_spans(_given(docs)).withColumnsRenamed({"row_key": "__id", "spans": "__spans"})
-    joined = docs.join(spans, F.col("doc_id") == F.col("__id"), "left")
-    out = joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut("text", "__spans")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    given = _given(docs)
+    whole = boxed(docs)
+    doc_id, text = F.col("row.doc_id").cast("long"), F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    joined = whole.withColumn("row_key", row_key(doc_id, text)).join(repeated_spans(given), "row_key", "left")
+    shorter = F.when(F.col("spans").isNotNull(), cut(doc_id, text, "spans"))
+    return unboxed(joined.withColumn("shorter", shorter), docs, text="shorter")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,44 @@ def test_html_main_text():
     assert html.main_blocks(None) == ([], 0) and html.main_blocks("") == ([], 0) and html.main_blocks("<nav>a</nav>")[0] == []
 
 
+LONG = "Many readers have asked us about this matter again and again. " * 8
+
+
+@pytest.mark.parametrize(
+    "clutter",
+    ['<div class="comment">', '<section id="comments"><article>', '<div class="ad">', '<div class="text-ad">', '<div class="sidebar">', '<div class="cookie-notice">',
+     "<aside>", "<form>", "<footer>", '<div class="comment-body">', '<div role="complementary">', '<div id="disqus_thread">', "<nav>"],
+)
+def test_html_clutter_inside_articles_goes(clutter):
+    page = f"<body><article><h1>Title</h1><p>{LONG}</p>{clutter}<p>{LONG}clutter</p>{'</article>' if '<article' in clutter else ''}</{clutter[1:].split()[0].rstrip('>')}><p>The end.</p></article>"
+    assert html.main_blocks(page)[0] == ["Title", LONG.strip(), "The end."]
+
+
+@pytest.mark.parametrize("part", ['<div class="post-comments-guide">', '<div class="entry legal">', '<div class="sidebar-right"><main>', '<body class="has-sidebar">', '<div class="no-menu">'])
+def test_html_names_that_only_look_like_clutter(part):
+    assert html.main_blocks(f"<html>{part}<h2>How to</h2><p>{LONG}</p>")[0] == ["How to", LONG.strip()]
+
+
+def test_html_cut_decides_where_blocks_say_little():
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>Item {k}</a></li>" for k in range(5)) + "</ul>"
+    soup = f"<body>{menu}<div><div>{LONG}</div><div>Two notes:</div><ul><li>salt</li><li>water</li></ul><div>{LONG}</div></div>{menu}<div>Imprint</div>"
+    want = [LONG.strip(), "Two notes:", "salt", "water", LONG.strip()]
+    blocks = html.page_blocks(soup)
+    gain = [html.content_log_odds(b) for b in blocks]
+    alone = [b.text for b, g in zip(blocks, gain) if g > 0]
+    assert html.main_blocks(soup)[0] == want and alone != want
+
+
+def test_html_never_fails_on_broken_pages():
+    rng = np.random.default_rng(5)
+    bits = ["<![foo[bar]]>", "<![CDATA[x", "<!", "<!--", "-->", "<!DOCTYPE", "<?php", "?>", "</", "<p", "<p>", "</p>", "<div class='", '"', "<a href=x>", "&#x", "&#99999999;", "&amp",
+            "<script>", "</script>", "<article>", "</article>", "<br/>", "]]>", ">", "<", "\0", "text ", "é", "<b><i>", "</i></b>", "<table><tr><td>", "=", "<![if !IE]>", "<textarea>"]
+    for _ in range(10_000):
+        html.main_blocks("".join(bits[k] for k in rng.integers(0, len(bits), rng.integers(1, 14))))
+    assert html.main_blocks(f"<article><p>{LONG}</p><![foo[bar]]><p>After it, more.</p>")[0] == [LONG.strip(), "After it, more."]
+    assert len(html.main_blocks("<div>x y. " * 20_000)[0]) <= 20_000
+
+
 def test_minimum_cut_equals_all_labellings():
     rng = np.random.default_rng(3)
     for _ in range(30):
@@ -220,13 +258,38 @@ def brute_substrings(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
-def test_substring_dedup(docs, hot, monkeypatch):
+@pytest.mark.parametrize("hot,refined", [(50_000, 4 << 20), (1, 100)])
+def test_substring_dedup(docs, hot, refined, monkeypatch):
     monkeypatch.setattr(substrings, "MIN_HOT", hot)
+    monkeypatch.setattr(substrings, "REFINE_BYTES", refined)
     rows = substrings.substring_digests(docs).collect()
     assert Counter(tuple(r) for r in rows) == brute_substrings(fixture_rows())
 
 
+def test_substring_dedup_of_repeated_ids(spark):
+    """Rows of one id lose only what they hold themselves, also where checksums of their texts agree."""
+    passage = words(41, 40)
+    first = "tail " + passage
+    tag = zlib.crc32(first.encode()) & 0xFFFF
+    other = next(t for t in (f"{words(42, 30)} {k}" for k in range(1 << 20)) if zlib.crc32(t.encode()) & 0xFFFF == tag)
+    rows = [(1, passage + " " + words(43, 20)), (5, first), (5, other), (5, first), (5, other), (6, other), (3, None), (None, passage)]
+    rows += [(7, words(k, 5) + passage[10:-20] + words(k + 50, 4)) for k in range(60)] + [(8, "x" * 400)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter(tuple(r) for r in substrings.substring_digests(df).collect()) == brute_substrings(rows)
+
+
+def test_window_buckets_equal_all_comparisons():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        data = rng.integers(97, 99, int(rng.integers(50, 400)), dtype=np.uint8)
+        data[100:160] = data[20:80] if len(data) > 160 else data[100:160]
+        windows = [data[k : k + 50].tobytes() for k in range(len(data) - 49)]
+        counts = Counter(windows)
+        starts, bucket = substrings.window_buckets(data, np.arange(len(windows)))
+        assert starts.tolist() == [k for k, w in enumerate(windows) if counts[w] > 1]
+        assert len({(b, windows[s]) for s, b in zip(starts, bucket.tolist())}) == len(set(bucket.tolist())) == len({windows[s] for s in starts})
+
+
 def test_anchors_do_not_depend_on_where_a_window_lies():
     rng = np.random.default_rng(0)
     shared = rng.integers(97, 101, 50, dtype=np.uint8)
