@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,33 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             first, base = last, int(ends[last - 1])
 
 
+def blocks(batches: Iterator[pa.RecordBatch], limit: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """``chunks`` of column text, of ``rows`` rows at most."""
+    for batch in chunks(batches, "text", limit):
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
+def slices(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, first, end) of the runs in a sorted array."""
+    if len(values):
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1, [len(values)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield int(values[a]), a, b
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[tuple]]]:
+    """The rows of a sorted input, grouped by their first column; one group is held at a time."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 64):
+                yield from zip(*(c.to_pylist() for c in batch.slice(first, 64).columns))
+
+    for key, group in groupby(rows(), key=lambda row: row[0]):
+        yield key, list(group)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column end to end, and the n + 1 offsets of its rows; nulls are empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())

@@ -1,14 +1,25 @@
 """Operator 10: cross-entropy difference of two n-gram models.
 
 A target model (documents labelled as good) and a background model (all other documents) share one
-vocabulary: the most frequent words of the whole corpus, MAX_WORDS at most, counted exactly, and one id
-for the rest. Both are interpolated bigram models with Dirichlet smoothing; background counts are scaled to the
-target's number of tokens, so both smooth alike. A document's score is its mean loss per token under the
-target model minus that under the background model: below zero reads more like the target.
+vocabulary: every word of the whole corpus. Both are interpolated bigram models with Dirichlet smoothing over
+exact counts; background counts are scaled to the target's number of tokens, so both smooth alike. Texts begin
+and end with a mark, so that every token is predicted once and stands before one. A document's score
+is its mean loss per predicted token under the target model minus that under the background model: below zero reads
+more like the target.
 
-Bigram counts live in a table of 2**BIGRAM_BITS hashed cells, so the models have one size whatever the
-corpus; every task sends its partial tables in slices, which are summed where they meet. Counts cover all
-documents and grow with them; the models that are broadcast do not.
+Counts are kept where they are used and grow with the corpus. All occurrences of a pair of words meet in one task, which
+counts the pair, works out its two losses and sends each row the sum of what it has there. The loss also needs
+the count of the pair's second word: pairs are dealt by that word, so that it is counted on the
+spot; only words with more than one in HOT_WORDS of all tokens, of which there are at most HOT_WORDS, are counted first
+and broadcast, and their pairs are dealt by both words. Which words are hot changes no result.
+
+    -log p(b|a) = log(c(a) + S) - log(c(a,b) + S p(b)),    p(b) = (c(b) + 1) / (N + V)
+
+The first term of a pair depends on its first word only, which is the second word of the pair before it; so
+each pair adds that term for its second word (the end mark stands in for the start mark: both occur once a text).
+
+Tasks pack the pairs of a block of rows by bucket, sort what they get by bucket, and hold one bucket at a time.
+Losses are summed as whole millionths of a nat, so sums do not depend on their order.
 
 Defined results: null or empty text has no tokens, losses and score 0; without target or background
 tokens every score is 0; a document labelled twice is target if any label says so; null ids are
@@ -17,192 +28,280 @@ background; equal texts score alike; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import chunks, table, texts_of
-from loomgraph.llm.quality import sketch_cell
+from loomgraph.llm.common import blocks, bucket_bits, runs, slices, table, text_buffer
+from loomgraph.llm.passages import SEEDS, STEP, find_words, mix, word_hashes
 from loomgraph.session import durable
 
-MAX_WORDS = 1 << 16
-BIGRAM_BITS = 20
+#: A word with at least one in HOT_WORDS of all tokens is hot, so there are HOT_WORDS at most.
+HOT_WORDS = 1 << 18
 #: Dirichlet weight of the unigram model in a bigram's probability.
 SMOOTHING = 50.0
-#: Distinct words a task counts before it passes its counts on, and cells of a slice of a table.
-COUNTED_WORDS = 500_000
-SLICE = 1 << 11
-#: Ids: 0 is every word outside the vocabulary, 1 the start of a document, words follow.
-UNKNOWN, START, FIRST = 0, 1, 2
-
-
-class Vocabulary(dict):
-    def __missing__(self, word: bytes) -> int:
-        return UNKNOWN
+#: Text bytes and rows of a block; a row's number leaves one bit of 16 for the model it belongs to.
+BLOCK_BYTES = 8 << 20
+BLOCK_ROWS = 1 << 15
+TARGET_BIT = np.uint16(BLOCK_ROWS)
+#: Sums of rows that wait in a task before equal rows are joined and sent.
+WAITING_SUMS = 1 << 20
+UNIT = 1e6
+END = np.uint64(2)
+START = np.uint64(1)
+#: Marks the hash of a word that is not hot; hot words go by their number.
+RARE = np.uint64(1 << 63)
+
+
+def predicted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all predicted tokens of a block in order: the word before, the word, its row; and the rows' numbers of tokens."""
+    data, offsets = text_buffer(batch.column("text"))
+    starts, ends = find_words(data, offsets)
+    row = np.searchsorted(offsets, starts, side="right") - 1
+    words = np.maximum(word_hashes(data, starts, ends, SEEDS[0]), np.uint64(3))
+    n = np.bincount(row, minlength=batch.num_rows)
+    length = np.where(n > 0, n + 1, 0)
+    last = np.cumsum(length)
+    after = np.full(int(length.sum()), END)
+    inside = np.ones(len(after), bool)
+    inside[last[n > 0] - 1] = False
+    after[inside] = words
+    before = np.empty_like(after)
+    before[1:] = after[:-1]
+    before[(last - length)[n > 0]] = START
+    return before, after, np.repeat(np.arange(batch.num_rows), length), n
+
+
+def firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where a new combination of values begins in sorted columns."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The low and the high halves of 64-bit numbers; the halves of small numbers compress to nothing."""
+    return values.astype(np.uint32).tobytes() + (values >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def from_planes(raw: bytes, n: int, at: int = 0) -> np.ndarray:
+    return np.frombuffer(raw, np.uint32, n, at).astype(np.uint64) | np.frombuffer(raw, np.uint32, n, at + 4 * n).astype(np.uint64) << np.uint64(32)
+
+
+WORDS = "bucket long, n int, packed binary"
+COUNTS = "word long, target long, background long, distinct long"
+
+
+def send_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The distinct words of a block with their counts in both models, packed by bucket."""
+    for batch in blocks(batches, BLOCK_BYTES, BLOCK_ROWS):
+        _, words, row, _ = predicted(batch)
+        if not len(words):
+            continue
+        target = batch.column("target").to_numpy(zero_copy_only=False)[row]
+        order = np.argsort(words, kind="stable")
+        words, target = words[order], target[order]
+        first = firsts(words)
+        n = np.diff(np.append(first, len(words))).astype(np.uint32)
+        good = np.add.reduceat(target.astype(np.int64), first).astype(np.uint32)
+        words = words[first]
+        rows = []
+        for bucket, a, b in slices(words >> np.uint64(64 - bits)):
+            rows.append((bucket, b - a, words[a:b].tobytes() + zlib.compress(good[a:b].tobytes() + n[a:b].tobytes(), 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "n", "packed"])
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
-
-    def rows() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-        counts.clear()
-        return out
-
-    for batch in chunks(batches, "text"):
-        for text in texts_of(batch.column("text")):
-            counts.update(text.split())
-        if len(counts) > COUNTED_WORDS:
-            yield rows()
-    yield rows()
-
-
-def shared_vocabulary(docs: DataFrame) -> list[bytes]:
-    """The most frequent words of all documents, MAX_WORDS at most, ordered by count and bytes.
-
-    A histogram of the counts tells from which count on the words fit; words of one cell come together,
-    so nothing is sorted and no task sends more than its share of the vocabulary to the driver.
-    """
-    counted = docs.select("text").mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = durable(counted, "lm-words")
-    cells = counts.groupBy(sketch_cell(F.col("n")).alias("cell")).agg(F.count("*").alias("words")).collect()  # cells of a sketch
-    room, least = MAX_WORDS, None
-    for cell, words in sorted(cells, reverse=True):
-        room -= words
-        if room < 0:
-            break
-        least = cell
-    if least is None:
-        return []
-    top = counts.filter(F.col("n") >= least).collect()  # MAX_WORDS rows at most
-    return [bytes(r.word) for r in sorted(top, key=lambda r: (-r.n, r.word))]
-
-
-def bigram_cells(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    mixed = (before.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(64 - BIGRAM_BITS)).astype(np.int64)
-
-
-def encode(text: bytes, vocabulary: Vocabulary) -> np.ndarray:
-    """The ids of the words of a text."""
-    words = text.split()
-    return np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))
-
-
-def count_ngrams(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    """Partial tables of this task, in slices: table 0 and 1 words of background and target, 2 and 3 bigrams."""
-    ids = Vocabulary({w: k + FIRST for k, w in enumerate(vocabulary.value)})
-    n_ids = len(ids) + FIRST
-    tables = [np.zeros(n_ids, np.int64), np.zeros(n_ids, np.int64), np.zeros(1 << BIGRAM_BITS, np.int64), np.zeros(1 << BIGRAM_BITS, np.int64)]
-    for batch in chunks(batches, "text"):
-        parts: dict[bool, list[np.ndarray]] = {False: [], True: []}
-        for text, target in zip(texts_of(batch.column("text")), batch.column("target").to_pylist()):
-            parts[target] += [np.array([START]), encode(text, ids)]
-        for target, arrays in parts.items():
-            if arrays:
-                stream = np.concatenate(arrays)
-                inside = stream[1:] != START
-                tables[target] += np.bincount(stream[stream != START], minlength=n_ids)
-                cells = bigram_cells(stream[:-1][inside], stream[1:][inside])
-                tables[2 + target] += np.bincount(cells, minlength=1 << BIGRAM_BITS)
-    rows = []
-    for k, counts in enumerate(tables):
-        for first in range(0, len(counts), SLICE):
-            part = counts[first : first + SLICE]
-            if part.any():
-                rows.append((k << 40 | first, part.astype(np.uint32).tobytes() if part.max() < 1 << 32 else part.tobytes(), len(part)))
-    if rows:
-        cols = list(zip(*rows))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32())], names=["slice", "counts", "n"])
-
-
-def sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for place, blob, n in zip(*(c.to_pylist() for c in batch.columns)):
-            counts = np.frombuffer(blob, np.uint32 if len(blob) == 4 * n else np.int64).astype(np.int64)
-            sums[place] = sums[place] + counts if place in sums else counts
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "counts"])
-
-
-class BigramModels:
-    """Target and background over one vocabulary; losses in nats."""
-
-    def __init__(self, vocabulary: list[bytes], tables: list[np.ndarray]):
-        self.vocabulary = vocabulary
-        totals = [float(t.sum()) for t in tables[:2]]
-        self.trained = min(totals) > 0
-        if not self.trained:
-            return
-        n_ids = len(tables[0])
-        self.word_p, self.context, self.bigrams = [], [], []
-        for k in (0, 1):
-            scale = totals[1] / totals[k]  # the background at the target's size
-            words = tables[k] * scale
-            self.word_p.append(((words + 1.0) / (words.sum() + n_ids)).astype(np.float32))
-            self.context.append(words.astype(np.float32))
-            self.bigrams.append((tables[2 + k] * scale).astype(np.float32))
-
-    def losses(self, ids: np.ndarray) -> np.ndarray:
-        """Per token the loss under the background (row 0) and the target (row 1)."""
-        before = np.concatenate([[START], ids[:-1]])
-        cells = bigram_cells(before, ids)
-        out = np.empty((2, len(ids)))
-        for k in (0, 1):
-            p = (self.bigrams[k][cells] + SMOOTHING * self.word_p[k][ids]) / (np.maximum(self.context[k][before], self.bigrams[k][cells]) + SMOOTHING)
-            out[k] = -np.log(p)
-        return out
-
-
-def train(docs: DataFrame, labels: DataFrame) -> BigramModels:
-    """Both models from all of ``docs``; target are the documents that a label calls good (quality 1)."""
-    spark = docs.sparkSession
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("__id")).distinct().withColumn("target", F.lit(True))
-    # labels grow with the documents, so both sides are shuffled at every size
-    marked = docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
-    marked = durable(marked.select("text", F.coalesce("target", F.lit(False)).alias("target")), "lm-corpus")
-    vocabulary = shared_vocabulary(marked)
-    shared = spark.sparkContext.broadcast(vocabulary)  # MAX_WORDS words
-    slices = marked.mapInArrow(partial(count_ngrams, vocabulary=shared), "slice long, counts binary, n int")
-    summed = slices.repartition("slice").mapInArrow(sum_slices, "slice long, counts binary")
-    n_ids = len(vocabulary) + FIRST
-    tables = [np.zeros(n, np.int64) for n in (n_ids, n_ids, 1 << BIGRAM_BITS, 1 << BIGRAM_BITS)]
-    for place, blob in summed.collect():  # the tables' own size, whatever the input
-        counts = np.frombuffer(blob, np.int64)
-        first = place & ((1 << 40) - 1)
-        tables[place >> 40][first : first + len(counts)] = counts
-    return BigramModels(vocabulary, tables)
+    """Of each bucket the words that may be hot, and in a row without a word the totals."""
+    for _, rows in runs(batches):
+        words = np.concatenate([np.frombuffer(p, np.uint64, n) for _, n, p in rows])
+        counts = [np.frombuffer(zlib.decompress(p[8 * n :]), np.uint32).reshape(2, n) for _, n, p in rows]
+        good, n = np.concatenate(counts, axis=1).astype(np.int64)
+        order = np.argsort(words, kind="stable")
+        first = firsts(words[order])
+        words, good, n = words[order][first], np.add.reduceat(good[order], first), np.add.reduceat(n[order], first)
+        # a word that is hot in the whole corpus is hot in its bucket
+        hot = (n * HOT_WORDS >= n.sum()) | (words == END)
+        columns = (
+            pa.concat_arrays([pa.array(words[hot].view(np.int64)), pa.nulls(1, pa.int64())]),
+            pa.array(np.append(good[hot], good.sum())),
+            pa.array(np.append((n - good)[hot], (n - good).sum())),
+            pa.array(np.append(np.zeros(hot.sum(), np.int64), len(words))),
+        )
+        yield pa.RecordBatch.from_arrays(list(columns), names=["word", "target", "background", "distinct"])
+
+
+@dataclass
+class Corpus:
+    """Both models' tokens, the size of the vocabulary, and the hot words (sorted) with their counts."""
+
+    tokens: np.ndarray
+    words: int
+    hot: np.ndarray
+    hot_counts: np.ndarray
+
+    @property
+    def scale(self) -> np.ndarray:
+        """Counts are taken at the target's size; the models are the target and the background."""
+        return self.tokens[0] / self.tokens
+
+    def named(self, words: np.ndarray) -> np.ndarray:
+        """Hot words by number, others by their marked hash."""
+        place = np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)
+        return np.where(self.hot[place] == words, place.astype(np.uint64), words | RARE)
+
+    def losses(self, pair: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Per model what a pair with these counts adds, in millionths of a nat."""
+        scale = self.scale[:, None]
+        p = (after * scale + 1.0) / (self.tokens[0] + self.words)
+        loss = np.log(after * scale + SMOOTHING) - np.log(pair * scale + SMOOTHING * p)
+        return np.rint(loss * UNIT).astype(np.int64)
+
+
+def corpus_counts(marked: DataFrame, bits: int, partitions: int) -> Corpus:
+    sent = marked.select("text", "target").mapInArrow(partial(send_words, bits=bits), WORDS)
+    counted = durable(sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(count_words, COUNTS), "lm-words")
+    sums = counted.filter("word is null").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("target", "background", "distinct"))).first()
+    total = sums.target + sums.background
+    # at most HOT_WORDS words, and the end mark
+    hot = counted.filter("word is not null").filter((F.col("target") + F.col("background")) * HOT_WORDS >= total).union(counted.filter(F.col("word") == int(END)))
+    rows = sorted({(r.word % (1 << 64), r.target, r.background) for r in hot.collect()})
+    counts = np.array([r[1:] for r in rows], np.float64).reshape(-1, 2).T
+    return Corpus(np.array([sums.target, sums.background], np.float64), sums.distinct, np.array([r[0] for r in rows], np.uint64), counts)
+
+
+PAIRS = "bucket long, block long, n int, packed binary, ids binary"
+SUMS = "block long, row int, doc_id long, n_tokens long, target long, background long"
+
+
+def send_pairs(batches: Iterator[pa.RecordBatch], corpus, bits: int) -> Iterator[pa.RecordBatch]:
+    """The distinct pairs of words of a block and the rows that hold them, packed by bucket; and a row with the ids and
+    numbers of tokens of the block's rows."""
+    model = corpus.value
+    for batch in blocks(batches, BLOCK_BYTES, BLOCK_ROWS):
+        before, after, row, n_tokens = predicted(batch)
+        ids = batch.column("doc_id").to_pylist()
+        keys = batch.column("row_key").to_numpy()
+        # the same rows in the same order make the same block, also in a task that is run again
+        block = xxhash.xxh64_intdigest(keys.tobytes()) - (1 << 63)
+        known = np.array([d is not None for d in ids], np.uint8)
+        table_of_rows = known.tobytes() + np.array([d or 0 for d in ids], np.int64).tobytes() + n_tokens.astype(np.int64).tobytes()
+        rows = [(block & ((1 << bits) - 1), block, len(ids), None, table_of_rows)]
+        if len(after):
+            target = batch.column("target").to_numpy(zero_copy_only=False)
+            place = row.astype(np.uint16) | np.where(target[row], TARGET_BIT, np.uint16(0))
+            before, after = model.named(before), model.named(after)
+            dealt = mix(np.where(after < RARE, before * STEP[0] + after, after))
+            order = np.lexsort((place, before, after, dealt >> np.uint64(64 - bits)))
+            bucket, before, after, place = (dealt >> np.uint64(64 - bits))[order], before[order], after[order], place[order]
+            first = firsts(bucket, after, before)
+            count = np.diff(np.append(first, len(place))).astype(np.uint32)
+            bucket, before, after = bucket[first], before[first], after[first]
+            ends = np.append(first, len(place))
+            for k, a, b in slices(bucket):
+                packed = planes(after[a:b]) + planes(before[a:b]) + count[a:b].tobytes() + place[ends[a] : ends[b]].tobytes()
+                rows.append((k, block, b - a, zlib.compress(packed, 1), None))
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[f.split()[0] for f in PAIRS.split(", ")])
+
+
+def joined_sums(parts: list[tuple]) -> pa.RecordBatch:
+    """One row for each row of a block in a list of (block, row, target, background)."""
+    block, row, *losses = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((row, block))
+    block, row = block[order], row[order]
+    first = firsts(block, row)
+    sums = [np.add.reduceat(x[order], first) for x in losses]
+    none = pa.nulls(len(first), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(row[first].astype(np.int32)), none, none, *map(pa.array, sums)], names=[f.split()[0] for f in SUMS.split(", ")])
+
+
+def pair_losses(batches: Iterator[pa.RecordBatch], corpus) -> Iterator[pa.RecordBatch]:
+    """For the rows of all blocks the sums of the losses of their pairs in this task's buckets."""
+    model, names = corpus.value, [f.split()[0] for f in SUMS.split(", ")]
+    waiting, n_waiting = [], 0
+    for _, rows in runs(batches):
+        packed = []
+        for _, block, n, blob, table_of_rows in rows:
+            if blob is not None:
+                packed.append((block, n, zlib.decompress(blob)))
+                continue
+            known = np.frombuffer(table_of_rows, np.uint8, n) == 0
+            ids, tokens = np.frombuffer(table_of_rows[n:], np.int64).reshape(2, n)
+            zero = pa.array(np.zeros(n, np.int64))
+            columns = [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(ids, mask=known), pa.array(tokens), zero, zero]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        if not packed:
+            continue
+        after = np.concatenate([from_planes(raw, n) for _, n, raw in packed])
+        before = np.concatenate([from_planes(raw, n, 8 * n) for _, n, raw in packed])
+        count = np.concatenate([np.frombuffer(raw, np.uint32, n, 16 * n) for _, n, raw in packed]).astype(np.int64)
+        place = np.concatenate([np.frombuffer(raw, np.uint16, offset=20 * n) for _, n, raw in packed])
+        block = np.repeat(np.array([b for b, _, _ in packed]), [(len(raw) - 20 * n) // 2 for _, n, raw in packed])
+        good = np.add.reduceat((place & TARGET_BIT > 0).astype(np.int64), np.cumsum(count) - count)
+        both = np.stack([good, count - good])
+        order = np.lexsort((before, after))
+        after, both = after[order], both[:, order]
+        first = firsts(after, before[order])
+        pair = np.add.reduceat(both, first, axis=1)
+        word = firsts(after[first])
+        of_word = np.repeat(np.arange(len(word)), np.diff(np.append(word, len(first))))
+        # all pairs of a word that is not hot are here; a hot word's count is known
+        single = np.add.reduceat(pair, word, axis=1)[:, of_word].astype(np.float64)
+        hot = after[first] < RARE
+        single[:, hot] = model.hot_counts[:, after[first][hot].astype(np.int64)]
+        found = model.losses(pair, single)
+        losses = np.empty((2, len(order)), np.int64)
+        losses[:, order] = np.repeat(found, np.diff(np.append(first, len(order))), axis=1)
+        at = np.repeat(np.arange(len(count)), count)
+        waiting.append((block, place & (TARGET_BIT - np.uint16(1)), losses[0][at], losses[1][at]))
+        n_waiting += len(place)
+        if n_waiting > WAITING_SUMS:
+            merged = joined_sums(waiting)
+            waiting, n_waiting = [tuple(merged.column(k).to_numpy() for k in (0, 1, 4, 5))], merged.num_rows
+            if n_waiting > WAITING_SUMS // 2:
+                yield merged
+                waiting, n_waiting = [], 0
+    if waiting:
+        yield joined_sums(waiting)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs``: n_tokens, mean loss under both models, and their difference."""
-    models = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # fixed by MAX_WORDS and BIGRAM_BITS
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = models.value
-        ids = Vocabulary({w: k + FIRST for k, w in enumerate(model.vocabulary)})
-        for batch in chunks(batches, "text"):
-            n_tokens, losses = [], []
-            for text in texts_of(batch.column("text")):
-                tokens = encode(text, ids)
-                n_tokens.append(len(tokens))
-                losses.append(model.losses(tokens).mean(axis=1) if model.trained and len(tokens) else np.zeros(2))
-            means = np.array(losses)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(means[:, 1]), pa.array(means[:, 0]), pa.array(means[:, 1] - means[:, 0])],
-                names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-            )
-
-    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return given.mapInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    spark = docs.sparkSession
+    bits, partitions = bucket_bits(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    given = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("row_key"))
+    good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("good_id")).distinct().withColumn("target", F.lit(True))
+    # labels grow with the documents, so both sides are shuffled at every size; the written table gives both passes equal blocks
+    joined = given.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
+    marked = durable(joined.select("doc_id", "row_key", "text", F.coalesce("target", F.lit(False)).alias("target")), "lm-corpus")
+    counts = corpus_counts(marked, bits, partitions)
+    if not counts.tokens.all():
+        n_tokens = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+        return given.select("doc_id", n_tokens.alias("n_tokens"), *(F.lit(0.0).alias(c) for c in ("target_loss", "background_loss", "score")))
+    corpus = spark.sparkContext.broadcast(counts)  # HOT_WORDS words at most
+    pairs = marked.mapInArrow(partial(send_pairs, corpus=corpus, bits=bits), PAIRS)
+    sums = pairs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(partial(pair_losses, corpus=corpus), SUMS)
+    # blocks with equal rows share their number; each of their rows is there once for each copy of the block
+    copies = F.count("n_tokens")
+    rows = sums.groupBy("block", "row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("target").alias("t"), F.sum("background").alias("b"), copies.alias("copies")
+    )
+    per_token = F.col("copies") * F.greatest(F.col("n_tokens") + 1, F.lit(1)) * UNIT
+    scored = rows.withColumns({"target_loss": F.col("t") / per_token, "background_loss": F.col("b") / per_token})
+    out = scored.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"), "copies")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")
 
 
 def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:

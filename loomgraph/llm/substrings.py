@@ -33,7 +33,6 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import partial
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import boxed, bucket_bits, chunks, table, text_buffer, texts_of, unboxed
+from loomgraph.llm.common import blocks, boxed, bucket_bits, chunks, runs, slices, table, text_buffer, texts_of, unboxed
 from loomgraph.session import durable
 
 WINDOW = 50
@@ -137,37 +136,11 @@ def _unpack_keys(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.uint32, n).astype(np.uint64) | np.frombuffer(blob, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
-def _slices(buckets: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(bucket, first, end) of the runs in a sorted array."""
-    if len(buckets):
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(buckets)) + 1, [len(buckets)]])
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            yield int(buckets[a]), a, b
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[tuple]]]:
-    """The rows of a sorted input, grouped by their first column; one group is held at a time."""
-
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 64):
-                yield from zip(*(c.to_pylist() for c in batch.slice(first, 64).columns))
-
-    for key, group in groupby(rows(), key=lambda row: row[0]):
-        yield key, list(group)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text", limit):
-        for first in range(0, batch.num_rows, BLOCK_ROWS):
-            yield batch.slice(first, BLOCK_ROWS)
-
-
 def send_anchors(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterator[pa.RecordBatch]:
     """Packed rows by bucket of the anchors. With ``places``: anchors of one row of the block each; with ``counts``: anchors of
     several rows of the block. One more row per block has its row keys and the (row, anchor) pairs decided in it."""
     shift = np.uint64(64 - bucket_bits)
-    for batch in _blocks(batches, BLOCK_BYTES):
+    for batch in blocks(batches, BLOCK_BYTES, BLOCK_ROWS):
         known = pc.is_valid(batch.column("doc_id")).to_numpy(zero_copy_only=False)
         row_keys = batch.column("row_key").to_numpy()
         data, offsets = text_buffer(batch.column("text"))
@@ -188,10 +161,10 @@ def send_anchors(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterato
         block = xxhash.xxh64_intdigest(row_keys.tobytes()) - (1 << 63)
         rows: list[tuple] = []
         once, more = first[count == 1], first[count > 1]
-        for bucket, a, b in _slices(keys[once] >> shift):
+        for bucket, a, b in slices(keys[once] >> shift):
             rows.append((bucket, block, None, _pack_keys(keys[once[a:b]] & KEY_MASK), doc[once[a:b]].tobytes(), None))
         counts = count[count > 1].astype(np.uint32)
-        for bucket, a, b in _slices(keys[more] >> shift):
+        for bucket, a, b in slices(keys[more] >> shift):
             rows.append((bucket, block, counts[a:b].tobytes(), _pack_keys(keys[more[a:b]] & KEY_MASK), None, None))
         decided = np.repeat(count > 1, count)
         rows.append((int(keys[0] >> shift), block, None, _pack_keys(keys[decided] & KEY_MASK), doc[decided].tobytes(), row_keys.tobytes()))
@@ -205,7 +178,7 @@ def shared_anchors(batches: Iterator[pa.RecordBatch], min_hot: int) -> Iterator[
     """By block, the (row, anchor) pairs whose anchor is found in two or more rows; the row without a block has the
     anchors of over ``min_hot`` rows, their numbers of rows, and the number of all anchors seen."""
     hot_keys, hot_counts, total = [], [], 0
-    for _, rows in _runs(batches):
+    for _, rows in runs(batches):
         out = [(block, places, keys, table, None) for _, block, _, keys, places, table in rows if table is not None]
         rows = [r for r in rows if r[5] is None]
         if rows:
@@ -226,7 +199,7 @@ def shared_anchors(batches: Iterator[pa.RecordBatch], min_hot: int) -> Iterator[
             key, source, place = key[several], source[several], place[several]
             order = np.argsort(source, kind="stable")
             key, source, place = key[order], source[order], place[order]
-            out += [(rows[k][1], place[a:b].tobytes(), _pack_keys(key[a:b]), None, None) for k, a, b in _slices(source)]
+            out += [(rows[k][1], place[a:b].tobytes(), _pack_keys(key[a:b]), None, None) for k, a, b in slices(source)]
         if out:
             yield _batch(FOUND, out)
     hot = np.concatenate([np.zeros(0, np.uint64), *hot_keys])
@@ -238,7 +211,7 @@ LISTS = "row_key long, keys array<long>, hot array<long>, total long"
 
 def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row_key, keys): the shared anchors of the rows of each block; the summary passes through."""
-    for block, rows in _runs(batches):
+    for block, rows in runs(batches):
         if block is None:
             yield _batch(LISTS, [(None, _unpack_keys(k).astype(np.int64).tolist(), np.frombuffer(c, np.int64).tolist(), n) for _, _, k, c, n in rows])
             continue
@@ -276,7 +249,7 @@ def send_contexts(batches: Iterator[pa.RecordBatch], hot_keys, bucket_bits: int)
     """The windows of each shared anchor as one run of bytes, packed by bucket of the anchor (of the window, if
     the anchor is hot); rows with a negative number are spans already decided."""
     hot = hot_keys.value
-    for part in _blocks(batches, CONTEXT_BLOCK_BYTES):
+    for part in blocks(batches, CONTEXT_BLOCK_BYTES, BLOCK_ROWS):
         ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
         row_keys = part.column("row_key").to_numpy()
         data, offsets = text_buffer(part.column("text"))
@@ -383,7 +356,7 @@ def owned_elsewhere(docs: np.ndarray, begin: np.ndarray, size: np.ndarray, data:
 def refine_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans (row_key, doc_id, start, end) of windows owned by smaller documents, bucket by bucket."""
     names = [f.split()[0] for f in SPANS.split(", ")]
-    for _, rows in _runs(batches):
+    for _, rows in runs(batches):
         fields, texts = [], []
         for _, n, packed in rows:
             if n < 0:

@@ -381,38 +381,36 @@ def test_passage_dedup(docs, batches, monkeypatch):
     assert Counter(tuple(r) for r in rows) == want
 
 
-def test_lm_scores(docs, labels, nothing):
+@pytest.mark.parametrize("hot", [1 << 18, 1, 200])
+def test_lm_scores(docs, labels, nothing, hot, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HOT_WORDS", hot)
     good = {r.doc_id for r in labels.collect() if r.quality == 1}
-    texts = [(d, (t or "").encode().split()) for d, t, *_ in fixture_rows()]
-    counts = Counter(w for _, ws in texts for w in ws)
-    ids = {w: k + 2 for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w)))}
+    texts = [(d, ["^", *(t or "").encode().split(), "$"]) for d, t, *_ in fixture_rows()]
     uni, bi = [Counter(), Counter()], [Counter(), Counter()]
-
-    def cell(a, b):
-        return int(lm_scoring.bigram_cells(np.array([a]), np.array([b]))[0])
-
     for d, ws in texts:
-        before = 1
-        for w in ws:
-            uni[d in good][ids[w]] += 1
-            bi[d in good][cell(before, ids[w])] += 1
-            before = ids[w]
-    total = [sum(u.values()) for u in uni]
+        if len(ws) > 2:
+            uni[d not in good].update(ws[1:])
+            bi[d not in good].update(zip(ws, ws[1:]))
+    total, n_words = [sum(u.values()) for u in uni], len(uni[0] | uni[1])
+    want = []
+    for d, ws in texts:
+        losses = []
+        for k in (0, 1):
+            scale = total[0] / total[k]
+            p = []
+            for a, b in zip(ws, ws[1:]):
+                p1 = (uni[k][b] * scale + 1) / (total[0] + n_words)
+                p.append((bi[k][a, b] * scale + 50 * p1) / (uni[k]["$" if a == "^" else a] * scale + 50))
+            losses.append(-np.mean(np.log(p)) if len(ws) > 2 else 0.0)
+        want.append((d is None, d or 0, len(ws) - 2, round(losses[0], 4), round(losses[1], 4)))
     rows = lm_scoring.score_documents(docs, labels).collect()
-    for r in rows:
-        ws = next(ws for d, ws in texts if d == r.doc_id and len(ws) == r.n_tokens)
-        losses, before = [[], []], 1
-        for w in ws:
-            for k in (0, 1):
-                scale = total[1] / total[k]
-                p1 = (uni[k][ids[w]] * scale + 1) / (total[k] * scale + len(ids) + 2)
-                c = bi[k][cell(before, ids[w])] * scale
-                losses[k].append(-np.log((c + 50 * p1) / (max(uni[k][before] * scale, c) + 50)))
-            before = ids[w]
-        want = np.mean(losses[1]) - np.mean(losses[0]) if ws else 0.0
-        if r.doc_id != 13:  # two texts of one length share this id
-            assert r.score == pytest.approx(want, abs=1e-4)
-    assert len(rows) == len(texts) and lm_scoring.score_documents(nothing, labels).count() == 0
+    found = [(r.doc_id is None, r.doc_id or 0, r.n_tokens, r.target_loss, r.background_loss) for r in rows]
+    for a, b in zip(sorted(found), sorted(want), strict=True):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=2e-4)
+    assert all(r.score == pytest.approx(r.target_loss - r.background_loss) for r in rows)
+    assert lm_scoring.score_documents(nothing, labels).count() == 0
+    unlabelled = lm_scoring.score_documents(docs, labels.filter("quality = 7")).collect()
+    assert len(unlabelled) == len(texts) and {r.score for r in unlabelled} == {0.0}
 
 
 def test_empty_tables(nothing):
