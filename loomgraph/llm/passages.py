@@ -2,14 +2,16 @@
 
 A word goes if a window of 35 words covering it also starts anywhere else. Of the 10-word grams in a
 window the one(s) of least hash are its fingerprints, so equal windows share them. Documents arrive in
-batches. Each batch writes one immutable run, bucketed and sorted by fingerprint; the run is merge-joined
-with every historical run (equal buckets, no shuffle of the index) to find what has been seen before,
-and runs are compacted into one when there are more than MAX_RUNS. Rows that hold a repeated fingerprint
-are then verified: their windows are compared by two independent digests (64 and 32 bits) of the words themselves.
+batches (``FingerprintIndex.add``; a kept index takes further batches later). Each batch writes one immutable run,
+bucketed and sorted by fingerprint; the run is merge-joined with every historical run (equal buckets, no shuffle
+of the index) to find what has been seen before, and runs are compacted into one when there are more than MAX_RUNS.
+A whole table is fingerprinted in one pass over its texts, and its blocks of rows are the batches. Rows that hold a
+repeated fingerprint are then verified: their windows are compared by two independent digests (64 and 32 bits) of
+the words themselves.
 
 A block of documents sends a fingerprint or a window once however often it repeats there, so a passage in
 a third of all rows costs a row per block. Windows are dealt by their own digest, so windows around one
-common gram do not meet in one task.
+common gram do not meet in one task. Tasks sort what they get by bucket and hold one bucket at a time.
 
 Defined results: null or empty text has no words; rows are told apart by id and text, so rows without an
 id take part and equal rows count as each other's copies; texts of fewer than 35 words keep everything;
@@ -28,10 +30,11 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bucket_bits, chunks, table, text_buffer
+from loomgraph.llm.common import bucket_bits, chunks, runs, table, text_buffer
 from loomgraph.llm.substrings import BLOCK_BYTES, merged_spans, sliding
 from loomgraph.session import durable, shared_path
 
@@ -115,12 +118,12 @@ def _rows(batch: pa.RecordBatch) -> tuple:
     return batch.column("row_key").to_numpy(), data, offsets, starts, ends, row
 
 
-RUN = "h long, row_key long, n int, keys array<long>"
+RUN = "h long, row_key long, n int, keys array<long>, block long"
 
 
 def send_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index rows: (h, row_key, 1) for a fingerprint met once in the block, (h, null, n) for one met n times,
-    and (., row_key, 0, keys) with the fingerprints of a row that the block has already found repeated."""
+    and (., row_key, 0, keys) with the fingerprints of a row that the block has already found repeated; and the block."""
     for batch in chunks(batches, "text", BLOCK_BYTES):
         ids, data, offsets, starts, ends, row = _rows(batch)
         words = word_hashes(data, starts, ends, SEEDS[0])
@@ -145,8 +148,9 @@ def send_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 pa.concat_arrays([pa.array(ids[of[once]]), pa.nulls(len(more), pa.int64()), pa.array(held)]),
                 pa.array(np.concatenate([np.ones(len(once)), count[count > 1], np.zeros(len(held))]).astype(np.int32)),
                 pa.concat_arrays([pa.nulls(n, lists.type), lists]),
+                pa.array(np.full(n + len(held), xxhash.xxh64_intdigest(ids.tobytes()) - (1 << 63))),
             ],
-            names=["h", "row_key", "n", "keys"],
+            names=["h", "row_key", "n", "keys", "block"],
         )
 
 
@@ -167,8 +171,12 @@ class FingerprintIndex:
         return name
 
     def add(self, docs: DataFrame) -> None:
-        """Appends a batch (row_key, text): one run, merge-joined with the history."""
-        run = self._write(docs.mapInArrow(send_fingerprints, RUN))
+        """Appends a batch of rows (row_key, text)."""
+        self.add_fingerprints(docs.select("row_key", "text").mapInArrow(send_fingerprints, RUN))
+
+    def add_fingerprints(self, rows: DataFrame) -> None:
+        """Appends the index rows of a batch: one run, merge-joined with the history."""
+        run = self._write(rows.drop("block"))
         fresh = self.spark.table(run).filter("n > 0")
         seen = fresh.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
         for old in self.runs:
@@ -208,7 +216,7 @@ class FingerprintIndex:
 
     def drop(self) -> None:
         for name in self.runs:
-            self.spark.sql(f"DROP TABLE {name}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.runs = []
 
 
@@ -287,6 +295,8 @@ def _deal_places(key: np.ndarray, where: np.ndarray, bucket_bits: int) -> Iterat
         return
     buckets = mix(key.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bucket_bits)
     order = np.lexsort((where, key, buckets))
+    # equal rows share a key, so each of their windows is sent once
+    order = order[np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (where[order][1:] != where[order][:-1])])]
     buckets, key, where = buckets[order], key[order], where[order]
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(buckets)) + 1, [len(buckets)]])
     rows = [(int(buckets[a]), _pack_places(key[a:b], where[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
@@ -296,9 +306,11 @@ def _deal_places(key: np.ndarray, where: np.ndarray, bucket_bits: int) -> Iterat
 
 def spans_by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row_key, spans in words): one row per row with marked windows, runs that overlap or touch joined."""
-    parts = [_unpack_places(x) for batch in batches for x in batch.column("places").to_pylist()]
-    if not parts:
-        return
+    for _, rows in runs(batches):
+        yield from _spans([_unpack_places(places) for _, places in rows])
+
+
+def _spans(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     key, where = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((where, key))
     key, where = key[order], where[order].astype(np.int64)
@@ -312,17 +324,20 @@ def spans_by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_windows(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterator[pa.RecordBatch]:
     """The windows that are met twice or more over all blocks, dealt by row."""
-    parts = []
-    for batch in batches:
-        for _, kind, digests, places in zip(*(x.to_pylist() for x in batch.columns)):
+    for _, rows in runs(batches):
+        parts = []
+        for _, kind, digests, places in rows:
             key, where = _unpack_places(places)
             if kind:
                 yield from _deal_places(key, where, bucket_bits)
             else:
                 n = len(key)
                 parts.append((np.frombuffer(digests, np.uint64, n), np.frombuffer(digests, np.uint32, n, 8 * n), key, where))
-    if not parts:
-        return
+        if parts:
+            yield from _deal_places(*_met_twice(parts), bucket_bits)
+
+
+def _met_twice(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     first, second, key, where = map(np.concatenate, zip(*parts))
     order = np.lexsort((second, first))
     first, second, key, where = first[order], second[order], key[order], where[order]
@@ -330,7 +345,7 @@ def repeated_windows(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Ite
     held = where < REPEATED_HERE  # those with the bit set are decided already
     count = np.add.reduceat(np.where(held, 1, 2), begin)
     mark = np.repeat(count > 1, np.diff(np.append(begin, len(first)))) & held
-    yield from _deal_places(key[mark], where[mark], bucket_bits)
+    return key[mark], where[mark]
 
 
 def _given(docs: DataFrame) -> DataFrame:
@@ -341,17 +356,21 @@ def _given(docs: DataFrame) -> DataFrame:
 def repeated_passages(given: DataFrame, n_batches: int = BATCHES) -> DataFrame:
     """row_key and ``spans`` (array of start, end in words) of what must go."""
     spark = given.sparkSession
+    fingerprints = durable(given.select("row_key", "text").mapInArrow(send_fingerprints, RUN), "fingerprints")
     index = FingerprintIndex(spark)
-    rows = given.select("row_key", "text")
-    for batch in range(n_batches):
-        index.add(rows.filter(F.pmod(F.col("row_key"), F.lit(n_batches)) == batch))
-    candidates = durable(index.candidates(), "passage-candidates")
-    index.drop()
-    bits = bucket_bits(spark)
+    try:
+        for batch in range(n_batches):
+            index.add_fingerprints(fingerprints.filter(F.pmod("block", F.lit(n_batches)) == batch))
+        candidates = durable(index.candidates(), "passage-candidates")
+    finally:
+        index.drop()
+    bits, partitions = bucket_bits(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     # all columns of ``given`` stay, so that this join and the caller's use one shuffle of the texts
     windows = given.join(candidates, "row_key").mapInArrow(partial(send_windows, bucket_bits=bits), WINDOWS)
-    marked = windows.repartition("bucket").mapInArrow(partial(repeated_windows, bucket_bits=bits), PLACED)
-    return marked.repartition("bucket").mapInArrow(spans_by_row, "row_key long, spans array<struct<start:long,end:long>>")
+    met = windows.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    marked = met.mapInArrow(partial(repeated_windows, bucket_bits=bits), PLACED)
+    dealt = marked.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(spans_by_row, "row_key long, spans array<struct<start:long,end:long>>")
 
 
 def kept_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, list[bytes]]:

@@ -381,6 +381,21 @@ def test_passage_dedup(docs, batches, monkeypatch):
     assert Counter(tuple(r) for r in rows) == want
 
 
+def test_index_is_kept_between_batches(spark, monkeypatch):
+    """Later batches meet what earlier ones left, before and after the runs are compacted, and tables go at the end."""
+    monkeypatch.setattr(passages, "MAX_RUNS", 1)
+    shared, alone = words(31, 50), [words(60 + k, 60) for k in range(6)]
+    batches = [[(1, shared + " a"), (2, alone[0])], [(3, alone[1]), (4, alone[2] + " x")], [(5, "b " + shared), (6, alone[3])], [(7, alone[2] + " y"), (8, "")]]
+    index, met = passages.FingerprintIndex(spark, 3), []
+    for rows in batches:
+        index.add(spark.createDataFrame(rows, "row_key long, text string"))
+        met.append({r.row_key for r in index.candidates().collect()})
+    assert met == [set(), set(), {1, 5}, {1, 5, 4, 7}] and len(index.runs) == 1
+    tables = list(index.runs)
+    index.drop()
+    assert not any(spark.catalog.tableExists(t) for t in tables)
+
+
 @pytest.mark.parametrize("hot", [1 << 18, 1, 200])
 def test_lm_scores(docs, labels, nothing, hot, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HOT_WORDS", hot)
