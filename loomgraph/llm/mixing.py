@@ -9,20 +9,24 @@ words that still fit.
 
 A source may hold a third of all rows, so no window runs over a whole source: keys are dealt
 into buckets, prefix sums run over bucket totals, and only the one bucket per source in which
-the budget ends is sorted row by row. What comes out is one small row per source (its
+the budget ends is sorted row by row. Buckets are equal steps of the logarithm of the key: whatever the
+weights, no step of length 1/n holds more than 0.37/n of a source, and with n the root of the source's rows both
+the buckets and the rows of one are few. What comes out is one small row per source (its
 key threshold), joined back to the documents.
 
 Defined results: null text has size 0; null source is a source of its own, sorted last; equal
-rows (same id and text) share one key and split the border's words evenly; an empty table gives
-no rows; sources without words have target 0.
+rows (same id and text) share one key and split the border's words evenly; other columns pass through whatever
+their names; an empty table gives no rows; sources without words have target 0.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WORD, table
+from loomgraph.llm.common import WORD, boxed, table, unboxed
 from loomgraph.session import durable
 
 #: Weights dealt to the sources in order of their names, repeating.
@@ -30,9 +34,7 @@ SOURCE_WEIGHTS = (5.0, 2.0, 1.0)
 #: The mix has this share of all words; no source is taken more often than MAX_EPOCHS.
 TOTAL_SHARE = 1.5
 MAX_EPOCHS = 2.0
-#: Rows of a source for each bucket of its keys, on average.
-BUCKET_ROWS = 20_000
-#: Sources up to this number are broadcast to the documents; more are joined by a shuffle.
+#: Sources up to this number are broadcast to the documents; more are joined by a shuffle, with the same result.
 BROADCAST_SOURCES = 10_000
 SEED = 20
 
@@ -88,13 +90,12 @@ def source_thresholds(keyed: DataFrame) -> DataFrame:
     """
     targets = durable(source_targets(keyed), "mix-targets")
     largest = targets.agg(F.max("n_rows")).first()[0] or 0
-    n_buckets = max(1, -(-largest // BUCKET_ROWS))
+    n_buckets = max(1, math.isqrt(largest))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = targets.withColumn("epochs", epochs.cast("long")).withColumn(
         "__rest", F.col("target") - F.col("epochs") * F.col("source_size")
     )
-    # keys are exponential, so this map spreads them evenly and keeps their order
-    bucket = F.least(F.floor((1 - F.exp(-0.8 * F.col("__key"))) * n_buckets), F.lit(n_buckets - 1))
+    bucket = F.floor(F.log(F.greatest("__key", F.lit(1e-300))) * n_buckets)
     bucketed = keyed.withColumn("__bucket", bucket)
 
     def border(parts: DataFrame, order: str) -> DataFrame:
@@ -152,18 +153,15 @@ def mix_plan(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document once per whole epoch and once more if
     drawn; the border document's last copy has only its first words, joined by one space."""
-    columns = docs.columns
     keyed = durable(with_sampling_key(docs.select("doc_id", "source", "text")).drop("text"), "mix-keys")
-    taken = _with_taken(with_sampling_key(docs), source_thresholds(keyed))
+    whole = boxed(docs, **{c: F.col(f"row.{c}") for c in ("doc_id", "source", "text")})
+    taken = _with_taken(with_sampling_key(whole).drop("doc_id", "text"), source_thresholds(keyed))
     copies = F.col("epochs") + F.when(F.col("__partial") > 0, 1).otherwise(0)
     dealt = taken.filter(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     cut = (F.col("__copy") > F.col("epochs")) & (F.col("__partial") < F.col("__size"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    words = F.filter(F.split("row.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     shortened = F.array_join(F.slice(words, F.lit(1), F.col("__partial").cast("int")), " ")
-    out = dealt.withColumn("text", F.when(cut, shortened).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    return unboxed(dealt.withColumn("shorter", F.when(cut, shortened)), docs, text="shorter")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
