@@ -5,8 +5,9 @@ character n-grams; the document's score is their noisy-or, 1 - prod(1 - p), so a
 says that at least one sentence is at fault. Gradients of the noisy-or find which. The trained
 sentence scores then locate the offending sentences.
 
-The model is fitted on a bounded, documented sample of labelled rows (MAX_TOXIC and MAX_CLEAN rows,
-those with the least hash of their id): it is the size of its table of weights whatever the data.
+The model is fitted on a bounded, documented sample of labelled ids (MAX_TOXIC and MAX_CLEAN of them,
+those with the least hash; of the texts of one id that with the least hash; texts of over MAX_TEXT_BYTES are left
+out, and so is what exceeds SAMPLE_BYTES of either kind): it is the size of its table of weights whatever the data.
 Scoring covers whole texts and all rows, without shuffling them.
 
 Defined results: null or empty text has no sentence and score 0; equal texts have equal scores; rows
@@ -21,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import CHUNK_BYTES, chunks, table, text_buffer, texts_of
@@ -30,6 +31,8 @@ from loomgraph.session import durable
 #: The labelled rows that the model is fitted on, at most.
 MAX_TOXIC = 2000
 MAX_CLEAN = 4000
+MAX_TEXT_BYTES = 1 << 18
+SAMPLE_BYTES = 16 << 20
 #: Lengths of the n-grams in bytes, and their hash space.
 NGRAMS = (4, 6)
 HASH_BITS = 19
@@ -167,8 +170,12 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = (
         known.filter("__toxic = 1").orderBy(*order).limit(MAX_TOXIC).union(known.filter("__toxic = 0").orderBy(*order).limit(MAX_CLEAN))
     )
-    few = F.broadcast(chosen.withColumnRenamed("doc_id", "__id"))  # MAX_TOXIC + MAX_CLEAN rows at most
-    return docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__toxic")
+    few = F.broadcast(chosen.select(F.col("doc_id").alias("__id"), "__toxic"))  # MAX_TOXIC + MAX_CLEAN rows at most
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = given.filter(F.octet_length("text") <= MAX_TEXT_BYTES).join(few, F.col("doc_id") == F.col("__id"))
+    one = found.groupBy("doc_id", "__toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    running = Window.partitionBy("__toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return one.withColumn("__bytes", F.sum(F.octet_length("text")).over(running)).filter(F.col("__bytes") <= SAMPLE_BYTES).drop("__bytes")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
@@ -206,8 +213,12 @@ def _score_column(model):
 
 def score_documents(docs: DataFrame, labels: DataFrame, column: str = "score") -> DataFrame:
     """``docs`` with the toxicity of every row's whole text."""
+    return docs.withColumn(column, toxicity_of(docs, labels))
+
+
+def toxicity_of(docs: DataFrame, labels: DataFrame) -> Column:
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # one table of 2**HASH_BITS weights
-    return docs.withColumn(column, _score_column(model)(F.col("text").cast("string")))
+    return _score_column(model)(F.col("text").cast("string"))
 
 
 def offending_sentences(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -236,7 +247,7 @@ def offending_sentences(docs: DataFrame, labels: DataFrame, threshold: float = T
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score stays under the threshold."""
-    return score_documents(docs, labels, "__score").filter(F.col("__score") < threshold).drop("__score")
+    return docs.filter(toxicity_of(docs, labels) < threshold)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
