@@ -9,8 +9,14 @@ is cut into power-of-two sequences, which need no padding.
 Packing is local to a partition and looks at a bounded buffer of examples, so nothing is shuffled
 and nothing is gathered; a retried task packs the same rows the same way.
 
+``pack_documents`` packs plain text, all of which bears loss. ``pack_examples`` packs instruction data: an example is a list of
+segments, some of which bear loss, and a sequence holds at most MAX_LOSS_TOKENS such tokens;
+``pack_conversations`` makes an example of every answer and the turn before it.
+
 Defined results: null or empty text is its closing id alone; every row is an example of its own,
-also repeated rows and null ids; an empty table gives no rows.
+also repeated rows and null ids; a closing id bears loss if the segment before it does; of several rows of one turn of
+a conversation and role the least text counts; turns that no answer follows are examples without loss; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +37,8 @@ from loomgraph.llm.common import chunks, table
 
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 256
-MAX_LOSS_TOKENS = 2048
+#: Of instruction data; plain text has as many loss-bearing tokens as it has tokens.
+MAX_LOSS_TOKENS = 1024
 #: Closing id of every document.
 END_ID = 1
 #: Tokens of waiting examples at which a task starts to fill sequences, and at which it waits again.
@@ -128,7 +135,7 @@ class WordCachedTokenizer:
 class Packer:
     """Fills sequences from waiting examples; ``emit`` gets the pieces of each finished sequence."""
 
-    def __init__(self, emit: Callable[[list[tuple[int, int, int]]], None], limits=(MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS)):
+    def __init__(self, emit: Callable[[list[tuple[int, int, int]]], None], limits=(MAX_TOKENS, MAX_SEGMENTS, MAX_TOKENS)):
         self.emit, self.limits = emit, np.array(limits, np.float64)
         self.max_tokens = int(limits[0])
         #: example -> (length, loss prefix sums or None if every token bears loss)
@@ -229,14 +236,13 @@ class Packer:
             left -= size
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, keep_ids: bool = True) -> DataFrame:
-    """Per piece of the rows of ``docs``: its place in its document and in its sequence (every token bears loss)."""
-    path = tokenizer_path or default_tokenizer_path()
+def _packed(examples: DataFrame, names: list[str], schema: str, encode_row: Callable, path: str, keep_ids: bool, limits: tuple) -> DataFrame:
+    """Packs the rows of ``examples``; ``names`` are the columns that name an example, ``encode_row`` gives ids and loss prefix sums."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordCachedTokenizer.of(path).encode
         rows: list[tuple] = []
-        ids_of: dict[int, tuple[int | None, np.ndarray]] = {}
+        ids_of: dict[int, tuple[tuple, np.ndarray]] = {}
         task = TaskContext.get()
         next_sequence = (task.partitionId() if task else 0) << 40
 
@@ -244,36 +250,94 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, keep_ids:
             nonlocal next_sequence
             offset = 0
             for example, start, length in pieces:
-                doc_id, ids = ids_of[example]
+                name, ids = ids_of[example]
                 part = ids[start : start + length].tobytes()
-                rows.append((doc_id, start, length, zlib.crc32(part), len(ids), next_sequence, offset, length, part if keep_ids else None))
+                loss = packer.loss(example, start, start + length)
+                rows.append((*name, start, length, zlib.crc32(part), len(ids), next_sequence, offset, loss, part if keep_ids else None))
                 offset += length
             next_sequence += 1
 
         def flush() -> pa.RecordBatch:
-            names = [x.split()[0] for x in PIECE_SCHEMA.split(", ")]
-            columns = list(zip(*rows)) or [()] * len(names)
-            arrays = [pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, columns)]
+            fields = [x.split()[0] for x in schema.split(", ")]
+            columns = list(zip(*rows)) or [()] * len(fields)
+            arrays = [pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(fields, columns)]
             rows.clear()
             for k in ids_of.keys() - packer.examples.keys():
                 del ids_of[k]
-            return pa.RecordBatch.from_arrays(arrays, names=names)
+            return pa.RecordBatch.from_arrays(arrays, names=fields)
 
-        packer, example = Packer(emit), 0
-        closing = np.array([END_ID], "<u4").tobytes()
+        packer, example = Packer(emit, limits), 0
         for batch in chunks(batches, "text"):
             items = []
-            for doc_id, blob in zip(batch.column("doc_id").to_pylist(), map(encode, batch.column("text").fill_null("").to_pylist())):
-                ids_of[example] = (doc_id, np.frombuffer(blob + closing, "<u4"))
-                items.append((example, len(ids_of[example][1]), None))
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                ids, prefix = encode_row(encode, *row[len(names) :])
+                ids_of[example] = (row[: len(names)], ids)
+                items.append((example, len(ids), prefix))
                 example += 1
             packer.add(items)
             yield flush()
         packer.fill(0)
         yield flush()
 
-    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return given.mapInArrow(pack, PIECE_SCHEMA)
+    return examples.mapInArrow(pack, schema)
+
+
+CLOSING = np.array([END_ID], "<u4").tobytes()
+
+
+def _encode_text(encode: Callable[[str], bytes], text: str) -> tuple[np.ndarray, None]:
+    return np.frombuffer(encode(text) + CLOSING, "<u4"), None
+
+
+def _encode_segments(encode: Callable[[str], bytes], text: str, segments: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Segments are encoded one by one; ``text`` is only there to bound batches."""
+    blobs, bears = [], []
+    for segment in segments or [{"text": "", "loss": True}]:
+        blob = encode(segment["text"] or "")
+        blobs.append(blob)
+        bears.append(np.full(len(blob) // 4, bool(segment["loss"])))
+    bears.append(np.array([bool(segments[-1]["loss"]) if segments else True]))
+    return np.frombuffer(b"".join([*blobs, CLOSING]), "<u4"), np.concatenate([[0], np.cumsum(np.concatenate(bears))])
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, keep_ids: bool = True) -> DataFrame:
+    """Per piece of the rows of ``docs``: its place in its document and in its sequence (every token bears loss)."""
+    given = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    limits = (MAX_TOKENS, MAX_SEGMENTS, MAX_TOKENS)
+    return _packed(given, ["doc_id"], PIECE_SCHEMA, _encode_text, tokenizer_path or default_tokenizer_path(), keep_ids, limits)
+
+
+def pack_examples(
+    examples: DataFrame, names: list[str], tokenizer_path: str | None = None, keep_ids: bool = True, limits=(MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS)
+) -> DataFrame:
+    """Per piece of ``examples`` (long columns ``names``, and ``segments``, an array of text and loss) the same as
+    ``pack_documents``, with ``names`` in place of doc_id."""
+    text = F.array_join(F.transform("segments", lambda s: F.coalesce(s["text"], F.lit(""))), "")
+    given = examples.select(*(F.col(n).cast("long") for n in names), F.coalesce(text, F.lit("")).alias("text"), "segments")
+    schema = PIECE_SCHEMA.replace("doc_id long", ", ".join(f"{n} long" for n in names))
+    return _packed(given, names, schema, _encode_segments, tokenizer_path or default_tokenizer_path(), keep_ids, limits)
+
+
+def instruction_examples(conversations: DataFrame, answering: str = "assistant") -> DataFrame:
+    """conv_id, turn and segments of an example for each answer: the turn before it, and the answer, which bears loss.
+
+    Turns are met by (conversation, turn), so a long conversation is spread over tasks.
+    """
+    is_answer = F.coalesce(F.col("role") == answering, F.lit(False))
+    given = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), is_answer.alias("answer"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    at = F.when(F.col("answer"), F.col("turn")).otherwise(F.col("turn") + 1)
+    sides = given.groupBy("conv_id", at.alias("turn")).agg(
+        F.min(F.when(~F.col("answer"), F.col("text"))).alias("prompt"), F.min(F.when(F.col("answer"), F.col("text"))).alias("reply")
+    )
+
+    def segment(name: str, loss: bool):
+        return F.when(F.col(name).isNotNull(), F.struct(F.col(name).alias("text"), F.lit(loss).alias("loss")))
+
+    return sides.select("conv_id", "turn", F.array_compact(F.array(segment("prompt", False), segment("reply", True))).alias("segments"))
+
+
+def pack_conversations(conversations: DataFrame, tokenizer_path: str | None = None, limits=(MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS)) -> DataFrame:
+    return pack_examples(instruction_examples(conversations), ["conv_id", "turn"], tokenizer_path, limits=limits)
 
 
 def op7_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
