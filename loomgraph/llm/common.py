@@ -45,9 +45,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def unboxed(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The columns of ``docs`` back from ``row``; where column ``text`` is not null it is the new text, and n_chars, if
-    there is one, follows."""
+def unboxed(rows: DataFrame, docs: DataFrame, text: str | None = None) -> DataFrame:
+    """The columns of ``docs`` back from ``row``; where column ``text`` is given and not null it is the new text, and
+    n_chars, if there is one, follows."""
+    if text is None:
+        return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
     changed = F.col(text).isNotNull()
 
     def column(name: str) -> Column:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import chunks, table, texts_of
+from loomgraph.llm.common import boxed, chunks, table, texts_of, unboxed
 from loomgraph.operators.components import connected_components
 from loomgraph.session import durable
 
@@ -214,7 +214,6 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group: that with the least doc_id (and hash of the text, if ids repeat)."""
-    columns = docs.columns
     groups = near_duplicate_groups(docs)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     first = groups.groupBy("root").agg(F.min(order).alias("first")).select(
@@ -223,9 +222,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     # a key without nulls, so that the join and the removal of repeated rows use one shuffle of the texts;
     # the hash of the text tells rows with one id apart without a second round of fingerprints
     no_id = F.lit(NO_ID)
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), no_id), "__hash": F.xxhash64("text")})
+    keyed = boxed(docs, __id=F.coalesce(F.col("row.doc_id").cast("long"), no_id), __hash=F.xxhash64("row.text"))
     wanted = first.select(F.coalesce(F.col("__keep_id").cast("long"), no_id).alias("__id"), "__hash")
-    return keyed.join(wanted, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*columns)
+    return unboxed(keyed.join(wanted, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]), docs)
 
 
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

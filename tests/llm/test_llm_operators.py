@@ -152,6 +152,31 @@ def test_mixing_meets_targets(docs):
     assert mixed.columns == docs.columns and sum(n_words(r.text) for r in mixed.collect()) == sum(taken.values())
 
 
+def test_mixing_draws_by_key(spark):
+    """Of each source exactly the documents of least key are drawn beyond whole epochs, and weight moves the key."""
+    long = "w" * 200
+    rows = [(k, " ".join([long] * 3) if k % 2 else words(k, 12), f"s{k % 3}") for k in range(3000)]
+    found = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by_source = defaultdict(list)
+    for r in found:
+        by_source[r.source_size, r.target].append(r)
+    for (size, target), some in by_source.items():
+        epochs, left = int(target // size), target - int(target // size) * size
+        for r in sorted(some, key=lambda r: r.sampling_key):
+            assert r.taken == epochs * r.size + max(0, min(r.size, int(left)))
+            left -= r.size
+    weight = {r.doc_id: 1 / (1 + abs(np.log(len(t) / r.size / 5.5))) for r, (_, t, _) in zip(sorted(found, key=lambda r: r.doc_id), rows)}
+    draws = np.array([r.sampling_key * weight[r.doc_id] for r in found])  # exponential variates
+    assert abs(draws.mean() - 1) < 0.08 and abs((draws < np.log(2)).mean() - 0.5) < 0.03
+
+
+def test_mixing_buckets_are_small_whatever_the_weights(spark):
+    keys = mixing.with_sampling_key(spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("w" * 200).alias("text")))
+    n = 141
+    most = keys.groupBy(F.floor(F.log("__key") * n)).count().agg(F.max("count")).first()[0]
+    assert most < 20_000 * 0.37 / n * 2
+
+
 def test_toxicity_finds_the_sentence():
     clean = [words(k, 60).replace(" ", ". ", 3).encode() for k in range(200)]
     bad = [words(1000 + k, 40).encode() + b". you zqidiot fool. " + words(2000 + k, 20).encode() for k in range(60)]
@@ -180,6 +205,36 @@ def test_toxicity_rows(docs, labels, nothing):
     assert toxicity.drop_toxic(docs, labels).columns == docs.columns
 
 
+def test_toxicity_scores_equal_brute_force(docs, labels):
+    """Every score from the trained weights, sentence by sentence and n-gram by n-gram."""
+    weights, bias = toxicity.train(docs, labels)
+    rng = np.random.default_rng(2)
+    weights, bias = np.where(rng.random(len(weights)) < 0.02, rng.normal(0, 1, len(weights)), 0).astype(np.float32), -3.0
+    model = docs.sparkSession.sparkContext.broadcast((weights, bias))
+    rows = docs.select("text", toxicity._score_column(model)(F.col("text")).alias("s")).collect()
+    for r in rows:
+        clean, sentence = 1.0, b""
+        raw = (r.text or "").encode()
+        parts = [p for p in __import__("re").findall(rb"[^.!?\n]*[.!?\n]|[^.!?\n]+$", raw)]
+        assert b"".join(parts) == raw
+        for sentence in parts:
+            folded = np.array([32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c + 32 if 64 < c < 91 else c for c in sentence], np.uint8)
+            found = {(n, int(b)) for n in toxicity.NGRAMS for b in toxicity.ngram_buckets(folded, n)}
+            logit = bias + sum(float(weights[b]) for _, b in found)
+            clean *= 1 - 1 / (1 + np.exp(-logit))
+        assert r.s == pytest.approx(1 - clean, abs=1e-6)
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    rows = [(k % 2, f"text {k} " * 10) for k in range(2000)] + [(4, "x" * 1000), (5, "long" * 70_000), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (4, 0), (5, 0), (7, 0), (7, 1)], "doc_id long, toxic int")
+    sample = toxicity.training_rows(docs, labels).collect()
+    assert len(sample) == len({r.doc_id for r in sample}) and 5 not in {r.doc_id for r in sample}
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 900)
+    assert sum(len(r.text) for r in toxicity.training_rows(docs, labels).collect()) <= 1800
+
+
 def test_quality_counts(docs):
     rows = quality.apply_quality_rules(docs).collect()
     assert len(rows) == len(fixture_rows())
@@ -354,6 +409,26 @@ def test_packer_keeps_all_three_limits():
         assert at == n
 
 
+def test_conversations_are_packed_under_the_loss_limit(spark):
+    turns = [(c, t, ("user", "assistant")[t % 2], words(100 * c + t, 30 + 10 * c)) for c in range(12) for t in range(5)]
+    turns += [(20, 0, None, None), (21, 1, "assistant", words(9, 900)), (1, 1, "assistant", "~ later of one turn"), (None, 1, "user", "no id")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(2)
+    examples = {(r.conv_id, r.turn): r.segments for r in packing.instruction_examples(df).collect()}
+    assert len(examples) == 12 * 3 + 3 and [s.loss for s in examples[3, 1]] == [False, True] and [s.loss for s in examples[3, 5]] == [False]
+    rows = packing.pack_conversations(df, limits=(512, 64, 96)).collect()
+    sequences, seen = defaultdict(list), defaultdict(int)
+    for r in rows:
+        sequences[r.sequence_id].append(r)
+        seen[r.conv_id, r.turn] += r.length
+        assert r.loss_tokens <= r.length
+    totals = [(sum(r.length for r in x), sum(r.loss_tokens for r in x)) for x in sequences.values()]
+    assert all(n <= 512 and loss <= 96 for n, loss in totals) and max(loss for _, loss in totals) == 96
+    assert seen == {(r.conv_id, r.turn): r.doc_tokens for r in rows}
+    answer = [r for r in rows if (r.conv_id, r.turn) == (21, 1)]
+    assert sum(r.loss_tokens for r in answer) == answer[0].doc_tokens
+    assert packing.pack_conversations(df.limit(0)).count() == 0
+
+
 def test_media_round_trip(docs):
     rows = media.media_columns(docs).collect()
     texts = Counter((d, (t or "").encode()) for d, t, *_ in fixture_rows())
@@ -453,6 +528,58 @@ def test_pipeline_stages_keep_the_columns(spark, docs, labels, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() > 0
 
 
+CLASHES = "row row_key spans shorter target epochs source_size cut_key cut_words __id __hash __key __size __partial __copy __score __spans first block sampling_key taken".split()
+
+
+@pytest.mark.parametrize("name", ["toxicity", "simhash_near_dedup", "suffix_array_dedup", "mix_sources", "packing"])
+def test_stages_with_clashing_columns(spark, docs, labels, tmp_path, name):
+    import corpus_pipeline
+
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    stage = dict(corpus_pipeline.STAGES)[name]
+    few = docs.filter("doc_id < 8 or doc_id is null")
+    clashing = few.withColumns({c: F.lit(f"{c} stays") for c in CLASHES})
+    plain = Counter(tuple(r)[:2] for r in stage(spark, few, str(tmp_path)).collect())
+    out = stage(spark, clashing, str(tmp_path))
+    rows = out.collect()
+    assert Counter(tuple(r)[:2] for r in rows) == plain
+    if name != "packing":
+        assert out.columns == clashing.columns and all(r[c] == f"{c} stays" for r in rows for c in CLASHES)
+
+
+def test_pipeline_equals_brute_force_in_sequence(spark, docs, labels, tmp_path):
+    """Each stage's rows from the rows its predecessor kept, by plain Python where the stage is deterministic."""
+    import corpus_pipeline
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    given, stages = [(r.doc_id, r.text) for r in docs.collect()], dict(corpus_pipeline.STAGES)
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("toxicity", "simhash_near_dedup", "suffix_array_dedup"):
+        stages[name](spark, now, str(tmp_path)).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        rows = [(r.doc_id, r.text) for r in now.collect()]
+        if name == "toxicity":
+            assert not Counter(rows) - Counter(given)
+        elif name == "simhash_near_dedup":
+            shingled = [(d, frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))) for d, t in given for w in [(t or "").lower().encode().split()]]
+            group = list(range(len(given)))
+            for a in range(len(given)):
+                for b in range(a):
+                    x, y = shingled[a][1], shingled[b][1]
+                    if 5 * len(x & y) >= 4 * len(x | y):
+                        old, new = group[a], group[b]
+                        group = [new if g == old else g for g in group]
+            least = {}
+            for g, (d, _) in zip(group, given):
+                least[g] = min(least.get(g, (True, 0)), (d is None, d or 0))
+            assert sorted((d is None, d or 0) for d, _ in rows) == sorted(least.values())
+        else:
+            want = brute_substrings(given)
+            assert Counter((d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t in rows) == Counter((w[0], w[4]) for w in want.elements())
+        given = rows
+
+
 def test_quality_query_matches_its_sql(spark, small_dir):
     from tests.compare import connect, differences
 
