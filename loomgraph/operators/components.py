@@ -2,7 +2,7 @@
 
 Every round hooks each node's larger (then smaller) neighbours to the least node it sees; the edge
 set shrinks to stars in O(log^2 n) rounds whatever the diameter. Minima are grouped aggregates with
-map-side combine, so a hub's neighbours are never gathered into one task.
+map-side combine, and those of hubs are broadcast to their edges, so a hub's neighbours are never gathered into one task.
 """
 
 from __future__ import annotations
@@ -13,16 +13,31 @@ from pyspark.sql import functions as F
 from loomgraph.session import durable
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Nodes with more neighbours than this, and than one in MAX_HUBS of all edges, are hubs: MAX_HUBS * 2 at most.
+MIN_HUB = 1000
+MAX_HUBS = 1000
+
+
+def _hooked(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``edges`` with ``m`` of their ``u``. Hubs' minima are broadcast, so that a hub's edges stay where they are."""
+    if total <= MIN_HUB:
+        return edges.join(least.drop("n"), "u")
+    is_hub = F.col("n") > max(MIN_HUB, total // MAX_HUBS)
+    hubs = F.broadcast(least.filter(is_hub).drop("n"))  # see MAX_HUBS
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(least.filter(~is_hub).drop("n"), "u")
+    return edges.join(hubs, "u").unionByName(rest)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+    return _hooked(both.filter("v > u"), least, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    hooked = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hooked = _hooked(down, least, total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hooked.union(least.select("u", F.col("m").alias("v")))
 
 
@@ -32,10 +47,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Null ends and self loops are ignored; repeated edges count once; no edges give no rows.
     """
     state = durable(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    before = None
+    before = (state.count(), None)
     for _ in range(max_rounds):
-        state = durable(_small_star(_large_star(state)).filter("u <> v").distinct(), "cc")
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        total = before[0]
+        state = durable(_small_star(_large_star(state, total), total).filter("u <> v").distinct(), "cc")
+        now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now

@@ -38,8 +38,17 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_root(spark: SparkSession) -> str:
+    """This application's part of the shared folder; only a local session may do without one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = LOCAL_SHARED_DIR
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
@@ -68,6 +77,5 @@ def ship_package(spark: SparkSession) -> None:
 
 def release(spark: SparkSession) -> None:
     """Delete everything this application has written with ``durable``."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{spark.sparkContext.applicationId}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
