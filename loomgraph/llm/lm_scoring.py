@@ -8,7 +8,8 @@ is its mean loss per predicted token under the target model minus that under the
 more like the target.
 
 Counts are kept where they are used and grow with the corpus. All occurrences of a pair of words meet in one task, which
-counts the pair, works out its two losses and sends each row the sum of what it has there. The loss also needs
+counts the pair, works out its two losses and sends each row the sum of what it has there (once a task at most,
+packed by block of rows, so never more than one sum a token). The loss also needs
 the count of the pair's second word: pairs are dealt by that word, so that it is counted on the
 spot; only words with more than one in HOT_WORDS of all tokens, of which there are at most HOT_WORDS, are counted first
 and broadcast, and their pairs are dealt by both words. Which words are hot changes no result.
@@ -181,7 +182,8 @@ def corpus_counts(marked: DataFrame, bits: int, partitions: int) -> Corpus:
 
 
 PAIRS = "bucket long, block long, n int, packed binary, ids binary"
-SUMS = "block long, row int, doc_id long, n_tokens long, target long, background long"
+SUMS = "block long, n int, packed binary, ids binary"
+SCORED = "doc_id long, n_tokens long, target long, background long"
 
 
 def send_pairs(batches: Iterator[pa.RecordBatch], corpus, bits: int) -> Iterator[pa.RecordBatch]:
@@ -215,32 +217,38 @@ def send_pairs(batches: Iterator[pa.RecordBatch], corpus, bits: int) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[f.split()[0] for f in PAIRS.split(", ")])
 
 
-def joined_sums(parts: list[tuple]) -> pa.RecordBatch:
-    """One row for each row of a block in a list of (block, row, target, background)."""
+def joined_sums(parts: list[tuple]) -> tuple:
+    """Parts of (block, row, target, background), sorted, with one sum for each row."""
     block, row, *losses = (np.concatenate(c) for c in zip(*parts))
     order = np.lexsort((row, block))
     block, row = block[order], row[order]
     first = firsts(block, row)
-    sums = [np.add.reduceat(x[order], first) for x in losses]
-    none = pa.nulls(len(first), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array(row[first].astype(np.int32)), none, none, *map(pa.array, sums)], names=[f.split()[0] for f in SUMS.split(", ")])
+    return block[first], row[first], *(np.add.reduceat(x[order], first) for x in losses)
+
+
+def packed_sums(block: np.ndarray, row: np.ndarray, target: np.ndarray, background: np.ndarray) -> pa.RecordBatch:
+    rows = []
+    for k, a, b in slices(block):
+        rows.append((k, b - a, zlib.compress(row[a:b].tobytes() + target[a:b].tobytes() + background[a:b].tobytes(), 1), None))
+    return _sums(rows)
+
+
+def _sums(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[f.split()[0] for f in SUMS.split(", ")])
 
 
 def pair_losses(batches: Iterator[pa.RecordBatch], corpus) -> Iterator[pa.RecordBatch]:
     """For the rows of all blocks the sums of the losses of their pairs in this task's buckets."""
-    model, names = corpus.value, [f.split()[0] for f in SUMS.split(", ")]
+    model = corpus.value
     waiting, n_waiting = [], 0
     for _, rows in runs(batches):
         packed = []
         for _, block, n, blob, table_of_rows in rows:
             if blob is not None:
                 packed.append((block, n, zlib.decompress(blob)))
-                continue
-            known = np.frombuffer(table_of_rows, np.uint8, n) == 0
-            ids, tokens = np.frombuffer(table_of_rows[n:], np.int64).reshape(2, n)
-            zero = pa.array(np.zeros(n, np.int64))
-            columns = [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(ids, mask=known), pa.array(tokens), zero, zero]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            else:
+                yield _sums([(block, n, None, table_of_rows)])
         if not packed:
             continue
         after = np.concatenate([from_planes(raw, n) for _, n, raw in packed])
@@ -267,13 +275,31 @@ def pair_losses(batches: Iterator[pa.RecordBatch], corpus) -> Iterator[pa.Record
         waiting.append((block, place & (TARGET_BIT - np.uint16(1)), losses[0][at], losses[1][at]))
         n_waiting += len(place)
         if n_waiting > WAITING_SUMS:
-            merged = joined_sums(waiting)
-            waiting, n_waiting = [tuple(merged.column(k).to_numpy() for k in (0, 1, 4, 5))], merged.num_rows
+            waiting = [joined_sums(waiting)]
+            n_waiting = len(waiting[0][0])
             if n_waiting > WAITING_SUMS // 2:
-                yield merged
+                yield packed_sums(*waiting[0])
                 waiting, n_waiting = [], 0
     if waiting:
-        yield joined_sums(waiting)
+        yield packed_sums(*joined_sums(waiting))
+
+
+def sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of every block with the sums of all their losses."""
+    for _, rows in runs(batches):
+        tables = [(n, ids) for _, n, _, ids in rows if ids is not None]
+        n, table_of_rows = tables[0]
+        sums = np.zeros((2, n), np.int64)
+        for _, m, packed, _ in rows:
+            if packed is not None:
+                raw = zlib.decompress(packed)
+                sums[:, np.frombuffer(raw, np.uint16, m)] += np.frombuffer(raw[2 * m :], np.int64).reshape(2, m)
+        unknown = np.frombuffer(table_of_rows, np.uint8, n) == 0
+        ids, tokens = np.frombuffer(table_of_rows[n:], np.int64).reshape(2, n)
+        # blocks with equal rows share their number, and so these sums
+        columns = [pa.array(ids, mask=unknown), pa.array(tokens), *(pa.array(x // len(tables)) for x in sums)]
+        for _ in tables:
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SCORED.split(", ")])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -293,15 +319,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     corpus = spark.sparkContext.broadcast(counts)  # HOT_WORDS words at most
     pairs = marked.mapInArrow(partial(send_pairs, corpus=corpus, bits=bits), PAIRS)
     sums = pairs.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(partial(pair_losses, corpus=corpus), SUMS)
-    # blocks with equal rows share their number; each of their rows is there once for each copy of the block
-    copies = F.count("n_tokens")
-    rows = sums.groupBy("block", "row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("target").alias("t"), F.sum("background").alias("b"), copies.alias("copies")
-    )
-    per_token = F.col("copies") * F.greatest(F.col("n_tokens") + 1, F.lit(1)) * UNIT
-    scored = rows.withColumns({"target_loss": F.col("t") / per_token, "background_loss": F.col("b") / per_token})
-    out = scored.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"), "copies")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")
+    rows = sums.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(sum_blocks, SCORED)
+    per_token = F.greatest(F.col("n_tokens") + 1, F.lit(1)) * UNIT
+    scored = rows.withColumns({"target_loss": F.col("target") / per_token, "background_loss": F.col("background") / per_token})
+    return scored.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
 
 
 def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
