@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bucket_bits(spark: SparkSession) -> int:
     """Bits of the buckets that packed rows are dealt into: some for each shuffle partition, few enough that a
     block's row still holds several entries."""
-    return max(6, min(18, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    return max(8, min(18, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
 
 
 def boxed(docs: DataFrame, **added: Column) -> DataFrame:
@@ -78,10 +78,19 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
 
 
 def blocks(batches: Iterator[pa.RecordBatch], limit: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """``chunks`` of column text, of ``rows`` rows at most."""
+    """Record batches cut and joined so that column text holds about ``limit`` bytes in each, of ``rows`` rows at most."""
+    held, size, count = [], 0, 0
     for batch in chunks(batches, "text", limit):
         for first in range(0, batch.num_rows, rows):
-            yield batch.slice(first, rows)
+            part = batch.slice(first, rows)
+            n_bytes = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if held and (size + n_bytes > limit or count + part.num_rows > rows):
+                yield pa.concat_batches(held)
+                held, size, count = [], 0, 0
+            held.append(part)
+            size, count = size + n_bytes, count + part.num_rows
+    if held:
+        yield pa.concat_batches(held)
 
 
 def slices(values: np.ndarray) -> Iterator[tuple[int, int, int]]:

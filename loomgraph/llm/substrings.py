@@ -58,8 +58,8 @@ CONTEXT_BLOCK_BYTES = 4 << 20
 #: An anchor in more rows than this may be hot; at most HOT_KEYS anchors are.
 MIN_HOT = 50_000
 HOT_KEYS = 1 << 17
-#: Context bytes refined together (more only where one part of a bucket holds more).
-REFINE_BYTES = 4 << 20
+#: Context bytes refined together (more only where one anchor has more).
+REFINE_BYTES = 1 << 18
 KEY_MASK = np.uint64((1 << 48) - 1)
 
 PACKED = "bucket long, block long, counts binary, keys binary, places binary, rows binary"
@@ -227,7 +227,7 @@ def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 CONTEXTS = "bucket long, n long, packed binary"
-#: Numbers of a packed context besides its text: document, row, start in the text, length, part of the bucket.
+#: Numbers of a packed context besides its text: document, row, start in the text, length, place of the anchor.
 CONTEXT_FIELDS = (np.int64, np.int64, np.uint32, np.uint8, np.uint8)
 SPANS = "row_key long, doc_id long, start long, end long"
 
@@ -274,30 +274,29 @@ def send_contexts(batches: Iterator[pa.RecordBatch], hot_keys, bucket_bits: int)
             low[valid] = start[valid]
             high[valid & (high < 0)] = start[valid & (high < 0)]
         buckets = (keys >> np.uint64(64 - bucket_bits)).tolist()
-        parts = (keys >> np.uint64(56 - bucket_bits) & np.uint64(0xFF)).tolist()
         is_hot = np.isin(keys & KEY_MASK, hot).tolist() if len(hot) else [False] * len(keys)
         groups: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
         raw = data.tobytes()
-        for bucket, sub, hot_here, lo, hi, d in zip(buckets, parts, is_hot, low.tolist(), high.tolist(), doc.tolist()):
+        for bucket, a, hot_here, lo, hi, d in zip(buckets, at.tolist(), is_hot, low.tolist(), high.tolist(), doc.tolist()):
             if lo < 0:
                 continue
             begin = lo - int(offsets[d])
             if hot_here:
                 for w in range(lo, hi + 1):
                     text = raw[w : w + WINDOW]
-                    dealt = xxhash.xxh64_intdigest(text)
-                    groups.setdefault((dealt >> (64 - bucket_bits), dealt & 0xFF, text), []).append((d, begin + w - lo))
+                    # equal windows have equal first bytes, which serve as their anchor
+                    groups.setdefault((xxhash.xxh64_intdigest(text) >> (64 - bucket_bits), 0, text), []).append((d, begin + w - lo))
             else:
-                groups.setdefault((bucket, sub, raw[lo : hi + WINDOW]), []).append((d, begin))
+                groups.setdefault((bucket, a - lo, raw[lo : hi + WINDOW]), []).append((d, begin))
         dealt_rows: dict[int, list[tuple]] = {}
         decided: dict[int, list[tuple[int, int]]] = {}
         id_list, key_list = ids.tolist(), row_keys.tolist()
-        for (bucket, sub, text), found in groups.items():
+        for (bucket, left, text), found in groups.items():
             owner = min(id_list[d] for d, _ in found)
             rest = []
             for d, begin in found:
                 if id_list[d] == owner:
-                    rest.append((owner, key_list[d], begin, len(text), sub, text))
+                    rest.append((owner, key_list[d], begin, len(text), left, text))
                 else:
                     decided.setdefault(d, []).append((begin, begin + len(text)))
             # equal rows send their contexts once
@@ -312,8 +311,13 @@ def send_contexts(batches: Iterator[pa.RecordBatch], hot_keys, bucket_bits: int)
 
 def identifiers(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket identifiers 0, 1, ... of equal names, and how many suffixes each bucket has."""
-    _, inverse, counts = np.unique(names, return_inverse=True, return_counts=True)
-    return inverse.astype(np.uint64), counts
+    order = np.argsort(names)
+    ordered = names[order]
+    new = np.ones(len(names), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    found = np.empty(len(names), np.uint64)
+    found[order] = np.cumsum(new) - 1
+    return found, np.diff(np.append(np.flatnonzero(new), len(names)))
 
 
 def window_buckets(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -368,16 +372,31 @@ def refine_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 texts.append(text)
         if not fields:
             continue
-        doc, row, start, size, part = (np.concatenate(x) for x in zip(*fields))
+        doc, row, start, size, left = (np.concatenate(x) for x in zip(*fields))
         data, size = np.concatenate(texts), size.astype(np.int64)
         place = np.cumsum(size) - size
-        order = np.argsort(part, kind="stable")  # equal windows have equal parts
-        ends = np.append(np.flatnonzero(np.diff(part[order])) + 1, len(order))
+        raw, numbers = data.tobytes(), {}
+        text = np.fromiter((numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(place.tolist(), (place + size).tolist())), np.int64, len(place))
+        owner = np.full(len(numbers), np.iinfo(np.int64).max)
+        np.minimum.at(owner, text, doc)
+        lost = doc > owner[text]  # a smaller document has the same context
+        if lost.any():
+            columns = (row[lost], doc[lost], start[lost].astype(np.int64), start[lost] + size[lost])
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=names)
+        doc, row, start, size, left, place = (x[~lost] for x in (doc, row, start, size, left, place))
+        anchor = np.concatenate([gram_hashes_at(data, place[k : k + 4096] + left[k : k + 4096]) for k in range(0, len(place), 4096)])
+        order = np.argsort(anchor, kind="stable")
+        begins = np.flatnonzero(np.diff(anchor[order], prepend=~anchor[order[:1]]))
+        several = np.minimum.reduceat(doc[order], begins) < np.maximum.reduceat(doc[order], begins)
+        # contexts around an anchor of one document take no further part
+        order = order[np.repeat(several, np.diff(np.append(begins, len(order))))]
+        ends = np.append(np.flatnonzero(np.diff(anchor[order])) + 1, len(order))
+        total = np.cumsum(size[order])
         first = 0
         while first < len(order):
-            held = np.cumsum(size[order[first:]])
-            fit = ends[(ends > first) & (held[np.minimum(ends, len(order)) - first - 1] <= REFINE_BYTES)]
-            last = int(fit[-1]) if len(fit) else int(ends[ends > first][0])
+            later = ends[ends > first]
+            held = total[later - 1] - (total[first - 1] if first else 0)
+            last = int(later[max(0, np.searchsorted(held, REFINE_BYTES, side="right") - 1)])
             some = order[first:last]
             first = last
             begin = np.cumsum(size[some]) - size[some]
@@ -392,6 +411,12 @@ def refine_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=names)
 
 
+def gram_hashes_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``gram_hashes`` at some places."""
+    pairs = np.ascontiguousarray(data[at[:, None] + np.arange(GRAM)]).view("<u8")
+    return _mix_grams(pairs[:, 0], pairs[:, 1])
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of a list of spans."""
     out: list[list[int]] = []
