@@ -95,8 +95,10 @@ def sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
 
 
 def find_anchors(data: np.ndarray, part: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of anchors, their hashes, and for every place the least order of the window there.
+    """Places of anchors, their keys, and for every place the least order of the window there.
 
+    A gram's order is the high half of its hash, which is small for anchors; so their keys have the halves changed over,
+    and buckets taken from the first bits of the keys are of one size.
     Long buffers are worked through in overlapping parts that stay in the processor's cache.
     """
     n = len(data)
@@ -116,7 +118,7 @@ def find_anchors(data: np.ndarray, part: int = 1 << 16) -> tuple[np.ndarray, np.
         last = n if first + part > n - WINDOW else first + part
         here = here[(here + begin >= first) & (here + begin < last)]
         places.append(here + begin)
-        hashes.append(h[here])
+        hashes.append(h[here] << np.uint64(32) | h[here] >> np.uint64(32))
     return np.concatenate(places), np.concatenate(hashes), np.concatenate(least)
 
 
@@ -264,7 +266,7 @@ def send_contexts(batches: Iterator[pa.RecordBatch], hot_keys, bucket_bits: int)
         place = np.searchsorted(wanted, own)
         ok = (place < len(wanted)) & (wanted[np.minimum(place, len(wanted) - 1)] == own) if len(wanted) else np.zeros(len(own), bool)
         at, keys, doc = at[ok], keys[ok], doc[ok]
-        order = (keys >> np.uint64(32)).astype(np.uint32)
+        order = keys.astype(np.uint32)
         low = np.full(len(at), -1)
         high = np.full(len(at), -2)
         for back in range(PLACES):
