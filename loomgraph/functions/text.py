@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from loomgraph.plans.model import Graph
 from loomgraph.plans.registry import query
 
-# Company suffixes in the order in which they are tried.
-COMPANY_SUFFIXES = ("corporation", "incorporated", "company", "limited", "corp", "inc", "llc", "ltd", "co", "l1c", "lnc")
-#: OCR readings of suffixes and what they stand for.
-SUFFIX_READINGS = {"l1c": "llc", "lnc": "inc", "1nc": "inc", "c0rp": "corp", "1td": "ltd"}
+# Company suffixes in the order in which they are tried, and scan misreadings with what they stand for.
+COMPANY_SUFFIXES = (
+    "llc", "inc.", "inc", "corp.", "corp", "ltd.", "ltd", "l.l.c.", "llp", "l.p.", "lp", "plc", "gmbh", "s.a.", "s.a", "n.v.", "n.v",
+)
+SUFFIX_READINGS = {"llo": "llc", "llg": "llc", "l.l.c": "llc", "lnc": "inc", "1nc": "inc", "c0rp": "corp", "1td": "ltd"}
 PII_PATTERNS = (
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     r"\b\d{3}[-.]\d{3}[-.]\d{4}\b",
@@ -25,19 +26,23 @@ AFFIRM_CUES = ("agree", "confirm", "correct", "yes", "the")
 
 
 def normalize_entity_name(name: Column) -> Column:
-    """Lower-cased and trimmed, without closing commas and dots and without one company suffix."""
-    base = F.regexp_replace(F.trim(F.lower(name)), r"[,.\s]+$", "")
-    cut = F.when(F.lit(False), base)
-    for suffix in COMPANY_SUFFIXES:
-        cut = cut.when(base.endswith(" " + suffix), F.regexp_replace(base, rf"[,\s]+{suffix}$", ""))
-    return cut.otherwise(base)
+    """Lower-cased and trimmed, without closing commas and dots and without one company suffix or misreading of one.
+
+    A suffix is a word of its own (after a space or a comma), and never the whole name.
+    """
+    base = F.regexp_replace(F.regexp_replace(F.lower(name), r"^\s+|\s+$", ""), r"[,.]+$", "")
+    known = [*COMPANY_SUFFIXES, *(r for r, stands_for in SUFFIX_READINGS.items() if stands_for in COMPANY_SUFFIXES)]
+    either = "|".join(s.replace(".", r"\.") for s in known)  # no suffix that ends a name can follow a space or comma inside another
+    return F.regexp_replace(F.regexp_replace(base, rf"(?<=.)[ ,]+({either})$", ""), r"^\s+|\s+$", "")
 
 
 def expand_suffix_reading(name: Column) -> Column:
-    """The last word replaced by the suffix it is an OCR reading of."""
-    last = F.lower(F.element_at(F.split(name, " "), -1))
+    """The last of several words replaced by the suffix it is a misreading of, in capitals if it is."""
+    last = F.regexp_extract(F.trim(name), r"^.*\S\s+(\S+)$", 1)
     readings = F.create_map(*[F.lit(x) for pair in SUFFIX_READINGS.items() for x in pair])
-    return F.when(F.map_contains_key(readings, last), F.concat(F.regexp_extract(name, r"^(.*?)[^ ]*$", 1), F.element_at(readings, last))).otherwise(name)
+    meant = F.try_element_at(readings, F.regexp_replace(F.lower(last), r"[,.]+$", ""))
+    shown = F.when((last == F.upper(last)) & (last != F.lower(last)), F.upper(meant)).otherwise(meant)
+    return F.when(meant.isNotNull(), F.concat(F.regexp_extract(F.trim(name), r"^(.*\S)\s+\S+$", 1), F.lit(" "), shown)).otherwise(name)
 
 
 def normalize_type_name(name: Column) -> Column:
@@ -170,15 +175,17 @@ def fingerprint(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
-@query("f01_normalize_entity_name", "SELECT n, CASE WHEN ends_with(b, ' corp') THEN regexp_replace(b, '[,\\s]+corp$', '') WHEN ends_with(b, ' inc') THEN regexp_replace(b, '[,\\s]+inc$', '') WHEN ends_with(b, ' llc') THEN regexp_replace(b, '[,\\s]+llc$', '') ELSE b END AS name FROM (SELECT n, regexp_replace(trim(lower(n)), '[,.\\s]+$', '') AS b FROM (SELECT s_name || CASE s_suppkey % 4 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' LLC' WHEN 2 THEN ' Corp' ELSE '' END AS n FROM supplier))")
+@query("f01_normalize_entity_name", "SELECT s_name || ['', ', Inc.', ' Company', ',LLP', ' GmbH', ' L.L.C.', ' LLO', ' n.v.', ' Costello', ' Inc LLC'][1 + s_suppkey % 10] AS n, lower(s_name) || ['', '', ' company', '', '', '', '', '', ' costello', ' inc'][1 + s_suppkey % 10] AS name FROM supplier")
 def _(g: Graph) -> DataFrame:
-    ending = F.element_at(F.array(*map(F.lit, (", Inc.", " LLC", " Corp", ""))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    endings = ("", ", Inc.", " Company", ",LLP", " GmbH", " L.L.C.", " LLO", " n.v.", " Costello", " Inc LLC")
+    ending = F.element_at(F.array(*map(F.lit, endings)), (F.col("s_suppkey") % len(endings) + 1).cast("int"))
     return g.table("supplier").select(F.concat("s_name", ending).alias("n")).withColumn("name", normalize_entity_name(F.col("n")))
 
 
-@query("f02_expand_suffix_reading", "SELECT s_name || ' L1C' AS n, s_name || ' llc' AS name FROM supplier")
+@query("f02_expand_suffix_reading", "SELECT s_name || [' LLO', ' lnc', ' C0RP.', ' Apollo', ' L.L.C', ' 1td'][1 + s_suppkey % 6] AS n, s_name || [' LLC', ' inc', ' CORP', ' Apollo', ' LLC', ' ltd'][1 + s_suppkey % 6] AS name FROM supplier")
 def _(g: Graph) -> DataFrame:
-    return g.table("supplier").select(F.concat("s_name", F.lit(" L1C")).alias("n")).withColumn("name", expand_suffix_reading(F.col("n")))
+    ending = F.element_at(F.array(*map(F.lit, (" LLO", " lnc", " C0RP.", " Apollo", " L.L.C", " 1td"))), (F.col("s_suppkey") % 6 + 1).cast("int"))
+    return g.table("supplier").select(F.concat("s_name", ending).alias("n")).withColumn("name", expand_suffix_reading(F.col("n")))
 
 
 @query("f04_normalize_type_name", "SELECT DISTINCT p_type, regexp_replace(regexp_replace(lower(trim(p_type)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS type_name FROM part")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators.graph_reads import live
+from loomgraph.operators.graph_reads import incidence, live
 from loomgraph.plans.model import Graph
 from loomgraph.plans.registry import query
 
@@ -18,11 +18,11 @@ def type_counts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def health_report(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: totals, edges per vertex, deprecated counts, live vertices without an edge and their share of all."""
-    ends = edges.select(F.col("source").alias("entity_id")).union(edges.select("target")).distinct()
-    orphans = live(vertices).join(ends, "entity_id", "left_anti").agg(F.count("*").alias("orphans"))
-    v = vertices.agg(F.count("*").alias("n_vertices"), F.count_if(F.col("deprecated")).alias("deprecated_vertices"))
-    e = edges.agg(F.count("*").alias("n_edges"), F.count_if(F.col("deprecated")).alias("deprecated_edges"))
-    one = v.crossJoin(e).crossJoin(orphans)  # three single rows
+    per_id = incidence(vertices, edges)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    one = per_id.agg(
+        *map(total, ("n_vertices", "deprecated_vertices", "n_edges", "deprecated_edges")), F.count_if((F.col("n_live") > 0) & (F.col("n_ends") == 0)).alias("orphans")
+    )
     ratio = lambda a, b: F.round(F.try_divide(F.col(a), F.col(b)), 6)
     return one.withColumns({"edge_vertex_ratio": ratio("n_edges", "n_vertices"), "orphan_rate": ratio("orphans", "n_vertices")})
 

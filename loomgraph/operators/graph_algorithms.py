@@ -135,9 +135,12 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def chain_hashes(rows: DataFrame, order: str, payload: Column) -> DataFrame:
     """Rows with the hash of (payload, payload hash of the row before): a link per row."""
-    own = F.sha2(payload, 256)
-    w = Window.orderBy(order)
-    return rows.withColumn("own_hash", own).withColumn("link_hash", F.sha2(F.concat("own_hash", F.coalesce(F.lag("own_hash").over(w), F.lit(""))), 256))
+    from loomgraph.operators.ordered import global_row_number
+
+    numbered = durable(global_row_number(rows.withColumn("own_hash", F.sha2(payload, 256)), F.col(order)), "chain")
+    before = numbered.select((F.col("row_number") + 1).alias("row_number"), F.col("own_hash").alias("__before"))
+    link = F.sha2(F.concat("own_hash", F.coalesce("__before", F.lit(""))), 256)
+    return numbered.join(before, "row_number", "left").withColumn("link_hash", link).drop("row_number", "__before")
 
 
 @query(

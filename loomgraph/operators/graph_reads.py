@@ -14,6 +14,27 @@ from loomgraph.plans.registry import query
 INTERNAL_PROPERTIES = ("confidence", "deprecated")
 
 
+def incidence(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per id of a vertex or of an edge's end: its vertices, live and deprecated ones, its edge ends, and the edges (and
+    deprecated ones) that start there. Vertices and edges are read once and meet in one aggregate, without a join."""
+    one = lambda c: c.cast("int")
+    deprecated = one(F.coalesce("deprecated", F.lit(False)))
+    live_one = one(F.coalesce(~F.col("deprecated"), F.lit(False)))
+    zero = F.lit(0)
+    names = ("n_vertices", "n_live", "deprecated_vertices", "n_ends", "n_edges", "deprecated_edges")
+
+    def signs(*values):
+        return [v.alias(n) for v, n in zip(values, names)]
+
+    of_vertices = vertices.select("entity_id", *signs(F.lit(1), live_one, deprecated, zero, zero, zero))
+    ends = F.array(
+        F.struct(F.col("source").alias("entity_id"), *signs(zero, zero, zero, F.lit(1), F.lit(1), deprecated)),
+        F.struct(F.col("target").alias("entity_id"), *signs(zero, zero, zero, F.lit(1), zero, zero)),
+    )
+    of_edges = edges.select(F.explode(ends).alias("end")).select("end.*")
+    return of_vertices.unionByName(of_edges).groupBy("entity_id").agg(*(F.sum(n).alias(n) for n in names))
+
+
 def live(df: DataFrame) -> DataFrame:
     """Rows not soft-deleted; a null flag is not ``false`` and so is left out."""
     return df.filter(F.col("deprecated") == F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators.graph_reads import live, overlaps
+from loomgraph.operators.graph_reads import incidence, live, overlaps
 from loomgraph.plans.model import Graph
 from loomgraph.plans.registry import query
 
@@ -152,13 +152,13 @@ def _(g: Graph) -> DataFrame:
 @query("j14_unapproved_types", "SELECT entity_type, count(*) AS n FROM vertices WHERE entity_type NOT IN ('region', 'nation', 'part') GROUP BY 1 ORDER BY n DESC, entity_type LIMIT 20")
 def _(g: Graph) -> DataFrame:
     approved = g.spark.createDataFrame([("region",), ("nation",), ("part",)], "entity_type string")
-    return g.vertices.join(approved, "entity_type", "left_anti").groupBy("entity_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity_type").limit(20)
+    counts = g.vertices.groupBy("entity_type").agg(F.count("*").alias("n"))
+    return counts.join(approved, "entity_type", "left_anti").orderBy(F.desc("n"), "entity_type").limit(20)
 
 
 @query("j15_orphans", "SELECT entity_id FROM vertices WHERE deprecated = false AND entity_id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)")
 def _(g: Graph) -> DataFrame:
-    ends = g.edges.select(F.col("source").alias("entity_id")).union(g.edges.select("target"))
-    return live(g.vertices).join(ends, "entity_id", "left_anti").select("entity_id")
+    return incidence(g.vertices, g.edges).filter("n_live > 0 AND n_ends = 0").select("entity_id")
 
 
 @query("j16_missing_embedding", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")

@@ -148,11 +148,11 @@ def _(g: Graph) -> DataFrame:
     return _bm25(g, 50).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-_VEC = "SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0"
+_VEC = "SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0"
 
 
 def _semantic(g: Graph, k: int) -> DataFrame:
-    asked = g.table("embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = g.table("embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return semantic_top_k(asked, g.table("embeddings").select("vec_id", "embedding"), "vec_id", k)
 
 

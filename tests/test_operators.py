@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
@@ -150,3 +151,28 @@ def test_mail_files(spark, tmp_path):
 def test_similar_pairs_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
     assert resolution.similar_pairs(empty, "vec_id", "label", "embedding", 0.9).count() == 0
+
+
+def test_pairs_at_the_threshold_are_met(spark):
+    """Recall at a cosine of 0.85, on pairs made for it."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(400):
+        x, y = rng.standard_normal((2, 32))
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        y /= np.linalg.norm(y)
+        rows += [(2 * k, k // 50, x.tolist()), (2 * k + 1, k // 50, (0.8505 * x + np.sqrt(1 - 0.8505**2) * y).tolist())]
+    df = spark.createDataFrame(rows, "key long, block int, vector array<double>")
+    found = {(r.a, r.b) for r in resolution.similar_pairs(df, "key", "block", "vector", 0.85).collect()}
+    assert len(found & {(2 * k, 2 * k + 1) for k in range(400)}) >= 396
+
+
+def test_company_names(spark):
+    """Names and results of the stated rules: one suffix or misreading of one, at a word's border, never the whole name."""
+    names = ["Cedar Grove Residences LLO", "Apollo", "Costello", "Acme, Inc.", "Acme Company", "ACME  GmbH ", "LLC", "Acme L.L.C.", "Acme,LP", "Acme Corp. Ltd", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    want = ["cedar grove residences", "apollo", "costello", "acme", "acme company", "acme", "llc", "acme", "acme", "acme corp.", None]
+    assert [r[0] for r in df.select(text.normalize_entity_name(F.col("n"))).collect()] == want
+    read = spark.createDataFrame([("Cedar Grove Residences LLO",), ("Acme lnc.",), ("LLO",), ("Acme L.L.C.",), ("Apollo",)], "n string")
+    assert [r[0] for r in read.select(text.expand_suffix_reading(F.col("n"))).collect()] == ["Cedar Grove Residences LLC", "Acme inc", "LLO", "Acme LLC", "Apollo"]

@@ -22,7 +22,7 @@ def test_query_matches_sql(spark, small_dir, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_without_sql_runs(spark, small_dir, name):
-    assert registry.QUERIES[name](spark, small_dir).columns
+    assert registry.QUERIES[name](spark, small_dir).count() > 0
 
 
 def test_entry_runs(spark):
