@@ -222,6 +222,8 @@ class FingerprintIndex:
 
 WINDOWS = "bucket long, kind int, digests binary, places binary"
 REPEATED_HERE = np.uint32(1 << 31)
+#: Marked windows that a task holds before it deals them by row.
+HELD_PLACES = 1 << 20
 
 
 def send_windows(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterator[pa.RecordBatch]:
@@ -324,17 +326,23 @@ def _spans(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatc
 
 def repeated_windows(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterator[pa.RecordBatch]:
     """The windows that are met twice or more over all blocks, dealt by row."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for _, rows in runs(batches):
         parts = []
         for _, kind, digests, places in rows:
             key, where = _unpack_places(places)
             if kind:
-                yield from _deal_places(key, where, bucket_bits)
+                held.append((key, where))
             else:
                 n = len(key)
                 parts.append((np.frombuffer(digests, np.uint64, n), np.frombuffer(digests, np.uint32, n, 8 * n), key, where))
         if parts:
-            yield from _deal_places(*_met_twice(parts), bucket_bits)
+            held.append(_met_twice(parts))
+        if sum(len(key) for key, _ in held) > HELD_PLACES:
+            yield from _deal_places(*map(np.concatenate, zip(*held)), bucket_bits)
+            held = []
+    if held:
+        yield from _deal_places(*map(np.concatenate, zip(*held)), bucket_bits)
 
 
 def _met_twice(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
