@@ -176,3 +176,75 @@ def test_company_names(spark):
     assert [r[0] for r in df.select(text.normalize_entity_name(F.col("n"))).collect()] == want
     read = spark.createDataFrame([("Cedar Grove Residences LLO",), ("Acme lnc.",), ("LLO",), ("Acme L.L.C.",), ("Apollo",)], "n string")
     assert [r[0] for r in read.select(text.expand_suffix_reading(F.col("n"))).collect()] == ["Cedar Grove Residences LLC", "Acme inc", "LLO", "Acme LLC", "Apollo"]
+
+
+def _reference_linkage(vectors, threshold):
+    """Average linkage by merging the closest two clusters until none reach the threshold."""
+    x = {k: np.array(v, float) / np.linalg.norm(v) for k, v in vectors.items()}
+    groups = [[k] for k in sorted(x)]
+    while len(groups) > 1:
+        best = max(((np.mean([x[p] @ x[q] for p in a for q in b]), -i, -j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j))
+        if best[0] < threshold:
+            break
+        i, j = -best[1], -best[2]
+        groups[i] += groups.pop(j)
+    return {k: min(m) for m in groups for k in m}
+
+
+def test_average_linkage_equals_merging_one_pair_at_a_time(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((6, 16))
+    vectors = {k: list(map(float, centres[k % 6] + (0.25 + 0.1 * (k % 3)) * rng.standard_normal(16))) for k in range(60)}
+    vectors[60] = vectors[7]
+    df = spark.createDataFrame([(0, k, v) for k, v in vectors.items()], "block int, vec_id long, v array<double>")
+    for threshold in (0.8, 0.9):
+        found = dict(values(resolution.average_linkage(df, "block", "vec_id", "v", threshold), "vec_id", "cluster"))
+        assert found == _reference_linkage(vectors, threshold)
+        assert 6 <= len(set(found.values())) < 60
+
+
+def test_average_linkage_of_nothing(spark):
+    df = spark.createDataFrame([], "block int, vec_id long, v array<double>")
+    assert resolution.average_linkage(df, "block", "vec_id", "v", 0.8).count() == 0
+
+
+@pytest.mark.parametrize("distance", [1, 2, 3])
+def test_close_strings_of_any_length_equal_all_pairs(spark, distance):
+    rng = np.random.default_rng(distance)
+    words = {"", "a", "ab", "abc"} | {"".join(rng.choice(list("abc"), rng.integers(1, 12))) for _ in range(60)}
+    found = values(resolution.close_strings(spark.createDataFrame([(w,) for w in words], "t string"), "t", distance), "a", "b", "d")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    every = sorted((a, b, edits(a, b)) for a in words for b in words if a < b and edits(a, b) <= distance)
+    assert found == every
+
+
+def test_resolution_tiers_in_order(spark):
+    registry = spark.createDataFrame(
+        [("r1", "org", "Acme", [1.0, 0.0]), ("r2", "person", "Ann Lee", [0.0, 1.0]), ("r3", "person", "Ann Ray", [0.6, 0.8]), ("r4", "person", "Bo Diaz", [1.0, 1.0])],
+        "entity_id string, entity_type string, name string, vector array<double>",
+    )
+    mentions = spark.createDataFrame(
+        [(1, "org", "Acme", None), (2, "org", "ACME, Inc.", None), (3, "person", "ann", [5.0, 0.1]), (4, "person", "Diaz", [0.0, 1.0]), (5, "org", "Other", [2.0, 0.1]),
+         (6, "org", "Else", [0.9, 0.45]), (7, "org", "None", None), (8, "person", None, None)],
+        "mention_id int, entity_type string, name string, vector array<double>",
+    )
+    plain = {r["mention_id"]: (r["tier"], r["candidate_id"]) for r in resolution.resolve(mentions, registry, ("person",), 0.95, 0.8).collect()}
+    # "ann" opens two names, so it is no fragment of one; its vector decides
+    assert plain == {1: ("exact", None), 2: ("normalized", None), 3: ("new", None), 4: ("new", "r4"), 5: ("embedding", "r1"), 6: ("new", "r1"), 7: ("new", None), 8: ("new", None)}
+    judged = resolution.resolve(mentions, registry, ("person",), 0.95, 0.8, F.col("name") == "Diaz")
+    assert ("adjudicated", "r4") in values(judged.filter("mention_id = 4"), "tier", "entity_id")
+
+
+def test_cluster_quality_grades(spark):
+    rows = [("c", 1, [1.0, 0.0], 0.9), ("c", 2, [1.0, 0.1], 0.1), ("s", 3, [1.0, 0.0], 0.9), ("s", 4, [0.0, 1.0], 0.9), ("r", 5, [1.0, 0.0], 0.5), ("r", 6, [1.0, 0.0], 0.5), ("one", 7, [1.0, 0.0], 0.0)]
+    df = spark.createDataFrame(rows, "cluster string, k int, v array<double>, p double")
+    for tile in (1, 256):
+        assert values(resolution.cluster_quality(df, "cluster", "k", "v", "p", tile), "cluster", "quality") == [("c", "clean"), ("one", "clean"), ("r", "review"), ("s", "suspect")]
