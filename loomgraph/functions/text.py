@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -403,6 +404,34 @@ def sentences(text: Column) -> Column:
     return F.transform(lengths, lambda n, i: F.struct(F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x).alias("start"), n.alias("length")))
 
 
+#: Lexicon that stands in for a tagger: closed classes by list, open ones by ending; other words count as nouns.
+CONTEXT_WORDS = (
+    "i you he she it we they me him her us them my your his its our their mine yours who whom whose what am is are was were be been being do does did have has had will would "
+    "can could shall should may might must not very too so just now then here there never always often oh hey wow yes no please"
+)
+NEUTRAL_WORDS = "and or but nor to if because while when as than that one two three"
+CONTEXT_ENDINGS = "ly|ed|ing|ize|ise"
+
+
+def is_contextual(word: Column) -> Column:
+    """Pronouns, verbs, adverbs and interjections."""
+    return word.rlike(f"^(?:{CONTEXT_WORDS.replace(' ', '|')}|[a-z]{{2,}}(?:{CONTEXT_ENDINGS}))$")
+
+
+def is_formal(word: Column) -> Column:
+    """Nouns, adjectives, prepositions and articles."""
+    return ~is_contextual(word) & ~word.rlike(f"^(?:{NEUTRAL_WORDS.replace(' ', '|')})$")
+
+
+def formality(words: Column, formal: Callable[[Column], Column] = is_formal, contextual: Callable[[Column], Column] = is_contextual) -> Column:
+    """Heylighen-Dewaele score of an array of words, 0 to 100: 50 * ((formal - contextual) / all + 1); 50 without words.
+
+    The two predicates can be replaced by those of a real tagger.
+    """
+    balance = F.size(F.filter(words, formal)) - F.size(F.filter(words, contextual))
+    return F.coalesce(50.0 * (F.try_divide(balance, F.size(words)) + 1.0), F.lit(50.0))
+
+
 def confident_similarity(similarity: Column, distance: Column, same_name: Column) -> Column:
     """A rescored neighbour; distance zero counts only for equal names."""
     return F.when((distance == 0) & ~same_name, 0.0).otherwise(similarity)
@@ -478,3 +507,17 @@ def _(g: Graph) -> DataFrame:
 def _(g: Graph) -> DataFrame:
     spans = g.messages.filter("body <> '' AND NOT contains(body, '\\n')").select("message_id", F.explode(sentences(F.col("body"))).alias("s"))
     return spans.groupBy("message_id").agg(F.sum("s.length").alias("chars"))
+
+
+_CONTEXTUAL = "regexp_full_match(x, '" + CONTEXT_WORDS.replace(" ", "|") + f"|[a-z]{{2,}}({CONTEXT_ENDINGS})')"
+_NEUTRAL = "regexp_full_match(x, '" + NEUTRAL_WORDS.replace(" ", "|") + "')"
+
+
+@query(
+    "f35_formality",
+    f"""SELECT conv_id, turn, coalesce(round(50.0 * ((len(list_filter(w, lambda x: NOT {_CONTEXTUAL} AND NOT {_NEUTRAL})) - len(list_filter(w, lambda x: {_CONTEXTUAL})))::DOUBLE / nullif(len(w), 0) + 1), 6), 50.0) AS score
+    FROM (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM conversations)""",
+)
+def _(g: Graph) -> DataFrame:
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), 0)
+    return g.table("conversations").select("conv_id", "turn", F.round(formality(words), 6).alias("score"))

@@ -129,6 +129,112 @@ def chunk_documents(docs: DataFrame, cap: int = 2000) -> DataFrame:
     return given.mapInPandas(chunk, "doc_id long, chunk int, start int, end int, text string")
 
 
+def token_estimate(n_chars: int) -> int:
+    return n_chars // 4
+
+
+def gather_chunks(text: str, cap: int, least: int = 100) -> list[list[tuple[int, int]]]:
+    """Chunks as lists of spans that are joined by an empty line.
+
+    Paragraphs (between empty lines, stripped) are gathered up to ``cap`` tokens; a longer one is cut at sentences, never
+    within one; a chunk under ``least`` tokens joins its neighbour where the two fit under the cap.
+    """
+
+    def tokens(spans: list[tuple[int, int]]) -> int:
+        return token_estimate(sum(b - a for a, b in spans) + 2 * (len(spans) - 1))
+
+    def gather(spans: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+        groups: list[list[tuple[int, int]]] = []
+        for span in spans:
+            if groups and tokens([*groups[-1], span]) <= cap:
+                groups[-1].append(span)
+            else:
+                groups.append([span])
+        return groups
+
+    def sentences(a: int, b: int) -> list[list[tuple[int, int]]]:
+        cuts = [a, *(m.end() for m in SENTENCE_END.finditer(text, a, b)), b]
+        pieces: list[list[tuple[int, int]]] = []
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            if pieces and token_estimate(y - pieces[-1][0][0]) <= cap:
+                pieces[-1] = [(pieces[-1][0][0], y)]
+            elif x < y:
+                pieces.append([(x, y)])
+        return pieces
+
+    paragraphs, at = [], 0
+    for part in text.split("\n\n"):
+        if part.strip():
+            start = at + len(part) - len(part.lstrip())
+            paragraphs.append((start, start + len(part.strip())))
+        at += len(part) + 2
+    chunks: list[list[tuple[int, int]]] = []
+    for group in gather(paragraphs):
+        for piece in sentences(*group[0]) if tokens(group) > cap else [group]:
+            small = chunks and min(tokens(chunks[-1]), tokens(piece)) < least
+            if small and tokens([*chunks[-1], *piece]) <= cap:
+                chunks[-1] = [*chunks[-1], *piece]
+            else:
+                chunks.append(piece)
+    return chunks
+
+
+def token_chunks(docs: DataFrame, token_cap: int = 1000, overlap_tokens: int = 50) -> DataFrame:
+    """Chunks of every whole text up to 0.8 of ``token_cap`` (four characters a token), each opened by the end of the one before.
+
+    ``start`` and ``end`` are the chunk's own place in the text; the first ``overlap_chars`` characters of ``chunk_text``
+    are repeated from the chunk before. Null and blank texts have none.
+    """
+    cap, overlap = int(token_cap * 0.8), overlap_tokens * 4
+
+    def rows_of(key: int, text: str) -> Iterator[tuple]:
+        before = ""
+        for k, spans in enumerate(gather_chunks(text, cap)):
+            own = "\n\n".join(text[a:b] for a, b in spans)
+            opened = before[-overlap:] if overlap else ""
+            yield key, k, spans[0][0], spans[-1][1], opened + own, len(opened), token_estimate(len(opened + own))
+            before = own
+
+    def chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["doc_id", "chunk", "start", "end", "chunk_text", "overlap_chars", "n_tokens"]
+        for frame in frames:
+            yield pd.DataFrame([row for d, t in zip(frame.doc_id, frame.text) for row in rows_of(d, t)], columns=names)
+
+    given = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    return given.mapInPandas(chunk, "doc_id long, chunk int, start int, end int, chunk_text string, overlap_chars int, n_tokens int")
+
+
+def disposed(claims: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Claims after a reviewer's decisions (claim_id, action, decided_on, new_object), one per claim.
+
+    Quarantined claims become accepted or rejected; an edit accepts a new claim with the changed object (null keeps it) under
+    a new id and leaves the old one superseded by it. Decisions about other claims, and unknown actions, change nothing.
+    """
+    first = decisions.groupBy("claim_id").agg(F.min_by(F.struct("action", "decided_on", "new_object"), F.struct("decided_on", "action")).alias("d"))
+    joined = claims.join(first, "claim_id", "left")
+    decided = (F.col("status") == "quarantined") & F.col("d.action").isin("accept", "reject", "edit")
+    action = F.when(decided, F.col("d.action"))
+    new_id = F.concat("claim_id", F.lit(":h"), F.sha2(F.concat_ws("|", "claim_id", "d.new_object"), 256).substr(1, 8))
+    stamped = joined.withColumns({
+        "__action": action,
+        "status": F.when(action == "accept", "accepted").when(action == "reject", "rejected").when(action == "edit", "superseded").otherwise(F.col("status")),
+        "decision_source": F.when(action.isNotNull(), "human"),
+        "decided_on": F.when(action.isNotNull(), F.col("d.decided_on")),
+        "superseded_by": F.when(action == "edit", new_id),
+    })
+    # an edited claim gives two rows: itself, and the one that takes its place
+    side = F.explode(F.when(F.col("__action") == "edit", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("__new")
+    rows = stamped.select("*", side)
+    fresh = F.col("__new") == 1
+    rows = rows.withColumns({
+        "claim_id": F.when(fresh, F.col("superseded_by")).otherwise(F.col("claim_id")),
+        "object": F.when(fresh, F.coalesce("d.new_object", "object")).otherwise(F.col("object")),
+        "status": F.when(fresh, "accepted").otherwise(F.col("status")),
+        "superseded_by": F.when(~fresh, F.col("superseded_by")),
+    })
+    return rows.drop("d", "__action", "__new")
+
+
 @query("a41_claim_merge", "SELECT subject, predicate, object, count(*) AS n, max(confidence) AS confidence, min(created_on) AS first_seen, count(DISTINCT document_id) AS documents FROM claims GROUP BY 1, 2, 3")
 def _(g: Graph) -> DataFrame:
     return merge_claims(g.claims)
@@ -139,6 +245,27 @@ def _(g: Graph) -> DataFrame:
     return chunk_documents(g.table("documents"))
 
 
+@query("c01_token_chunks")
+def _(g: Graph) -> DataFrame:
+    return token_chunks(g.table("documents"))
+
+
+@query(
+    "c20_human_override",
+    """WITH d AS (SELECT DISTINCT claim_id, unit % 5 AS a FROM claims WHERE unit % 4 = 0)
+    SELECT status, coalesce(decision_source, 'none') AS decision_source, object = 'edited' AS edited, superseded_by IS NOT NULL AS superseded, count(*) AS n FROM (
+      SELECT CASE WHEN c.status = 'quarantined' AND a = 0 THEN 'accepted' WHEN c.status = 'quarantined' AND a = 1 THEN 'rejected' WHEN c.status = 'quarantined' AND a = 2 THEN 'superseded' ELSE c.status END AS status,
+        CASE WHEN c.status = 'quarantined' AND a <= 2 THEN 'human' END AS decision_source, c.object, CASE WHEN c.status = 'quarantined' AND a = 2 THEN 'new' END AS superseded_by FROM claims c LEFT JOIN d ON c.claim_id = d.claim_id
+      UNION ALL SELECT 'accepted', 'human', 'edited', NULL FROM claims c JOIN d ON c.claim_id = d.claim_id WHERE c.status = 'quarantined' AND a = 2) GROUP BY 1, 2, 3, 4""",
+)
+def _(g: Graph) -> DataFrame:
+    actions = F.element_at(F.array(*map(F.lit, ("accept", "reject", "edit", "defer", "defer"))), (F.col("unit") % 5 + 1).cast("int"))
+    decisions = g.claims.filter("unit % 4 = 0").select("claim_id", actions.alias("action"), F.col("created_on").alias("decided_on"), F.lit("edited").alias("new_object"))
+    after = disposed(g.claims, decisions)
+    marks = [F.coalesce("decision_source", F.lit("none")).alias("decision_source"), (F.col("object") == "edited").alias("edited"), F.col("superseded_by").isNotNull().alias("superseded")]
+    return after.groupBy("status", *marks).agg(F.count("*").alias("n"))
+
+
 @query(
     "c03_constraint_validation",
     """SELECT claim_id, CASE WHEN verdict = 'REFUTED' AND status = 'accepted' THEN true ELSE false END AS quarantined,

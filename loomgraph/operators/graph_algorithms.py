@@ -127,6 +127,62 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return parts.agg(F.sum(F.col("inside") / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
+def seeded_communities(edges: DataFrame, seeds: list[int], rounds: int = 10) -> DataFrame:
+    """(seed, node, label): weighted label propagation with ties broken by a hash of label and seed, all seeds at once.
+
+    A node also votes once for its own label. It stops early once no label of any seed changes.
+    """
+    both = edges.select("a", "b", "n").union(edges.select("b", "a", "n"))
+    every = F.explode(F.array(*map(F.lit, seeds))).alias("seed")
+    labels = durable(both.select(F.col("a").alias("node")).distinct().select(every, "node", F.col("node").alias("label")), "labels")
+    for _ in range(rounds):
+        votes = both.join(labels, F.col("b") == F.col("node")).select("seed", F.col("a").alias("node"), "label", "n")
+        votes = votes.union(labels.select("seed", "node", "label", F.lit(1).cast("long")))
+        weights = votes.groupBy("seed", "node", "label").agg(F.sum("n").alias("w"))
+        best = F.max(F.struct("w", F.xxhash64("label", "seed").alias("tie"), "label")).alias("m")
+        chosen = durable(weights.groupBy("seed", "node").agg(best).select("seed", "node", "m.label"), "labels")
+        settled = chosen.join(labels, ["seed", "node", "label"], "left_anti").isEmpty()
+        labels = chosen
+        if settled:
+            break
+    return labels
+
+
+def seeded_modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(seed, modularity, communities) of labels (seed, node, label) over weighted undirected edges (a, b, n)."""
+    la, lb = labels.toDF("seed", "a", "la"), labels.toDF("seed", "b", "lb")
+    inside = edges.join(la, "a").join(lb, ["seed", "b"]).filter("la = lb").groupBy("seed", F.col("la").alias("label")).agg(F.sum("n").alias("inside"))
+    ends = edges.select(F.col("a").alias("node"), "n").union(edges.select("b", "n")).groupBy("node").agg(F.sum("n").alias("n"))
+    degree = ends.join(labels, "node").groupBy("seed", "label").agg(F.sum("n").alias("degree"))
+    parts = degree.join(inside, ["seed", "label"], "left").na.fill(0, ["inside"]).crossJoin(F.broadcast(edges.agg(F.sum("n").alias("m"))))  # one row
+    share = F.col("inside") / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)
+    return parts.groupBy("seed").agg(F.sum(share).alias("modularity"), F.count("*").alias("communities"))
+
+
+def agreement(labels: DataFrame) -> DataFrame:
+    """(s, t, ari): adjusted Rand index of every two seeds' labels (seed, node, label)."""
+    pairs = lambda n: F.sum(F.col(n) * (F.col(n) - 1) / 2)
+    one, two = labels.toDF("s", "node", "x"), labels.toDF("t", "node", "y")
+    cells = one.join(two, "node").filter("s < t").groupBy("s", "t", "x", "y").agg(F.count("*").alias("n"))
+    both = cells.groupBy("s", "t").agg(pairs("n").alias("both"), F.sum("n").alias("nodes"))
+    alone = labels.groupBy("seed", "label").agg(F.count("*").alias("n")).groupBy("seed").agg(pairs("n").alias("own"))
+    joined = both.join(alone.toDF("s", "own_s"), "s").join(alone.toDF("t", "own_t"), "t")
+    expected = F.coalesce(F.try_divide(F.col("own_s") * F.col("own_t"), F.col("nodes") * (F.col("nodes") - 1) / 2), F.lit(0.0))
+    most = (F.col("own_s") + F.col("own_t")) / 2
+    return joined.select("s", "t", F.coalesce(F.try_divide(F.col("both") - expected, most - expected), F.lit(1.0)).alias("ari"))
+
+
+def community_stability(edges: DataFrame, seeds: list[int], least_agreement: float = 0.6) -> DataFrame:
+    """Per seed its modularity and communities, which one is taken (most modular, then first), the mean agreement and its flag."""
+    labels = seeded_communities(edges, seeds)
+    scored = seeded_modularity(edges, labels)
+    mean = agreement(labels).agg(F.coalesce(F.avg("ari"), F.lit(1.0)).alias("mean_ari"))  # one row
+    position = F.array_position(F.array(*map(F.lit, seeds)), F.col("seed"))
+    best = scored.agg(F.max_by("seed", F.struct(F.round("modularity", 12), -position)).alias("best"))  # one row
+    joined = scored.crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(best))
+    return joined.select("seed", "modularity", "communities", (F.col("seed") == F.col("best")).alias("selected"), "mean_ari", (F.col("mean_ari") < least_agreement).alias("low_stability"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     out = edges.select(F.col("source").alias("entity_id"), F.lit(1).alias("o"), F.lit(0).alias("i"))
     both = out.union(edges.select("target", F.lit(0), F.lit(1)))
@@ -207,6 +263,11 @@ def _(g: Graph) -> DataFrame:
     return label_propagation(_coassociation(g).filter("n >= 2"))
 
 
+@query("g07_community_stability")
+def _(g: Graph) -> DataFrame:
+    return community_stability(durable(_coassociation(g).filter("n >= 2"), "coassociation"), [1, 2, 3, 4, 5])
+
+
 @query("g08_coassociation_graph", "SELECT a.object AS a, b.object AS b, count(*) AS n FROM (SELECT DISTINCT document_id, object FROM claims) a JOIN (SELECT DISTINCT document_id, object FROM claims) b ON a.document_id = b.document_id AND a.object < b.object GROUP BY 1, 2")
 def _(g: Graph) -> DataFrame:
     return _coassociation(g)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import sigma_strength
@@ -10,6 +15,7 @@ from loomgraph.operators.graph_reads import band
 from loomgraph.operators.ordered import mann_kendall
 from loomgraph.plans.model import Graph
 from loomgraph.plans.registry import query
+from loomgraph.session import durable
 
 TRIGGER, QUIET = 0.5, 0.3
 
@@ -41,6 +47,83 @@ def pattern(signals: DataFrame, group: str, rules: dict[str, tuple[list[str], li
     return wide.select(group, F.explode(F.array_compact(F.array(*fired))).alias("pattern"))
 
 
+#: Chebyshev fit of the complementary error function, relative error below 1.2e-7, lowest power first.
+ERFC_FIT = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def two_sided_p(z: Column) -> Column:
+    """Probability of a normal deviate at least this far from 0."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + x / 2)
+    power = reduce(lambda tail, c: F.lit(c) + t * tail, reversed(ERFC_FIT), F.lit(0.0))
+    return F.least(F.lit(1.0), t * F.exp(power - x * x))
+
+
+def trend_strength(points: DataFrame, keys: list[str], order: str, value: str, direction: str, min_points: int = 10, alpha: float = 0.05) -> DataFrame:
+    """Mann-Kendall per series of at least ``min_points``: p, and 1 - p as strength where it trends that way below ``alpha``, else 0."""
+    tested = mann_kendall(points, keys, order, value).filter(F.col("n") >= min_points).withColumn("p", two_sided_p(F.col("z")))
+    hit = (F.signum("z") == (1 if direction == "increasing" else -1)) & (F.col("p") < alpha)
+    return tested.select(*keys, "n", "z", "p", F.when(hit, F.least(F.lit(1.0), 1 - F.col("p"))).otherwise(0.0).alias("strength"))
+
+
+def trend_or_now(trend: DataFrame, now: DataFrame, module: str) -> DataFrame:
+    """One row per module of either side: the greater of the trend's and the point-in-time strength, and both."""
+    joined = trend.select(module, F.col("strength").alias("trend")).join(now.select(module, F.col("strength").alias("now")), module, "full")
+    return joined.select(module, F.greatest("trend", "now").alias("strength"), "trend", "now")
+
+
+def deprecation_signal(claims: DataFrame, module: str, kind: str, day: str, deprecated_use: Column, today: Column, window: int, now_days: int, threshold: int = 5) -> DataFrame:
+    """Per module, the strongest falling type among its daily counts, or the most used deprecated type of late.
+
+    The trend looks at counts of all claims of the window; the point in time at claims of the last ``now_days`` for which
+    ``deprecated_use`` holds, whose largest count by type is divided by ``threshold``, to 1 at most. Modules without either give no row.
+    """
+    age = F.datediff(today, day)
+    typed = claims.filter(F.col(kind).isNotNull() & (age >= 0))
+    daily = typed.filter(F.col(module).isNotNull() & (age <= window)).groupBy(module, kind, day).agg(F.count("*").alias("y"))
+    falling = trend_strength(daily, [module, kind], day, "y", "decreasing").filter("strength > 0")
+    trend = falling.groupBy(module).agg(F.max("strength").alias("strength"))
+    late = typed.filter(deprecated_use & (age <= now_days)).groupBy(F.coalesce(module, F.lit("__global__")).alias(module), kind).agg(F.count("*").alias("n"))
+    now = late.groupBy(module).agg(F.least(F.lit(1.0), F.max("n") / threshold).alias("strength"))
+    return trend_or_now(trend, now, module)
+
+
+def failure_signal(runs: DataFrame, module: str, order: str, total: str, failing: str, min_points: int = 10) -> DataFrame:
+    """Per module, the rising failure rate over its oldest runs, or the rate of the last of these.
+
+    As many of the oldest runs as twice ``min_points``, 20 at least, are looked at; runs of nothing do not count.
+    """
+    numbered = runs.withColumn("__r", F.row_number().over(Window.partitionBy(module).orderBy(order))).filter(F.col("__r") <= max(20, 2 * min_points))
+    rated = numbered.filter(F.col(total) > 0).withColumn("rate", F.coalesce(failing, F.lit(0)) / F.col(total))
+    trend = trend_strength(rated, [module], order, "rate", "increasing", min_points)
+    last = rated.groupBy(module).agg(F.max_by("rate", order).alias("rate"))
+    now = last.filter("rate > 0").select(module, F.least(F.lit(1.0), F.col("rate")).alias("strength"))
+    return trend_or_now(trend, now, module)
+
+
+def run_detectors(spark: SparkSession, detectors: dict[str, Callable[[], DataFrame]], columns: str) -> tuple[DataFrame, DataFrame]:
+    """Runs every detector as Spark jobs side by side: (records with their detector, one row of the run's status).
+
+    A detector that fails takes its own records with it and no others; the status is success, partial_failure or error, and
+    ``failures`` names who failed and why. ``columns`` is the schema all detectors return.
+    """
+
+    def run(name: str) -> tuple[DataFrame | None, str]:
+        try:
+            return durable(detectors[name]().selectExpr(*(c.split()[0] for c in columns.split(", "))), f"detector-{name}"), ""
+        except Exception as problem:  # a detector's failure is a result here
+            return None, f"{type(problem).__name__}: {problem}"[:500]
+
+    with ThreadPoolExecutor(max_workers=max(1, min(8, len(detectors)))) as pool:
+        found = dict(zip(detectors, pool.map(run, detectors)))
+    parts = [df.withColumn("detector", F.lit(name)) for name, (df, _) in found.items() if df is not None]
+    failures = {name: why for name, (df, why) in found.items() if df is None}
+    status = "success" if not failures else "partial_failure" if parts else "error"
+    records = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], columns + ", detector string")
+    row = [(status, len(parts), len(failures), failures)]
+    return records, spark.createDataFrame(row, "status string, succeeded int, failed int, failures map<string,string>")
+
+
 @query(
     "n01_signal_trend",
     """WITH d AS (SELECT metric, day, count(*)::DOUBLE AS value FROM samples GROUP BY 1, 2), p AS (SELECT metric, avg(value) FILTER (DATE '2024-01-15' - day = 0) AS current, avg(value) FILTER (DATE '2024-01-15' - day BETWEEN 1 AND 14) AS baseline,
@@ -168,6 +251,30 @@ def _(g: Graph) -> DataFrame:
     return g.claims.agg(F.round(F.count_if(F.col("status") == "accepted") / F.count("*"), 6).alias("progress"))
 
 
+@query("n05_deprecation_signal")
+def _(g: Graph) -> DataFrame:
+    used = (F.col("status") == "quarantined") & (F.col("verdict") == "REFUTED")
+    return deprecation_signal(g.claims, "module", "predicate", "created_on", used, F.lit("1995-06-01").cast("date"), 365, 30, 500)
+
+
+@query("n07_failure_signal")
+def _(g: Graph) -> DataFrame:
+    runs = g.samples.groupBy("metric", "day").agg(F.count("*").alias("total"), F.count_if(F.col("value") > 50).alias("failing"))
+    return failure_signal(runs, "metric", "day", "total", "failing")
+
+
+@query(
+    "n09_detector_run",
+    """SELECT 'refuted' AS detector, module, round(count(*) FILTER (verdict = 'REFUTED') / count(*), 6) AS strength, 'partial_failure' AS status FROM claims GROUP BY 2
+    UNION ALL SELECT 'uncertain', module, round(count(*) FILTER (verdict = 'INSUFFICIENT') / count(*), 6), 'partial_failure' FROM claims GROUP BY 2""",
+)
+def _(g: Graph) -> DataFrame:
+    rate = lambda v: g.claims.groupBy("module").agg(F.round(F.count_if(F.col("verdict") == v) / F.count("*"), 6).alias("strength"))
+    detectors = {"refuted": lambda: rate("REFUTED"), "uncertain": lambda: rate("INSUFFICIENT"), "broken": lambda: g.table("no_such_table")}
+    records, status = run_detectors(g.spark, detectors, "module string, strength double")
+    return records.crossJoin(F.broadcast(status.select("status")))  # one row
+
+
 @query("n06_domain_range_violations", "SELECT module, count(*) FILTER (predicate = 'made_by' AND amount > 40) AS violations, round(count(*) FILTER (predicate = 'made_by' AND amount > 40) / count(*), 6) AS rate FROM claims GROUP BY 1")
 def _(g: Graph) -> DataFrame:
     wrong = F.count_if((F.col("predicate") == "made_by") & (F.col("amount") > 40))

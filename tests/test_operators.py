@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
-from loomgraph.operators import claims, components, graph_algorithms, graph_reads, joins, ontology, ordered, resolution, retrieval, security
+from loomgraph.operators import claims, components, graph_algorithms, graph_reads, joins, ontology, ordered, resolution, retrieval, security, signals
 from loomgraph.sources import formats
 
 
@@ -248,3 +248,144 @@ def test_cluster_quality_grades(spark):
     df = spark.createDataFrame(rows, "cluster string, k int, v array<double>, p double")
     for tile in (1, 256):
         assert values(resolution.cluster_quality(df, "cluster", "k", "v", "p", tile), "cluster", "quality") == [("c", "clean"), ("one", "clean"), ("r", "review"), ("s", "suspect")]
+
+
+def test_chunks_by_tokens():
+    def estimate(s):
+        return len(s) // 4
+
+    def chunks(body, cap, least=100):
+        return ["\n\n".join(body[a:b] for a, b in spans) for spans in claims.gather_chunks(body, cap, least)]
+
+    assert chunks("", 10) == [] and chunks(" \n\n \n", 10) == []
+    one, two, three = "a" * 400, "b" * 400, "c" * 800
+    assert chunks(f"{one}\n\n\n {two}\n\n{three}", 220) == [f"{one}\n\n{two}", three]
+    # a small one joins its neighbour only if both fit
+    assert chunks(f"{three}\n\nend", 205) == [f"{three}\n\nend"] and chunks(f"{three}\n\nend", 200) == [three, "end"]
+    long = " ".join(f"Sentence number {k} ends." for k in range(100))
+    cut = chunks(long, 50, 0)
+    assert "".join(cut) == long and len(cut) > 5 and all(estimate(c) <= 50 and c.startswith("Sentence") for c in cut)
+    assert chunks("x" * 4000, 50) == ["x" * 4000]  # no sentence is cut
+
+
+def test_token_chunks_repeat_the_end_of_the_chunk_before(spark):
+    body = "\n\n".join(f"{k:03d}" + "x" * 500 for k in range(9))
+    rows = claims.token_chunks(spark.createDataFrame([(1, body, "e"), (2, None, "e"), (3, "  ", "e")], "doc_id int, text string, chunk_text string"), 400, 20).orderBy("chunk").collect()
+    assert {r["doc_id"] for r in rows} == {1} and rows[0]["overlap_chars"] == 0 and len(rows) == 5
+    for before, row in zip(rows, rows[1:]):
+        own = row["chunk_text"][row["overlap_chars"] :]
+        assert own == body[row["start"] : row["end"]] and row["chunk_text"][:80] == before["chunk_text"][-80:]
+
+
+def test_decisions_on_claims(spark):
+    found = spark.createDataFrame([(c, "quarantined", "o") for c in "abcd"] + [("e", "accepted", "o")], "claim_id string, status string, object string")
+    day = datetime.date(2024, 1, 1)
+    decisions = spark.createDataFrame(
+        [("a", "accept", day, None), ("b", "reject", day, None), ("c", "edit", day, "p"), ("c", "reject", datetime.date(2024, 1, 2), None), ("e", "reject", day, None), ("zz", "accept", day, None)],
+        "claim_id string, action string, decided_on date, new_object string",
+    )
+    rows = claims.disposed(found, decisions).collect()
+    by_id = {r["claim_id"]: r for r in rows}
+    fresh = by_id["c"]["superseded_by"]
+    assert len(rows) == 6 and {k: r["status"] for k, r in by_id.items()} == {"a": "accepted", "b": "rejected", "c": "superseded", "d": "quarantined", "e": "accepted", fresh: "accepted"}
+    assert by_id[fresh]["object"] == "p" and by_id["c"]["object"] == "o" and by_id["d"]["decision_source"] is None and by_id["e"]["decided_on"] is None
+
+
+def _trend(ys):
+    import math
+
+    n = len(ys)
+    s = sum(int(np.sign(ys[j] - ys[i])) for i in range(n) for j in range(i + 1, n))
+    ties = sum(t * (t - 1) * (2 * t + 5) for t in (ys.count(y) for y in set(ys)))
+    var = (n * (n - 1) * (2 * n + 5) - ties) / 18
+    z = 0.0 if s == 0 or var <= 0 else (s - np.sign(s)) / math.sqrt(var)
+    return z, math.erfc(abs(z) / math.sqrt(2))
+
+
+def test_trend_strength_equals_the_definition(spark):
+    rng = np.random.default_rng(5)
+    series = {k: [int(y) for y in rng.integers(0, 9, 12) + (k - 4) * np.arange(12) // 2] for k in range(9)} | {9: [3] * 12, 10: list(range(9))}
+    df = spark.createDataFrame([(k, d, y) for k, ys in series.items() for d, y in enumerate(ys)], "k int, d int, y int")
+    for direction, sign in (("increasing", 1), ("decreasing", -1)):
+        found = {r["k"]: r for r in signals.trend_strength(df, ["k"], "d", "y", direction).collect()}
+        assert sorted(found) == list(range(10))  # the last one is too short
+        for k, row in found.items():
+            z, p = _trend(series[k])
+            assert row["p"] == pytest.approx(min(p, 1), rel=1e-6)
+            assert row["strength"] == pytest.approx(1 - p if z * sign > 0 and p < 0.05 else 0, abs=1e-6)
+
+
+def test_deprecation_and_failure_signals(spark):
+    start = datetime.date(2024, 1, 1)
+    rows = [("m", "falls", start + datetime.timedelta(days=d), False) for d in range(12) for _ in range(20 - d)] + [("m", "flat", start + datetime.timedelta(days=d), False) for d in range(12)]
+    rows += [("n", "old", start + datetime.timedelta(days=11), True)] * 2 + [(None, "old", start, True)] + [("m", None, start, True)] * 9
+    df = spark.createDataFrame(rows, "module string, kind string, day date, old boolean")
+    found = {r["module"]: r for r in signals.deprecation_signal(df, "module", "kind", "day", F.col("old"), F.lit(start + datetime.timedelta(days=11)), 30, 5, 4).collect()}
+    assert set(found) == {"m", "n"} and found["m"]["strength"] > 0.99 and found["m"]["now"] is None
+    assert (found["n"]["strength"], found["n"]["trend"]) == (0.5, None)
+
+    runs = [("up", d, 100, d) for d in range(12)] + [("late", d, 10, 0 if d < 20 else 9) for d in range(25)] + [("few", 1, 4, 1), ("few", 2, 0, 0), ("none", 1, 0, 0)]
+    failed = {r["m"]: r for r in signals.failure_signal(spark.createDataFrame(runs, "m string, d int, total int, failing int"), "m", "d", "total", "failing").collect()}
+    assert failed["up"]["strength"] > 0.99 and failed["up"]["now"] == pytest.approx(0.11)
+    # only the oldest twenty runs are looked at, and an empty run is not the last one
+    assert failed["late"]["strength"] == 0 and failed["few"]["strength"] == 0.25 and "none" not in failed
+
+
+def test_detectors_fail_alone(spark):
+    good = lambda: spark.createDataFrame([("m", 0.5)], "module string, strength double")
+    bad = lambda: spark.createDataFrame([("m", 1.0)], "module string, strength double").withColumn("strength", F.raise_error(F.lit("no")).cast("double"))
+    for detectors, expected in (({"a": good, "b": good}, ("success", 2, 0)), ({"a": good, "b": bad}, ("partial_failure", 1, 1)), ({"b": bad}, ("error", 0, 1)), ({}, ("success", 0, 0))):
+        records, status = signals.run_detectors(spark, detectors, "module string, strength double")
+        row = status.first()
+        assert (row["status"], row["succeeded"], row["failed"]) == expected and records.count() == expected[1] and len(row["failures"]) == expected[2]
+
+
+def test_communities_of_planted_cliques(spark):
+    cliques = [range(10 * c, 10 * c + 6) for c in range(4)]
+    edges = [(f"{a:02d}", f"{b:02d}", 5) for m in cliques for a in m for b in m if a < b] + [("00", "10", 1), ("20", "30", 1)]
+    df = spark.createDataFrame(edges, "a string, b string, n long")
+    rows = graph_algorithms.community_stability(df, [7, 8, 9]).collect()
+    weight, inside = sum(n for _, _, n in edges), 15 * 5
+    ends = [30 * 5 + 1] * 4
+    expected = sum(inside / weight - (e / (2 * weight)) ** 2 for e in ends)
+    assert all(r["communities"] == 4 and r["modularity"] == pytest.approx(expected) and r["mean_ari"] == 1.0 and not r["low_stability"] for r in rows)
+    assert [r["seed"] for r in rows if r["selected"]] == [7]
+
+
+def test_agreement_equals_counting_pairs(spark):
+    rng = np.random.default_rng(2)
+    labels = {(s, k): int(rng.integers(0, 4)) for s in (1, 2, 3) for k in range(40)}
+    df = spark.createDataFrame([(s, k, v) for (s, k), v in labels.items()], "seed int, node int, label int")
+    for r in graph_algorithms.agreement(df).collect():
+        x, y = ([labels[s, k] for k in range(40)] for s in (r["s"], r["t"]))
+        pairs = [(i, j) for i in range(40) for j in range(i + 1, 40)]
+        a, b = sum(x[i] == x[j] for i, j in pairs), sum(y[i] == y[j] for i, j in pairs)
+        both = sum(x[i] == x[j] and y[i] == y[j] for i, j in pairs)
+        assert r["ari"] == pytest.approx((both - a * b / len(pairs)) / ((a + b) / 2 - a * b / len(pairs)))
+
+
+def test_formality(spark):
+    words = spark.createDataFrame([(["the", "quick", "fox", "runs"],), (["i", "really", "will"],), (["and"],), ([],), (None,)], "w array<string>")
+    assert [r[0] for r in words.select(text.formality(F.col("w"))).collect()] == [100.0, 0.0, 50.0, 50.0, 50.0]
+
+
+def test_files_in_and_out(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.txt").write_text("hello")
+    (tmp_path / "in" / "deep" / "b.md").write_text("# x")
+    assert values(formats.file_inventory(spark, str(tmp_path / "in")), "suffix", "length") == [("md", 3), ("txt", 5)]
+    assert values(formats.file_inventory(spark, str(tmp_path / "in"), "*.md"), "suffix") == [("md",)]
+    (tmp_path / "list.json").write_text('{"path": "x"}\n{"path": "y", "other": 1}\n')
+    assert values(formats.read_manifest(spark, str(tmp_path / "list.json")), "path") == [("x",), ("y",)]
+    df = spark.createDataFrame([(1, 'a,"b"\nc', None), (2, "", 0.5)], "k int, s string, x double")
+    for _ in range(2):
+        formats.append_events(df, str(tmp_path / "log"))
+    assert values(spark.read.parquet(str(tmp_path / "log")), "k") == [(1,), (1,), (2,), (2,)]
+    formats.export_csv(df, str(tmp_path / "csv"))
+    back = spark.read.option("header", "true").option("multiLine", "true").option("escape", "\\").csv(str(tmp_path / "csv")).orderBy("k").collect()
+    assert [(r["k"], r["s"]) for r in back] == [("1", 'a,"b"\nc'), ("2", None)] or [(r["k"], r["s"]) for r in back] == [("1", 'a,"b"\nc'), ("2", "")]
+
+
+def test_confident_similarity(spark):
+    rows = spark.createDataFrame([(1.0, 0.0, True), (1.0, 0.0, False), (0.8, 0.2, False)], "s double, d double, same boolean")
+    assert [r[0] for r in rows.select(text.confident_similarity(F.col("s"), F.col("d"), F.col("same"))).collect()] == [1.0, 0.0, 0.8]
