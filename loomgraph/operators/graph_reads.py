@@ -151,12 +151,12 @@ def _(g: Graph) -> DataFrame:
 
 @query(
     "s06_canonical_lookup",
-    """SELECT w.entity_type, w.name, v.entity_id FROM (SELECT entity_type, upper(name) AS name FROM vertices WHERE entity_key % 7 = 0 AND entity_type <> 'order') w
+    """SELECT w.entity_type, w.name, v.entity_id FROM (SELECT entity_type, upper(name) AS name FROM vertices) w
     LEFT JOIN (SELECT entity_type, lower(trim(name)) AS k, min(entity_id) AS entity_id FROM vertices WHERE deprecated = false GROUP BY 1, 2) v
     ON w.entity_type = v.entity_type AND lower(trim(w.name)) = v.k""",
 )
 def _(g: Graph) -> DataFrame:
-    wanted = g.vertices.filter("entity_key % 7 = 0 AND entity_type <> 'order'").select("entity_type", F.upper("name").alias("name"))
+    wanted = g.vertices.select("entity_type", F.upper("name").alias("name"))
     return canonical_lookup(g.vertices, wanted).select("entity_type", "name", "entity_id")
 
 
