@@ -4,16 +4,21 @@ A page is cut into blocks of text. A small classifier turns the signs of a block
 its ancestors, names of classes and ids, links, length, punctuation) into the costs of calling it
 content or boilerplate; these are the capacities to the two terminals of a flow network. Blocks
 that follow each other, and blocks near each other in the tree, are tied by smoothness edges whose
-capacity falls with their distance in the tree. The minimum cut, found by maximum flow, is the
-cheapest labelling of the whole page: blocks whose own signs say little go with what lies around them.
+capacity falls with their distance in the tree, and is less between links and text and across the border of a marked part. The minimum cut,
+found by maximum flow, is the cheapest labelling of the whole page. Only tags and names that mark boilerplate weigh so much that
+a block is judged alone; a short heading, list item or line of links inside an article speaks against itself, and the
+text around it decides (``label_blocks`` gives both labels).
 
 A part of the page that a tag or a name marks as boilerplate (comments, adverts, notices, forms ...) stays so
 inside an article; only an article inside a part named for the layout (a sidebar wrapper) is content again.
 
+Pages are read by a scanner that never looks at a character twice, and open elements are counted by
+name, so time is in proportion to the page whatever its markup.
+
 Defined results: null or empty html and pages without content blocks give empty text; malformed
-pages are repaired as browsers do (unclosed paragraphs and list items end where the next begins, a
-cut-off tag is dropped, unknown declarations are comments); markup that the parser gives up on is left out and
-the rest of the page read; rows are independent, so repeated rows repeat.
+pages are repaired as browsers do (unclosed paragraphs and list items end where the next begins, a stray end tag does nothing, a
+cut-off tag and what follows an unclosed comment, script or style are dropped, unknown declarations are comments);
+a quote that is never closed is an ordinary character; rows are independent, so repeated rows repeat.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import math
 import re
 from collections import deque
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,50 +50,66 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 CLUTTER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion breadcrumb breadcrumbs cookie cookies consent gdpr "
     "notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus reply replies respond "
-    "recommended recommendations sharing toolbar pagination pager skip search form".split()
+    "response responses discussion recommended recommendations related share sharing social bio biography disclaimer tags widget toolbar "
+    "pagination pager skip search form".split()
 )
 #: Names that a wrapper of the whole layout may bear too.
 LAYOUT_NAMES = frozenset("banner nav navbar navigation menu sidebar side aside footer foot header masthead topbar".split())
 #: Names that say little.
-WEAK_NAMES = frozenset("discussion related share social widget tags copyright legal disclaimer".split())
+WEAK_NAMES = frozenset("copyright legal".split())
 CONTENT_NAMES = frozenset("article content post entry story main body text articlebody maincontent".split())
 #: Words that may follow the telling word of a name, and words that make it say how a page is laid out.
 GENERIC_NAMES = frozenset(
     "list box area section wrapper wrap container item items body text thread block panel bar inner main content row col column unit slot "
-    "top bottom left right link links label title heading count meta info card group holder zone module author".split()
+    "top bottom left right link links label title heading count meta info card group holder zone module author button buttons icons posts stories articles".split()
 )
 STATE_NAMES = frozenset("no has with without is".split())
+#: Elements that the start of another one closes.
 CLOSED_BY = {
-    "li": frozenset({"li"}),
-    "dt": frozenset({"dt", "dd"}),
-    "dd": frozenset({"dt", "dd"}),
-    "tr": frozenset({"tr", "td", "th"}),
-    "td": frozenset({"td", "th"}),
-    "th": frozenset({"td", "th"}),
+    "li": frozenset({"p", "li"}),
+    "dt": frozenset({"p", "dt", "dd"}),
+    "dd": frozenset({"p", "dt", "dd"}),
+    "tr": frozenset({"p", "tr", "td", "th"}),
+    "td": frozenset({"p", "td", "th"}),
+    "th": frozenset({"p", "td", "th"}),
 }
+PARAGRAPH = frozenset({"p"})
+#: Elements whose inside is text up to their end tag.
+RAW = {t: re.compile(f"</{t}(?=[\\s/>])", re.IGNORECASE) for t in "script style textarea title xmp iframe noembed noframes".split()}
 SPACE = re.compile(r"\s+")
 NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
-DECLARATION = re.compile(r"<[!?][^>]*>?")
+TAG_OPEN = re.compile(r"<(?=[A-Za-z/!?])")
+TAG_NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
+#: What ends a tag, and what opens a quoted value.
+TAG_STOP = re.compile(r">|=\s*([\"'])")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+LONG_REFERENCE = re.compile(r"&#[xX]?[0-9a-fA-F]{9,};?")
+LEGAL = re.compile(r"©|\(c\)|copyright|all rights reserved|privacy policy|terms of (?:use|service)|imprint|impressum|mentions légales|aviso legal", re.IGNORECASE)
 SENTENCE = re.compile(r"[.!?…](?:\s|$)")
 
 #: Weights of the classifier's signs, in log odds of being content.
 WEIGHTS = {
-    "bias": -0.4,
+    "bias": -1.6,
     "boilerplate_tag": -9.0,
     "clutter_name": -8.0,
     "layout_name": -6.0,
     "weak_name": -2.0,
-    "content_ancestor": 4.0,
-    "content_name": 1.2,
-    "paragraph": 1.0,
-    "heading": 0.3,
-    "list_item": -0.3,
+    "content_ancestor": 1.0,
+    "content_name": 0.6,
+    "paragraph": 0.8,
     "link_share": -3.0,
-    "log_words": 0.55,
-    "sentences": 0.8,
+    "log_words": 0.7,
+    "log_sentences": 1.1,
+    "legal_text": -3.0,
 }
-#: Smoothness of neighbours: capacity at tree distance d is SMOOTH / d, between blocks of one region.
-SMOOTH = 2.5
+#: Words up to which a block can be a legal line.
+LEGAL_WORDS = 30
+#: Log odds are multiples of this and never zero, so flow soon finds an end.
+GAIN_UNIT = 0.125
+#: Smoothness of neighbours: capacity at tree distance d is SMOOTH / d ** 1.5, less as one is more of a link than the other, and
+#: BORDER of it where a marked part begins or ends.
+SMOOTH = 6.5
+BORDER = 0.2
 #: Blocks this far apart on the page may still be tied if they share a parent.
 PROXIMITY = 3
 #: Steps up the tree that a distance counts; farther blocks are this far.
@@ -109,150 +130,218 @@ def name_kind(name: str) -> str | None:
     return "content" if CONTENT_NAMES.intersection(words) else None
 
 
+MARKED, CLUTTER, LAYOUT, WEAK, NAMED, CONTENT = (1 << k for k in range(6))
+
+
 class Node:
-    """An open element, with what it and those above it say of the blocks inside."""
+    """An open element, with what it and those above it say of the blocks inside (``signs``)."""
 
-    __slots__ = ("parent", "depth", "tag", "block", "marked", "clutter", "layout", "weak", "named", "content")
+    __slots__ = ("parent", "depth", "tag", "block", "region", "signs", "inline")
 
-    def __init__(self, parent: Node | None, tag: str, names: list[str], roles: list[str]):
+    def __init__(self, parent: Node | None, tag: str):
         self.parent, self.tag = parent, tag
-        self.depth = parent.depth + 1 if parent else 1
-        self.marked = self.clutter = self.layout = self.weak = self.named = self.content = False
-        if parent:
-            for sign in ("marked", "clutter", "layout", "weak", "named", "content"):
-                setattr(self, sign, getattr(parent, sign))
-        #: the nearest element at or above this that makes blocks
-        self.block: Node | None = self if tag in BLOCK else parent.block if parent else None
-        kinds = {name_kind(n) for n in names} if tag not in ("html", "body") else set()
+        self.depth = parent.depth + 1 if parent else 0
+        self.signs: int = parent.signs if parent else 0
+        #: the nearest element at or above this that makes blocks, and that where a marked part of the page begins
+        self.block: Node = self if parent is None or tag in BLOCK else parent.block
+        self.region: Node = parent.region if parent else self
+        #: of a block: the inline elements open right inside, by name
+        self.inline: dict[str, int] | None = {} if self.block is self else None
+
+    def read_signs(self, names: list[str], roles: list[str]) -> None:
+        tag, signs = self.tag, self.signs
+        kinds = {name_kind(n) for n in names} if names and tag not in ("html", "body") else ()
         # a header inside an article holds its title; elsewhere it is the site's
-        titles = self.content and not self.marked
+        titles = signs & CONTENT and not signs & MARKED
         if tag in BOILERPLATE_TAGS or (tag == "header" and not titles) or BOILERPLATE_ROLES.intersection(roles):
-            self.marked, self.content = True, False
+            signs = (signs | MARKED) & ~CONTENT
         elif "clutter" in kinds:
-            self.clutter, self.content = True, False
+            signs = (signs | CLUTTER) & ~CONTENT
         elif "layout" in kinds and not (titles and all("header" in n.lower() for n in names if name_kind(n) == "layout")):
-            self.layout, self.content = True, False
-        elif (tag in CONTENT_TAGS or CONTENT_ROLES.intersection(roles)) and not self.marked and not self.clutter:
-            self.content, self.layout = True, False
+            signs = (signs | LAYOUT) & ~CONTENT
+        elif (tag in CONTENT_TAGS or CONTENT_ROLES.intersection(roles)) and not signs & (MARKED | CLUTTER):
+            signs = (signs | CONTENT) & ~LAYOUT
         elif "content" in kinds:
-            self.named = True
+            signs |= NAMED
         elif "weak" in kinds:
-            self.weak = True
+            signs |= WEAK
+        else:
+            return
+        self.signs, self.region = signs, self
 
 
 class Block:
-    __slots__ = ("node", "parts", "linked", "length", "text")
+    __slots__ = ("node", "parts", "linked", "length", "text", "n_words")
+
+    def __init__(self, node: Node):
+        self.node, self.parts, self.linked, self.length, self.text, self.n_words = node, [], 0, 0, "", 0
+
 
-    def __init__(self, node: Node | None):
-        self.node, self.parts, self.linked, self.length, self.text = node, [], 0, 0, ""
+def tag_end(html: str, at: int) -> int:
+    """Where the tag that holds ``at`` ends (its ``>``), -1 if it does not; quoted values may hold any character."""
+    while True:
+        stop = TAG_STOP.search(html, at)
+        if stop is None:
+            return -1
+        if stop[1] is None:
+            return stop.start()
+        closing = html.find(stop[1], stop.end())
+        if closing < 0:  # never closed: an ordinary character, and no other such quote needs a look
+            return html.find(">", stop.end())
+        at = closing + 1
+
+
+def page_parts(html: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("start", name, attributes) and ("end", name, "") in order, in one pass."""
+    at, size = 0, len(html)
+    while at < size:
+        opened = TAG_OPEN.search(html, at)
+        if opened is None:
+            yield "text", html[at:], ""
+            return
+        less = opened.start()
+        name = TAG_NAME.match(html, less + 1)
+        if less > at:
+            yield "text", html[at:less], ""
+        if name is None:
+            if html.startswith("<!--", less):
+                short = html[less + 4 : less + 6]
+                end = less + 4 if short[:1] == ">" else less + 5 if short == "->" else html.find("-->", less + 4)
+                at = end + (1 if short[:1] == ">" or short == "->" else 3) if end >= 0 else size
+            else:
+                end = html.find(">", less)
+                at = end + 1 if end >= 0 else size
+            continue
+        end = tag_end(html, name.end())
+        if end < 0:
+            return
+        tag = name[0].lower()
+        at = end + 1
+        if tag[0] == "/":
+            yield "end", tag[1:], ""
+            continue
+        yield "start", tag, html[name.end() : end]
+        if tag in RAW:
+            close = RAW[tag].search(html, at)
+            if close is None:
+                return
+            at = close.start()
 
 
-class PageBlocks(HTMLParser):
+class PageBlocks:
     """Collects the text blocks of a page with the element each lies in."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.stack: list[Node] = []
+        self.stack: list[Node] = [Node(None, "")]
+        self.open: dict[str, int] = {}
         self.blocks: list[Block] = []
         self.current: Block | None = None
         self.skipping = self.links = 0
 
-    def parse_html_declaration(self, i: int) -> int:
-        if self.rawdata.startswith("<![", i):  # a comment to browsers; the base class fails on unknown keywords
-            return self.parse_bogus_comment(i)
-        return super().parse_html_declaration(i)
+    def feed(self, html: str) -> None:
+        handle = {"text": self.text, "start": self.start, "end": self.end}
+        for kind, what, attributes in page_parts(html):
+            handle[kind](what, attributes)
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def start(self, tag: str, attributes: str) -> None:
         if tag in BLOCK:
             self.current = None
-            self._close_implied(tag)
+            closed = CLOSED_BY.get(tag, PARAGRAPH)
+            while self.stack[-1].block.tag in closed:
+                self._pop_to(self.stack[-1].block.depth)
         if tag in VOID:
             if tag == "br" and self.current is not None:
                 self.current.parts.append(" ")
             return
-        names = [x for key, value in attrs if key in ("class", "id") and value for x in value.split()]
-        roles = [x for key, value in attrs if key == "role" and value for x in value.lower().split()]
-        self.stack.append(Node(self.stack[-1] if self.stack else None, tag, names, roles))
+        node = Node(self.stack[-1], tag)
+        names, roles = [], []
+        if "=" in attributes:
+            for key, *values in ATTRIBUTE.findall(attributes):
+                key = key.lower()
+                if key in ("class", "id", "role"):
+                    (roles if key == "role" else names).extend(unescape("".join(values)).split())
+        if names or roles or tag in BOILERPLATE_TAGS or tag in CONTENT_TAGS or tag == "header":
+            node.read_signs(names, [r.lower() for r in roles])
+        self.stack.append(node)
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if node.inline is None:
+            node.block.inline[tag] = node.block.inline.get(tag, 0) + 1
         self.skipping += tag in SKIPPED
         self.links += tag == "a"
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str, _: str) -> None:
         if tag in BLOCK:
             self.current = None
-        for depth in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[depth].tag
-            if name == tag:
-                self._pop_to(depth)
+            if not self.open.get(tag):
                 return
-            if name in BLOCK and tag not in BLOCK:
-                return  # a stray inline end tag does not close blocks
-
-    def handle_data(self, data: str) -> None:
+        elif not self.stack[-1].block.inline.get(tag):
+            return  # a stray inline end tag does not close blocks
+        depth = len(self.stack) - 1
+        while self.stack[depth].tag != tag:
+            depth -= 1
+        self._pop_to(depth)
+
+    def text(self, data: str, _: str) -> None:
         if self.skipping:
             return
+        if "&" in data:
+            data = unescape(LONG_REFERENCE.sub("\ufffd", data))
         if self.current is None:
-            if not data or data.isspace():
+            if data.isspace():
                 return
-            self.current = Block(self.stack[-1].block if self.stack else None)
+            self.current = Block(self.stack[-1].block)
             self.blocks.append(self.current)
         self.current.parts.append(data)
         self.current.length += len(data)
         if self.links:
             self.current.linked += len(data)
 
-    def _close_implied(self, tag: str) -> None:
-        for depth in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[depth].tag
-            if name == "p" or name in CLOSED_BY.get(tag, ()):
-                self._pop_to(depth)
-                return
-            if name in BLOCK:
-                return
-
     def _pop_to(self, depth: int) -> None:
         for node in self.stack[depth:]:
-            self.skipping -= node.tag in SKIPPED
-            self.links -= node.tag == "a"
+            tag = node.tag
+            self.open[tag] -= 1
+            if node.inline is None:
+                node.block.inline[tag] -= 1
+            self.skipping -= tag in SKIPPED
+            self.links -= tag == "a"
         del self.stack[depth:]
 
 
 def page_blocks(html: str) -> list[Block]:
-    cut = html.rfind("<")
-    if cut > html.rfind(">") and html[cut + 1 : cut + 2] in set("/!?abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"):
-        html = html[:cut]  # the page ends inside a tag
-    for attempt in (html, DECLARATION.sub("", html)):
-        parser = PageBlocks()
-        try:
-            parser.feed(attempt)
-            parser.close()
-            break
-        except (AssertionError, ValueError, IndexError):  # what the parser raises on markup it cannot read
-            continue
-    for block in parser.blocks:
+    page = PageBlocks()
+    page.feed(html)
+    for block in page.blocks:
         block.text = SPACE.sub(" ", "".join(block.parts)).strip()
-    return [b for b in parser.blocks if b.text]
+        block.n_words = block.text.count(" ") + 1
+    return [b for b in page.blocks if b.text]
+
+
+def link_share(block: Block) -> float:
+    return block.linked / max(block.length, 1)
 
 
 def content_log_odds(block: Block) -> float:
     """The classifier: signs of a block, weighed."""
     w, node, score = WEIGHTS, block.node, WEIGHTS["bias"]
-    tag = node.tag if node else ""
-    if node:
-        score += w["boilerplate_tag"] * node.marked + w["clutter_name"] * node.clutter + w["layout_name"] * node.layout
-        score += w["weak_name"] * (node.weak and not node.named) + w["content_name"] * node.named + w["content_ancestor"] * node.content
-    score += w["paragraph"] * (tag in ("p", "blockquote", "pre", "td", "figcaption")) + w["heading"] * (tag[:1] == "h" and tag[1:].isdigit())
-    score += w["list_item"] * (tag in ("li", "dd", "dt")) + w["link_share"] * block.linked / max(block.length, 1)
-    score += w["log_words"] * math.log(block.text.count(" ") + 1) + w["sentences"] * bool(SENTENCE.search(block.text))
-    return score
+    tag, signs = node.tag, node.signs
+    for sign, name in ((MARKED, "boilerplate_tag"), (CLUTTER, "clutter_name"), (LAYOUT, "layout_name"), (NAMED, "content_name"), (CONTENT, "content_ancestor")):
+        if signs & sign:
+            score += w[name]
+    if signs & WEAK and not signs & NAMED:
+        score += w["weak_name"]
+    score += w["paragraph"] * (tag in ("p", "blockquote", "pre", "td", "figcaption"))
+    score += w["link_share"] * link_share(block)
+    score += w["log_words"] * math.log(block.n_words + 1) + w["log_sentences"] * math.log(len(SENTENCE.findall(block.text)) + 1)
+    if block.n_words <= LEGAL_WORDS and LEGAL.search(block.text):
+        score += w["legal_text"]
+    units = round(score / GAIN_UNIT)
+    return (units or (1 if score > 0 else -1)) * GAIN_UNIT
 
 
 def tree_distance(a: Block, b: Block) -> int:
     x, y, steps = a.node, b.node, 0
     while x is not y and steps < MAX_DISTANCE:
-        if x is not None and (y is None or x.depth >= y.depth):
+        if x.depth >= y.depth:
             x = x.parent
         else:
             y = y.parent
@@ -261,14 +350,18 @@ def tree_distance(a: Block, b: Block) -> int:
 
 
 def smoothness_edges(blocks: list[Block]) -> list[tuple[int, int, float]]:
+    """Edges of each block to the next one, to the next of its own part of the page, whatever lies between, and to near ones that share a parent."""
     edges = []
+    latest: dict[Node, int] = {}
     for k, block in enumerate(blocks):
-        for step in range(1, PROXIMITY + 1):
-            if k + step >= len(blocks):
-                break
-            other = blocks[k + step]
-            if step == 1 or (block.node and other.node and block.node.parent is other.node.parent):
-                edges.append((k, k + step, SMOOTH / (max(tree_distance(block, other), 1) * step)))
+        near = {k - step: step for step in range(PROXIMITY, 0, -1) if k >= step and (step == 1 or blocks[k - step].node.parent is block.node.parent)}
+        before = latest.get(block.node.region)
+        if before is not None:
+            near[before] = 1
+        latest[block.node.region] = k
+        for other, step in near.items():
+            share = (1.0 if before is not None and blocks[other].node.region is block.node.region else BORDER) * (1.0 - 0.9 * abs(link_share(block) - link_share(blocks[other])))
+            edges.append((other, k, share * SMOOTH / (max(tree_distance(block, blocks[other]), 1) ** 1.5 * step)))
     return edges
 
 
@@ -337,11 +430,17 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
             a = to[e]
 
 
+def label_blocks(html: str | None) -> list[tuple[Block, bool, bool]]:
+    """All blocks of a page in order, each with the label of its own signs and the label of the minimum cut (True: content)."""
+    blocks = page_blocks(html or "")
+    gain = [content_log_odds(b) for b in blocks]
+    return list(zip(blocks, (g > 0 for g in gain), minimum_cut(gain, smoothness_edges(blocks))))
+
+
 def main_blocks(html: str | None) -> tuple[list[str], int]:
     """The content blocks of a page in order, and the number of all blocks."""
-    blocks = page_blocks(html or "")
-    keep = minimum_cut([content_log_odds(b) for b in blocks], smoothness_edges(blocks))
-    return [b.text for b, k in zip(blocks, keep) if k], len(blocks)
+    labelled = label_blocks(html)
+    return [b.text for b, _, keep in labelled if keep], len(labelled)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
