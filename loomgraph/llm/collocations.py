@@ -12,8 +12,8 @@ fall short: equal fingerprints of different phrases, and different fingerprints
 
 Verifying. Tasks then read the texts once more. Of all occurrences of a fingerprint that passes, the first in the block is the
 pointer (document, word); the others are compared with the text there, word by word, and what differs gets a pointer of
-its own. The block sends each phrase once, as text, with its count and its pointer; equal texts are added up. So counts
-are exact whatever the fingerprints do, and only phrases that pass are ever made into strings.
+its own. The block sends each phrase once, as text, with its count and its pointer, packed by bucket; where a bucket's
+phrases meet, equal texts are added up. So counts are exact whatever the fingerprints do, and only phrases that pass are ever made into strings.
 
 Scores, cuts and the rule of longer phrases are joins over the frequent phrases. Products are decimals of 38 digits.
 
@@ -253,11 +253,15 @@ def grouped(fingerprints: np.ndarray, at: np.ndarray, number: np.ndarray, lang:
     return np.append(pointer, np.array(extra, np.int64)), np.append(count, np.array([len(p) for p in odd.values()], np.int64))
 
 
+PACKED = "bucket long, lang array<string>, words array<int>, phrase array<string>, f array<long>, doc_id array<long>, word array<long>"
 PHRASES = "lang string, words int, phrase string, f long, doc_id long, word long"
+NAMES = ["lang", "words", "phrase", "f", "doc_id", "word"]
+TYPES = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
 
-def materialise(batches: Iterator[pa.RecordBatch], filters: list, kept_bits: int) -> Iterator[pa.RecordBatch]:
-    """Each phrase of a block that passes, with its verified count and pointer; and per language the number of words (phrase null)."""
+def materialise(batches: Iterator[pa.RecordBatch], filters: list, bits: int, kept_bits: int) -> Iterator[pa.RecordBatch]:
+    """The phrases of a block that pass, each with its verified count and pointer, in one row for each bucket of fingerprints;
+    and in one more row the number of words of each language (phrase null)."""
     known = [f.value for f in filters]
     for batch in blocks(batches, BLOCK_BYTES, BLOCK_ROWS):
         words = find_words(batch)
@@ -268,24 +272,61 @@ def materialise(batches: Iterator[pa.RecordBatch], filters: list, kept_bits: int
         names = encoded.dictionary.to_pylist()
         lang = encoded.indices.to_numpy(zero_copy_only=False)[words.row]
         total = np.bincount(lang, minlength=len(names))
-        text: dict[int, str] = {}
+        texts = [words.data[a:b].tobytes().decode() for a, b in zip(words.starts[firsts].tolist(), words.ends[firsts].tolist())]
         ids = batch.column("doc_id").to_pylist()
         of_row = np.searchsorted(words.row, np.arange(batch.num_rows))
-        columns = [(names[k], 0, None, int(n), None, None) for k, n in enumerate(total.tolist()) if n]
+        rows, buckets = [], []
         for length, at, fingerprints in looked_at(words, known, kept_bits):
             ok = passing(known[min(length, 3) - 1], fingerprints)
-            pointers, counts = grouped(fingerprints[ok], at[ok], number, lang, length)
-            for p, n in zip(pointers.tolist(), counts.tolist()):
-                phrase = []
-                for w in number[p : p + length].tolist():
-                    if w not in text:
-                        first = firsts[w]
-                        text[w] = words.data[words.starts[first] : words.ends[first]].tobytes().decode()
-                    phrase.append(text[w])
-                row = int(words.row[p])
-                columns.append((names[lang[p]], length, " ".join(phrase), n, ids[row], p - int(of_row[row])))
-        types = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*columns), types)], names=[x.split()[0] for x in PHRASES.split(", ")])
+            at, fingerprints = at[ok], fingerprints[ok]
+            pointers, counts = grouped(fingerprints, at, number, lang, length)
+            buckets.append(fingerprints[np.searchsorted(at, pointers)] >> np.uint64(64 - bits))
+            row = words.row[pointers]
+            phrases = [" ".join([texts[w] for w in parts]) for parts in number[pointers[:, None] + np.arange(length)].tolist()]
+            rows += zip([names[k] for k in lang[pointers].tolist()], [length] * len(phrases), phrases, counts.tolist(), [ids[r] for r in row.tolist()], (pointers - of_row[row]).tolist())
+        bucket = np.concatenate(buckets).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        packed = [(k, [rows[i] for i in order[a:b].tolist()]) for k, a, b in slices(bucket[order])]
+        packed.append((int(total.sum()) & ((1 << bits) - 1), [(names[k], 0, None, n, None, None) for k, n in enumerate(total.tolist()) if n]))
+        columns = [pa.array([k for k, _ in packed], pa.int64())]
+        for i, kind in enumerate(TYPES):
+            columns.append(pa.array([[x[i] for x in part] for _, part in packed], pa.list_(kind)))
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", *NAMES])
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each bucket of an input sorted by it; one bucket is held at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for bucket, a, b in slices(batch.column("bucket").to_numpy()):
+            if held and held[0].column("bucket")[0].as_py() != bucket:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def add_phrases(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The phrases of a bucket with ``least`` occurrences or more, equal texts of a language added up; and its totals of words."""
+    for rows in by_bucket(batches):
+        lang, words, phrase, f, doc, word = (pc.list_flatten(rows.column(c).combine_chunks()) for c in NAMES)
+        langs, phrases = pc.dictionary_encode(lang), pc.dictionary_encode(phrase)
+        place = lambda x: pc.fill_null(x.indices, len(x.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+        same = place(langs) * (len(phrases.dictionary) + 1) + place(phrases)
+        unnamed = pc.is_null(doc).to_numpy(zero_copy_only=False)
+        number = lambda x: pc.fill_null(x, 0).to_numpy(zero_copy_only=False)
+        order = np.lexsort((number(word), number(doc), unnamed, same))
+        new = np.ones(len(order), bool)
+        new[1:] = same[order][1:] != same[order][:-1]
+        first = np.flatnonzero(new)
+        if not len(first):
+            continue
+        total = np.add.reduceat(number(f)[order], first)
+        kept = (total >= least) | pc.is_null(phrase).to_numpy(zero_copy_only=False)[order[first]]
+        at = pa.array(order[first][kept])
+        columns = [lang.take(at), words.take(at), phrase.take(at), pa.array(total[kept]), doc.take(at), word.take(at)]
+        yield pa.RecordBatch.from_arrays(columns, names=NAMES)
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, kept_bits: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -295,11 +336,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, kept_bits: int = 64) -
     filters: list = [None, None, None]
     for k, lengths in enumerate(((1,), (2,), tuple(range(3, LONGEST + 1)))):
         filters[k] = frequent_filter(rows, filters[:2], lengths, least, kept_bits)
-    found = rows.mapInArrow(partial(materialise, filters=filters, kept_bits=kept_bits), PHRASES)
-    pointer = F.min_by(F.struct("doc_id", "word"), F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "word")).alias("pointer")
-    summed = found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"), pointer).filter((F.col("f") >= least) | F.col("phrase").isNull())
-    kept = durable(summed.select("lang", "words", "phrase", "f", "pointer.doc_id", "pointer.word"), "phrases")
-    return kept.filter("phrase is not null"), kept.filter("phrase is null").select("lang", F.col("f").alias("n"))
+    bits = bucket_bits(docs.sparkSession)
+    sent = rows.mapInArrow(partial(materialise, filters=filters, bits=bits, kept_bits=kept_bits), PACKED)
+    dealt = sent.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket")
+    kept = durable(dealt.mapInArrow(partial(add_phrases, least=least), PHRASES), "phrases")
+    totals = kept.filter("phrase is null").groupBy("lang").agg(F.sum("f").alias("n"))
+    return kept.filter("phrase is not null"), totals
 
 
 def with_totals(rows: DataFrame, totals: DataFrame) -> DataFrame:
