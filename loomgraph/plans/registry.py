@@ -16,6 +16,7 @@ MODULES = (
     "loomgraph.operators.joins",
     "loomgraph.operators.ordered",
     "loomgraph.operators.graph_algorithms",
+    "loomgraph.operators.communities",
     "loomgraph.operators.retrieval",
     "loomgraph.operators.resolution",
     "loomgraph.operators.claims",
