@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from loomgraph.operators.graph_reads import live
 from loomgraph.plans.model import Graph
 from loomgraph.plans.registry import query
-from loomgraph.session import durable, shared_path
 
 RRF_K = 60
 BM25_K1, BM25_B = 1.5, 0.75
@@ -52,30 +51,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def semantic_top_k(queries: DataFrame, corpus: DataFrame, key: str, k: int, max_queries: int = 1000) -> DataFrame:
-    """Exact cosine top k of all queries (query_id, vector) against all rows, in blocks of at most ``max_queries``.
+    """Exact cosine top k of all queries (query_id, vector) against all rows (key, embedding), in blocks of at most ``max_queries``.
 
-    Only a block of queries, bounded by counting, is broadcast; the corpus is read once for each block and
-    never shuffled before each task has cut its own candidates down. Several blocks are written one by one.
+    Only a block of queries, bounded by counting, is broadcast; a task multiplies it with its rows and cuts its own candidates down before anything is
+    shuffled. Several blocks are written one by one.
     """
+    from loomgraph.operators.vectors import exact_top_k
 
-    def best(block: DataFrame) -> DataFrame:
-        scored = corpus.crossJoin(F.broadcast(block)).select("query_id", key, F.round(cosine(F.col("vector"), F.col("embedding")), 6).alias("score"))
-        return top_k(scored.filter("score > 0"), ["query_id"], k, F.desc("score"), key)
-
-    n = queries.count()
-    if n <= max_queries:
-        return best(queries)
-    blocks, ids = 2 * (n // max_queries), F.xxhash64("query_id")
-    while queries.groupBy(F.pmod(ids, F.lit(blocks))).count().filter(F.col("count") > max_queries).count():
-        if blocks > 64 * n:
-            raise ValueError(f"more than {max_queries} queries share one query_id")
-        blocks *= 2
-    path = shared_path(queries.sparkSession, "top-k")
-    dealt = durable(queries.withColumn("__block", F.pmod(ids, F.lit(blocks))), "queries")
-    for block in range(blocks):
-        found = best(dealt.filter(F.col("__block") == block).drop("__block"))
-        found.write.mode("append").parquet(path)
-    return queries.sparkSession.read.schema(found.schema).parquet(path)
+    return exact_top_k(queries, corpus, key, "embedding", k, max_queries)
 
 
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:

@@ -19,6 +19,7 @@ MODULES = (
     "loomgraph.operators.communities",
     "loomgraph.operators.retrieval",
     "loomgraph.operators.resolution",
+    "loomgraph.operators.vectors",
     "loomgraph.operators.claims",
     "loomgraph.operators.signals",
     "loomgraph.operators.security",
