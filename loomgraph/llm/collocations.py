@@ -12,7 +12,7 @@ fall short: equal fingerprints of different phrases, and different fingerprints
 
 Verifying. Tasks then read the texts once more. Of all occurrences of a fingerprint that passes, the first in the block is the
 pointer (document, word); the others are compared with the text there, word by word, and what differs gets a pointer of
-its own. The block sends each phrase once, as text, with its count and its pointer, packed by bucket; where a bucket's
+its own. A task sends each phrase once, as text, with its count and its least pointer, packed by bucket; where a bucket's
 phrases meet, equal texts are added up. So counts are exact whatever the fingerprints do, and only phrases that pass are ever made into strings.
 
 Scores, cuts and the rule of longer phrases are joins over the frequent phrases. Products are decimals of 38 digits.
@@ -46,6 +46,11 @@ BLOCK_BYTES = 8 << 20
 BLOCK_ROWS = 1 << 15
 #: Bits of each broadcast filter, as a power of two: 16 MiB.
 FILTER_BITS = 27
+#: Bits of a fingerprint that are sent beside its bucket's.
+SENT_BITS = 24
+#: Phrases that a task adds up before it sends them, and text bytes it looks at meanwhile.
+HELD_PHRASES = 1 << 19
+PHRASE_BYTES = 4 << 20
 #: A language's candidates are ranked in so many parts first.
 RANK_PARTS = 32
 #: Languages up to which their totals are broadcast; beyond it they are joined.
@@ -146,31 +151,41 @@ def looked_at(words: Words, filters: list[np.ndarray | None], kept_bits: int) ->
             short[at] = passing(bits, found[at])
 
 
-SENT = "bucket long, n int, packed binary"
+def packed_ints(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers by byte planes, so that high bytes of small ones cost nothing."""
+    return zlib.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpacked_ints(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+SENT = "bucket long, hashes binary, counts binary"
 
 
 def send_fingerprints(batches: Iterator[pa.RecordBatch], filters: list, lengths: tuple[int, ...], bits: int, kept_bits: int) -> Iterator[pa.RecordBatch]:
-    """The distinct fingerprints of a block with their counts: 32 bits of each beside the bucket's own."""
+    """The distinct fingerprints of a block with their counts: SENT_BITS of each beside the bucket's own, as steps from one to the next."""
     known = [f.value if f is not None else None for f in filters]
     for batch in blocks(batches, BLOCK_BYTES, BLOCK_ROWS):
         found = [f for length, _, f in looked_at(find_words(batch), known, kept_bits) if length in lengths]
-        hashes = np.sort(np.concatenate(found) >> np.uint64(32 - bits))
+        hashes = np.sort(np.concatenate(found) >> np.uint64(64 - SENT_BITS - bits))
         if not len(hashes):
             continue
         new = np.ones(len(hashes), bool)
         new[1:] = hashes[1:] != hashes[:-1]
         first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(hashes))).astype(np.uint32)
+        count = np.diff(np.append(first, len(hashes)))
         hashes = hashes[first]
-        rows = [(bucket, b - a, hashes[a:b].astype(np.uint32).tobytes() + zlib.compress(count[a:b].tobytes(), 1)) for bucket, a, b in slices(hashes >> np.uint64(32))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "n", "packed"])
+        rest = hashes & np.uint64((1 << SENT_BITS) - 1)
+        rows = [(bucket, packed_ints(np.diff(rest[a:b], prepend=rest[:0].dtype.type(0))), packed_ints(count[a:b])) for bucket, a, b in slices(hashes >> np.uint64(SENT_BITS))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "hashes", "counts"])
 
 
 def set_bits(batches: Iterator[pa.RecordBatch], least: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Each bucket's share of the filter, if any bit is set."""
     for bucket, rows in runs(batches):
-        hashes = np.concatenate([np.frombuffer(p, np.uint32, n) for _, n, p in rows])
-        count = np.concatenate([np.frombuffer(zlib.decompress(p[4 * n :]), np.uint32) for _, n, p in rows])
+        hashes = np.concatenate([np.cumsum(unpacked_ints(h), dtype=np.uint32) for _, h, _ in rows])
+        count = np.concatenate([unpacked_ints(c) for _, _, c in rows])
         order = np.argsort(hashes, kind="stable")
         hashes, count = hashes[order], count[order].astype(np.int64)
         new = np.ones(len(hashes), bool)
@@ -179,7 +194,7 @@ def set_bits(batches: Iterator[pa.RecordBatch], least: int, bits: int) -> Iterat
         frequent = hashes[first][np.add.reduceat(count, first) >= least]
         if len(frequent):
             share = np.zeros(1 << (FILTER_BITS - bits), bool)
-            share[frequent >> np.uint32(32 - FILTER_BITS + bits)] = True
+            share[frequent >> np.uint32(SENT_BITS - FILTER_BITS + bits)] = True
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([np.packbits(share, bitorder="little").tobytes()], pa.binary())], names=["bucket", "share"])
 
 
@@ -253,17 +268,32 @@ def grouped(fingerprints: np.ndarray, at: np.ndarray, number: np.ndarray, lang:
     return np.append(pointer, np.array(extra, np.int64)), np.append(count, np.array([len(p) for p in odd.values()], np.int64))
 
 
-PACKED = "bucket long, lang array<string>, words array<int>, phrase array<string>, f array<long>, doc_id array<long>, word array<long>"
+PACKED = "bucket long, lang string, phrases binary, counts binary, docs binary, words binary"
 PHRASES = "lang string, words int, phrase string, f long, doc_id long, word long"
-NAMES = ["lang", "words", "phrase", "f", "doc_id", "word"]
-TYPES = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+#: Stands for the id of a row without one; such pointers come last.
+NO_ID = (1 << 63) - 1
+
+
+def _sent(held: dict[str, dict[str, list]], totals: dict[str, int]) -> pa.RecordBatch:
+    """A row for each language and bucket, its phrases sorted; and a row for each language with its number of words."""
+    rows = []
+    for lang, phrases in held.items():
+        order = sorted(phrases, key=lambda p: (phrases[p][0], p))
+        bucket = np.array([phrases[p][0] for p in order], np.int64)
+        for k, a, b in slices(bucket):
+            values = np.array([phrases[p][1:] for p in order[a:b]], np.int64).T
+            rows.append((k, lang, zlib.compress("\n".join(order[a:b]).encode(), 1), *(zlib.compress(v.tobytes(), 1) for v in values)))
+    rows += [(0, lang, None, np.int64(n).tobytes(), None, None) for lang, n in totals.items()]
+    types = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in PACKED.split(", ")])
 
 
 def materialise(batches: Iterator[pa.RecordBatch], filters: list, bits: int, kept_bits: int) -> Iterator[pa.RecordBatch]:
-    """The phrases of a block that pass, each with its verified count and pointer, in one row for each bucket of fingerprints;
-    and in one more row the number of words of each language (phrase null)."""
+    """The phrases of a task that pass, with their verified counts and pointers, added up over its blocks; and the number of words of each language."""
     known = [f.value for f in filters]
-    for batch in blocks(batches, BLOCK_BYTES, BLOCK_ROWS):
+    held: dict[str, dict[str, list]] = {}
+    totals: dict[str, int] = {}
+    for batch in blocks(batches, PHRASE_BYTES, BLOCK_ROWS):
         words = find_words(batch)
         if not len(words.starts):
             continue
@@ -271,62 +301,60 @@ def materialise(batches: Iterator[pa.RecordBatch], filters: list, bits: int, kep
         encoded = pc.dictionary_encode(batch.column("lang"))
         names = encoded.dictionary.to_pylist()
         lang = encoded.indices.to_numpy(zero_copy_only=False)[words.row]
-        total = np.bincount(lang, minlength=len(names))
+        for k, n in enumerate(np.bincount(lang, minlength=len(names)).tolist()):
+            if n:
+                totals[names[k]] = totals.get(names[k], 0) + n
         texts = [words.data[a:b].tobytes().decode() for a, b in zip(words.starts[firsts].tolist(), words.ends[firsts].tolist())]
-        ids = batch.column("doc_id").to_pylist()
+        ids = [NO_ID if d is None else d for d in batch.column("doc_id").to_pylist()]
         of_row = np.searchsorted(words.row, np.arange(batch.num_rows))
-        rows, buckets = [], []
+        of_lang = [held.setdefault(name, {}) for name in names]
         for length, at, fingerprints in looked_at(words, known, kept_bits):
             ok = passing(known[min(length, 3) - 1], fingerprints)
             at, fingerprints = at[ok], fingerprints[ok]
             pointers, counts = grouped(fingerprints, at, number, lang, length)
-            buckets.append(fingerprints[np.searchsorted(at, pointers)] >> np.uint64(64 - bits))
+            bucket = (fingerprints[np.searchsorted(at, pointers)] >> np.uint64(64 - bits)).tolist()
             row = words.row[pointers]
-            phrases = [" ".join([texts[w] for w in parts]) for parts in number[pointers[:, None] + np.arange(length)].tolist()]
-            rows += zip([names[k] for k in lang[pointers].tolist()], [length] * len(phrases), phrases, counts.tolist(), [ids[r] for r in row.tolist()], (pointers - of_row[row]).tolist())
-        bucket = np.concatenate(buckets).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        packed = [(k, [rows[i] for i in order[a:b].tolist()]) for k, a, b in slices(bucket[order])]
-        packed.append((int(total.sum()) & ((1 << bits) - 1), [(names[k], 0, None, n, None, None) for k, n in enumerate(total.tolist()) if n]))
-        columns = [pa.array([k for k, _ in packed], pa.int64())]
-        for i, kind in enumerate(TYPES):
-            columns.append(pa.array([[x[i] for x in part] for _, part in packed], pa.list_(kind)))
-        yield pa.RecordBatch.from_arrays(columns, names=["bucket", *NAMES])
-
-
-def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each bucket of an input sorted by it; one bucket is held at a time."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        for bucket, a, b in slices(batch.column("bucket").to_numpy()):
-            if held and held[0].column("bucket")[0].as_py() != bucket:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
+            parts = number[pointers[:, None] + np.arange(length)].tolist()
+            for k, p, b, n, r, w in zip(lang[pointers].tolist(), parts, bucket, counts.tolist(), row.tolist(), (pointers - of_row[row]).tolist()):
+                phrase = " ".join([texts[i] for i in p])
+                seen = of_lang[k].get(phrase)
+                if seen is None:
+                    of_lang[k][phrase] = [b, n, ids[r], w]
+                else:
+                    seen[1] += n
+                    if (ids[r], w) < (seen[2], seen[3]):
+                        seen[2:] = ids[r], w
+        if sum(map(len, held.values())) > HELD_PHRASES:
+            yield _sent(held, {})
+            held = {}
+    if totals:
+        yield _sent(held, totals)
 
 
 def add_phrases(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """The phrases of a bucket with ``least`` occurrences or more, equal texts of a language added up; and its totals of words."""
-    for rows in by_bucket(batches):
-        lang, words, phrase, f, doc, word = (pc.list_flatten(rows.column(c).combine_chunks()) for c in NAMES)
-        langs, phrases = pc.dictionary_encode(lang), pc.dictionary_encode(phrase)
-        place = lambda x: pc.fill_null(x.indices, len(x.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
-        same = place(langs) * (len(phrases.dictionary) + 1) + place(phrases)
-        unnamed = pc.is_null(doc).to_numpy(zero_copy_only=False)
-        number = lambda x: pc.fill_null(x, 0).to_numpy(zero_copy_only=False)
-        order = np.lexsort((number(word), number(doc), unnamed, same))
-        new = np.ones(len(order), bool)
-        new[1:] = same[order][1:] != same[order][:-1]
-        first = np.flatnonzero(new)
-        if not len(first):
-            continue
-        total = np.add.reduceat(number(f)[order], first)
-        kept = (total >= least) | pc.is_null(phrase).to_numpy(zero_copy_only=False)[order[first]]
-        at = pa.array(order[first][kept])
-        columns = [lang.take(at), words.take(at), phrase.take(at), pa.array(total[kept]), doc.take(at), word.take(at)]
-        yield pa.RecordBatch.from_arrays(columns, names=NAMES)
+    """The phrases of a bucket with ``least`` occurrences or more, equal texts of a language added up; and the languages' numbers of words (phrase null)."""
+    for _, rows in runs(batches):
+        held: dict[str, dict[bytes, list]] = {}
+        out = []
+        for _, lang, phrases, counts, docs, words in rows:
+            if phrases is None:
+                out.append((lang, 0, None, int(np.frombuffer(counts, np.int64)[0]), None, None))
+                continue
+            known = held.setdefault(lang, {})
+            columns = (np.frombuffer(zlib.decompress(c), np.int64).tolist() for c in (counts, docs, words))
+            for phrase, n, doc, word in zip(zlib.decompress(phrases).split(b"\n"), *columns):
+                seen = known.get(phrase)
+                if seen is None:
+                    known[phrase] = [n, doc, word]
+                else:
+                    seen[0] += n
+                    if (doc, word) < (seen[1], seen[2]):
+                        seen[1:] = doc, word
+        for lang, phrases in held.items():
+            out += [(lang, p.count(b" ") + 1, p.decode(), n, None if doc == NO_ID else doc, word) for p, (n, doc, word) in phrases.items() if n >= least]
+        if out:
+            types = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[x.split()[0] for x in PHRASES.split(", ")])
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, kept_bits: int = 64) -> tuple[DataFrame, DataFrame]:
