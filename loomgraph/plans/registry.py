@@ -20,6 +20,7 @@ MODULES = (
     "loomgraph.operators.retrieval",
     "loomgraph.operators.resolution",
     "loomgraph.operators.vectors",
+    "loomgraph.operators.density",
     "loomgraph.operators.claims",
     "loomgraph.operators.signals",
     "loomgraph.operators.security",
