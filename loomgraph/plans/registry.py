@@ -28,6 +28,7 @@ MODULES = (
     "loomgraph.functions.text",
     "loomgraph.sources.formats",
     "loomgraph.streaming.pipelines",
+    "loomgraph.streaming.stateful",
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
