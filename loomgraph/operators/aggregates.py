@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph_reads import incidence, live
+from loomgraph.operators.ordered import running_within
 from loomgraph.plans.model import Graph
 from loomgraph.plans.registry import query
+from loomgraph.session import durable
 
 
 def type_counts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -29,9 +31,10 @@ def health_report(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def relationship_coverage(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Per relation and source type: edges, distinct sources, and their share of the type, thinnest first."""
-    typed = live(edges).join(live(vertices).select(F.col("entity_id").alias("source"), "entity_type"), "source")
+    known = durable(live(vertices).select(F.col("entity_id").alias("source"), "entity_type"), "vertices")  # used twice
+    typed = live(edges).select("rel_type", "source").join(known, "source")
     covered = typed.groupBy("rel_type", "entity_type").agg(F.countDistinct("source").alias("covered"), F.count("*").alias("n_edges"))
-    totals = live(vertices).groupBy("entity_type").agg(F.count("*").alias("total"))
+    totals = known.groupBy("entity_type").agg(F.count("*").alias("total"))
     percent = F.round(100.0 * F.col("covered") / F.col("total"), 4)
     return covered.join(totals, "entity_type").withColumn("percent", percent).orderBy(F.asc_nulls_last("percent"), "rel_type", "entity_type")
 
@@ -43,6 +46,45 @@ def with_tail(counts: DataFrame, name: str, n: int) -> DataFrame:
     return ranked.groupBy(F.when(F.col("__rank") <= n, F.col(name)).otherwise("_other_").alias(name)).agg(F.sum("n").alias("n")).filter("n > 0")
 
 
+def first_of(rows: DataFrame, key: str, value: str, k: int) -> DataFrame:
+    """(key, first): the k least values of each key, joined by commas. Tasks keep k a key before anything is shuffled."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(value))
+    kept = rows.filter(F.col(value).isNotNull()).select(key, value).withColumn("__place", place).filter(F.col("__place") <= k)
+    return kept.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(value)), ",").alias("first"))
+
+
+def bucket_counts(samples: DataFrame, keys: list[str], value: str, bounds: list[float]) -> DataFrame:
+    """Per key the cumulative counts of values up to each of the ascending bounds, and of all (``+Inf``): an array ``le``."""
+    return samples.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.array(*(F.count_if(F.col(value) <= b) for b in bounds), F.count("*")).alias("le"))
+
+
+def bucket_quantile(counts: Column, bounds: list[float], q: float) -> Column:
+    """The quantile of cumulative bucket counts by linear interpolation inside its bucket.
+
+    The first bucket begins at 0 if its bound is above that, else its bound is the answer; in the last one, ``+Inf``, the answer is the bound before it; no values
+    give null.
+    """
+    edges = F.array(*(F.lit(float(b)) for b in bounds))
+    rank = q * F.element_at(counts, -1)
+    at = F.array_position(F.transform(counts, lambda c: c >= rank), True).cast("int")
+    upper, lower = F.get(edges, at - 1), F.coalesce(F.get(edges, at - 2), F.lit(0.0))
+    below = F.coalesce(F.get(counts, at - 2), F.lit(0))
+    inside = lower + (upper - lower) * F.try_divide(rank - below, F.get(counts, at - 1) - below)
+    first = F.when((at == 1) & (upper <= 0), upper).otherwise(F.coalesce(inside, upper))
+    return F.when(F.element_at(counts, -1) > 0, F.when(at > len(bounds), F.lit(float(bounds[-1]))).otherwise(first))
+
+
+def daily_sketches(samples: DataFrame, keys: list[str], value: str, distinct: str) -> DataFrame:
+    """A quantile sketch and a distinct-count sketch per key and day, to be stored and merged over any days."""
+    return samples.groupBy(*keys, "day").agg(F.kll_sketch_agg_double(value).alias("quantiles"), F.hll_sketch_agg(distinct).alias("distinct"), F.count("*").alias("n"))
+
+
+def merged_sketches(sketches: DataFrame, keys: list[str], q: float) -> DataFrame:
+    """Per key the approximate quantile and number of distinct values of the days given, from their sketches alone."""
+    both = sketches.groupBy(*keys).agg(F.kll_merge_agg_double("quantiles").alias("k"), F.hll_union_agg("distinct").alias("h"), F.sum("n").alias("n"))
+    return both.select(*keys, F.kll_sketch_get_quantile_double("k", F.lit(q)).alias("quantile"), F.hll_sketch_estimate("h").alias("n_distinct"), "n")
+
+
 def noisy_or(weight: Column) -> Column:
     """1 - prod(1 - w) as an aggregate; a weight of one gives one."""
     return 1.0 - F.product(1.0 - weight)
@@ -169,6 +211,27 @@ def _(g: Graph) -> DataFrame:
     return g.samples.groupBy("metric").agg(F.round(F.percentile("value", 0.95), 6).alias("p95"), F.round(F.percentile("value", 0.5), 6).alias("p50"))
 
 
+_BOUNDS = [1.0, 5.0, 10.0, 25.0, 50.0, 75.0, 100.0]
+
+
+@query(
+    "a15_bucket_quantile",
+    f"""WITH c AS (SELECT metric, [{", ".join(f"count(*) FILTER (value <= {b})" for b in _BOUNDS)}, count(*)] AS le FROM samples WHERE value IS NOT NULL GROUP BY 1),
+    p AS (SELECT metric, le, 0.95::DOUBLE * le[-1] AS rank, {_BOUNDS}::DOUBLE[] AS b FROM c),
+    i AS (SELECT *, list_position(list_transform(le, lambda x: x >= rank), true) AS k FROM p)
+    SELECT metric, round(CASE WHEN k > {len(_BOUNDS)} THEN b[-1] ELSE coalesce(b[k - 1], 0) + (b[k] - coalesce(b[k - 1], 0)) * (rank - coalesce(le[k - 1], 0)) / (le[k] - coalesce(le[k - 1], 0)) END, 6) AS p95 FROM i""",
+)
+def _(g: Graph) -> DataFrame:
+    counted = bucket_counts(g.samples, ["metric"], "value", _BOUNDS)
+    return counted.select("metric", F.round(bucket_quantile(F.col("le"), _BOUNDS, 0.95), 6).alias("p95"))
+
+
+@query("a57_sketch_rollup")
+def _(g: Graph) -> DataFrame:
+    stored = durable(daily_sketches(g.samples, ["metric"], "value", "user_id"), "sketches")
+    return merged_sketches(stored, ["metric"], 0.95)
+
+
 @query("a16_avg_stddev_over_time", "SELECT metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS deviation FROM (SELECT metric, date_trunc('hour', ts) AS h, avg(value) AS v FROM samples GROUP BY 1, 2) GROUP BY 1")
 def _(g: Graph) -> DataFrame:
     hourly = g.samples.groupBy("metric", F.date_trunc("hour", "ts").alias("h")).agg(F.avg("value").alias("v"))
@@ -195,8 +258,10 @@ def _(g: Graph) -> DataFrame:
     "SELECT source, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars, array_to_string(list_slice(list_sort(list(doc_id)), 1, 5), ',') AS first_docs FROM documents GROUP BY 1",
 )
 def _(g: Graph) -> DataFrame:
-    first = F.array_join(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 5), ",")
-    return g.table("documents").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"), first.alias("first_docs"))
+    docs = g.table("documents").select("source", "doc_id", "n_chars")
+    counted = docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+    first = first_of(docs, "source", "doc_id", 5).withColumnsRenamed({"source": "__source", "first": "first_docs"})
+    return counted.join(first, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
 
 
 @query("a20_counts_by_several", "SELECT verdict, status, count(*) AS n FROM claims GROUP BY GROUPING SETS ((verdict), (status), ())")
@@ -323,9 +388,9 @@ def _(g: Graph) -> DataFrame:
 
 @query("a46_rank_buckets", "SELECT CASE WHEN r = 1 THEN 'top1' WHEN r <= 5 THEN 'top5' WHEN r <= 10 THEN 'top10' ELSE 'tail' END AS bucket, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY module ORDER BY confidence DESC, claim_id) AS r FROM claims) GROUP BY 1")
 def _(g: Graph) -> DataFrame:
-    r = F.row_number().over(Window.partitionBy("module").orderBy(F.desc("confidence"), "claim_id"))
+    numbered = running_within(g.claims.select("module", "confidence", "claim_id"), ["module"], [F.desc("confidence"), F.col("claim_id")])
     bucket = F.when(F.col("r") == 1, "top1").when(F.col("r") <= 5, "top5").when(F.col("r") <= 10, "top10").otherwise("tail")
-    return g.claims.withColumn("r", r).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return numbered.withColumnRenamed("row_number", "r").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
 @query("a48_strongest_per_type", "SELECT predicate, max(confidence) AS strongest, min(claim_id) AS claim_id FROM claims c WHERE confidence = (SELECT max(confidence) FROM claims d WHERE d.predicate = c.predicate) GROUP BY 1")

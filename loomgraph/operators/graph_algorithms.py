@@ -25,6 +25,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, hops: int, both_ways: bool = Fa
     steps = edges.select("source", "target")
     if both_ways:
         steps = steps.union(edges.select("target", "source"))
+    steps = durable(steps, "steps")  # read in every round
     seen = seeds.select("entity_id").distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for hop in range(1, hops + 1):
@@ -289,6 +290,49 @@ def _(g: Graph) -> DataFrame:
     return chain_hashes(g.table("nation"), "n_nationkey", F.col("n_name")).select("n_nationkey", "link_hash")
 
 
+def chain_faults(nodes: DataFrame, node: str, parent: str, payload: str, stored: str) -> DataFrame:
+    """(node, fault, first_fault) of a tree of versions whose hash is sha256(payload, parent's stored hash).
+
+    ``fault``: ``hash`` if the stored hash is not the recomputed one, ``missing_parent``, or ``cycle`` for nodes on or below one. A parent's stored hash
+    is taken as it is, so a tampered node fails alone; ``first_fault`` is the faulty node nearest to the root on a node's path, itself included,
+    and is null only where the whole path is good. Paths double in each round; a node that has not met a root when all paths could is below a cycle.
+    """
+    known = nodes.select(F.col(node).alias("__p"), F.col(stored).alias("__hash"))
+    met = nodes.join(known, F.col(parent) == F.col("__p"), "left")
+    right = F.sha2(F.concat(F.coalesce(payload, F.lit("")), F.coalesce("__hash", F.lit(""))), 256)
+    fault = F.when(F.col(parent).isNotNull() & F.col("__p").isNull(), "missing_parent").when(~F.col(stored).eqNullSafe(right), "hash")
+    own = durable(met.select(F.col(node).alias("id"), F.coalesce("__p", F.col(node)).alias("up"), fault.alias("fault")), "chain")
+    state = durable(own.select("id", "up", F.when(F.col("fault").isNotNull(), F.col("id")).alias("first")), "chain")
+    for _ in range(max(1, (state.count() - 1).bit_length()) + 1):
+        above = state.select(F.col("id").alias("__i"), F.col("up").alias("__u"), F.col("first").alias("__f"))
+        state = durable(state.join(above, F.col("up") == F.col("__i")).select("id", F.col("__u").alias("up"), F.coalesce("__f", "first").alias("first")), "chain")
+    roots_ = own.filter("id = up").select(F.col("id").alias("__root"))
+    ended = state.join(roots_, F.col("up") == F.col("__root"), "left").join(own.select("id", "fault"), "id")
+    lost = F.col("__root").isNull()
+    return ended.select(F.col("id").alias(node), F.when(lost, "cycle").otherwise(F.col("fault")).alias("fault"), F.when(lost, F.col("id")).otherwise(F.col("first")).alias("first_fault"))
+
+
+@query(
+    "g11_chain_faults",
+    """WITH RECURSIVE s AS (SELECT c_custkey AS id, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent, c_custkey % 97 <> 5 AS good FROM customer),
+    t AS (SELECT id, CASE WHEN NOT good THEN id END AS first FROM s WHERE parent IS NULL
+      UNION ALL SELECT s.id, coalesce(t.first, CASE WHEN NOT s.good THEN s.id END) FROM s JOIN t ON s.parent = t.id)
+    SELECT s.id AS c_custkey, CASE WHEN NOT good THEN 'hash' END AS fault, t.first AS first_fault FROM s JOIN t ON s.id = t.id""",
+)
+def _(g: Graph) -> DataFrame:
+    """A binary tree of customers, hashed level by level; every id with remainder 5 modulo 97 is tampered with after its children were hashed."""
+    rows = g.table("customer").select("c_custkey", F.when(F.col("c_custkey") > 1, F.floor(F.col("c_custkey") / 2)).alias("parent"), "c_name")
+    top = g.table("customer").agg(F.max("c_custkey")).first()[0] or 0
+    level = durable(rows.filter("parent is null").withColumn("hash", F.sha2("c_name", 256)), "hashed")
+    every = level
+    for _ in range(top.bit_length() - 1):  # a level of the tree a round
+        above = level.select(F.col("c_custkey").alias("__p"), F.col("hash").alias("__h"))
+        level = durable(rows.join(above, F.col("parent") == F.col("__p")).select("c_custkey", "parent", "c_name", F.sha2(F.concat("c_name", "__h"), 256).alias("hash")), "hashed")
+        every = every.union(level)
+    tampered = every.withColumn("c_name", F.when(F.col("c_custkey") % 97 == 5, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name")))
+    return chain_faults(tampered, "c_custkey", "parent", "c_name", "hash")
+
+
 @query("g12_query_subgraph", "SELECT q.c_custkey AS query_id, v.entity_id, v.entity_type FROM customer q JOIN edges e ON e.source = 'customer:' || CAST(q.c_custkey AS STRING) JOIN vertices v ON v.entity_id = e.target")
 def _(g: Graph) -> DataFrame:
     asked = g.table("customer").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("source"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators.graph_reads import incidence, live, overlaps
 from loomgraph.plans.model import Graph
 from loomgraph.plans.registry import query
+from loomgraph.session import durable
 
 
 def incident_edges(edges: DataFrame, ids: DataFrame, cap: int) -> DataFrame:
@@ -21,8 +22,8 @@ def incident_edges(edges: DataFrame, ids: DataFrame, cap: int) -> DataFrame:
 
 
 def internal_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edges with both ends in ``ids``."""
-    marked = ids.select("entity_id").distinct()
+    """Edges with both ends in ``ids``; either side is read once."""
+    edges, marked = durable(edges, "edges"), durable(ids.select("entity_id").distinct(), "ids")
     inner = edges.join(marked.withColumnRenamed("entity_id", "source"), "source", "left_semi")
     return inner.join(marked.withColumnRenamed("entity_id", "target"), "target", "left_semi")
 
@@ -84,7 +85,7 @@ def _(g: Graph) -> DataFrame:
 )
 def _(g: Graph) -> DataFrame:
     inside = overlaps(F.col("valid_from"), F.col("valid_to"), F.expr("DATE '2020-06-01'"), F.expr("DATE '2020-09-01'"))
-    return internal_edges(g.edges, g.vertices.filter(inside)).groupBy("rel_type").agg(F.count("*").alias("n"))
+    return internal_edges(g.edges.select("rel_type", "source", "target"), g.vertices.filter(inside)).groupBy("rel_type").agg(F.count("*").alias("n"))
 
 
 @query("j04_cooccurring_pairs", "SELECT a.object AS a, b.object AS b, count(*) AS n FROM (SELECT DISTINCT chunk_id, module, object FROM claims) a JOIN (SELECT DISTINCT chunk_id, module, object FROM claims) b ON a.chunk_id = b.chunk_id AND a.module = b.module AND a.object < b.object GROUP BY 1, 2")

@@ -89,6 +89,29 @@ def global_row_number(df: DataFrame, *order) -> DataFrame:
     return ranged.withColumn("__local", local).join(shifts, "__range").withColumn("row_number", F.col("__local") + F.col("__shift")).drop("__range", "__local", "__shift")
 
 
+def running_within(df: DataFrame, keys: list[str], order: list, value: Column | None = None) -> DataFrame:
+    """Per key in the given order ``row_number``, ``dense_rank``, ``n`` (rows of the key) and ``before`` (sum of ``value`` over the rows before; null
+    values add nothing), whatever the size of a key: ranges of all rows are counted on their own and shifted by those before them."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    valued = df.withColumn("__v", F.coalesce(value, F.lit(0)) if value is not None else F.lit(0))
+    ranged = durable(valued.repartitionByRange(n, *keys, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    local = Window.partitionBy("__range", *keys).orderBy(*order)
+    ranked = ranged.withColumns({"__d": F.dense_rank().over(local), "__r": F.row_number().over(local), "__b": F.coalesce(F.sum("__v").over(local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    # equal places of the order share a range, so distinct ones add up
+    sizes = ranked.groupBy("__range", *keys).agg(F.count("*").alias("__n"), F.max("__d").alias("__nd"), F.sum("__v").alias("__s"))
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(
+        F.col("__range").alias("__at"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.sum("__n").over(Window.partitionBy(*keys)).alias("n"),
+        *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("__n", "__nd", "__s")),
+    )
+    same = F.col("__range") == F.col("__at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    met = ranked.join(shifts, same)
+    added = {"row_number": F.col("__r") + F.col("__n"), "dense_rank": F.col("__d") + F.col("__nd"), "before": F.col("__b") + F.col("__s")}
+    return met.withColumns(added).select(*df.columns, "row_number", "dense_rank", "n", "before")
+
+
 def balanced_groups(df: DataFrame, size: str, key: str, n_groups: int) -> DataFrame:
     """Round-robin over the rows from largest to smallest."""
     numbered = global_row_number(df, F.desc(size), F.col(key))
@@ -170,10 +193,14 @@ def _(g: Graph) -> DataFrame:
 
 @query("w12_ranks_and_frames", "SELECT claim_id, dense_rank() OVER w AS d, ntile(4) OVER w AS q, round(sum(amount) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 4) AS moving FROM claims WINDOW w AS (PARTITION BY module ORDER BY confidence, claim_id, amount, subject, object)")
 def _(g: Graph) -> DataFrame:
-    w = Window.partitionBy("module").orderBy("confidence", "claim_id", "amount", "subject", "object")
-    return g.claims.select(
-        "claim_id", F.dense_rank().over(w).cast("long").alias("d"), F.ntile(4).over(w).cast("long").alias("q"), F.round(F.sum("amount").over(w.rowsBetween(-3, 0)), 4).alias("moving")
-    )
+    order = [F.col(c) for c in ("confidence", "claim_id", "amount", "subject", "object")]
+    placed = durable(running_within(g.claims.select("module", "confidence", "claim_id", "amount", "subject", "object"), ["module"], order), "placed")
+    # a row gives its amount to itself and the three rows after it
+    given = placed.select("module", F.explode(F.sequence(F.col("row_number"), F.col("row_number") + 3)).alias("row_number"), "amount")
+    moving = given.groupBy("module", "row_number").agg(F.round(F.sum("amount"), 4).alias("moving"))
+    r, small, rest = F.col("row_number") - 1, F.floor(F.col("n") / 4), F.col("n") % 4
+    tile = F.when(r < rest * (small + 1), F.floor(r / (small + 1))).otherwise(rest + F.floor((r - rest * (small + 1)) / F.greatest(small, F.lit(1)))) + 1
+    return placed.join(moving, ["module", "row_number"]).select("claim_id", F.col("dense_rank").cast("long").alias("d"), tile.cast("long").alias("q"), "moving")
 
 
 @query("w13_balanced_groups", "SELECT g AS grp, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM (SELECT n_chars, ((row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1) % 8)::INT AS g FROM documents) GROUP BY 1")

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import sigma_strength
+from loomgraph.operators.aggregates import first_of
 from loomgraph.operators.graph_reads import band
-from loomgraph.operators.ordered import mann_kendall
+from loomgraph.operators.ordered import mann_kendall, running_within
 from loomgraph.plans.model import Graph
 from loomgraph.plans.registry import query
 from loomgraph.session import durable
@@ -181,6 +182,72 @@ def _(g: Graph) -> DataFrame:
     return pattern(signals, "module", {"all_uncertain": (["made_by", "sold_by", "shipped_by"], []), "made_only": (["made_by"], ["sold_by"])})
 
 
+#: Deviations that a change of a rate or latency must pass.
+SIGMAS = 2.0
+
+
+def diagnoses(signals: DataFrame, series: DataFrame, now: str, lookback_hours: float = 24.0, current_days: int = 1, baseline_days: int = 14, sigmas: float = SIGMAS, min_points: int = 10, emit: float = 0.0) -> DataFrame:
+    """(pattern, module, strength) of the six correlation patterns that fire, strength from 0 to 1.
+
+    ``signals`` (signal A to F, module, strength, detected_at, status): of each signal and module the latest of successful runs within the lookback counts.
+    ``series`` (metric, module, at, value): hourly ``retrieval``, ``zero_results`` and ``latency_p95`` of the whole, daily ``throughput`` of modules. A change is the mean
+    of the current days against mean and deviation of the baseline days. Patterns over the whole have module ``__global__``. A module
+    without enough points of throughput counts as steady.
+    """
+    at = F.lit(now).cast("timestamp")
+    fresh = signals.filter((F.col("status") == "success") & (F.col("detected_at") >= at - F.make_interval(hours=F.lit(int(lookback_hours)))))
+    latest = fresh.groupBy("signal", "module").agg(F.max_by("strength", "detected_at").alias("s"))
+    one = lambda c: F.coalesce(F.max(F.when(F.col("signal") == c, F.col("s"))), F.lit(0.0)).alias(c)
+    modules = latest.groupBy("module").agg(*map(one, "ABCDEF"))
+    within = lambda days: F.col("at") > at - F.make_interval(days=F.lit(days))
+    changes = series.filter("metric <> 'throughput'").filter((F.col("at") <= at) & within(baseline_days)).groupBy("metric").agg(
+        F.avg(F.when(within(current_days), F.col("value"))).alias("now"), F.avg("value").alias("base"), F.stddev_pop("value").alias("spread")
+    )
+    value = lambda m, c: F.coalesce(F.max(F.when(F.col("metric") == m, F.col(c))), F.lit(0.0)).alias(f"{m}_{c}")
+    whole = changes.agg(*(value(m, c) for m in ("retrieval", "zero_results", "latency_p95") for c in ("now", "base", "spread")))  # one row
+    known = modules.agg(*(F.coalesce(F.max(c), F.lit(0.0)).alias(f"max_{c}") for c in "ABCDEF"))  # one row
+    top = F.broadcast(whole.crossJoin(known))  # one row
+    daily = series.filter("metric = 'throughput'").filter((F.col("at") <= at) & within(baseline_days)).withColumn("y", F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)))
+    falling = mann_kendall(daily, ["module"], "at", "y").filter((F.col("trend") == "decreasing") & (F.col("n") >= min_points)).select("module", F.lit(True).alias("falling"))
+    c = F.col
+    share = lambda part, of: F.when(c(of) > 0, F.least(F.lit(1.0), part / c(of)))
+    drop, rise, slow = c("retrieval_base") - c("retrieval_now"), c("zero_results_now") - c("zero_results_base"), c("latency_p95_now") - c("latency_p95_base")
+    dropped = (drop >= sigmas * c("retrieval_spread")) & (c("retrieval_spread") > 0)
+    risen = (rise > sigmas * c("zero_results_spread")) & (c("zero_results_spread") > 0)
+    slower = (slow > sigmas * c("latency_p95_spread")) & (c("latency_p95_base") + sigmas * c("latency_p95_spread") > 0)
+    loudest = F.greatest(*(c(f"max_{x}") for x in "ABCDEF"))
+    local = modules.join(falling, "module", "left").crossJoin(top)
+    fires = lambda name, when, strength: F.when(when, F.struct(F.lit(name).alias("pattern"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), strength)).alias("strength")))
+    per_module = F.array(
+        fires("schema_drift_per_module", (c("C") >= TRIGGER) & (c("D") >= TRIGGER), (c("C") + c("D")) / 2),
+        fires("cq_regression_pre_extraction", (c("F") >= TRIGGER) & c("falling").isNull(), c("F")),
+        fires("relationship_gap_propagation", (c("B") >= TRIGGER) & risen, (c("B") + F.coalesce(share(rise, "zero_results_base"), F.lit(1.0))) / 2),
+        fires("ontology_constraint_conflict", (c("E") >= TRIGGER) & (c("B") >= TRIGGER), (c("E") + c("B")) / 2),
+    )
+    overall = F.array(
+        fires("extraction_quality_problem", (c("max_A") >= TRIGGER) & dropped, (c("max_A") + F.coalesce(share(drop, "retrieval_base"), F.lit(0.0))) / 2),
+        fires("graph_or_index_problem", slower & (loudest < QUIET), F.coalesce(share(slow, "latency_p95_base"), F.lit(1.0))),
+    )
+    shown = local.select("module", F.explode(per_module).alias("x")).unionByName(whole.crossJoin(known).select(F.lit("__global__").alias("module"), F.explode(overall).alias("x")))
+    return shown.filter("x is not null").select("x.pattern", "module", "x.strength").filter(F.col("strength") >= emit)
+
+
+@query("n08_six_patterns")
+def _(g: Graph) -> DataFrame:
+    """Signals of each module from its claims of the last days, series from the samples; no SQL, see the scenarios in the tests."""
+    day = g.claims.agg(F.max("created_on").cast("timestamp").alias("t")).first().t
+    spread = F.posexplode(F.array(*(F.pmod(F.xxhash64("module", F.lit(k)), F.lit(100)) / 100 for k in range(6))))
+    rates = g.claims.groupBy("module", F.col("created_on").cast("timestamp").alias("detected_at")).agg(F.count("*").alias("n")).select("module", "detected_at", spread)
+    signals = rates.select(F.substring(F.lit("ABCDEF"), F.col("pos") + 1, F.lit(1)).alias("signal"), "module", F.col("col").alias("strength"), "detected_at", F.lit("success").alias("status"))
+    last = g.samples.agg(F.max("ts").alias("t")).first().t
+    moved = F.col("at") + (F.lit(day) - F.lit(last))
+    names = F.create_map(F.lit("click"), F.lit("retrieval"), F.lit("view"), F.lit("zero_results"))
+    hourly = g.samples.groupBy(F.coalesce(F.try_element_at(names, F.col("metric")), F.lit("latency_p95")).alias("metric"), F.date_trunc("hour", "ts").alias("at")).agg(F.avg("value").alias("value"))
+    series = hourly.select("metric", F.lit("__global__").alias("module"), moved.alias("at"), "value")
+    daily = g.claims.groupBy("module", F.col("created_on").cast("timestamp").alias("at")).agg(F.count("*").cast("double").alias("value")).select(F.lit("throughput").alias("metric"), "module", "at", "value")
+    return diagnoses(signals, series.unionByName(daily), str(day), lookback_hours=24 * 400, baseline_days=400)
+
+
 @query("n10_signal_to_proposal", "SELECT module, predicate, round(least(1.0::DOUBLE, count(DISTINCT created_on) / 3.0::DOUBLE) * avg(confidence), 6) AS confidence FROM claims WHERE status = 'quarantined' GROUP BY 1, 2")
 def _(g: Graph) -> DataFrame:
     score = F.least(F.lit(1.0), F.countDistinct("created_on") / 3.0) * F.avg("confidence")
@@ -235,15 +302,15 @@ def _(g: Graph) -> DataFrame:
 
 @query("n20_document_groups", "SELECT source, grp, count(*) AS n FROM (SELECT source, (coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 20000)::BIGINT AS grp FROM documents) GROUP BY 1, 2")
 def _(g: Graph) -> DataFrame:
-    before = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    grouped = g.table("documents").select("source", F.floor(F.coalesce(before, F.lit(0)) / 20000).alias("grp"))
+    placed = running_within(g.table("documents").select("source", "doc_id", "n_chars"), ["source"], [F.col("doc_id")], F.col("n_chars"))
+    grouped = placed.select("source", F.floor(F.col("before") / 20000).alias("grp"))
     return grouped.groupBy("source", "grp").agg(F.count("*").alias("n"))
 
 
 @query("n21_evidence_bundle", "SELECT subject, count(*) AS n, array_to_string(list_slice(list_sort(list(claim_id)), 1, 10), ',') AS claims FROM claims WHERE verdict = 'SUPPORTED' GROUP BY 1")
 def _(g: Graph) -> DataFrame:
-    bundle = F.array_join(F.slice(F.array_sort(F.collect_list("claim_id")), 1, 10), ",")
-    return g.claims.filter("verdict = 'SUPPORTED'").groupBy("subject").agg(F.count("*").alias("n"), bundle.alias("claims"))
+    supported = g.claims.filter("verdict = 'SUPPORTED'").select("subject", "claim_id")
+    return supported.groupBy("subject").agg(F.count("*").alias("n")).join(first_of(supported, "subject", "claim_id", 10).withColumnRenamed("first", "claims"), "subject")
 
 
 @query("n22_progress_indicator", "SELECT round(count(*) FILTER (status = 'accepted') / count(*), 6) AS progress FROM claims")
