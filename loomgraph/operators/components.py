@@ -18,26 +18,27 @@ MIN_HUB = 1000
 MAX_HUBS = 1000
 
 
-def _hooked(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """``edges`` with ``m`` of their ``u``. Hubs' minima are broadcast, so that a hub's edges stay where they are."""
+def hot_join(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` (``total`` of them) joined to ``values``, which has each key once with the number ``n`` of its rows. Values of hot keys are broadcast, so that
+    the rows of a hot key stay where they are; there are fewer than MAX_HUBS of them, or MIN_HUB rows in all."""
     if total <= MIN_HUB:
-        return edges.join(least.drop("n"), "u")
-    is_hub = F.col("n") > max(MIN_HUB, total // MAX_HUBS)
-    hubs = F.broadcast(least.filter(is_hub).drop("n"))  # see MAX_HUBS
-    rest = edges.join(hubs.select("u"), "u", "left_anti").join(least.filter(~is_hub).drop("n"), "u")
-    return edges.join(hubs, "u").unionByName(rest)
+        return rows.join(values.drop("n"), key)
+    is_hot = F.col("n") > max(MIN_HUB, total // MAX_HUBS)
+    hot = F.broadcast(values.filter(is_hot).drop("n"))  # see MAX_HUBS
+    rest = rows.join(hot.select(key), key, "left_anti").join(values.filter(~is_hot).drop("n"), key)
+    return rows.join(hot, key).unionByName(rest)
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
-    return _hooked(both.filter("v > u"), least, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return hot_join(both.filter("v > u"), least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    hooked = _hooked(down, least, total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    hooked = hot_join(down, least, "u", total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hooked.union(least.select("u", F.col("m").alias("v")))
 
 
