@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import boxed, chunks, table, texts_of, unboxed
-from loomgraph.operators.components import connected_components
+from loomgraph.operators.components import connected_components, hot_join
 from loomgraph.session import durable
 
 SHINGLE = 3
@@ -204,12 +204,14 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     fingerprint."""
     given = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     printed = durable(with_fingerprints(given, "fp").drop("text"), "simhash")
-    prints = durable(printed.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
+    prints = durable(printed.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "simhash-distinct")
     links = fingerprint_links(prints, choose_parts(prints))
     roots = connected_components(links).withColumnsRenamed({"node": "fp", "component": "root"})
     rooted = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return printed.join(rooted.select("fp", "root").join(named, "root"), "fp")
+    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    # a fingerprint of very many rows, or a component of very many fingerprints, is not gathered in one task
+    placed = hot_join(rooted.select("fp", "root", F.col("n").alias("copies")), named, "root", prints.count()).withColumnRenamed("copies", "n")
+    return hot_join(printed, placed, "fp", printed.count())
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
