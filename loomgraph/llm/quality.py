@@ -31,6 +31,8 @@ MAX_REPEAT_PERCENT = 20
 SYMBOLS = b"#*$%&|<>"
 #: Leading bits that a sketch keeps of a value.
 SKETCH_BITS = 6
+#: Groups of language and source up to which their fences are broadcast; beyond it they are joined.
+BROADCAST_GROUPS = 10_000
 #: A group with fewer passing documents takes the thresholds of the next larger one.
 MIN_GROUP = 30
 #: Fences lie this many quartile ranges beyond the quartiles, plus a rule's margin.
@@ -163,6 +165,9 @@ def apply_quality_rules(docs: DataFrame) -> DataFrame:
     wide = fences.groupBy(F.col("lang").alias("__lang"), F.col("source").alias("__source")).agg(
         F.map_from_entries(F.collect_list(F.struct("rule", F.struct("low", "high")))).alias("__fences")
     )
+    wide = durable(wide, "quality-fences")
+    if wide.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        wide = F.broadcast(wide)
     same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
     joined = measured.join(wide, same, "left")
 
