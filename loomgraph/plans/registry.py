@@ -25,6 +25,7 @@ MODULES = (
     "loomgraph.operators.signals",
     "loomgraph.operators.security",
     "loomgraph.operators.ontology",
+    "loomgraph.operators.commands",
     "loomgraph.functions.text",
     "loomgraph.sources.formats",
     "loomgraph.streaming.pipelines",
