@@ -127,7 +127,11 @@ def _(g: Graph) -> DataFrame:
     return sessions(_events(g.table("events")), "ts", "6 hours", "user_id").groupBy("user_id").agg(F.count("*").alias("sessions"))
 
 
-@query("st05_semantic_triage")
+@query(
+    "st05_semantic_triage",
+    """SELECT vec_id, CASE WHEN max(round(list_cosine_similarity(e, t), 6)) < 0.3 THEN 'filtered_semantic' ELSE 'passed' END AS outcome
+    FROM (SELECT a.vec_id, a.embedding::DOUBLE[] AS e, b.embedding::DOUBLE[] AS t FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) GROUP BY 1""",
+)
 def _(g: Graph) -> DataFrame:
     from loomgraph.operators.resolution import nearest_centroid
 
