@@ -509,6 +509,13 @@ def _(g: Graph) -> DataFrame:
     return spans.groupBy("message_id").agg(F.sum("s.length").alias("chars"))
 
 
+@query("c02_sentence_spans")
+def _(g: Graph) -> DataFrame:
+    """Place and length of every sentence of every message; SQL without look-ahead cannot cut them, the tests do."""
+    spans = g.messages.select("message_id", F.posexplode(sentences(F.col("body"))).alias("index", "s"))
+    return spans.select("message_id", "index", "s.start", "s.length")
+
+
 _CONTEXTUAL = "regexp_full_match(x, '" + CONTEXT_WORDS.replace(" ", "|") + f"|[a-z]{{2,}}({CONTEXT_ENDINGS})')"
 _NEUTRAL = "regexp_full_match(x, '" + NEUTRAL_WORDS.replace(" ", "|") + "')"
 

@@ -23,6 +23,7 @@ MODULES = (
     "loomgraph.operators.density",
     "loomgraph.operators.claims",
     "loomgraph.operators.signals",
+    "loomgraph.operators.directives",
     "loomgraph.operators.security",
     "loomgraph.operators.ontology",
     "loomgraph.operators.commands",
