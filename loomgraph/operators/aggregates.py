@@ -455,6 +455,50 @@ def _(g: Graph) -> DataFrame:
     return rules.groupBy("tag").agg(F.count("*").alias("n_rules"), F.countDistinct("cluster").alias("n_clusters"), F.count_if("denied").alias("n_denied"))
 
 
+def provenance_tag(passes: Column) -> Column:
+    """The tag of an element found by these passes (an array; ``seed`` is one of them)."""
+    seed, n = F.array_contains(passes, "seed"), F.size(F.filter(F.array_distinct(passes), lambda p: p != "seed"))
+    return (
+        F.when(seed & (n >= 3), "seed+3pass").when(seed & (n == 2), "seed+2pass").when(seed & (n == 1), "seed+1pass").when(seed, "seed_only")
+        .when(n >= 3, "3pass_novel").when(n == 2, "2pass_novel").otherwise("1pass_only")
+    )
+
+
+def agreement_confidence(passes: Column) -> Column:
+    """1 for three passes, 0.67 for two, 0.33 for fewer; 0.1 more with the seed, 1 at most."""
+    n = F.size(F.filter(F.array_distinct(passes), lambda p: p != "seed"))
+    base = F.when(n >= 3, 1.0).when(n == 2, 0.67).otherwise(0.33)
+    return F.round(F.least(F.lit(1.0), base + F.when(F.array_contains(passes, "seed"), 0.1).otherwise(0.0)), 2)
+
+
+def schema_element_counts(schema: Column) -> tuple[Column, Column]:
+    """Entity and relationship types of a schema in JSON: keys of ``entity_types``, or of ``$defs`` without those, and of ``relationships``."""
+    keys = lambda path: F.json_object_keys(F.get_json_object(schema, path))
+    return F.size(F.coalesce(keys("$.entity_types"), keys("$['$defs']"), F.array())), F.size(F.coalesce(keys("$.relationships"), F.array()))
+
+
+@query(
+    "a39_provenance_agreement",
+    """SELECT subject, CASE WHEN s AND n >= 3 THEN 'seed+3pass' WHEN s AND n = 2 THEN 'seed+2pass' WHEN s AND n = 1 THEN 'seed+1pass' WHEN s THEN 'seed_only' WHEN n >= 3 THEN '3pass_novel' WHEN n = 2 THEN '2pass_novel' ELSE '1pass_only' END AS provenance,
+    round(least(1.0::DOUBLE, CASE WHEN n >= 3 THEN 1.0 WHEN n = 2 THEN 0.67 ELSE 0.33 END + CASE WHEN s THEN 0.1 ELSE 0 END), 2) AS confidence
+    FROM (SELECT subject, bool_or(module = 'm0') AS s, count(DISTINCT predicate) FILTER (module <> 'm0') AS n FROM claims GROUP BY 1)""",
+)
+def _(g: Graph) -> DataFrame:
+    passes = F.collect_set(F.when(F.col("module") == "m0", "seed").otherwise(F.col("predicate")))
+    found = g.claims.groupBy("subject").agg(passes.alias("p"))
+    return found.select("subject", provenance_tag(F.col("p")).alias("provenance"), agreement_confidence(F.col("p")).alias("confidence"))
+
+
+@query("a52_schema_element_counts", "SELECT p_brand AS brand, count(DISTINCT p_type) AS entity_types, CASE WHEN p_brand LIKE '%1' THEN 0 ELSE count(DISTINCT p_size) END AS relationship_types FROM part GROUP BY 1")
+def _(g: Graph) -> DataFrame:
+    listed = lambda c: F.concat(F.lit("{"), F.array_join(F.transform(F.collect_set(c), lambda x: F.concat(F.lit('"'), x.cast("string"), F.lit('": {}'))), ", "), F.lit("}"))
+    parts = g.table("part").groupBy(F.col("p_brand").alias("brand")).agg(listed("p_type").alias("t"), listed("p_size").alias("r"))
+    whole = F.concat(F.lit('{"entity_types": '), "t", F.lit(', "relationships": '), "r", F.lit("}"))
+    schema = F.when(F.col("brand").endswith("1"), F.concat(F.lit('{"$defs": '), "t", F.lit("}"))).otherwise(whole)
+    entities, relations = schema_element_counts(F.col("schema"))
+    return parts.withColumn("schema", schema).select("brand", entities.cast("long").alias("entity_types"), relations.cast("long").alias("relationship_types"))
+
+
 @query("a38_agreement_tier", "SELECT subject, CASE count(DISTINCT predicate) WHEN 3 THEN 'full' WHEN 2 THEN 'majority' ELSE 'single' END AS tier FROM claims GROUP BY 1")
 def _(g: Graph) -> DataFrame:
     n = F.size(F.collect_set("predicate"))

@@ -127,6 +127,20 @@ def _(g: Graph) -> DataFrame:
     return sessions(_events(g.table("events")), "ts", "6 hours", "user_id").groupBy("user_id").agg(F.count("*").alias("sessions"))
 
 
+def closed_sessions(events: DataFrame, at: str, gap: str, key: str, delay: str) -> DataFrame:
+    """Sessions of a stream, each sent once when the watermark has passed its end; rows behind the watermark are left out."""
+    return sessions(events.withWatermark(at, delay), at, gap, key)
+
+
+@query(
+    "st11_session_stream",
+    "SELECT user_id, count(*) AS sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) WHERE p IS NULL OR ts - p >= INTERVAL 6 HOUR GROUP BY 1",
+)
+def _(g: Graph) -> DataFrame:
+    found = drain(sessions(_events(read_stream(g, "events")), "ts", "6 hours", "user_id"), "complete")
+    return found.groupBy("user_id").agg(F.count("*").alias("sessions"))
+
+
 @query(
     "st05_semantic_triage",
     """SELECT vec_id, CASE WHEN max(round(list_cosine_similarity(e, t), 6)) < 0.3 THEN 'filtered_semantic' ELSE 'passed' END AS outcome

@@ -138,3 +138,20 @@ def test_numbers_within_keys(spark):
 def test_first_values(spark):
     df = spark.createDataFrame([("a", k) for k in range(20)] + [(None, 3), (None, 1), ("b", None)], "k string, v long")
     assert {r.k: r.first for r in aggregates.first_of(df, "k", "v", 3).collect()} == {"a": "0,1,2", None: "1,3"}
+
+
+def test_source_reliability_equals_the_loop(spark):
+    from loomgraph.operators import claims
+
+    rng = np.random.default_rng(9)
+    pairs = {(int(e), int(s)) for e, s in zip(rng.integers(0, 12, 40), rng.integers(0, 6, 40))}
+    trust = {s: 0.7 for _, s in pairs}
+    for _ in range(10):
+        score = {e: 1 - np.prod([1 - 0.5 * trust[s] for x, s in pairs if x == e]) for e, _ in pairs}
+        new = {s: float(np.exp(np.mean([np.log(max(score[e], 1e-10)) for e, y in pairs if y == s]))) for s in trust}
+        a, b = np.array([new[s] for s in trust]), np.array([trust[s] for s in trust])
+        trust = new
+        if 1 - a @ b / np.sqrt((a @ a) * (b @ b)) < 1e-3:
+            break
+    df = spark.createDataFrame([*pairs, *list(pairs)[:3]], "entity long, source long")
+    assert {r.source: r.trust for r in claims.source_reliability(df, "entity", "source").collect()} == pytest.approx(trust)

@@ -140,3 +140,18 @@ def test_a_growing_mailbox_is_read_once(spark, box, tmp_path):
     with open(box / "one.mbox", "ab") as f:
         f.write(letter(65)[-30:])
     assert go() == sorted(f"<{k}@x>" for k in range(67))
+
+
+def test_sessions_close_behind_the_watermark_and_late_rows_are_left_out(spark, tmp_path):
+    from loomgraph.streaming.pipelines import closed_sessions
+
+    schema = "user_id long, at timestamp"
+    make = lambda s: closed_sessions(s, "at", "2 hours", "user_id", "1 hour").select("user_id", "n")
+    feed(spark, tmp_path, [(1, at(0, 0)), (1, at(0, 1)), (2, at(0, 1))], schema)
+    assert run(spark, tmp_path, make, schema) == []  # all still open
+    feed(spark, tmp_path, [(1, at(1, 0)), (1, at(1, 1))], schema)
+    run(spark, tmp_path, make, schema)
+    feed(spark, tmp_path, [(1, at(0, 2)), (3, at(2, 0))], schema)  # the first row comes a day too late
+    run(spark, tmp_path, make, schema)
+    feed(spark, tmp_path, [(3, at(3, 0))], schema)
+    assert run(spark, tmp_path, make, schema) == [(1, 2), (1, 2), (2, 1), (3, 1)]
