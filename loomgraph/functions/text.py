@@ -176,6 +176,11 @@ def fingerprint(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def _texts(g: Graph) -> DataFrame:
+    """doc_id and text of all documents; a null text is an empty one."""
+    return g.table("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
 @query("f01_normalize_entity_name", "SELECT s_name || ['', ', Inc.', ' Company', ',LLP', ' GmbH', ' L.L.C.', ' LLO', ' n.v.', ' Costello', ' Inc LLC'][1 + s_suppkey % 10] AS n, lower(s_name) || ['', '', ' company', '', '', '', '', '', ' costello', ' inc'][1 + s_suppkey % 10] AS name FROM supplier")
 def _(g: Graph) -> DataFrame:
     endings = ("", ", Inc.", " Company", ",LLP", " GmbH", " L.L.C.", " LLO", " n.v.", " Costello", " Inc LLC")
@@ -251,14 +256,14 @@ def _(g: Graph) -> DataFrame:
     return close_strings(g.table("part").select(F.col("p_brand").alias("t")).distinct(), "t", 1)
 
 
-@query("f19_pii_density", "SELECT doc_id, (" + " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in PII_PATTERNS) + ")::INT AS n_pii FROM documents WHERE text IS NOT NULL")
+@query("f19_pii_density", "SELECT doc_id, (" + " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in PII_PATTERNS) + ")::INT AS n_pii FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def _(g: Graph) -> DataFrame:
-    return g.table("documents").filter("text IS NOT NULL").select("doc_id", pii_count(F.col("text")).alias("n_pii"))
+    return _texts(g).select("doc_id", pii_count(F.col("text")).alias("n_pii"))
 
 
-@query("f20_privileged_line", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: starts_with(regexp_replace(trim(lower(replace(l, '&', 'and'))), '\\s+', ' ', 'g'), 'the and'))) > 0 AS privileged FROM documents WHERE text IS NOT NULL")
+@query("f20_privileged_line", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: starts_with(regexp_replace(trim(lower(replace(l, '&', 'and'))), '\\s+', ' ', 'g'), 'the and'))) > 0 AS privileged FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def _(g: Graph) -> DataFrame:
-    docs = g.table("documents").filter("text IS NOT NULL")
+    docs = _texts(g)
     return docs.select("doc_id", privileged_line(F.col("text"), ("the and",)).alias("privileged"))
 
 
@@ -267,9 +272,9 @@ def _(g: Graph) -> DataFrame:
     return g.messages.select("message_id", external(F.col("sender"), ["inside.example"]).alias("is_external"))
 
 
-@query("f23_redaction", f"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '{PII_PATTERNS[0]}', '[EMAIL]', 'g'), '\\bCLM-\\d+\\b', '[CLAIM]', 'g'), '{PII_PATTERNS[1]}', '[PHONE]', 'g')) AS digest FROM documents WHERE text IS NOT NULL")
+@query("f23_redaction", f"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '{PII_PATTERNS[0]}', '[EMAIL]', 'g'), '\\bCLM-\\d+\\b', '[CLAIM]', 'g'), '{PII_PATTERNS[1]}', '[PHONE]', 'g')) AS digest FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def _(g: Graph) -> DataFrame:
-    docs = g.table("documents").filter("text IS NOT NULL")
+    docs = _texts(g)
     return docs.select("doc_id", F.md5(redact(F.col("text")).cast("binary")).alias("digest"))
 
 
@@ -283,9 +288,9 @@ def _(g: Graph) -> DataFrame:
     return g.messages.select("message_id", without_quotes(F.concat("body", F.lit("\n> old\nnew\n-- \nsignature"))).alias("fresh"))
 
 
-@query("f26_stance", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(^|[^\\pL\\pN_])(" + "|".join(CONTRADICT_CUES) + ")($|[^\\pL\\pN_])') THEN 'contradict' WHEN regexp_matches(lower(text), '(^|[^\\pL\\pN_])(" + "|".join(AFFIRM_CUES) + ")($|[^\\pL\\pN_])') THEN 'affirm' ELSE 'neutral' END AS stance FROM documents WHERE text IS NOT NULL")
+@query("f26_stance", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(^|[^\\pL\\pN_])(" + "|".join(CONTRADICT_CUES) + ")($|[^\\pL\\pN_])') THEN 'contradict' WHEN regexp_matches(lower(text), '(^|[^\\pL\\pN_])(" + "|".join(AFFIRM_CUES) + ")($|[^\\pL\\pN_])') THEN 'affirm' ELSE 'neutral' END AS stance FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def _(g: Graph) -> DataFrame:
-    return g.table("documents").filter("text IS NOT NULL").select("doc_id", stance(F.col("text")).alias("stance"))
+    return _texts(g).select("doc_id", stance(F.col("text")).alias("stance"))
 
 
 @query("f27_value_change", "SELECT claim_id, CASE WHEN prior IS NULL THEN 'ambiguous' WHEN prior = object THEN 'same' WHEN contains(object, prior) OR contains(prior, object) THEN 'refinement' ELSE 'contradiction' END AS change FROM (SELECT claim_id, object, lag(object) OVER (PARTITION BY subject ORDER BY created_on, claim_id) AS prior FROM claims)")
@@ -301,20 +306,20 @@ def _(g: Graph) -> DataFrame:
     return g.messages.select("message_id", kind.alias("kind"))
 
 
-@query("f29_keywords", "SELECT doc_id, word, n FROM (SELECT doc_id, word, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, word) AS r FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents WHERE text IS NOT NULL) WHERE word NOT IN ('the', 'and') GROUP BY 1, 2) WHERE r <= 5")
+@query("f29_keywords", "SELECT doc_id, word, n FROM (SELECT doc_id, word, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, word) AS r FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)) WHERE word NOT IN ('the', 'and') GROUP BY 1, 2) WHERE r <= 5")
 def _(g: Graph) -> DataFrame:
-    docs = g.table("documents").filter("text IS NOT NULL")
+    docs = _texts(g)
     return keywords(docs, "doc_id", "text", 5, ("the", "and")).select("doc_id", "word", "n")
 
 
-@query("f32_token_estimate", "SELECT doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens FROM documents WHERE text IS NOT NULL")
+@query("f32_token_estimate", "SELECT doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def _(g: Graph) -> DataFrame:
-    return g.table("documents").filter("text IS NOT NULL").select("doc_id", token_estimate(F.col("text")).alias("tokens"))
+    return _texts(g).select("doc_id", token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("f33_function_word_share", "SELECT doc_id, word, round(n / t, 6) AS share FROM (SELECT doc_id, word, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS t FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2) WHERE word IN ('the', 'of', 'and', 'to', 'in')")
+@query("f33_function_word_share", "SELECT doc_id, word, round(n / t, 6) AS share FROM (SELECT doc_id, word, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS t FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)) GROUP BY 1, 2) WHERE word IN ('the', 'of', 'and', 'to', 'in')")
 def _(g: Graph) -> DataFrame:
-    words = g.table("documents").filter("text IS NOT NULL").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("w"))
+    words = _texts(g).select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0).alias("w"))
     listed = words.select("doc_id", F.size("w").alias("t"), F.explode(F.filter("w", lambda x: x.isin("the", "of", "and", "to", "in"))).alias("word"))
     return listed.groupBy("doc_id", "word", "t").agg(F.count("*").alias("n")).select("doc_id", "word", F.round(F.col("n") / F.col("t"), 6).alias("share"))
 
@@ -335,9 +340,9 @@ def _(g: Graph) -> DataFrame:
     return g.vertices.filter("entity_type <> 'order'").select("entity_id", text.alias("text"))
 
 
-@query("f40_snippet", "SELECT doc_id, CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '...' ELSE t END AS snippet FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)")
+@query("f40_snippet", "SELECT doc_id, CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '...' ELSE t END AS snippet FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))")
 def _(g: Graph) -> DataFrame:
-    return g.table("documents").filter("text IS NOT NULL").select("doc_id", snippet(F.col("text")).alias("snippet"))
+    return _texts(g).select("doc_id", snippet(F.col("text")).alias("snippet"))
 
 
 @query("f41_query_intents", "SELECT message_id, CASE WHEN n = '' THEN 'detail' ELSE n END AS intents FROM (SELECT message_id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(body), '\\b(most|best|largest)\\b') THEN 'superlative' END, CASE WHEN regexp_matches(lower(body), '\\b(when|date|year)\\b') THEN 'temporal' END, CASE WHEN contains(lower(body), 'the') THEN 'structure' END], lambda x: x IS NOT NULL), ',') AS n FROM messages)")
@@ -369,9 +374,9 @@ def _(g: Graph) -> DataFrame:
     return names.select("entity_type", F.col("entity_type").rlike("^[a-z][a-z0-9_]*$").alias("snake"), F.col("entity_type").rlike("^[A-Z][A-Za-z0-9]*$").alias("pascal"))
 
 
-@query("s12_first_words", "SELECT doc_id, array_to_string(list_slice(regexp_split_to_array(trim(text), '[ \\t\\n\\x0B\\f\\r]+'), 1, 500), ' ') AS opening FROM documents WHERE text IS NOT NULL")
+@query("s12_first_words", "SELECT doc_id, array_to_string(list_slice(regexp_split_to_array(trim(text), '[ \\t\\n\\x0B\\f\\r]+'), 1, 500), ' ') AS opening FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def _(g: Graph) -> DataFrame:
-    return g.table("documents").filter("text IS NOT NULL").select("doc_id", first_words(F.col("text"), 500).alias("opening"))
+    return _texts(g).select("doc_id", first_words(F.col("text"), 500).alias("opening"))
 
 
 def path_label(path: Column, labels: list[str], default: str = "other") -> Column:
@@ -462,21 +467,21 @@ def _(g: Graph) -> DataFrame:
     return g.samples.groupBy("metric").agg(F.round(sigma_strength(F.max("value"), F.avg("value"), F.stddev_pop("value")), 5).alias("strength"))
 
 
-@query("f22_chunk_tags", "SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') THEN '|pii|' ELSE '' END AS tags FROM documents WHERE text IS NOT NULL")
+@query("f22_chunk_tags", "SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') THEN '|pii|' ELSE '' END AS tags FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def _(g: Graph) -> DataFrame:
     tags = F.when(F.col("text").rlike(PII_PATTERNS[0]), "|pii|").otherwise("")
-    return g.table("documents").filter("text IS NOT NULL").select("doc_id", tags.alias("tags"))
+    return _texts(g).select("doc_id", tags.alias("tags"))
 
 
 @query(
     "f30_domain_scores",
-    """WITH v(domain, position, term) AS (VALUES ('d1', 1, 'the'), ('d1', 1, 'of the'), ('d2', 2, 'and'), ('d2', 2, 'tion')), w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents WHERE text IS NOT NULL),
-    s AS (SELECT doc_id, domain, position, 1 AS p FROM w JOIN v USING (term) UNION ALL SELECT doc_id, domain, position, 2 FROM documents, v WHERE text IS NOT NULL AND contains(term, ' ') AND contains(lower(text), term)),
+    """WITH v(domain, position, term) AS (VALUES ('d1', 1, 'the'), ('d1', 1, 'of the'), ('d2', 2, 'and'), ('d2', 2, 'tion')), w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+    s AS (SELECT doc_id, domain, position, 1 AS p FROM w JOIN v USING (term) UNION ALL SELECT doc_id, domain, position, 2 FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents), v WHERE contains(term, ' ') AND contains(lower(text), term)),
     t AS (SELECT doc_id, domain, sum(p)::BIGINT AS score, row_number() OVER (PARTITION BY doc_id ORDER BY sum(p) DESC, min(position)) AS r FROM s GROUP BY 1, 2) SELECT doc_id, domain, score FROM t WHERE r = 1""",
 )
 def _(g: Graph) -> DataFrame:
     vocabulary = g.spark.createDataFrame([("d1", 1, "the"), ("d1", 1, "of the"), ("d2", 2, "and"), ("d2", 2, "tion")], "domain string, position int, term string")
-    return domain_scores(g.table("documents").filter("text IS NOT NULL"), "doc_id", "text", vocabulary)
+    return domain_scores(_texts(g), "doc_id", "text", vocabulary)
 
 
 @query("f31_path_label", "SELECT page_id, CASE WHEN contains(url, '/en/') THEN 'en' WHEN contains(url, '/fr/') THEN 'fr' ELSE 'other' END AS label FROM pages")

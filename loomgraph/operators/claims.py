@@ -15,6 +15,7 @@ from loomgraph.plans.registry import query
 from loomgraph.session import durable
 
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+HEADING = re.compile(r"#{1,6}[ \t]+(\S.*?)\s*$")
 
 
 def overlapping_claims(claims: DataFrame, days: int) -> DataFrame:
@@ -133,8 +134,37 @@ def token_estimate(n_chars: int) -> int:
     return n_chars // 4
 
 
-def gather_chunks(text: str, cap: int, least: int = 100) -> list[list[tuple[int, int]]]:
-    """Chunks as lists of spans that are joined by an empty line.
+def paragraphs_of(text: str, first: int, last: int) -> list[tuple[int, int]]:
+    """Spans of what lies between empty lines in text[first:last], stripped."""
+    found, at = [], first
+    for part in text[first:last].split("\n\n"):
+        if part.strip():
+            start = at + len(part) - len(part.lstrip())
+            found.append((start, start + len(part.strip())))
+        at += len(part) + 2
+    return found
+
+
+def structure(text: str) -> list[tuple[str | None, str, int, int]]:
+    """(section, kind, start, end) of the stretches of a text whose tables are lines that begin with a bar and whose headings are
+    lines of one to six number signs and a title: kind ``table``, or ``text`` for what lies between tables and headings, which hold no text of it."""
+    found: list[tuple[str | None, str, int, int]] = []
+    section, kind, start, at = None, "text", 0, 0
+    for line in text.splitlines(keepends=True):
+        heading = HEADING.match(line)
+        now = "heading" if heading else "table" if line.lstrip().startswith("|") else "text"
+        if now != kind or heading:
+            found.append((section, kind, start, at))
+            kind, start = now, at
+        if heading:
+            section = heading[1]
+        at += len(line)
+    found.append((section, kind, start, at))
+    return [x for x in found if x[1] != "heading" and text[x[2] : x[3]].strip()]
+
+
+def gather_chunks(text: str, cap: int, least: int = 100, first: int = 0, last: int | None = None) -> list[list[tuple[int, int]]]:
+    """Chunks of text[first:last] as lists of spans that are joined by an empty line.
 
     Paragraphs (between empty lines, stripped) are gathered up to ``cap`` tokens; a longer one is cut at sentences, never
     within one; a chunk under ``least`` tokens joins its neighbour where the two fit under the cap.
@@ -162,14 +192,8 @@ def gather_chunks(text: str, cap: int, least: int = 100) -> list[list[tuple[int,
                 pieces.append([(x, y)])
         return pieces
 
-    paragraphs, at = [], 0
-    for part in text.split("\n\n"):
-        if part.strip():
-            start = at + len(part) - len(part.lstrip())
-            paragraphs.append((start, start + len(part.strip())))
-        at += len(part) + 2
     chunks: list[list[tuple[int, int]]] = []
-    for group in gather(paragraphs):
+    for group in gather(paragraphs_of(text, first, len(text) if last is None else last)):
         for piece in sentences(*group[0]) if tokens(group) > cap else [group]:
             small = chunks and min(tokens(chunks[-1]), tokens(piece)) < least
             if small and tokens([*chunks[-1], *piece]) <= cap:
@@ -235,6 +259,51 @@ def disposed(claims: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows.drop("d", "__action", "__new")
 
 
+def structured_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", token_cap: int = 1000, overlap_tokens: int = 50) -> DataFrame:
+    """Chunks of whole texts with headings and tables (see ``structure``): a table is one chunk whatever its size, text is gathered as in
+    ``token_chunks`` but never across a table or a heading, and small chunks join only within that.
+
+    ``section`` is the heading above, null before the first. ``start`` and ``end`` are a chunk's own place; text opens with the end of the chunk before
+    (``overlap_chars``), a table and what follows one do not. Null and blank texts have no chunks.
+    """
+    cap, overlap = int(token_cap * 0.8), overlap_tokens * 4
+
+    def pieces(body: str) -> Iterator[tuple]:
+        for section, kind, first, last in structure(body):
+            if kind == "table":
+                inner = body[first:last]
+                start = first + len(inner) - len(inner.lstrip())
+                yield section, kind, [(start, start + len(inner.strip()))]
+            else:
+                for spans in gather_chunks(body, cap, first=first, last=last):
+                    yield section, kind, spans
+
+    def rows_of(document: int, body: str) -> Iterator[tuple]:
+        before, kind_before = "", "table"
+        for k, (section, kind, spans) in enumerate(pieces(body)):
+            own = "\n\n".join(body[a:b] for a, b in spans)
+            opened = before[-overlap:] if overlap and kind == kind_before == "text" else ""
+            yield document, k, section, kind, spans[0][0], spans[-1][1], opened + own, len(opened), token_estimate(len(opened + own))
+            before, kind_before = own, kind
+
+    def chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [key, "chunk", "section", "kind", "start", "end", "chunk_text", "overlap_chars", "n_tokens"]
+        for frame in frames:
+            yield pd.DataFrame([row for d, t in zip(frame.key, frame.body) for row in rows_of(d, t)], columns=names)
+
+    given = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    return given.mapInPandas(chunk, f"{key} long, chunk int, section string, kind string, start int, end int, chunk_text string, overlap_chars int, n_tokens int")
+
+
+def marked_text(html: Column) -> Column:
+    """A page as text with a number sign before headings, bars before table rows, and empty lines between blocks; scripts and styles go."""
+    body = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+    body = F.regexp_replace(body, r"\s+", " ")
+    for pattern, mark in ((r"(?i)<h[1-6]\b[^>]*>", "\n\n# "), (r"(?i)<tr\b[^>]*>", "\n| "), (r"(?i)</t[dh]>", " | "), (r"(?i)</?(h[1-6]|p|div|li|ul|ol|table|section|article|header|footer|nav|aside|title)\b[^>]*>", "\n\n"), (r"<[^>]*>", "")):
+        body = F.regexp_replace(body, pattern, mark)
+    return F.trim(F.regexp_replace(F.regexp_replace(body, r" *\n *", "\n"), r"\n{3,}", "\n\n"))
+
+
 @query("a41_claim_merge", "SELECT subject, predicate, object, count(*) AS n, max(confidence) AS confidence, min(created_on) AS first_seen, count(DISTINCT document_id) AS documents FROM claims GROUP BY 1, 2, 3")
 def _(g: Graph) -> DataFrame:
     return merge_claims(g.claims)
@@ -250,6 +319,12 @@ def _(g: Graph) -> DataFrame:
     return token_chunks(g.table("documents"))
 
 
+@query("c01_structured_chunks")
+def _(g: Graph) -> DataFrame:
+    pages = g.table("pages").select("page_id", marked_text(F.col("html")).alias("body"))
+    return structured_chunks(pages, "page_id", "body", 200, 20)
+
+
 @query(
     "c20_human_override",
     """WITH d AS (SELECT DISTINCT claim_id, unit % 5 AS a FROM claims WHERE unit % 4 = 0)

@@ -24,6 +24,7 @@ MODULES = (
     "loomgraph.operators.claims",
     "loomgraph.operators.signals",
     "loomgraph.operators.directives",
+    "loomgraph.operators.calibration",
     "loomgraph.operators.security",
     "loomgraph.operators.ontology",
     "loomgraph.operators.commands",
