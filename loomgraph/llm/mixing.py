@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import WORD, boxed, table, unboxed
+from loomgraph.operators.ordered import global_row_number
 from loomgraph.session import durable
 
 #: Weights dealt to the sources in order of their names, repeating.
@@ -61,26 +62,27 @@ def with_sampling_key(docs: DataFrame) -> DataFrame:
 def source_targets(keyed: DataFrame) -> DataFrame:
     """One row per source: ``source_size``, ``n_rows`` and ``target``, by water filling.
 
-    With sources ordered by cap over weight, the capped ones are a prefix, so the common level
-    is found with two running sums instead of rounds of resharing.
+    The level rises in rounds: sources that it fills to their cap give the rest of their share to the others, until no more are filled. A round is one
+    aggregate over the sources, and few are needed, as a round fills all sources under its level. Caps and weights are whole, so their sums do not
+    depend on order. However many sources there are, no task sees them all.
     """
     sources = keyed.groupBy("source").agg(F.sum("__size").alias("source_size"), F.count("*").alias("n_rows"))
     dealt = F.array(*map(F.lit, SOURCE_WEIGHTS))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sources.withColumn("__rank", F.row_number().over(by_name))
-    weighted = ranked.withColumn(
-        "__weight", F.element_at(dealt, (F.pmod(F.col("__rank") - 1, F.lit(len(SOURCE_WEIGHTS))) + 1).cast("int"))
-    ).withColumn("__cap", MAX_EPOCHS * F.col("source_size"))
-    by_fill = Window.orderBy(F.col("__cap") / F.col("__weight"), "__rank")
-    everything = by_fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    budget = TOTAL_SHARE * F.sum("source_size").over(everything)
-    spent = F.coalesce(F.sum("__cap").over(by_fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    sharing = F.sum("__weight").over(by_fill.rowsBetween(0, Window.unboundedFollowing))
-    level = weighted.withColumn("__level", (budget - spent) / sharing)
-    open_level = F.when(F.col("__cap") / F.col("__weight") > F.col("__level"), F.col("__level"))
-    leveled = level.withColumn("__common", F.max(open_level).over(everything))
-    target = F.least("__cap", F.coalesce(F.col("__common") * F.col("__weight"), F.col("__cap")))
-    return leveled.select("source", "source_size", "n_rows", target.alias("target"))
+    weight = F.element_at(dealt, (F.pmod(F.col("row_number") - 1, F.lit(len(SOURCE_WEIGHTS))) + 1).cast("int"))
+    ranked = global_row_number(sources, F.col("source").asc_nulls_last()).withColumns({"__weight": weight, "__cap": MAX_EPOCHS * F.col("source_size")})
+    ranked = durable(ranked, "mix-sources")
+    budget = TOTAL_SHARE * (ranked.agg(F.sum("source_size")).first()[0] or 0)
+    level, n_filled = -1.0, -1
+    while True:
+        filled = F.col("__cap") <= F.col("__weight") * level
+        spent, sharing, n = ranked.agg(
+            F.coalesce(F.sum(F.when(filled, F.col("__cap"))), F.lit(0.0)), F.sum(F.when(~filled, F.col("__weight"))), F.count_if(filled)
+        ).first()
+        if n == n_filled or not sharing:
+            break
+        level, n_filled = (budget - spent) / sharing, n
+    target = F.least("__cap", F.col("__weight") * level)
+    return ranked.select("source", "source_size", "n_rows", target.alias("target"))
 
 
 def source_thresholds(keyed: DataFrame) -> DataFrame:
