@@ -310,8 +310,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     given = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("row_key"))
     good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("good_id")).distinct().withColumn("target", F.lit(True))
     # labels grow with the documents, so both sides are shuffled at every size; the written table gives both passes equal blocks
-    joined = given.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
-    marked = durable(joined.select("doc_id", "row_key", "text", F.coalesce("target", F.lit(False)).alias("target")), "lm-corpus")
+    # rows without an id are dealt by their text, as they meet none
+    joined = given.join(good.hint("merge"), F.coalesce("doc_id", "row_key") == F.col("good_id"), "left")
+    target = F.col("doc_id").isNotNull() & F.coalesce("target", F.lit(False))
+    marked = durable(joined.select("doc_id", "row_key", "text", target.alias("target")), "lm-corpus")
     counts = corpus_counts(marked, bits, partitions)
     if not counts.tokens.all():
         n_tokens = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
