@@ -16,22 +16,29 @@ from loomgraph.session import shared_path
 
 
 def read_stream(g: Graph, table: str) -> DataFrame:
-    """A file stream over a table's Parquet files."""
-    return g.spark.readStream.schema(g.table(table).schema).option("pathGlobFilter", f"{table}.parquet").parquet(g.sf_dir)
+    """A file stream over a table's Parquet files, whether the table is one file or a folder of them."""
+    path = g.spark._jvm.org.apache.hadoop.fs.Path(f"{g.sf_dir}/{table}.parquet")
+    stream = g.spark.readStream.schema(g.table(table).schema)
+    if path.getFileSystem(g.spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return stream.parquet(f"{g.sf_dir}/{table}.parquet")
+    return stream.option("pathGlobFilter", f"{table}.parquet").parquet(g.sf_dir)
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs the stream to the end of what is there, writing each micro-batch once, and reads it back."""
     spark = stream.sparkSession
     out, checkpoint = shared_path(spark, "stream"), shared_path(spark, "stream-checkpoint")
+    epochs = []
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # a repeated epoch replaces itself
+        epochs.append(epoch)
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     writer.foreachBatch(write).start().awaitTermination()
-    found = spark.read.schema(stream.schema).parquet(out + "/epoch=*")
-    return found
+    if not epochs:  # nothing there to stream
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(out + "/epoch=*")
 
 
 def deduplicate(messages: DataFrame, key: str, at: str, delay: str = "1 hour") -> DataFrame:

@@ -155,3 +155,16 @@ def test_sessions_close_behind_the_watermark_and_late_rows_are_left_out(spark, t
     run(spark, tmp_path, make, schema)
     feed(spark, tmp_path, [(3, at(3, 0))], schema)
     assert run(spark, tmp_path, make, schema) == [(1, 2), (1, 2), (2, 1), (3, 1)]
+
+
+def test_tables_in_folders_stream_like_single_files(spark, small_dir, tmp_path):
+    from loomgraph.plans.model import Graph
+    from loomgraph.streaming.pipelines import drain, read_stream
+
+    spark.read.parquet(f"{small_dir}/conversations.parquet").repartition(3).write.parquet(f"file://{tmp_path}/conversations.parquet")
+    whole = spark.read.parquet(f"{small_dir}/conversations.parquet")
+    for folder in (small_dir, str(tmp_path)):
+        g = Graph(spark, folder)
+        assert drain(read_stream(g, "conversations").select("conv_id", "turn")).exceptAll(whole.select("conv_id", "turn")).isEmpty()
+        assert drain(read_stream(g, "conversations").select("conv_id")).count() == whole.count()
+        assert drain(stateful.retriage(stateful._verdicts(g), 3650 * 86400, "3650 days")).select("message_id").distinct().count() == whole.count()
