@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import pii_count
+from loomgraph.functions.text import ascii_edges, pii_count
 from loomgraph.plans.model import Graph
 from loomgraph.plans.registry import query
 from loomgraph.session import shared_path
@@ -52,7 +52,7 @@ def triage(body: Column, sender: Column) -> Column:
     return F.coalesce(
         F.when(F.length(F.trim(body)) == 0, "filtered_empty"),
         F.when(sender.startswith("system"), "filtered_system"),
-        F.when(low.rlike(r"\bunsubscribe\b|\bnewsletter\b"), "filtered_bulk"),
+        F.when(low.rlike(ascii_edges(r"\bunsubscribe\b|\bnewsletter\b")), "filtered_bulk"),
         F.when(F.length(body) < 40, "filtered_short"),
         F.when(pii_count(body) > 0, "review_pii"),
         F.lit("passed"),

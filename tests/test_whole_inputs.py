@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomgraph.operators import retrieval
 from loomgraph.plans import registry
@@ -32,3 +34,15 @@ def test_semantic_top_k_takes_more_queries_than_a_block(spark):
     want = {(q, int(v)) for q in range(130) for v in np.lexsort((np.arange(130), -sims[q]))[:3] if sims[q, v] > 0}
     rows = retrieval.semantic_top_k(queries, vectors, "vec_id", 3, max_queries=40).collect()
     assert len(rows) == len(want) and {(r.query_id, r.vec_id) for r in rows} == want
+
+
+def test_word_edges_are_those_of_the_sql(spark):
+    from loomgraph.functions.text import PII_PATTERNS, ascii_edges, stance
+
+    texts = ["der bestä er", "übest und", "the best.", "the_best", "besten", "best", "äyesß", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [r[0] for r in rows.select(F.col("t").rlike(ascii_edges(r"\b(most|best|largest)\b"))).collect()]
+    assert found == [duckdb.execute(r"SELECT regexp_matches(?, '\b(most|best|largest)\b')", [t]).fetchone()[0] for t in texts] == [True, True, True, False, False, True, False, False]
+    assert rows.filter(F.col("t") == texts[6]).select(stance(F.col("t"))).first()[0] == "affirm"
+    for pattern in PII_PATTERNS[1:]:
+        assert ascii_edges(pattern).startswith("(?<!") and ascii_edges(pattern).endswith("_])")
