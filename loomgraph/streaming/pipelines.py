@@ -154,11 +154,11 @@ def _(g: Graph) -> DataFrame:
     FROM (SELECT a.vec_id, a.embedding::DOUBLE[] AS e, b.embedding::DOUBLE[] AS t FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) GROUP BY 1""",
 )
 def _(g: Graph) -> DataFrame:
-    from loomgraph.operators.resolution import nearest_centroid
+    from loomgraph.operators.resolution import greatest_similarity
 
     e = g.table("embeddings")
     ontology = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("term"), F.col("embedding").alias("vector"))
-    scored = nearest_centroid(e, "vec_id", "embedding", ontology, "term")
+    scored = greatest_similarity(e, "vec_id", "embedding", ontology, "term")
     return scored.select("vec_id", F.when(F.col("similarity") < 0.3, "filtered_semantic").otherwise("passed").alias("outcome"))
 
 
