@@ -12,6 +12,10 @@ from loomgraph.plans.registry import query
 from loomgraph.session import durable
 
 
+#: Rows, about, that one task sorts to number them.
+ROWS_IN_RANGE = 1 << 20
+
+
 def keep_newest(df: DataFrame, keys: list[str], n: int, *order) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__r") <= n).drop("__r")
 
@@ -91,12 +95,12 @@ def global_row_number(df: DataFrame, *order) -> DataFrame:
 
 def running_within(df: DataFrame, keys: list[str], order: list, value: Column | None = None) -> DataFrame:
     """Per key in the given order ``row_number``, ``dense_rank``, ``n`` (rows of the key) and ``before`` (sum of ``value`` over the rows before; null
-    values add nothing), whatever the size of a key: ranges of all rows are counted on their own and shifted by those before them."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values add nothing), whatever the size of a key: ranges of all rows, about ROWS_IN_RANGE each, are counted on their own and shifted by those before them."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_IN_RANGE))
     valued = df.withColumn("__v", F.coalesce(value, F.lit(0)) if value is not None else F.lit(0))
     ranged = durable(valued.repartitionByRange(n, *keys, *order).withColumn("__range", F.spark_partition_id()), "ranges")
     local = Window.partitionBy("__range", *keys).orderBy(*order)
-    ranked = ranged.withColumns({"__d": F.dense_rank().over(local), "__r": F.row_number().over(local), "__b": F.coalesce(F.sum("__v").over(local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    ranked = ranged.repartition(n, "__range", *keys).withColumns({"__d": F.dense_rank().over(local), "__r": F.row_number().over(local), "__b": F.coalesce(F.sum("__v").over(local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     # equal places of the order share a range, so distinct ones add up
     sizes = ranked.groupBy("__range", *keys).agg(F.count("*").alias("__n"), F.max("__d").alias("__nd"), F.sum("__v").alias("__s"))
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -130,8 +134,8 @@ def _(g: Graph) -> DataFrame:
 
 @query("w03_rank_per_strategy", "SELECT predicate, claim_id, row_number() OVER (PARTITION BY predicate ORDER BY confidence DESC, claim_id)::INT AS rank FROM claims")
 def _(g: Graph) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("predicate").orderBy(F.desc("confidence"), "claim_id"))
-    return g.claims.select("predicate", "claim_id", rank.alias("rank"))
+    placed = running_within(g.claims.select("predicate", "claim_id", "confidence"), ["predicate"], [F.desc("confidence"), F.col("claim_id")])
+    return placed.select("predicate", "claim_id", F.col("row_number").cast("int").alias("rank"))
 
 
 @query("w04_thread_position", "SELECT message_id, (row_number() OVER (PARTITION BY thread ORDER BY sent_s NULLS LAST, message_id) - 1)::INT AS position FROM messages")
