@@ -70,6 +70,8 @@ def share_capped_top(df: DataFrame, keys: list[str], capped: Column, k: int, sha
 
     cap = math.ceil(k * share)
     ranked = df.withColumn("__capped", capped).withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "__capped").orderBy(*order)))
+    # none after the first k of its kind is among the best k, so tasks keep k of each before anything is shuffled
+    ranked = ranked.filter(F.col("__n") <= k)
     late = F.when(F.col("__capped") & (F.col("__n") > cap), 1).otherwise(0)
     chosen = ranked.withColumn("__late", late)
     r = F.row_number().over(Window.partitionBy(*keys).orderBy("__late", *order))
