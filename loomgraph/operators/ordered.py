@@ -291,12 +291,14 @@ def _(g: Graph) -> DataFrame:
 
 @query("u04_scope_intersection", "SELECT module FROM claims WHERE confidence > 0.5 INTERSECT SELECT module FROM claims WHERE predicate = 'made_by'")
 def _(g: Graph) -> DataFrame:
-    return g.claims.filter("confidence > 0.5").select("module").intersect(g.claims.filter("predicate = 'made_by'").select("module"))
+    # distinct on both sides first, so that tasks send each value once
+    of = lambda c: g.claims.filter(c).select("module").distinct()
+    return of("confidence > 0.5").intersect(of("predicate = 'made_by'"))
 
 
 @query("u05_forbidden_vocabulary", "SELECT DISTINCT module FROM vertices EXCEPT SELECT module FROM vertices WHERE entity_type = 'part'")
 def _(g: Graph) -> DataFrame:
-    return g.vertices.select("module").distinct().subtract(g.vertices.filter("entity_type = 'part'").select("module"))
+    return g.vertices.select("module").distinct().subtract(g.vertices.filter("entity_type = 'part'").select("module").distinct())
 
 
 @query("u06_text_dedup_minus_existing", "SELECT md5(lower(trim(body))) AS h, min(message_id) AS message_id FROM messages WHERE md5(lower(trim(body))) NOT IN (SELECT md5(lower(trim(text))) FROM benchmark WHERE text IS NOT NULL) GROUP BY 1")
@@ -315,5 +317,5 @@ def _(g: Graph) -> DataFrame:
 
 @query("u09_intersect_except", "SELECT subject FROM claims WHERE verdict = 'SUPPORTED' INTERSECT SELECT subject FROM claims WHERE verdict = 'REFUTED' EXCEPT SELECT subject FROM claims WHERE amount > 49")
 def _(g: Graph) -> DataFrame:
-    of = lambda c: g.claims.filter(c).select("subject")
+    of = lambda c: g.claims.filter(c).select("subject").distinct()
     return of("verdict = 'SUPPORTED'").intersect(of("verdict = 'REFUTED'")).subtract(of("amount > 49"))
