@@ -1,8 +1,8 @@
 """Near copies of whole documents: word shingles with a Jaccard similarity from SIMILARITY on.
 
-The fingerprints of operator 5 do not serve here: at a Jaccard similarity of 0.8 about ten of their 64 bits differ,
-and parts short enough to find that far meet nearly everything. Candidates meet by minima of hashed
-shingles instead (BANDS keys of ROWS minima: a pair at 0.8 meets with probability 0.998, a closer one
+Candidates meet by SimHash fingerprints of their shingles first, linked by operator 5's generalised pigeonhole. These find the close ones:
+at a Jaccard similarity of 0.8 about ten of the 64 bits differ, and parts short enough to find that far meet nearly everything.
+The rest of the candidates meet by minima of hashed shingles (BANDS keys of ROWS minima: a pair at 0.8 meets with probability 0.998, a closer one
 sooner), and every link is verified by the exact similarity of the two sets of shingles. Before that, pairs that
 cannot reach it fall out by sizes and by bitmaps that hold the parity of shingles hashed to each bit: two
 bitmaps differ in no more bits than the sets differ in shingles, so no link is lost.
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import boxed, chunks, texts_of, unboxed
-from loomgraph.llm.simhash import HASH_SEED, LOWER, NO_ID
+from loomgraph.llm.simhash import HASH_SEED, LOWER, NO_ID, choose_parts, fingerprint_links, fingerprint_of
 from loomgraph.operators.components import connected_components, hot_join
 from loomgraph.session import durable
 
@@ -90,7 +90,7 @@ def may_link(n: Column, bits: Column, other_n: Column, other_bits: Column, simil
 
 def sketch(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
-        ids, sizes, maps, keys = [], [], [], []
+        ids, sizes, maps, keys, prints = [], [], [], [], []
         for text in texts_of(batch.column("text")):
             words = text.translate(LOWER).split()
             joined = b" ".join(words)
@@ -99,8 +99,9 @@ def sketch(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Recor
             sizes.append(len(hashes))
             maps.append(bitmap(hashes))
             keys.append(bands(hashes))
-        columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(maps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "id", "n", "bits", "bands"])
+            prints.append(fingerprint_of(hashes) if len(hashes) else 0)
+        columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(maps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "id", "n", "bits", "bands", "fp"])
 
 
 @cache
@@ -152,19 +153,29 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int
     return durable(met.mapInArrow(partial(compare, similarity=similarity), "u long, v long"), "near-links")
 
 
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """Candidates ``rep, id`` by the classes' SimHash fingerprints (``fp``): every class with the least of its fingerprint, and the least ones of linked fingerprints."""
+    prints = durable(classes.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "near-prints")
+    links = fingerprint_links(prints, choose_parts(prints))
+    own = hot_join(classes.select("id", "fp"), prints, "fp", classes.count()).filter("id <> rep").select("rep", "id")
+    least = prints.select("fp", "rep")
+    met = links.join(least.toDF("u", "rep"), "u").join(least.toDF("v", "id"), "v").select("rep", "id")
+    return own.union(met)
+
+
 def near_copy_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Per row of ``docs``: doc_id, ``text_hash``, and ``root``, the least class of its component."""
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    schema = "doc_id long, text_hash long, id long, n int, bits array<long>, bands array<long>"
+    schema = "doc_id long, text_hash long, id long, n int, bits array<long>, bands array<long>, fp long"
     sketched = durable(given.mapInArrow(partial(sketch, shingle=shingle), schema), "near-sketch")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
-    classes = durable(sketched.groupBy("id").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "near-classes")
+    classes = durable(sketched.groupBy("id").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "near-classes")
     index = classes.select("id", F.explode("bands").alias("band"))
     least = index.groupBy("band").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("n")).filter("rep <> last").drop("last")
     met = durable(hot_join(index, least, "band", BANDS * classes.count()), "near-met")
     sized = classes.select("id", "n", "bits")
     reps = sized.select(F.col("id").alias("rep"), F.col("n").alias("rep_n"), F.col("bits").alias("rep_bits"))
-    stars = durable(met.filter("id <> rep").select("rep", "id").distinct(), "near-stars")
+    stars = durable(met.filter("id <> rep").select("rep", "id").union(fingerprint_pairs(classes)).distinct(), "near-stars")
     reps = reps.join(stars.groupBy("rep").agg(F.count("*").alias("n")), "rep")
     stars = hot_join(stars, reps, "rep", stars.count()).join(sized, "id")
     stars = stars.filter(may_link(F.col("n"), F.col("bits"), F.col("rep_n"), F.col("rep_bits"), similarity))

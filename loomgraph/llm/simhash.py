@@ -55,7 +55,11 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())
-    hashes = np.array([digest(joined[a:b], HASH_SEED) for a, b in spans], np.uint64)
+    return fingerprint_of(np.array([digest(joined[a:b], HASH_SEED) for a, b in spans], np.uint64))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as a signed 64-bit number."""
     ones = np.zeros(BITS, np.int64)
     for first in range(0, len(hashes), HASHES_AT_ONCE):
         some = hashes[first : first + HASHES_AT_ONCE].astype(">u8").view(np.uint8).reshape(-1, 8)

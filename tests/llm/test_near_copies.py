@@ -57,3 +57,15 @@ def test_bitmaps_never_differ_in_more_bits_than_the_sets_in_shingles():
             assert len(x) == near_copies.BITMAP_WORDS
             differ = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
             assert differ <= len(np.setxor1d(a, b))
+
+
+def test_fingerprints_name_close_candidates(spark):
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "end"]), " ".join(f"v{k}" for k in range(300)), " ".join(words).upper(), ""]
+    schema = "doc_id long, text_hash long, id long, n int, bits array<long>, bands array<long>, fp long"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) as text_hash")
+    rows = docs.mapInArrow(lambda b: near_copies.sketch(b, 5), schema).collect()
+    ids = {r.doc_id: r.id for r in rows}
+    classes = spark.createDataFrame(rows, schema).dropDuplicates(["id"])
+    assert ids[0] == ids[3] and {r.doc_id: r.fp for r in rows}[4] == 0
+    assert {frozenset((r.rep, r.id)) for r in near_copies.fingerprint_pairs(classes).collect()} == {frozenset((ids[0], ids[1]))}
