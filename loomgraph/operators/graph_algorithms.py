@@ -102,14 +102,14 @@ def ppmi(mentions: DataFrame, group: str, name: str) -> DataFrame:
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """Communities by weighted label propagation with fixed tie-breaks (least label)."""
-    both = edges.select("a", "b", "n").union(edges.select("b", "a", "n"))
+    edges = durable(edges.select("a", "b", "n"), "links")  # read twice in every round
+    both = edges.union(edges.select("b", "a", "n"))
     labels = durable(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
     for _ in range(rounds):
         votes = both.join(labels, F.col("b") == F.col("node")).groupBy("a", "label").agg(F.sum("n").alias("w"))
         votes = votes.union(labels.select(F.col("node").alias("a"), "label", F.lit(1).cast("long")))
         votes = votes.groupBy("a", "label").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("a").agg(F.max(F.struct("w", F.lit(0).alias("z"))).alias("m")).select(F.col("a").alias("__a"), F.col("m.w").alias("__w"))
-        chosen = votes.join(best, (F.col("a") == F.col("__a")) & (F.col("w") == F.col("__w"))).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label"))
+        chosen = votes.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(-F.col("w"), "label"))["label"].alias("label"))
         chosen = durable(chosen, "labels")
         if chosen.join(labels, ["node", "label"], "left_anti").isEmpty():
             break
