@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +16,8 @@ from loomgraph.session import durable
 
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 HEADING = re.compile(r"#{1,6}[ \t]+(\S.*?)\s*$")
+#: Whole texts of a batch that goes to a Python worker, and characters of chunks, about, that it holds before it sends them on.
+TEXTS, HELD_CHARS = 1000, 1 << 21
 
 
 def overlapping_claims(claims: DataFrame, days: int) -> DataFrame:
@@ -127,7 +129,7 @@ def chunk_documents(docs: DataFrame, cap: int = 2000) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "chunk", "start", "end", "text"])
 
     given = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return given.mapInPandas(chunk, "doc_id long, chunk int, start int, end int, text string")
+    return chunk_rows(given, rows_of, "doc_id long, chunk int, start int, end int, text string")
 
 
 def token_estimate(n_chars: int) -> int:
@@ -203,6 +205,26 @@ def gather_chunks(text: str, cap: int, least: int = 100, first: int = 0, last: i
     return chunks
 
 
+def chunk_rows(texts: DataFrame, rows_of: Callable[[int, str], Iterator[tuple]], schema: str) -> DataFrame:
+    """The rows that ``rows_of`` gives for every key and text of ``texts`` (two columns), sent on whenever HELD_CHARS of text are held, however many or long the texts are."""
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS))
+    names = [column.split()[0] for column in schema.split(", ")]
+
+    def chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for frame in frames:
+            for key, text in zip(frame.iloc[:, 0], frame.iloc[:, 1]):
+                for row in rows_of(key, text):
+                    held.append(row)
+                    size += sum(len(x) for x in row if isinstance(x, str))
+                    if size >= HELD_CHARS:
+                        yield pd.DataFrame(held, columns=names)
+                        held, size = [], 0
+        yield pd.DataFrame(held, columns=names)
+
+    return texts.mapInPandas(chunk, schema)
+
+
 def token_chunks(docs: DataFrame, token_cap: int = 1000, overlap_tokens: int = 50) -> DataFrame:
     """Chunks of every whole text up to 0.8 of ``token_cap`` (four characters a token), each opened by the end of the one before.
 
@@ -219,13 +241,8 @@ def token_chunks(docs: DataFrame, token_cap: int = 1000, overlap_tokens: int = 5
             yield key, k, spans[0][0], spans[-1][1], opened + own, len(opened), token_estimate(len(opened + own))
             before = own
 
-    def chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "chunk", "start", "end", "chunk_text", "overlap_chars", "n_tokens"]
-        for frame in frames:
-            yield pd.DataFrame([row for d, t in zip(frame.doc_id, frame.text) for row in rows_of(d, t)], columns=names)
-
     given = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return given.mapInPandas(chunk, "doc_id long, chunk int, start int, end int, chunk_text string, overlap_chars int, n_tokens int")
+    return chunk_rows(given, rows_of, "doc_id long, chunk int, start int, end int, chunk_text string, overlap_chars int, n_tokens int")
 
 
 def disposed(claims: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -286,13 +303,8 @@ def structured_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text",
             yield document, k, section, kind, spans[0][0], spans[-1][1], opened + own, len(opened), token_estimate(len(opened + own))
             before, kind_before = own, kind
 
-    def chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [key, "chunk", "section", "kind", "start", "end", "chunk_text", "overlap_chars", "n_tokens"]
-        for frame in frames:
-            yield pd.DataFrame([row for d, t in zip(frame.key, frame.body) for row in rows_of(d, t)], columns=names)
-
     given = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
-    return given.mapInPandas(chunk, f"{key} long, chunk int, section string, kind string, start int, end int, chunk_text string, overlap_chars int, n_tokens int")
+    return chunk_rows(given, rows_of, f"{key} long, chunk int, section string, kind string, start int, end int, chunk_text string, overlap_chars int, n_tokens int")
 
 
 def marked_text(html: Column) -> Column:

@@ -268,6 +268,26 @@ def test_chunks_by_tokens():
     assert chunks("x" * 4000, 50) == ["x" * 4000]  # no sentence is cut
 
 
+def test_chunks_are_sent_on_before_a_batch_is_done(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"Text {k}. " + "words and more. " * 30) for k in range(40)], "doc_id int, text string").coalesce(1)
+    whole = sorted(map(tuple, claims.token_chunks(docs, 100, 5).collect()))
+    monkeypatch.setattr(claims, "HELD_CHARS", 1000)
+    sizes = []
+    text = docs.toPandas()
+
+    class Kept:
+        sparkSession = spark
+
+        def mapInPandas(self, chunk, schema):
+            sizes.extend(len("".join(x.chunk_text)) for x in chunk(iter([text])))
+            return docs
+
+    rows = lambda key, body: iter([(key, body)])
+    claims.chunk_rows(Kept(), rows, "doc_id long, chunk_text string")
+    assert len(sizes) > 10 and max(sizes) < 2000 and sum(sizes) == sum(map(len, text.text))
+    assert sorted(map(tuple, claims.token_chunks(docs, 100, 5).collect())) == whole and {r[0] for r in whole} == set(range(40))
+
+
 def test_token_chunks_repeat_the_end_of_the_chunk_before(spark):
     body = "\n\n".join(f"{k:03d}" + "x" * 500 for k in range(9))
     rows = claims.token_chunks(spark.createDataFrame([(1, body, "e"), (2, None, "e"), (3, "  ", "e")], "doc_id int, text string, chunk_text string"), 400, 20).orderBy("chunk").collect()
