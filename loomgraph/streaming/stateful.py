@@ -89,17 +89,19 @@ class ThreadTags(_Expiring):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         tags = {r[0] for r in self.tags.get()} if self.tags.exists() else set()
-        before, new = len(tags), []
-        last = self.last.get()[0] if self.last.exists() else 0
+        # each access to the state is a message to the JVM: a new thread has no messages to look up or to read back
+        known, before, new = self.last.exists(), len(tags), {}
+        last = self.last.get()[0] if known else 0
         for r in rows:
             last = max(last, int(r.at.timestamp() * 1000))
             tags.update(t for t in r.tags or () if t is not None)
-            if not self.messages.containsKey((r.message_id,)):
+            if r.message_id not in new and not (known and self.messages.containsKey((r.message_id,))):
                 self.messages.updateValue((r.message_id,), (True,))
-                new.append(r.message_id)
+                new[r.message_id] = True
         if len(tags) > before:
             self.tags.put([(t,) for t in sorted(tags)])
-            new = [k[0] for k in self.messages.keys()]
+            if known:
+                new = [k[0] for k in self.messages.keys()]
         self.last.update((last,))
         self.postpone(last)
         text = ",".join(sorted(tags))

@@ -6,6 +6,7 @@ import datetime
 import uuid
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loomgraph.sources import mail
@@ -168,3 +169,42 @@ def test_tables_in_folders_stream_like_single_files(spark, small_dir, tmp_path):
         assert drain(read_stream(g, "conversations").select("conv_id", "turn")).exceptAll(whole.select("conv_id", "turn")).isEmpty()
         assert drain(read_stream(g, "conversations").select("conv_id")).count() == whole.count()
         assert drain(stateful.retriage(stateful._verdicts(g), 3650 * 86400, "3650 days")).select("message_id").distinct().count() == whole.count()
+
+
+def test_a_new_thread_looks_up_no_messages():
+    class State(dict):
+        looked = 0
+
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            return self["x"]
+
+        def update(self, value):
+            self["x"] = value
+
+        put = update
+
+        def containsKey(self, key):
+            self.looked += 1
+            return key in self
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+    class Handle:
+        def listTimers(self):
+            return iter(())
+
+        def registerTimer(self, at):
+            pass
+
+    tags = stateful.ThreadTags(60)
+    tags.handle, tags.tags, tags.messages, tags.last = Handle(), State(), State(), State()
+    at = datetime.datetime(2024, 1, 1)
+    rows = [Row(message_id=m, tags=[t], at=at) for m, t in (("a", "x"), ("b", "y"), ("a", "x"))]
+    sent = lambda rows: [(r.message_id, r.tags) for r in tags.handleInputRows(("t",), iter(rows), None)]
+    assert sent(rows) == [("a", "x,y"), ("b", "x,y")] and tags.messages.looked == 0
+    assert sent(rows[:1]) == [] and tags.messages.looked == 1
+    assert sorted(sent([Row(message_id="c", tags=["z"], at=at)])) == [(m, "x,y,z") for m in "abc"]
