@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.components import connected_components
 from loomgraph.operators.graph_reads import live
+from loomgraph.operators.joins import dealt_by
 from loomgraph.plans.model import Graph
 from loomgraph.plans.registry import query
 from loomgraph.session import durable
@@ -89,9 +90,12 @@ def lineage_depth(nodes: DataFrame) -> DataFrame:
     return roots(nodes).filter("root IS NOT NULL")
 
 
-def ppmi(mentions: DataFrame, group: str, name: str) -> DataFrame:
-    """Positive pointwise mutual information of names that share a group (base 2)."""
-    one = mentions.select(group, F.lower(F.trim(name)).alias("a")).distinct()
+def ppmi(mentions: DataFrame, group: str, name: str, tasks: int | None = None) -> DataFrame:
+    """Positive pointwise mutual information of names that share a group (base 2).
+
+    Mentions are dealt by group once (to so many ``tasks``, if given), and names are told apart, counted and paired where they then lie.
+    """
+    one = dealt_by(mentions.select(group, F.lower(F.trim(name)).alias("a")), [group], tasks).distinct()
     n_groups = one.agg(F.countDistinct(group).alias("n"))
     alone = one.groupBy("a").agg(F.count("*").alias("n_a"))
     pairs = one.join(one.withColumnRenamed("a", "b"), group).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n_ab"))
@@ -252,13 +256,13 @@ def _(g: Graph) -> DataFrame:
     SELECT p.a, p.b, n_ab, round(log2(n_ab * n.n / (s.c * t.c)), 6) AS ppmi FROM p JOIN s ON p.a = s.a JOIN s t ON p.b = t.a, n WHERE log2(n_ab * n.n / (s.c * t.c)) > 0""",
 )
 def _(g: Graph) -> DataFrame:
-    return ppmi(g.claims, "chunk_id", "object").select("a", "b", "n_ab", F.round("ppmi", 6).alias("ppmi"))
+    return ppmi(g.claims, "chunk_id", "object", g.tasks("lineitem")).select("a", "b", "n_ab", F.round("ppmi", 6).alias("ppmi"))
 
 
 def _coassociation(g: Graph) -> DataFrame:
     from loomgraph.operators.joins import cooccurring_pairs
 
-    return cooccurring_pairs(g.claims, ["document_id"], "object")
+    return cooccurring_pairs(g.claims, ["document_id"], "object", g.tasks("lineitem"))
 
 
 @query("g07_community_labels")

@@ -28,9 +28,14 @@ def internal_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return inner.join(marked.withColumnRenamed("entity_id", "target"), "target", "left_semi")
 
 
-def cooccurring_pairs(mentions: DataFrame, group: list[str], name: str) -> DataFrame:
+def dealt_by(rows: DataFrame, keys: list[str], tasks: int | None) -> DataFrame:
+    """``rows`` dealt by their keys, so that a distinct and a join of each key need no shuffle of their own."""
+    return rows.repartition(*map(F.col, keys)) if tasks is None else rows.repartition(tasks, *keys)
+
+
+def cooccurring_pairs(mentions: DataFrame, group: list[str], name: str, tasks: int | None = None) -> DataFrame:
     """Unordered pairs of names in the same group, with the number of groups that hold them."""
-    one = mentions.select(*group, F.col(name).alias("a")).distinct()
+    one = dealt_by(mentions.select(*group, F.col(name).alias("a")), group, tasks).distinct()
     two = one.withColumnRenamed("a", "b")
     return one.join(two, group).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 

@@ -44,3 +44,11 @@ def test_scores_of_a_task_are_bounded():
     assert all(len(who) * len(rows) <= max(vectors.CELLS, len(who)) for who, rows in parts)
     for who, rows in groups:
         assert np.array_equal(np.concatenate([r for w, r in parts if w is who]), rows)
+
+
+def test_mentions_are_dealt_once_before_they_are_paired(spark, small_dir, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_IN_TASK", 100)
+    n = Graph(spark, small_dir).tasks("lineitem")
+    for name, group in (("g06_ppmi", "chunk_id"), ("g08_coassociation_graph", "document_id")):
+        lines = [line for line in plan_of(QUERIES[name](spark, small_dir)).splitlines() if "Exchange hashpartitioning" in line and group in line]
+        assert lines and all(f", {n}), REPARTITION_BY_NUM" in line for line in lines)
