@@ -14,7 +14,7 @@ from loomgraph.operators.graph_reads import live
 from loomgraph.operators.joins import dealt_by
 from loomgraph.plans.model import Graph
 from loomgraph.plans.registry import query
-from loomgraph.session import durable
+from loomgraph.session import ROWS_IN_TASK, durable, tasks_for
 
 MAX_HOPS = 10
 
@@ -132,25 +132,109 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return parts.agg(F.sum(F.col("inside") / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
-def seeded_communities(edges: DataFrame, seeds: list[int], rounds: int = 10) -> DataFrame:
-    """(seed, node, label): weighted label propagation with ties broken by a hash of label and seed, all seeds at once.
-
-    A node also votes once for its own label. It stops early once no label of any seed changes.
+def _best_labels(n_seeds: int, contiguous: bool):
+    """Reads votes (id, n, a label of each seed) and gives each id (id, labels, own): per seed the label of the greatest weight, then the greatest label, and the
+    weight of the label it has. A null ``n`` marks an id's own labels, which count once. Ids come in one piece each (``contiguous``), or all of a task's are held.
     """
-    both = edges.select("a", "b", "n").union(edges.select("b", "a", "n"))
-    every = F.explode(F.array(*map(F.lit, seeds))).alias("seed")
-    labels = durable(both.select(F.col("a").alias("node")).distinct().select(every, "node", F.col("node").alias("label")), "labels")
+    import numpy as np
+    import pyarrow as pa
+
+    def best(table: pa.Table) -> pa.RecordBatch:
+        ids, at = np.unique(table["id"].to_numpy(), return_inverse=True)
+        mine, n = table["n"].is_null().to_numpy(), table["n"].fill_null(1).to_numpy()
+        labels, own = np.empty((len(ids), n_seeds), np.int64), np.empty((len(ids), n_seeds), n.dtype)
+        for k in range(n_seeds):
+            label = table[f"l{k}"].to_numpy()
+            key = at * (label.max() + 1) + label
+            order = np.argsort(key)
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            who, which, weight = at[order[first]], label[order[first]], np.add.reduceat(n[order], first)
+            most = np.maximum.reduceat(weight, np.flatnonzero(np.diff(who, prepend=-1)))
+            top = np.flatnonzero(weight == most[who])
+            labels[who[top], k] = which[top]  # labels ascend, and the last one stays
+            has = np.empty(len(ids), np.int64)
+            has[at[mine]] = label[mine]
+            kept = np.flatnonzero(which == has[who])
+            own[who[kept], k] = weight[kept] - 1
+        lists = lambda x: pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * n_seeds, x.ravel())
+        return pa.RecordBatch.from_arrays([pa.array(ids), lists(labels), lists(own)], names=["id", "labels", "own"])
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if contiguous and rows >= ROWS_IN_TASK:
+                table = pa.Table.from_batches(held)
+                ids = table["id"].to_numpy()
+                whole = int(np.flatnonzero(ids != ids[-1])[-1]) + 1 if ids[0] != ids[-1] else 0
+                if whole:
+                    yield best(table.slice(0, whole))
+                held, rows = table.slice(whole).to_batches(), rows - whole
+        if rows:
+            yield best(pa.Table.from_batches(held))
+
+    return run
+
+
+def _propagated(edges: DataFrame, seeds: list[int], rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(id, node, codes) with the code of each node as a label, and (id, labels, own, n): per seed its label's code and the weight of its links of that label; ``n`` is that of all.
+
+    A seed's codes ascend with the hash of name and seed, then the name, so ties go to the greatest code. A node's links are one row, and the labels of all seeds
+    travel together. While there are at most ROWS_IN_TASK nodes, links fetch the labels of their ends from a broadcast table, and nothing is shuffled; above that
+    labels are sent along the links, to tasks that follow the rows.
+    """
+    from loomgraph.operators.ordered import running_within
+
+    kind = "double" if dict(edges.dtypes)["n"] in ("float", "double") else "long"
+    carried = [f"l{k}" for k in range(len(seeds))]
+    tasks = tasks_for(edges.sparkSession, 2 * edges.count())
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).filter("node IS NOT NULL").distinct()
+    every = nodes.select("node", F.posexplode(F.array(*map(F.lit, seeds))).alias("k", "seed")).withColumn("tie", F.xxhash64("node", "seed"))
+    ranked = running_within(every, ["k"], [F.col("tie"), F.col("node")]).groupBy("node")
+    ranked = ranked.agg(*(F.max(F.when(F.col("k") == k, F.col("row_number"))).cast("long").alias(c) for k, c in enumerate(carried)))
+    codes = durable(ranked.select(F.col("l0").alias("id"), "node", F.array(*carried).alias("labels")), "codes")
+    few = codes.count() <= ROWS_IN_TASK
+    near = F.broadcast if few else lambda df: df
+
+    at = lambda end: near(codes.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id")))
+    met = edges.select("a", "b", F.col("n").cast(kind).alias("n")).join(at("a"), "a", "left").join(at("b"), "b", "left")
+    both = met.select(F.col("a_id").alias("id"), F.struct(F.col("b_id").alias("other"), "n").alias("link")).union(met.select("b_id", F.struct("a_id", "n")))
+    links = both.filter("id IS NOT NULL").repartition(tasks, "id").groupBy("id").agg(F.collect_list("link").alias("links"), F.sum("link.n").alias("n"))
+    known = F.filter("links", lambda x: x["other"].isNotNull() & x["n"].isNotNull())
+    links = durable(links.select("id", F.concat(known, F.array(F.struct(F.col("id").alias("other"), F.lit(None).cast(kind).alias("n")))).alias("links"), "n"), "links")
+
+    def voted(labels: DataFrame) -> DataFrame:
+        sent = near(labels.select(F.col("id").alias("other"), *(F.col("labels")[k].alias(c) for k, c in enumerate(carried))))
+        if few:
+            votes = links.select("id", F.inline("links")).join(sent, "other").select("id", "n", *carried)
+        else:
+            pushed = links.withColumnRenamed("id", "other").join(sent, "other").select(F.inline("links").alias("id", "n"), *carried)
+            votes = pushed.repartition(tasks, "id")
+        return durable(votes.mapInArrow(_best_labels(len(seeds), few), f"id long, labels array<long>, own array<{kind}>"), "labels")
+
+    labels = codes
     for _ in range(rounds):
-        votes = both.join(labels, F.col("b") == F.col("node")).select("seed", F.col("a").alias("node"), "label", "n")
-        votes = votes.union(labels.select("seed", "node", "label", F.lit(1).cast("long")))
-        weights = votes.groupBy("seed", "node", "label").agg(F.sum("n").alias("w"))
-        best = F.max(F.struct("w", F.xxhash64("label", "seed").alias("tie"), "label")).alias("m")
-        chosen = durable(weights.groupBy("seed", "node").agg(best).select("seed", "node", "m.label"), "labels")
-        settled = chosen.join(labels, ["seed", "node", "label"], "left_anti").isEmpty()
+        chosen = voted(labels)
+        settled = chosen.join(labels, ["id", "labels"], "left_anti").isEmpty()
         labels = chosen
         if settled:
             break
-    return labels
+    else:
+        labels = labels.drop("own").join(voted(labels).select("id", "own"), "id")
+    return codes, labels.join(links.select("id", "n"), "id")
+
+
+def seeded_communities(edges: DataFrame, seeds: list[int], rounds: int = 10) -> DataFrame:
+    """(seed, node, label): weighted label propagation with ties broken by a hash of label and seed, all seeds at once.
+
+    A node also votes once for its own label. It stops early once no label of any seed changes.
+    """
+    codes, labels = _propagated(edges, seeds, rounds)
+    first = codes.select(F.col("node").alias("label"), F.posexplode("labels").alias("k", "code"))
+    chosen = labels.join(codes.select("id", "node"), "id").select("node", F.posexplode("labels").alias("k", "code"))
+    seed = F.array(*map(F.lit, seeds))[F.col("k")].alias("seed")
+    return chosen.join(first, ["k", "code"]).select(seed, "node", "label")
 
 
 def seeded_modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -177,10 +261,17 @@ def agreement(labels: DataFrame) -> DataFrame:
     return joined.select("s", "t", F.coalesce(F.try_divide(F.col("both") - expected, most - expected), F.lit(1.0)).alias("ari"))
 
 
-def community_stability(edges: DataFrame, seeds: list[int], least_agreement: float = 0.6) -> DataFrame:
+def community_stability(edges: DataFrame, seeds: list[int], least_agreement: float = 0.6, rounds: int = 10) -> DataFrame:
     """Per seed its modularity and communities, which one is taken (most modular, then first), the mean agreement and its flag."""
-    labels = seeded_communities(edges, seeds)
-    scored = seeded_modularity(edges, labels)
+    _, found = _propagated(edges, seeds, rounds)
+    seed = F.array(*map(F.lit, seeds))[F.col("k")].alias("seed")
+    each = found.select("id", "n", F.posexplode(F.arrays_zip("labels", "own")).alias("k", "of"))
+    each = durable(each.select(seed, F.col("id").alias("node"), F.col("of.labels").alias("label"), F.col("of.own").alias("own"), "n"), "each")
+    labels = each.select("seed", "node", "label")
+    # a link within a community is seen from both its ends
+    parts = each.groupBy("seed", "label").agg(F.sum("n").alias("degree"), (F.sum("own") / 2).alias("inside")).crossJoin(F.broadcast(edges.agg(F.sum("n").alias("m"))))  # one row
+    share = F.col("inside") / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)
+    scored = parts.groupBy("seed").agg(F.sum(share).alias("modularity"), F.count("*").alias("communities"))
     mean = agreement(labels).agg(F.coalesce(F.avg("ari"), F.lit(1.0)).alias("mean_ari"))  # one row
     position = F.array_position(F.array(*map(F.lit, seeds)), F.col("seed"))
     best = scored.agg(F.max_by("seed", F.struct(F.round("modularity", 12), -position)).alias("best"))  # one row
