@@ -123,10 +123,9 @@ def split_chunks(text: str, cap: int) -> list[tuple[int, int]]:
 def chunk_documents(docs: DataFrame, cap: int = 2000) -> DataFrame:
     """Chunks of every whole text with their character spans; null and empty texts have none."""
 
-    def chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(d, k, a, b, t[a:b]) for d, t in zip(frame.doc_id, frame.text) for k, (a, b) in enumerate(split_chunks(t or "", cap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "start", "end", "text"])
+    def rows_of(key: int, text: str) -> Iterator[tuple]:
+        for k, (a, b) in enumerate(split_chunks(text, cap)):
+            yield key, k, a, b, text[a:b]
 
     given = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return chunk_rows(given, rows_of, "doc_id long, chunk int, start int, end int, text string")

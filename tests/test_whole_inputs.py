@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.operators import retrieval
+from loomgraph.operators import claims, retrieval
 from loomgraph.plans import registry
 
 
@@ -46,3 +46,12 @@ def test_word_edges_are_those_of_the_sql(spark):
     assert rows.filter(F.col("t") == texts[6]).select(stance(F.col("t"))).first()[0] == "affirm"
     for pattern in PII_PATTERNS[1:]:
         assert ascii_edges(pattern).startswith("(?<!") and ascii_edges(pattern).endswith("_])")
+
+
+def test_document_chunks_are_the_spans_of_every_text(spark, tmp_path):
+    registry.load()
+    texts = ["One. " * 900 + "\n\nTwo\n" + "x" * 4100, "", None, "\n\n", "short"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = registry.QUERIES["c01_document_chunks"](spark, str(tmp_path)).collect()
+    want = {(d, k, a, b, t[a:b]) for d, t in enumerate(texts) for k, (a, b) in enumerate(claims.split_chunks(t or "", 2000))}
+    assert len(rows) == len(want) > 5 and set(map(tuple, rows)) == want
