@@ -48,6 +48,17 @@ def test_word_edges_are_those_of_the_sql(spark):
         assert ascii_edges(pattern).startswith("(?<!") and ascii_edges(pattern).endswith("_])")
 
 
+def test_stance_reads_word_edges_as_its_sql_does(spark, tmp_path):
+    registry.load()
+    texts = ["äyes", "yesß", "the名", "ЖTHE", "٣yes", "yes_", "é wrong é", "\U00010000yes", "yes\U0001d7ce", "\U0001f600yes\U0001f600", "wrongé", "»the«", "DİSAGREE", "yesİ", "İ yes", "not true", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = dict(con.execute(registry.ORACLES["f26_stance"]).fetchall())
+    found = {r.doc_id: r.stance for r in registry.QUERIES["f26_stance"](spark, str(tmp_path)).collect()}
+    assert found == want and set(found.values()) == {"neutral", "affirm", "contradict"}
+
+
 def test_document_chunks_are_the_spans_of_every_text(spark, tmp_path):
     registry.load()
     texts = ["One. " * 900 + "\n\nTwo\n" + "x" * 4100, "", None, "\n\n", "short"]
