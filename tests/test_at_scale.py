@@ -79,3 +79,16 @@ def test_ranges_follow_the_rows(spark, monkeypatch):
     for key in (0, 1):
         xs = sorted(x for k, x in found if k == key)
         assert all(found[key, x] == (i + 1, sum(xs[:i]), len(xs)) for i, x in enumerate(xs))
+
+
+def test_tiles_of_a_hot_key_are_sent_packed(spark, monkeypatch):
+    monkeypatch.setattr(resolution, "TILE", 4)
+    rows = [(f"e{k % 90:03}", f"Acme {k % 3} {'LLC' if k % 2 else 'llo'}", "t") for k in range(97)] + [(None, "Acme 0 LLC", "t"), ("z", None, "t"), ("y", "Acme 0 LLC", None)]
+    frame = spark.createDataFrame(rows, "entity_id string, name string, entity_type string")
+    pairs = [(a, b, n, m) for a, n, t in rows for b, m, u in rows if a and b and n and m and t == u and a < b]
+    found = resolution.exact_duplicates(frame)
+    assert sorted(map(tuple, found.collect())) == sorted((a, b, n) for a, b, n, m in pairs if n == m)
+    # a row is sent to its tile and, in its tile's row, to others; it is not repeated for each tile of its key
+    assert "/packed-" in plan_of(found) and "explode(twos" in plan_of(found)
+    unlike = resolution.suffix_duplicates(frame).collect()
+    assert sorted(map(tuple, unlike)) == sorted((a, b) for a, b, n, m in pairs if n != m and n[:6] == m[:6])
