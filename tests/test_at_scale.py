@@ -92,3 +92,19 @@ def test_tiles_of_a_hot_key_are_sent_packed(spark, monkeypatch):
     assert "/packed-" in plan_of(found) and "explode(twos" in plan_of(found)
     unlike = resolution.suffix_duplicates(frame).collect()
     assert sorted(map(tuple, unlike)) == sorted((a, b) for a, b, n, m in pairs if n != m and n[:6] == m[:6])
+
+
+def test_linkage_keeps_sums_of_linked_clusters_only(spark, monkeypatch):
+    x = np.vstack([np.eye(12), np.eye(12)[:2] + 0.01])
+    rows = spark.createDataFrame([(0, k, v.tolist()) for k, v in enumerate(x)], "block int, item long, v array<double>")
+    kept, store = [], resolution.durable
+
+    def watched(df, name="step"):
+        stored = store(df, name)
+        if "total" in df.columns:
+            kept.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(resolution, "durable", watched)
+    found = {r["item"]: r.cluster for r in resolution.average_linkage(rows, "block", "item", "v", 0.85).collect()}
+    assert found == {k: k for k in range(12)} | {12: 0, 13: 1} and kept == [4, 0]
